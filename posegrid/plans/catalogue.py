@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from posegrid.plans import nav
+from posegrid.plans import nav, space
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for module in (nav,):
+for module in (nav, space):
     QUERIES.update(module.QUERIES)
     ORACLE_SQL.update(module.SQL)
 FLAGSHIP = "nav_metrics"
