@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch. Texts can be long, so the default of 10,000 is lowered where it is unset.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def build_session(name: str = "posegrid", cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -34,6 +36,8 @@ def build_session(name: str = "posegrid", cores: str = "*", shuffle_partitions:
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers once for each application, so that functions
     passed to mapInArrow and applyInPandas can be imported there whatever the working folder is."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, "1000")
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
