@@ -32,7 +32,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: The pre-split of byte-level BPE vocabularies of this kind.
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Entries of a worker's tables before they are begun anew; they only save time.
-TABLE = 600_000
+TABLE = 300_000
 #: Longer words are encoded one by one; bits of a slot number in the hash tables of tokens.
 LONG, SLOTS = 48, 19
 
@@ -263,7 +263,7 @@ class Coder:
         for s, i in self.special.items():
             labels[i] = s.encode()
         self.flat = np.frombuffer(b"".join(labels), np.uint8)
-        self.size = np.array([len(x) for x in labels], np.int64)
+        self.size = np.array([len(x) for x in labels], np.int32)
         self.start = np.cumsum(self.size) - self.size
         self.seen: dict[str, bytes] = {}
 
@@ -317,9 +317,10 @@ class Coder:
     def decode(self, ids: np.ndarray, offs: np.ndarray) -> pa.Array:
         """Texts of several id lists at once; bytes that aren't UTF-8 become U+FFFD."""
         size = self.size[ids]
-        ends = np.cumsum(size)
-        place = np.arange(ends[-1] if len(ends) else 0)
-        data = self.flat[place + np.repeat(self.start[ids] - ends + size, size)]
+        ends = np.cumsum(size, dtype=np.int64)
+        place = np.repeat((self.start[ids] - ends + size).astype(np.int32), size)
+        place += np.arange(len(place), dtype=np.int32)
+        data = self.flat[place]
         to = np.concatenate(([0], ends))[offs]
         out = K.strings(data, to)
         try:
@@ -359,12 +360,8 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(content.value)
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for a in range(0, table.num_rows, 1000):
-                part = table.slice(a, 1000)
-                ids = coder.encode(part[text_col].to_pylist())
-                yield from _with(part, ids_col, _lists(ids)).combine_chunks().to_batches()
+        for part in K.chunks(batches, text=text_col):
+            yield from _with(part, ids_col, _lists(coder.encode(part[text_col].to_pylist()))).combine_chunks().to_batches()
 
     return docs.mapInArrow(run, _field(docs, ids_col, "array<int>"))
 
@@ -391,13 +388,30 @@ def bpe_decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids", text_col:
     return rows.mapInArrow(run, _field(rows, text_col, "string"))
 
 
+def bpe_round_trip(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """The rows of docs, without text_col, with ids_col and with out_col, the text decoded from
+    those ids: bpe_encode and bpe_decode in one pass of one worker, so that a task holds the
+    automaton once. Nulls and clashing names are treated as they are there."""
+    ship(docs.sparkSession)
+    content = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder.of(content.value)
+        for part in K.chunks(batches, text=text_col):
+            ids = _lists(coder.encode(part[text_col].to_pylist()))
+            text = coder.decode(ids.values.to_numpy(), ids.offsets.to_numpy())
+            yield from _with(_with(part.drop_columns([text_col]), ids_col, ids), out_col, text).combine_chunks().to_batches()
+
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in (text_col, ids_col, out_col)]
+    return docs.mapInArrow(run, ", ".join([*kept, f"`{ids_col}` array<int>", f"`{out_col}` string"]))
+
+
 def bpe_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256 and decoded_sha256 of encoding and decoding each row's whole text."""
-    ids = bpe_encode(docs.select(id_col, F.col(text_col).alias("text")), vocabulary).drop("text")
-    back = bpe_decode(ids, vocabulary)
+    back = bpe_round_trip(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), vocabulary)
     return back.select(
-        id_col,
+        F.col("id").alias(id_col),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )

@@ -8,15 +8,17 @@ an anchor is extended both ways to the words its run covers, the run's context.
 1. Count anchors over the corpus. An anchor met once matches nothing.
 2. Where all occurrences of an anchor have one context, each after the first is a repeat as far
    as it was extended.
-3. Where contexts differ, extension stops within the run: these runs, and no others, are compared
-   window by window.
+3. Where contexts differ, a context's occurrences after its first are repeats too. The first ones,
+   and no others, are compared window by window, as extension stops within the run.
 Overlapping repeats of a text are merged to maximal ones, all of at least min_words words.
 
 Only keys and aggregates of keys meet in one place: counts are combined before the shuffle, and
 occurrences come back by a join that AQE may split, so a passage in a third of all texts is no
-hot task. Texts are shuffled once, by id, and that exchange is used by every step.
+hot task. Repeats within one document are found where it is read. Texts are shuffled once, by id,
+for the steps that need what was found about them.
 
-Keys are two 64-bit hashes (anchor and context or window), so results are exact up to 128-bit collisions.
+Keys are an anchor's 64-bit hash with its context's, or a window's with half its anchor's; results
+are exact but for collisions of 96 bits or more.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posegrid.llm import kernels as K
-from posegrid.session import ship
+from posegrid.session import materialise, ship
 
 GRAM = 5
 U = np.uint64
@@ -107,25 +109,25 @@ class _Chunk:
         return anchors[p], context, p, a, b
 
 
-def _seen(doc: np.ndarray, key: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """True where a document has the key at an earlier place."""
-    order = np.lexsort((place, key, doc))
-    same = (doc[order][1:] == doc[order][:-1]) & (key[order][1:] == key[order][:-1])
-    out = np.zeros(len(doc), bool)
-    out[order[1:]] = same
+def _seen(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """True where a document has the key at an earlier place; rows come by place."""
+    own = K.mix64(key ^ K.mix64(doc.astype(U)))
+    order = np.argsort(own, kind="stable")
+    out = np.zeros(len(own), bool)
+    out[order[1:]] = own[order][1:] == own[order][:-1]
     return out
 
 
-def _emit_runs(min_words: int, with_context: bool):
+def _emit_runs(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in K.chunks(batches, together="id"):
             c = _Chunk(table, min_words)
             anchor, context, _, a, b = c.runs()
+            new = ~_seen(c.base[c.row[a]], context)
+            anchor, context, a, b = anchor[new], context[new], a[new], b[new]
             row = c.row[a]
             base = c.base[row]
-            seen = _seen(base, context, a)
-            cols = {"anchor": anchor.astype(np.int64)} | ({"context": context.astype(np.int64)} if with_context else {})
-            cols |= {"id": c.ids[row], "a": (a - base).astype(np.int32), "more": ((b - a) * 2 + seen).astype(np.int32)}
+            cols = {"anchor": anchor.astype(np.int64), "context": context.astype(np.int64), "id": c.ids[row], "a": (a - base).astype(np.int32), "more": (b - a).astype(np.int32)}
             yield pa.RecordBatch.from_pydict(cols)
 
     return run
@@ -148,8 +150,9 @@ def _emit_windows(min_words: int):
             n = b - a + 1
             at = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(a) else a
             window = K.mix64(_grams(c.words, min_words)[at]) if len(at) else at.astype(U)
-            seen = _seen(np.repeat(base, n), window, at)
-            yield pa.RecordBatch.from_pydict({"anchor": np.repeat(anchor, n).astype(np.int64), "window": window.astype(np.int64), "id": np.repeat(c.ids[row], n), "a": (at - np.repeat(base, n)).astype(np.int32), "more": seen.astype(np.int32)})
+            new = ~_seen(np.repeat(base, n), window)
+            cols = {"anchor": np.repeat(anchor >> U(32), n).astype(np.uint32).view(np.int32), "window": window.astype(np.int64), "id": np.repeat(c.ids[row], n), "a": (at - np.repeat(base, n)).astype(np.int32)}
+            yield pa.RecordBatch.from_pydict({k: v[new] for k, v in cols.items()})
 
     return run
 
@@ -165,6 +168,12 @@ def _cut(min_words: int):
             a, e = c.base[of] + (packed >> 32), c.base[of] + (packed & 0xFFFFFFFF)
             np.add.at(change, a, 1)
             np.add.at(change, e, -1)
+            # repeats within one document need no join
+            if len(c.words) >= min_words:
+                at = np.flatnonzero(c.row[: len(c.row) - min_words + 1] == c.row[min_words - 1 :])
+                at = at[_seen(c.base[c.row[at]], K.mix64(_grams(c.words, min_words)[at]))]
+                change[at] += 1
+                change[at + min_words] -= 1
             gone = np.cumsum(change[:-1]) > 0
             data, offs = K.joined(c.data, c.starts, c.ends, c.row, c.n_rows, ~gone)
             edge = np.flatnonzero(gone & ~(np.append(False, gone[:-1]) & (np.append(-1, c.row[:-1]) == c.row)))
@@ -187,7 +196,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null or empty text: no words, empty kept_text. Fewer than min_words words: nothing removed.
     Rows with one id are parts of one document, in order of their text; windows don't cross
-    rows. Rows with a null id have no place in the order: they remove nothing and keep all.
+    rows. A row with a null id has no place in the order: it is compared with itself only.
     Other columns are not read, whatever their names. An empty table gives an empty result.
     min_words is at least 8.
     """
@@ -197,24 +206,35 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = "id long, n_words long, n_removed long, kept_text string, removed array<struct<start:int,end:int>>"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = rows.where("id IS NOT NULL").repartition("id")
-    ordered = texts.sortWithinPartitions("id", "text")
-    found = ordered.mapInArrow(_emit_runs(min_words, True), "anchor long, context long, id long, a int, more int")
+    # rows of one id must meet; where there are none, which ids alone tell, runs are found as texts are scanned
+    unique = rows.where("id IS NOT NULL").groupBy("id").count().where("count > 1").isEmpty()
+    first = rows.where("id IS NOT NULL") if unique else texts.sortWithinPartitions("id", "text")
+    found = first.mapInArrow(_emit_runs(min_words), "anchor long, context long, id long, a int, more int")
     # the first document of an anchor and whether it has one context; anchors met once match nothing
     known = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1"), F.min("id").alias("first_id"))
     known = known.where("n > 1").select("anchor", "first_id", (F.col("c0") == F.col("c1")).alias("one"))
-    runs = ordered.mapInArrow(_emit_runs(min_words, False), "anchor long, id long, a int, more int").join(known, "anchor")
-    runs = runs.where("NOT one OR id <> first_id OR more % 2 = 1")
-    # a later equal run of the same document is a repeat in any case; so is a later document's where there is one context
-    packed = runs.select("id", F.expr(f"CASE WHEN one OR more % 2 = 1 THEN a * 4294967296L + a + more DIV 2 + {min_words} END").alias("repeat"), F.expr("CASE WHEN NOT one AND more % 2 = 0 THEN a END").alias("wanted"))
+    # joined by a key of its own, the hash with its bits turned over, so that both sides are shuffled for the join alone and AQE can split it
+    turned = lambda df, c: df.withColumn("key", F.bitwise_not(c)).drop(c)
+    runs = turned(found, "anchor").join(turned(known, "anchor"), "key").where("NOT one OR id <> first_id")
+    # where there is one context, a later document's run is a repeat as a whole
+    runs = runs.select(F.expr("IF(one, NULL, key)").alias("key"), F.expr("IF(one, NULL, context)").alias("context"), "id", "a", "more", "one")
+    runs = materialise(runs, "substring-runs")
+    # so it is where a document before has the same context, among several
+    several = runs.where("NOT one")
+    leads = turned(several.groupBy("context", "key").agg(F.min("id").alias("lead")).withColumnRenamed("key", "anchor"), "context")
+    several = turned(several.withColumnRenamed("key", "anchor"), "context").join(leads, ["key", "anchor"]).select("id", "a", "more", "lead")
+    whole = runs.where("one").select("id", "a", "more").unionByName(several.where("id <> lead").drop("lead"))
+    repeat = whole.select("id", F.expr(f"a * 4294967296L + a + more + {min_words}").alias("repeat"), F.lit(None).cast("int").alias("wanted"))
+    packed = repeat.unionByName(several.where("id = lead").select("id", F.lit(None).cast("long").alias("repeat"), F.col("a").alias("wanted")))
     asked = packed.groupBy("id").agg(F.collect_list("repeat").alias("repeats"), F.collect_list("wanted").alias("wanted"))
     both = texts.join(asked, "id", "left").select("id", "text", F.coalesce("repeats", F.array().cast("array<long>")).alias("repeats"), F.coalesce("wanted", F.array().cast("array<int>")).alias("wanted"))
     windows = both.where("size(wanted) > 0").select("id", "text", "wanted").sortWithinPartitions("id", "text")
-    windows = windows.mapInArrow(_emit_windows(min_words), "anchor long, window long, id long, a int, more int")
-    least = windows.groupBy("anchor", "window").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1").drop("n")
-    late = windows.join(least, ["anchor", "window"]).where("id <> first_id OR more = 1")
+    windows = windows.mapInArrow(_emit_windows(min_words), "anchor int, window long, id long, a int")
+    least = windows.groupBy("anchor", "window").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
+    late = turned(windows, "window").join(turned(least, "window").drop("n"), ["key", "anchor"]).where("id <> first_id")
     late = late.groupBy("id").agg(F.collect_list(F.expr(f"a * 4294967296L + a + {min_words}")).alias("more_repeats"))
-    whole = both.join(late, "id", "left").select("id", "text", F.when(F.col("more_repeats").isNull(), F.col("repeats")).otherwise(F.concat("repeats", "more_repeats")).alias("repeats"))
-    out = whole.sortWithinPartitions("id", "text").mapInArrow(_cut(min_words), kind)
+    marked = both.join(late, "id", "left").select("id", "text", F.when(F.col("more_repeats").isNull(), F.col("repeats")).otherwise(F.concat("repeats", "more_repeats")).alias("repeats"))
+    out = marked.sortWithinPartitions("id", "text").mapInArrow(_cut(min_words), kind)
     nowhere = rows.where("id IS NULL").withColumn("repeats", F.array().cast("array<long>"))
     lone = nowhere.withColumn("id", F.monotonically_increasing_id()).mapInArrow(_cut(min_words), kind).withColumn("id", F.lit(None).cast("long"))
     return out.unionByName(lone).withColumnRenamed("id", id_col)
