@@ -11,22 +11,31 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("episode").orderBy("step")
-ALL = Window.partitionBy("episode")
-BEFORE = ORDER.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy("episode").orderBy("step")
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("episode")
+
+
+def before() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def dead_reckon(actions: DataFrame, step_m: float = 0.25, ticks: int = 24) -> DataFrame:
     """episode, step, action, tick, x, y: positions before each logged action, without collisions.
     A turn is one tick; heading 0 is +y and grows clockwise."""
     turn = F.when(F.col("action") == 3, 1).when(F.col("action") == 2, -1).otherwise(0)
-    out = actions.withColumn("tick", F.pmod(F.coalesce(F.sum(turn).over(BEFORE), F.lit(0)), F.lit(ticks)))
+    out = actions.withColumn("tick", F.pmod(F.coalesce(F.sum(turn).over(before()), F.lit(0)), F.lit(ticks)))
     angle = F.col("tick") * (2 * math.pi / ticks)
     forward = F.when(F.col("action") == 1, step_m).otherwise(0.0)
-    return out.withColumn("x", F.coalesce(F.sum(forward * F.sin(angle)).over(BEFORE), F.lit(0.0))).withColumn("y", F.coalesce(F.sum(forward * F.cos(angle)).over(BEFORE), F.lit(0.0)))
+    return out.withColumn("x", F.coalesce(F.sum(forward * F.sin(angle)).over(before()), F.lit(0.0))).withColumn("y", F.coalesce(F.sum(forward * F.cos(angle)).over(before()), F.lit(0.0)))
 
 
 def wrap_ticks(d: Column, ticks: int = 24) -> Column:
@@ -35,30 +44,30 @@ def wrap_ticks(d: Column, ticks: int = 24) -> Column:
 
 
 def _moved(k: int = 1) -> Column:
-    dx, dy = F.col("x") - F.lag("x", k).over(ORDER), F.col("y") - F.lag("y", k).over(ORDER)
+    dx, dy = F.col("x") - F.lag("x", k).over(in_order()), F.col("y") - F.lag("y", k).over(in_order())
     return F.sqrt(dx * dx + dy * dy)
 
 
 def stuck_steps(steps: DataFrame, states: int = 4, reach: float = 0.1, turn: int = 1) -> DataFrame:
     """Steps with column stuck: over the last `states` states moved at most `reach` and turned at most `turn` ticks."""
     k = states - 1
-    turned = F.abs(wrap_ticks(F.col("tick") - F.lag("tick", k).over(ORDER)))
+    turned = F.abs(wrap_ticks(F.col("tick") - F.lag("tick", k).over(in_order())))
     return steps.withColumn("stuck", F.coalesce((F.round(_moved(k), 6) <= reach) & (turned <= turn), F.lit(False)))
 
 
 def truncate_stuck(steps: DataFrame, mode: str = "truncate") -> DataFrame:
     """truncate: keep the steps before an episode's first stuck one and make the last kept a stop;
     reject: keep only episodes that are never stuck."""
-    at = F.min(F.when(F.col("stuck"), F.col("step"))).over(ALL)
+    at = F.min(F.when(F.col("stuck"), F.col("step"))).over(whole())
     if mode == "reject":
         return steps.withColumn("_at", at).where("_at IS NULL").drop("_at")
     kept = steps.withColumn("_at", at).where("_at IS NULL OR step < _at")
-    last = F.col("step") == F.max("step").over(ALL)
+    last = F.col("step") == F.max("step").over(whole())
     return kept.withColumn("action", F.when(last & F.col("_at").isNotNull(), 0).otherwise(F.col("action"))).drop("_at")
 
 
 def min_length(steps: DataFrame, n: int = 5) -> DataFrame:
-    return steps.withColumn("_n", F.count("*").over(ALL)).where(F.col("_n") >= n).drop("_n")
+    return steps.withColumn("_n", F.count("*").over(whole())).where(F.col("_n") >= n).drop("_n")
 
 
 def macro_steps(steps: DataFrame, far: float = 1.0, turned: int = 3) -> DataFrame:
@@ -98,7 +107,7 @@ def initial_turns(steps: DataFrame) -> DataFrame:
 
 def action_chunk(steps: DataFrame, f: int = 4) -> DataFrame:
     """Steps with chunk: this and the next f - 1 actions, padded with stop."""
-    return steps.withColumn("chunk", F.array(*[F.coalesce(F.lead("action", i).over(ORDER), F.lit(0)) for i in range(f)]))
+    return steps.withColumn("chunk", F.array(*[F.coalesce(F.lead("action", i).over(in_order()), F.lit(0)) for i in range(f)]))
 
 
 def stride_pool(steps: DataFrame, f: int = 4) -> DataFrame:
@@ -162,8 +171,8 @@ def history_flush(rounds: DataFrame, capacity: int = 64, keep: int = 48, group:
 
 def smooth_path(steps: DataFrame, passes: int = 5) -> DataFrame:
     """`passes` centred 5-point means of x and y; ends stay; paths of 5 points or fewer stay."""
-    around = ORDER.rowsBetween(-2, 2)
-    out = steps.withColumn("_n", F.count("*").over(ALL)).withColumn("_i", F.row_number().over(ORDER))
+    around = in_order().rowsBetween(-2, 2)
+    out = steps.withColumn("_n", F.count("*").over(whole())).withColumn("_i", F.row_number().over(in_order()))
     inner = (F.col("_n") > 5) & (F.col("_i") > 2) & (F.col("_i") < F.col("_n") - 1)
     for _ in range(passes):
         out = out.select(*[c for c in out.columns if c not in ("x", "y")], *[F.when(inner, F.avg(c).over(around)).otherwise(F.col(c)).alias(c) for c in ("x", "y")])
@@ -179,7 +188,7 @@ def smoothed_value(rows: DataFrame, key: str, value: str, order: list[str], n: i
 
 
 def _run_length(steps: DataFrame, within: Column, name: str) -> DataFrame:
-    group = F.sum(F.when(within, 0).otherwise(1)).over(ORDER.rowsBetween(Window.unboundedPreceding, 0))
+    group = F.sum(F.when(within, 0).otherwise(1)).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
     out = steps.withColumn("_in", within).withColumn("_g", group)
     w = Window.partitionBy("episode", "_g").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     return out.withColumn(name, F.sum(F.when(F.col("_in"), 1).otherwise(0)).over(w)).drop("_in", "_g")
@@ -203,13 +212,13 @@ def augment_start(steps: DataFrame, turns: Column, chosen: Column) -> DataFrame:
     j = F.explode(F.sequence(F.lit(1), F.abs("_k"))).alias("_j")
     front = first.select("*", j).withColumn("step", F.col("_j") - F.abs("_k") - 1).withColumn("tick", F.pmod(F.col("tick") - F.signum("_k").cast("int") * (F.abs("_k") - F.col("_j") + 1), F.lit(24)))
     front = front.withColumn("action", F.when(F.col("_k") > 0, 3).otherwise(2)).select(*[F.col(c).cast(steps.schema[c].dataType) for c in steps.columns])
-    return front.unionByName(steps).withColumn("step", F.row_number().over(ORDER) - 1)
+    return front.unionByName(steps).withColumn("step", F.row_number().over(in_order()) - 1)
 
 
 def dedupe_consecutive(steps: DataFrame) -> DataFrame:
     """Steps without those at the place of the step before."""
-    same = F.col("x").eqNullSafe(F.lag("x").over(ORDER)) & F.col("y").eqNullSafe(F.lag("y").over(ORDER))
-    return steps.withColumn("_same", same & (F.row_number().over(ORDER) > 1)).where("NOT _same").drop("_same")
+    same = F.col("x").eqNullSafe(F.lag("x").over(in_order())) & F.col("y").eqNullSafe(F.lag("y").over(in_order()))
+    return steps.withColumn("_same", same & (F.row_number().over(in_order()) > 1)).where("NOT _same").drop("_same")
 
 
 def expert_label(steps: DataFrame, near: float = 0.05, goal: float = 0.5, tick_deg: float = 15.0) -> DataFrame:
@@ -225,7 +234,7 @@ def expert_label(steps: DataFrame, near: float = 0.05, goal: float = 0.5, tick_d
 def break_loop(steps: DataFrame, run: int = 12) -> DataFrame:
     """Steps whose action, after `run` non-forward actions, repeats the turn before: made forward."""
     out = non_forward_run(steps)
-    again = (F.col("run") >= run) & F.col("action").isin(2, 3) & (F.col("action") == F.lag("action").over(ORDER))
+    again = (F.col("run") >= run) & F.col("action").isin(2, 3) & (F.col("action") == F.lag("action").over(in_order()))
     return out.withColumn("action", F.when(again, 1).otherwise(F.col("action"))).drop("run")
 
 
@@ -288,7 +297,7 @@ def nav_metrics(steps: DataFrame, goals: DataFrame, radius: float = 3.0) -> Data
     d = steps.join(goals, "episode")
     gx, gy = F.col("x") - F.col("goal_x"), F.col("y") - F.col("goal_y")
     d = d.withColumn("d", F.round(F.sqrt(gx * gx + gy * gy), 6)).withColumn("leg", F.coalesce(_moved(), F.lit(0.0)))
-    d = d.withColumn("so_far", F.sum("leg").over(ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("so_far", F.sum("leg").over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
     spl = F.when(F.col("d") < radius, F.col("shortest") / F.greatest("shortest", "so_far", F.lit(1e-9))).otherwise(0.0)
     out = d.withColumn("s", spl).groupBy("episode").agg(
         F.count("*").alias("steps_taken"), F.round(F.sum("leg"), 6).alias("path_length"), F.max_by("d", "step").alias("navigation_error"), F.min("d").alias("oracle_error"),
@@ -300,7 +309,7 @@ def nav_metrics(steps: DataFrame, goals: DataFrame, radius: float = 3.0) -> Data
 def path_length_with_legs(path: DataFrame, start: tuple[str, str], goal: tuple[str, str]) -> DataFrame:
     """episode, length: the smoothed path's length with the legs from start and to goal; a path of
     fewer than two points is the straight line."""
-    dx, dy = F.col("x") - F.lag("x").over(ORDER), F.col("y") - F.lag("y").over(ORDER)
+    dx, dy = F.col("x") - F.lag("x").over(in_order()), F.col("y") - F.lag("y").over(in_order())
     legs = path.withColumn("leg", F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0)))
     h = lambda ax, ay, bx, by: F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
     s, g = (F.first(F.struct(*[F.col(c) for c in p])) for p in (start, goal))

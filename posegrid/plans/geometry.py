@@ -19,12 +19,13 @@ def _sql(*exprs, names=XYZ, places=5):
     return ", ".join(f"round({e} + 1e-9, {places}) AS {n}" for n, e in zip(names, exprs))
 
 
-_UV = (F.col("u"), F.col("v"), F.col("gt"))
+def _uv():
+    return F.col("u"), F.col("v"), F.col("gt")
 
 
 @R.query("pixels", sql=f"SELECT image, u, v, {_sql('((u - 15.5) * gt / 20.0) * 0.6 - ((v - 11.5) * gt / 18.0) * 0.8 + 1.0', '((u - 15.5) * gt / 20.0) * 0.8 + ((v - 11.5) * gt / 18.0) * 0.6 + 2.0', 'gt + 0.5')} FROM {{pixels}}")
 def backproject_pinhole(pixels):
-    p = G.pinhole(*_UV, 20.0, 18.0, 15.5, 11.5)
+    p = G.pinhole(*_uv(), 20.0, 18.0, 15.5, 11.5)
     r = [F.lit(x) for x in (0.6, -0.8, 0.0, 0.8, 0.6, 0.0, 0.0, 0.0, 1.0)]
     return pixels.select("image", "u", "v", *_cols(G.rotate_translate(p, r, (F.lit(1.0), F.lit(2.0), F.lit(0.5)))))
 
@@ -35,17 +36,17 @@ _PHI = "((v + 0.5) / 24 * pi())"
 
 @R.query("pixels", sql=f"SELECT image, u, v, {_sql(f'gt * cos{_LAT} * sin{_LON}', f'gt * cos{_LAT} * cos{_LON}', f'gt * sin{_LAT}')} FROM {{pixels}}")
 def equirect_lonlat(pixels):
-    return pixels.select("image", "u", "v", *_cols(G.equirect(*_UV, 32, 24)))
+    return pixels.select("image", "u", "v", *_cols(G.equirect(*_uv(), 32, 24)))
 
 
 @R.query("pixels", sql=f"SELECT image, u, v, {_sql(f'gt * sin{_PHI} * sin({_LON} + 0.25)', f'gt * cos{_PHI}', f'-gt * sin{_PHI} * cos({_LON} + 0.25)')} FROM {{pixels}}")
 def equirect_thetaphi(pixels):
-    return pixels.select("image", "u", "v", *_cols(G.equirect(*_UV, 32, 24, "thetaphi", 0.25)))
+    return pixels.select("image", "u", "v", *_cols(G.equirect(*_uv(), 32, 24, "thetaphi", 0.25)))
 
 
 @R.query("pixels", sql=f"SELECT image, u, v, {_sql(f'gt * cos{_LAT} * sin{_LON}', f'gt * cos{_LAT} * cos{_LON}', f'gt * sin{_LAT}')} FROM {{pixels}}")
 def equirect_yawpitch(pixels):
-    p = G.equirect(*_UV, 32, 24, "yawpitch")
+    p = G.equirect(*_uv(), 32, 24, "yawpitch")
     return pixels.select("image", "u", "v", *_cols(G.z_up(*p, source="pano")))
 
 
@@ -85,13 +86,17 @@ def zdepth_to_euclid(pixels):
     return pixels.select("image", "u", "v", G.zdepth_to_euclid(F.col("gt"), F.col("u"), F.col("v"), 32, 24).alias("mm"))
 
 
-_Q = (F.lit(0.0), F.lit(0.0), F.sin(F.col("yaw") / 2), F.cos(F.col("yaw") / 2))
-_T = (F.col("tx"), F.col("ty"), F.col("tz"))
+def _q():
+    return F.lit(0.0), F.lit(0.0), F.sin(F.col("yaw") / 2), F.cos(F.col("yaw") / 2)
+
+
+def _t():
+    return F.col("tx"), F.col("ty"), F.col("tz")
 
 
 @R.query("poses", sql="SELECT id, round(1 - 2 * pow(sin(yaw / 2), 2), 6) + 0.0 AS m00, round(-2 * sin(yaw / 2) * cos(yaw / 2), 6) + 0.0 AS m01, round(2 * sin(yaw / 2) * cos(yaw / 2), 6) + 0.0 AS m10, ty AS m13 FROM {poses}")
 def pose_matrix(poses):
-    m = G.pose_matrix(_Q, _T)
+    m = G.pose_matrix(_q(), _t())
     return poses.select("id", m.alias("m")).select("id", *[(F.round(F.col("m")[i], 6) + 0.0).alias(n) for i, n in ((0, "m00"), (1, "m01"), (4, "m10"))], F.col("m")[7].alias("m13"))
 
 
@@ -100,19 +105,19 @@ def rotate_quaternions(poses):
     import math
 
     z = F.lit(0.0)
-    q = G.unit_quat(G.hamilton((_Q[3], z, z, _Q[2]), (F.lit(math.cos(0.2)), z, z, F.lit(math.sin(0.2)))))
+    q = G.unit_quat(G.hamilton((_q()[3], z, z, _q()[2]), (F.lit(math.cos(0.2)), z, z, F.lit(math.sin(0.2)))))
     return poses.select("id", F.round(q[0], 6).alias("qw"), F.round(q[3], 6).alias("qz"))
 
 
 @R.query("poses", sql="SELECT id, round(cos(yaw) * -tx + sin(yaw) * -ty + 1e-9, 5) AS px, round(-sin(yaw) * -tx + cos(yaw) * -ty + 1e-9, 5) AS py, round(-tz + 1e-9, 5) AS pz FROM {poses}")
 def invert_pose(poses):
-    _, t = G.invert_pose(G.quat_rotation(*_Q), _T)
+    _, t = G.invert_pose(G.quat_rotation(*_q()), _t())
     return poses.select("id", *_cols(t))
 
 
 @R.query("poses", sql="SELECT id, round(cos(yaw) * 1.5 - sin(yaw) * 0.5 + tx + 1e-9, 5) AS px, round(sin(yaw) * 1.5 + cos(yaw) * 0.5 + ty + 1e-9, 5) AS py, round(tz + 1 + 1e-9, 5) AS pz FROM {poses}")
 def transform_points(poses):
-    return poses.select("id", *_cols(G.rotate_translate((F.lit(1.5), F.lit(0.5), F.lit(1.0)), G.quat_rotation(*_Q), _T)))
+    return poses.select("id", *_cols(G.rotate_translate((F.lit(1.5), F.lit(0.5), F.lit(1.0)), G.quat_rotation(*_q()), _t())))
 
 
 @R.query("cloud", sql="SELECT scene, sum(x_cm)::BIGINT AS sx, sum(-z_cm)::BIGINT AS sy, sum(y_cm)::BIGINT AS sz FROM {cloud} GROUP BY scene")
@@ -134,9 +139,9 @@ _PREV = "(SELECT episode, step, x - lag(x) OVER (PARTITION BY episode ORDER BY s
 
 @R.query("steps", sql=f"SELECT episode, step, round({_MOD.format('pi() / 2 - atan2(dy, dx)')}, 5) AS heading FROM {_PREV} WHERE dx * dx + dy * dy > 0.01")
 def step_headings(steps):
-    from posegrid.operators.trajectories import ORDER
+    from posegrid.operators.trajectories import in_order
 
-    d = steps.select("episode", "step", (F.col("x") - F.lag("x").over(ORDER)).alias("dx"), (F.col("y") - F.lag("y").over(ORDER)).alias("dy")).where("dx * dx + dy * dy > 0.01")
+    d = steps.select("episode", "step", (F.col("x") - F.lag("x").over(in_order())).alias("dx"), (F.col("y") - F.lag("y").over(in_order())).alias("dy")).where("dx * dx + dy * dy > 0.01")
     return d.select("episode", "step", F.round(G.heading_of(F.col("dx"), F.col("dy")), 5).alias("heading"))
 
 
@@ -144,9 +149,9 @@ def step_headings(steps):
 def turn_angles(steps):
     import math
 
-    from posegrid.operators.trajectories import ORDER
+    from posegrid.operators.trajectories import in_order
 
-    d = steps.withColumn("t0", F.lag("tick").over(ORDER)).where("t0 IS NOT NULL AND abs(tick - t0) <> 12")
+    d = steps.withColumn("t0", F.lag("tick").over(in_order())).where("t0 IS NOT NULL AND abs(tick - t0) <> 12")
     return d.select("episode", "step", F.round(G.wrap_angle((F.col("tick") - F.col("t0")) * (math.pi / 12)), 4).alias("turn"))
 
 

@@ -202,7 +202,7 @@ SELECT episode, step, CASE WHEN gd < 0.5 THEN 0 WHEN d < 0.05 OR round(abs(turn)
 def expert_labels(steps):
     g = steps.groupBy("episode").agg(F.max_by("x", "step").alias("gx"), F.max_by("y", "step").alias("gy"))
     dx, dy = F.col("gx") - F.col("x"), F.col("gy") - F.col("y")
-    s = steps.join(g, "episode").withColumn("tx", F.coalesce(F.lead("x", 8).over(T.ORDER), F.col("gx"))).withColumn("ty", F.coalesce(F.lead("y", 8).over(T.ORDER), F.col("gy")))
+    s = steps.join(g, "episode").withColumn("tx", F.coalesce(F.lead("x", 8).over(T.in_order()), F.col("gx"))).withColumn("ty", F.coalesce(F.lead("y", 8).over(T.in_order()), F.col("gy")))
     return T.expert_label(s.withColumn("goal_distance", F.sqrt(dx * dx + dy * dy))).select("episode", "step", "label")
 
 

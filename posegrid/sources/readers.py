@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from posegrid.functions import geometry as G
 
-FILE = F.col("_metadata.file_path")
+
+def file_path() -> Column:
+    return F.col("_metadata.file_path")
 
 
 def _numbers(c: Column | str) -> Column:
@@ -23,19 +25,19 @@ def _numbers(c: Column | str) -> Column:
 
 def _lines(spark: SparkSession, glob: str) -> DataFrame:
     """path, line (from 0), value of every line of the files, empty ones included."""
-    whole = spark.read.text(glob, wholetext=True).select(FILE.alias("path"), "value")
+    whole = spark.read.text(glob, wholetext=True).select(file_path().alias("path"), "value")
     return whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
 
 
 def read_pose_text(spark: SparkSession, glob: str) -> DataFrame:
     """path and tx ty tz qx qy qz qw of one-pose files; files with other than 7 numbers dropped."""
-    n = spark.read.text(glob, wholetext=True).select(FILE.alias("path"), _numbers("value").alias("n")).where("size(n) = 7 AND forall(n, x -> x IS NOT NULL)")
+    n = spark.read.text(glob, wholetext=True).select(file_path().alias("path"), _numbers("value").alias("n")).where("size(n) = 7 AND forall(n, x -> x IS NOT NULL)")
     return n.select("path", *[F.col("n")[i].alias(c) for i, c in enumerate(("tx", "ty", "tz", "qx", "qy", "qz", "qw"))])
 
 
 def read_matrix_text(spark: SparkSession, glob: str) -> DataFrame:
     """path and m, 16 finite numbers row-major; short and non-finite files dropped."""
-    n = spark.read.text(glob, wholetext=True).select(FILE.alias("path"), _numbers("value").alias("m"))
+    n = spark.read.text(glob, wholetext=True).select(file_path().alias("path"), _numbers("value").alias("m"))
     return n.where("size(m) >= 16 AND forall(m, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))").select("path", F.slice("m", 1, 16).alias("m"))
 
 
@@ -43,13 +45,13 @@ def read_intrinsics(spark: SparkSession, glob: str, layout: str) -> DataFrame:
     """path, fx, fy, cx, cy. layout: matrix (entries of a 4x4 or 3x3 file), keyed (a line of
     key=value or key = v0 v1 ... numbers, the 10th line) or line (w h fx fy cx cy)."""
     if layout == "matrix":
-        n = spark.read.text(glob, wholetext=True).select(FILE.alias("path"), _numbers("value").alias("n")).withColumn("k", F.when(F.size("n") >= 16, 4).otherwise(3)).where("size(n) >= 9")
+        n = spark.read.text(glob, wholetext=True).select(file_path().alias("path"), _numbers("value").alias("n")).withColumn("k", F.when(F.size("n") >= 16, 4).otherwise(3)).where("size(n) >= 9")
         return n.select("path", F.col("n")[0].alias("fx"), F.get("n", F.col("k") + 1).alias("fy"), F.col("n")[2].alias("cx"), F.get("n", F.col("k") + 2).alias("cy"))
     if layout == "keyed":
         n = _lines(spark, glob).where("line = 9").select("path", _numbers(F.regexp_extract("value", "=\\s*(.*)$", 1)).alias("n")).where("size(n) >= 4")
         return n.select("path", *[F.col("n")[i].alias(c) for i, c in enumerate(("fx", "fy", "cx", "cy"))])
     if layout == "line":
-        n = spark.read.text(glob, wholetext=True).select(FILE.alias("path"), _numbers("value").alias("n")).where("size(n) = 6")
+        n = spark.read.text(glob, wholetext=True).select(file_path().alias("path"), _numbers("value").alias("n")).where("size(n) = 6")
         return n.select("path", *[F.col("n")[i + 2].alias(c) for i, c in enumerate(("fx", "fy", "cx", "cy"))])
     raise ValueError(layout)
 
@@ -89,7 +91,7 @@ EPISODE = "struct<episode_id:string,instruction_data:struct<style:string,instruc
 def read_episodes(spark: SparkSession, glob: str) -> DataFrame:
     """path, ordinal, episode_id, style, instruction, trajectory, goal_position, goal_id of files
     that hold a list of episodes or one. Missing fields are empty, or null where they are optional."""
-    d = spark.read.text(glob, wholetext=True).select(FILE.alias("path"), "value")
+    d = spark.read.text(glob, wholetext=True).select(file_path().alias("path"), "value")
     many = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{EPISODE}>")).otherwise(F.array(F.from_json("value", EPISODE)))
     e = d.select("path", F.posexplode(many).alias("ordinal", "e"))
     return e.select("path", "ordinal", F.coalesce("e.episode_id", F.lit("")).alias("episode_id"), F.coalesce("e.instruction_data.style", F.lit("")).alias("style"), F.coalesce("e.instruction_data.instruction", F.lit("")).alias("instruction"), F.coalesce("e.trajectory", F.expr("cast(array() as array<struct<step:int,pos:array<double>,heading:double,action:string>>)")).alias("trajectory"), "e.goal_position", "e.goal_id")
