@@ -14,6 +14,7 @@ from posegrid.sources import readers, sinks
 from posegrid.streaming import jobs
 
 R = Registry()
+EMPTY = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 def _folder(df: DataFrame, name: str) -> str:
@@ -25,12 +26,18 @@ def streamed(df: DataFrame, job, mode: str = "append") -> DataFrame:
     spark, at = df.sparkSession, _folder(df, "stream")
     df.write.parquet(f"{at}/in")
     out = job(spark.readStream.schema(df.schema).parquet(f"{at}/in"))
+    # processing-time timeouts ask for one empty batch after another, and the run would not end
+    before = spark.conf.get(EMPTY, "true")
+    spark.conf.set(EMPTY, "false")
     sink = out.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
     if mode == "append":
         q = sink.format("parquet").option("path", f"{at}/out").outputMode("append").start()
     else:
         q = sink.outputMode(mode).foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{at}/out")).start()
-    q.awaitTermination()
+    try:
+        q.awaitTermination()
+    finally:
+        spark.conf.set(EMPTY, before)
     return spark.read.schema(out.schema).parquet(f"{at}/out")
 
 
