@@ -183,10 +183,10 @@ _D = ["a1", "a2", "a3", "abs_rel", "sq_rel", "rmse", "rmse_log", "silog", "log10
 
 @R.query("pixels", sql="""
 WITH d AS (SELECT image, gt, pred, greatest(gt / pred, pred / gt) AS r, gt - pred AS e, ln(pred) - ln(gt) AS le FROM {pixels} WHERE gt > 0 AND pred > 0)
-SELECT image, round(avg(CASE WHEN r < 1.25 THEN 1.0 ELSE 0.0 END), 5) AS a1, round(avg(CASE WHEN r < 1.5625 THEN 1.0 ELSE 0.0 END), 5) AS a2, round(avg(CASE WHEN r < 1.953125 THEN 1.0 ELSE 0.0 END), 5) AS a3, round(avg(abs(e) / gt), 5) AS abs_rel, round(avg(e * e / gt), 5) AS sq_rel,
-  round(sqrt(avg(e * e)), 5) AS rmse, round(sqrt(avg(le * le)), 5) AS rmse_log, round(100 * sqrt(greatest(0.0, avg(le * le) - avg(le) * avg(le))), 5) AS silog, round(avg(abs(log10(pred) - log10(gt))), 5) AS log10, round(avg(abs(e)), 5) AS mae FROM d GROUP BY image""")
+SELECT image, round(avg(CASE WHEN r < 1.25 THEN 1.0 ELSE 0.0 END) + 1e-9, 5) AS a1, round(avg(CASE WHEN r < 1.5625 THEN 1.0 ELSE 0.0 END) + 1e-9, 5) AS a2, round(avg(CASE WHEN r < 1.953125 THEN 1.0 ELSE 0.0 END) + 1e-9, 5) AS a3, round(avg(abs(e) / gt) + 1e-9, 5) AS abs_rel, round(avg(e * e / gt) + 1e-9, 5) AS sq_rel,
+  round(sqrt(avg(e * e)) + 1e-9, 5) AS rmse, round(sqrt(avg(le * le)) + 1e-9, 5) AS rmse_log, round(100 * sqrt(greatest(0.0, avg(le * le) - avg(le) * avg(le))) + 1e-9, 5) AS silog, round(avg(abs(log10(pred) - log10(gt))) + 1e-9, 5) AS log10, round(avg(abs(e)) + 1e-9, 5) AS mae FROM d GROUP BY image""")
 def depth_metrics(pixels):
-    return M.depth_metrics(pixels).select("image", *[F.round(c, 5).alias(c) for c in _D])
+    return M.depth_metrics(pixels).select("image", *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in _D])
 
 
 @R.query("pixels", sql="""
