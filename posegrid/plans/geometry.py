@@ -73,10 +73,10 @@ def colour_match(pixels):
     return pixels.where(F.round(d, 6) < 0.4).select("image", "u", "v")
 
 
-@R.query("pixels", sql="SELECT image, u, v, round(CASE image % 4 WHEN 0 THEN gt WHEN 1 THEN gt / 1000.0 WHEN 2 THEN gt / 5000.0 ELSE 0.0 END, 7) AS metres FROM {pixels}")
+@R.query("pixels", sql="SELECT image, u, v, round(CASE image % 4 WHEN 0 THEN gt WHEN 1 THEN gt / 1000.0 WHEN 2 THEN gt / 5000.0 ELSE 0.0 END + 1e-11, 9) AS metres FROM {pixels}")
 def depth_units(pixels):
     k = F.when(F.col("image") % 4 == 0, "metres").when(F.col("image") % 4 == 1, "millimetres").when(F.col("image") % 4 == 2, "scaled").otherwise("none")
-    return pixels.select("image", "u", "v", F.round(G.depth_metres(k, F.col("gt"), F.lit(5000.0)), 7).alias("metres"))
+    return pixels.select("image", "u", "v", F.round(G.depth_metres(k, F.col("gt"), F.lit(5000.0)) + 1e-11, 9).alias("metres"))
 
 
 @R.query("pixels", sql="""
