@@ -60,6 +60,18 @@ def _grams(text: str) -> set[str]:
     return {" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of the words, with common beginnings taken together."""
+    by_first: dict[str, list[str]] = {}
+    for w in words:
+        by_first.setdefault(w[0], []).append(w[1:])
+    out = []
+    for c, rest in sorted(by_first.items()):
+        longer = [r for r in rest if r]
+        out.append(c + (f"(?:{_any_of(longer)})" + "?" * ("" in rest) if longer else ""))
+    return "|".join(out)
+
+
 class Model:
     """weights: n-gram to a weight for each family; bias; words: those every n-gram has one of."""
 
@@ -131,7 +143,7 @@ class Model:
 def fit_licenses(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Train with at most sample_rows background paragraphs: the first lines of texts chosen by
     hash, without any that speak of licences or copyright. An empty table gives no background."""
-    first = docs.select(F.substring(F.split(F.col(text_col), "\n")[0], 1, 2000).alias("line")).where("length(line) > 0")
+    first = docs.select(F.substring(F.substring_index(F.col(text_col), "\n", 1), 1, 2000).alias("line")).where("length(line) > 0")
     some = first.where(~F.lower("line").rlike("licen[cs]|copyright|spdx")).groupBy("line").count()
     rows = some.orderBy(F.xxhash64("line"), "line").limit(sample_rows).collect()
     return Model([r.line for r in rows])
@@ -147,12 +159,11 @@ def scan_licenses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     read; empty tables and models without features give empty results.
     """
     spark = docs.sparkSession
-    words = "|".join(model.words) or "$^"
-    has = f"(?i)(?<![A-Za-z0-9])(?:{words})(?![A-Za-z0-9])"
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(has))
+    has = f"(?<![a-z0-9])(?:{_any_of(model.words) or '$^'})(?![a-z0-9])"
+    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.lower("text").rlike(has))
     places = some.select("id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph"), "text")
     # where a line starts: its number of breaks and the lengths of the lines before it
-    lines = places.where(F.col("paragraph").rlike(has)).select("id", (F.col("line") + 1).alias("line"), "paragraph", F.when(F.col("line") == 0, F.lit(0)).otherwise(F.expr("length(substring_index(text, '\\n', line)) + 1")).alias("start"))
+    lines = places.where(F.lower("paragraph").rlike(has)).select("id", (F.col("line") + 1).alias("line"), "paragraph", F.when(F.col("line") == 0, F.lit(0)).otherwise(F.expr("length(substring_index(text, '\\n', line)) + 1")).alias("start"))
     distinct = lines.select("paragraph").distinct().withColumn("w", F.regexp_extract_all(F.lower("paragraph"), F.lit(f"({_WORD})"), F.lit(1)))
     gram = lambda n: f"CASE WHEN size(w) >= {n} THEN transform(sequence(1, size(w) - {n - 1}), i -> array_join(slice(w, i, {n}), ' ')) ELSE cast(array() as array<string>) END"
     grams = distinct.select("paragraph", F.expr(f"explode(array_distinct(concat({gram(1)}, {gram(2)}, {gram(3)})))").alias("gram"))
