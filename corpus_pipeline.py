@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posegrid.llm import bpe, decontamination, pii, simhash, toxicity
+from posegrid.llm import bpe, decontamination, pii, similar_sets, toxicity
 from posegrid.llm.queries import vocabulary
 from posegrid.session import shared_dir
 
@@ -20,10 +20,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each near-duplicate group: fingerprints of
-    five-word shingles, linked at 3 or fewer differing bits of 64 (a similarity well over 0.8).
+    """One document, that of the smallest doc_id, of each near-duplicate group: texts linked where
+    their sets of five-word shingles have a Jaccard similarity of at least 0.8, by SimHash and, for
+    what its 3 bits can't reach, by shared prefixes; every link is verified on the sets.
     Documents without an id belong to no group and stay."""
-    groups = simhash.near_dedup(docs, shingle=5)
+    groups = similar_sets.similar_groups(docs, shingle=5, least=0.8)
     stay = groups.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(stay, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
 

@@ -29,26 +29,33 @@ HOT = 2000
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
+def _shingles(column: pa.ChunkedArray, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """XXH64 values of all shingles, the row of each, and the number of each row's shingles."""
+    data, offs = K.bytes_of(column)
+    data = K.lower_ascii(data)
+    starts, ends, row = K.split_words(data, offs)
+    n = len(offs) - 1
+    flat, to = K.joined(data, starts, ends, row, n)
+    size = ends - starts
+    # in `flat` a row's words are joined by single spaces, without one after the row's last word
+    inner = np.append(row[1:] == row[:-1], False) if len(size) else np.zeros(0, bool)
+    begin = np.cumsum(size + inner) - size - inner
+    words = np.bincount(row, minlength=n)
+    first = np.concatenate(([0], np.cumsum(words)[:-1]))
+    many = np.where(words >= shingle, words - shingle + 1, np.minimum(words, 1))
+    of = np.repeat(np.arange(n), many)
+    lead = np.repeat(first - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+    tail = np.minimum(lead + shingle - 1, (first + words - 1)[of])
+    view, digest = memoryview(np.ascontiguousarray(flat)).cast("B"), xxhash.xxh64_intdigest
+    h = np.fromiter((digest(view[a:b], seed) for a, b in zip(begin[lead].tolist(), (begin + size)[tail].tolist())), np.uint64, len(lead)) if len(lead) else np.zeros(0, np.uint64)
+    return h, of, many
+
+
 def _fingerprints(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in K.chunks(batches):
-            data, offs = K.bytes_of(table["text"])
-            data = K.lower_ascii(data)
-            starts, ends, row = K.split_words(data, offs)
             n = table.num_rows
-            flat, to = K.joined(data, starts, ends, row, n)
-            size = ends - starts
-            # in `flat` a row's words are joined by single spaces, without one after the row's last word
-            inner = np.append(row[1:] == row[:-1], False) if len(size) else np.zeros(0, bool)
-            begin = np.cumsum(size + inner) - size - inner
-            words = np.bincount(row, minlength=n)
-            first = np.concatenate(([0], np.cumsum(words)[:-1]))
-            many = np.where(words >= shingle, words - shingle + 1, np.minimum(words, 1))
-            of = np.repeat(np.arange(n), many)
-            lead = np.repeat(first - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-            tail = np.minimum(lead + shingle - 1, (first + words - 1)[of])
-            view, digest = memoryview(np.ascontiguousarray(flat)).cast("B"), xxhash.xxh64_intdigest
-            h = np.fromiter((digest(view[a:b], seed) for a, b in zip(begin[lead].tolist(), (begin + size)[tail].tolist())), np.uint64, len(lead)) if len(lead) else np.zeros(0, np.uint64)
+            h, of, many = _shingles(table["text"], shingle, seed)
             lanes = h.view(np.uint8).reshape(-1, 8)
             print_ = np.zeros(n, np.uint64)
             for j in range(8):

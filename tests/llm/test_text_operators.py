@@ -100,6 +100,62 @@ def test_hamming_links_reach_every_distance(spark):
         assert parts(made) == parts(true)
 
 
+def test_similar_groups_are_those_of_all_pairs(spark):
+    from posegrid.llm import similar_sets
+
+    rng = random.Random(7)
+    tell = [f"w{i}" for i in range(400)]
+    rows = []
+    for g in range(12):
+        base = [rng.choice(tell) for _ in range(rng.choice([12, 60, 150]))]
+        for k in range(6):
+            edited = list(base)
+            for _ in range(k):
+                edited[rng.randrange(len(edited))] = "edited"
+            rows.append((len(rows), " ".join(edited)))
+    rows += [(200, None), (201, " "), (202, "One two"), (203, "one  TWO"), (204, "two one"), (205, rows[0][1]), (0, rows[30][1]), (None, rows[0][1])]
+    sets = []
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets.append((i, frozenset(" ".join(w[a : a + 5]) for a in range(max(1, len(w) - 4))) if w else frozenset()))
+    sets = [(i, s) for i, s in sets if i is not None]
+    part = list(range(len(sets)))
+
+    def find(a):
+        while part[a] != a:
+            a = part[a]
+        return a
+
+    unequal = 0
+    for a, (i, s) in enumerate(sets):
+        for b, (j, q) in enumerate(sets[:a]):
+            if len(s & q) >= 0.8 * len(s | q) - 1e-9:
+                unequal += s != q
+                part[find(a)] = find(b)
+    least = {}
+    for a, (i, _) in enumerate(sets):
+        least[find(a)] = min(i, least.get(find(a), i))
+    want = sorted((i, least[find(a)]) for a, (i, _) in enumerate(sets))
+    docs = spark.createDataFrame(rows, DOC)
+    assert unequal > 10
+    for sample in (4000, 5):
+        got = sorted((r.doc_id, r.component_id) for r in similar_sets.similar_groups(docs, sample=sample).collect())
+        assert got == want
+    assert similar_sets.similar_groups(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_near_dedup_stage_drops_texts_that_are_0_8_alike(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(150)]
+    near = list(words)
+    for at in (20, 60, 100):
+        near[at] = "edited"
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, "something else"), (None, " ".join(words))], DOC)
+    # 131 of 161 shingles are shared: 0.814
+    assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()} == {1, 3, None}
+
+
 def test_bpe_matches_the_library(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
