@@ -2,6 +2,8 @@
 repeated rows, empty tables, clashing column names."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 
@@ -206,6 +208,15 @@ def test_seed_masks_miss_no_two_substitutions():
         assert any(all(c == "0" or p + i not in errors for i, c in enumerate(m)) for m in decontamination.MASKS for p in range(12 - len(m) + 1))
 
 
+def test_seed_masks_miss_no_overlap_of_the_identity_asked_for():
+    for n in range(decontamination.MIN_WORDS, 25):
+        places = [sum(1 << p + i for i, c in enumerate(m) if c == "1") for m in decontamination.MASKS for p in range(n - len(m) + 1)]
+        for k in range(n - math.ceil(decontamination.IDENTITY * n - 1e-9) + 1):
+            for wrong in itertools.combinations(range(1, n - 1), k):
+                errors = sum(1 << x for x in wrong)
+                assert any(not place & errors for place in places), (n, wrong)
+
+
 def test_licenses(spark):
     rows = [(1, "some words\nReleased under the MIT License.\nmore"), (2, "Licensed under CC BY-NC 4.0."), (3, "nothing here at all"), (4, None), (5, ""), (None, "This work is licensed under the GNU General Public License, version 3."), (6, "the license of the tree is apache gnu copyright mit version"), (7, "Licensed under the Apache License, Version 2.0.\nLicensed under the Apache License, Version 2.0.")]
     docs = spark.createDataFrame(rows, DOC).withColumn("family", F.lit(1))
