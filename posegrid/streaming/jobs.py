@@ -1,11 +1,14 @@
 """Structured Streaming operators. Each takes and returns a streaming DataFrame; the caller starts it.
 
-Rows older than the watermark are dropped by Spark. Stateful operators also pass over a step
-number they have seen, and count it in column late. State times out after TIMEOUT without rows.
+Rows older than the watermark are dropped by Spark. Stateful operators fold all rows that a
+micro-batch has of a key in the order of their numbers, however many Arrow batches they come in.
+Column late counts the rows passed over: in `history_folding` repeats; in the others also numbers
+below one of an earlier micro-batch. State times out after TIMEOUT without rows.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,18 +43,23 @@ def _put(state: GroupState, value: tuple) -> None:
     state.setTimeoutDuration(TIMEOUT)
 
 
+def _ordered(batches: Iterator[pd.DataFrame], by: str, columns: list[str]) -> pd.DataFrame:
+    """All of a key's rows of one micro-batch, sorted: Spark cuts a group at any row."""
+    frames = [*batches] or [pd.DataFrame(columns=[by, *columns])]
+    return pd.concat(frames, ignore_index=True).sort_values(by, kind="stable")[columns]
+
+
 def count_windows(rows: DataFrame, key: str, n: int) -> DataFrame:
     """key, window, rows, total: a row every n values of a key (columns key, seq, value)."""
 
     def fold(k, batches: Iterator[pd.DataFrame], state: GroupState):
         window, count, total = _get(state, (0, 0, 0.0))
         out = []
-        for pdf in batches:
-            for v in pdf.sort_values("seq")["value"]:
-                count, total = count + 1, total + float(v)
-                if count == n:
-                    out.append((k[0], window, count, total))
-                    window, count, total = window + 1, 0, 0.0
+        for v in _ordered(batches, "seq", ["value"])["value"]:
+            count, total = count + 1, total + float(v)
+            if count == n:
+                out.append((k[0], window, count, total))
+                window, count, total = window + 1, 0, 0.0
         if not state.hasTimedOut:
             _put(state, (window, count, total))
         yield pd.DataFrame(out, columns=["key", "window", "rows", "total"])
@@ -65,14 +73,13 @@ def sliding_meter(rows: DataFrame, key: str, n: int = 20) -> DataFrame:
     def fold(k, batches: Iterator[pd.DataFrame], state: GroupState):
         last, late, held = _get(state, (-1, 0, []))
         held, out = list(held), []
-        for pdf in batches:
-            for s, v in pdf.sort_values("seq")[["seq", "value"]].itertuples(index=False):
-                if s <= last:
-                    late += 1
-                    continue
-                last = int(s)
-                held = [*held, float(v)][-n:]
-                out.append((k[0], last, sorted(held)[(len(held) - 1) // 2], sum(held) / len(held), max(held), late))
+        for s, v in _ordered(batches, "seq", ["seq", "value"]).itertuples(index=False):
+            if s <= last:
+                late += 1
+                continue
+            last = int(s)
+            held = [*held, float(v)][-n:]
+            out.append((k[0], last, sorted(held)[(len(held) - 1) // 2], sum(held) / len(held), max(held), late))
         if not state.hasTimedOut:
             _put(state, (last, late, held))
         yield pd.DataFrame(out, columns=["key", "seq", "median", "mean", "most", "late"])
@@ -86,16 +93,15 @@ def stuck_detector(steps: DataFrame, states: int = 4, reach: float = 0.1, turn:
     def fold(k, batches: Iterator[pd.DataFrame], state: GroupState):
         last, late, done, xs, ys, ts = _get(state, (-1, 0, False, [], [], []))
         xs, ys, ts, out = list(xs), list(ys), list(ts), []
-        for pdf in batches:
-            for s, t, x, y in pdf.sort_values("step")[["step", "tick", "x", "y"]].itertuples(index=False):
-                if s <= last:
-                    late += 1
-                    continue
-                last = int(s)
-                xs, ys, ts = [*xs, float(x)][-states:], [*ys, float(y)][-states:], [*ts, int(t)][-states:]
-                if not done and len(xs) == states and round(((xs[-1] - xs[0]) ** 2 + (ys[-1] - ys[0]) ** 2) ** 0.5, 6) <= reach and abs((ts[-1] - ts[0] + 12) % 24 - 12) <= turn:
-                    done = True
-                    out.append((int(k[0]), last, late))
+        for s, t, x, y in _ordered(batches, "step", ["step", "tick", "x", "y"]).itertuples(index=False):
+            if s <= last:
+                late += 1
+                continue
+            last = int(s)
+            xs, ys, ts = [*xs, float(x)][-states:], [*ys, float(y)][-states:], [*ts, int(t)][-states:]
+            if not done and len(xs) == states and round(((xs[-1] - xs[0]) ** 2 + (ys[-1] - ys[0]) ** 2) ** 0.5, 6) <= reach and abs((ts[-1] - ts[0] + 12) % 24 - 12) <= turn:
+                done = True
+                out.append((int(k[0]), last, late))
         if not state.hasTimedOut:
             _put(state, (last, late, done, xs, ys, ts))
         yield pd.DataFrame(out, columns=["episode", "step", "late"])
@@ -109,11 +115,10 @@ def object_registry(objects: DataFrame, radius: float) -> DataFrame:
     def fold(k, batches: Iterator[pd.DataFrame], state: GroupState):
         (flat,) = _get(state, ([],))
         flat, out = list(flat), []
-        for pdf in batches:
-            for x, y, z in pdf.sort_values("seq")[["x", "y", "z"]].itertuples(index=False):
-                if all((flat[i] - x) ** 2 + (flat[i + 1] - y) ** 2 + (flat[i + 2] - z) ** 2 > radius * radius for i in range(0, len(flat), 3)):
-                    flat += [float(x), float(y), float(z)]
-                    out.append((int(k[0]), k[1], float(x), float(y), float(z)))
+        for x, y, z in _ordered(batches, "seq", ["x", "y", "z"]).itertuples(index=False):
+            if all((flat[i] - x) ** 2 + (flat[i + 1] - y) ** 2 + (flat[i + 2] - z) ** 2 > radius * radius for i in range(0, len(flat), 3)):
+                flat += [float(x), float(y), float(z)]
+                out.append((int(k[0]), k[1], float(x), float(y), float(z)))
         if not state.hasTimedOut:
             _put(state, (flat,))
         yield pd.DataFrame(out, columns=["scene", "cls", "x", "y", "z"])
@@ -131,22 +136,23 @@ def history_folding(rounds: DataFrame, recent: int = 16) -> DataFrame:
     """conv_id, turn: rounds as they leave the last `recent` for the older list (columns conv_id, turn)."""
 
     def fold(k, batches: Iterator[pd.DataFrame], state: GroupState):
-        last, late, held = _get(state, (-1, 0, []))
-        held, out = list(held), []
-        for pdf in batches:
-            for t in pdf.sort_values("turn")["turn"]:
-                if t <= last:
-                    late += 1
-                    continue
-                last = int(t)
-                held.append(last)
-                if len(held) > recent:
-                    out.append((int(k[0]), held.pop(0), late))
+        late, held, gone = _get(state, (0, [], []))
+        held, gone, out = list(held), list(gone), []
+        known = {*held, *gone}
+        for t in map(int, _ordered(batches, "turn", ["turn"])["turn"]):
+            if t in known:
+                late += 1
+                continue
+            known.add(t)
+            bisect.insort(held, t)
+            if len(held) > recent:
+                gone.append(held.pop(0))
+                out.append((int(k[0]), gone[-1], late))
         if not state.hasTimedOut:
-            _put(state, (last, late, held))
+            _put(state, (late, held, gone))
         yield pd.DataFrame(out, columns=["conv_id", "turn", "late"])
 
-    return _stateful(rounds.select("conv_id", "turn"), ["conv_id"], fold, "conv_id long, turn long, late long", "last long, late long, held array<long>")
+    return _stateful(rounds.select("conv_id", "turn"), ["conv_id"], fold, "conv_id long, turn long, late long", "late long, held array<long>, gone array<long>")
 
 
 def run_summary(results: DataFrame) -> DataFrame:
