@@ -1,33 +1,35 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Texts and benchmark items are compared as lower-cased words (runs of ASCII letters and digits and
-of non-ASCII characters). A seed is a fixed mask laid over neighbouring words: words at its 0s are
-ignored, so a substituted word there does no harm. The masks are chosen so that however a fifth of
-an overlap's words is substituted between its equal ends, one mask at one place misses them all;
-a test enumerates this for 12 to 24 words. Hits are verified on all words of their diagonal.
-
-The seeds of the benchmark go to every task only after their number was counted; a benchmark of
-more than `block_words` words is taken in blocks by hash of item_id, each against all texts.
+of non-ASCII characters), each known by a 64-bit hash. A seed is a fixed mask laid over neighbouring
+words: words at its 0s are ignored, so a substituted word there does no harm. The masks are chosen
+so that however a fifth of an overlap's words is substituted between its equal ends, one mask at one
+place misses them all; a test enumerates this for 12 to 24 words. The seeds of both sides are joined
+by Spark, and each (text, item, diagonal) that meets is verified on all its words.
+
+Before the join, seeds of texts pass a bitmap of the benchmark's seeds of at most 2^MAX_BITS bits,
+whatever the benchmark's size; it saves shuffling seeds without a partner and changes no result.
+Texts are known by their SHA-256, so copies of one text are verified once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posegrid.llm import kernels as K
-from posegrid.session import ship
+from posegrid.session import materialise, ship
 
 MASKS = ("11101011", "101100111", "1111011", "11100100011")
-MIN_WORDS, IDENTITY, BLOCK_WORDS = 12, 0.8, 1_000_000
+MIN_WORDS, IDENTITY, MAX_BITS = 12, 0.8, 28
 U = np.uint64
 _ALNUM = np.array([chr(b).isalnum() and b < 128 or b >= 128 for b in range(256)])
-_LOOKUP = 20
 
 
 def _words(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -50,70 +52,167 @@ def _seeds(h: np.ndarray, row: np.ndarray, mask: str) -> tuple[np.ndarray, np.nd
     return K.mix64(out[at]), at
 
 
-class Benchmark:
-    """Word hashes of some items and their seeds, sorted."""
-
-    def __init__(self, ids: list[int], texts: list[str | None], min_words: int, identity: float):
-        self.ids, self.min_words, self.identity = np.array(ids, np.int64), min_words, identity
-        self.h, row = _words(pa.array(texts, pa.string()))
-        self.n = np.bincount(row, minlength=len(ids)).astype(np.int64)
-        self.first = np.cumsum(self.n) - self.n
-        self.masks = [*MASKS, *("1" * k for k in sorted({int(k) for k in self.n} - {0}) if k < min_words)]
-        keys, item, at = [], [], []
-        for m in self.masks:
-            k, p = _seeds(self.h, row, m)
-            whole = self.n[row[p]] == len(m) if len(m) < min_words and set(m) == {"1"} and m not in MASKS else self.n[row[p]] >= min_words
-            keys.append(k[whole])
-            item.append(row[p][whole])
-            at.append((p - self.first[row[p]])[whole])
-        keys, self.item, self.at = map(np.concatenate, (keys, item, at)) if keys else (self.h, row, row)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.item, self.at = keys[order], self.item[order], self.at[order]
-        self.maybe = np.zeros(1 << _LOOKUP, bool)
-        self.maybe[(self.keys >> U(64 - _LOOKUP)).astype(np.int64)] = True
-
-    def hits(self, h: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Distinct (row, item, diagonal) of seeds shared with the texts."""
-        found = []
-        for m in self.masks:
-            k, p = _seeds(h, row, m)
-            some = np.flatnonzero(self.maybe[(k >> U(64 - _LOOKUP)).astype(np.int64)])
-            k, p = k[some], p[some]
-            lo, hi = np.searchsorted(self.keys, k, "left"), np.searchsorted(self.keys, k, "right")
-            n = hi - lo
-            j = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            p = np.repeat(p, n)
-            found.append(np.stack([row[p], self.item[j], p - first[row[p]] - self.at[j]], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
-
-    def overlap(self, text: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int, int] | None:
-        """The longest verified overlap on a diagonal: start in text, start in item, words, equal
-        words. It begins and ends with equal words, `identity` of them are equal, and it has
-        min_words words, or is all of a shorter item, unchanged. The first of equals is taken."""
-        n = int(self.n[item])
-        a, b = max(0, -diagonal), min(n, len(text) - diagonal)
-        own = self.h[self.first[item] + a : self.first[item] + b]
-        same = own == text[a + diagonal : b + diagonal]
-        if n < self.min_words:
-            return (diagonal, 0, n, n) if b - a == n and same.all() else None
-        at = np.flatnonzero(same)
-        if not len(at):
-            return None
-        upto = np.concatenate(([0], np.cumsum(same)))
-        size = at[None, :] - at[:, None] + 1
-        equal = upto[at + 1][None, :] - upto[at][:, None]
-        size = np.where((size >= self.min_words) & (equal >= self.identity * size), size, 0)
-        k = int(np.argmax(size))
-        i, j = divmod(k, len(at))
-        if not size[i, j]:
-            return None
-        return int(a + at[i] + diagonal), int(a + at[i]), int(size[i, j]), int(equal[i, j])
+def _first(row: np.ndarray, rows: int) -> np.ndarray:
+    """Where each row's words begin, and the end of all."""
+    return np.concatenate(([0], np.cumsum(np.bincount(row, minlength=rows))))
+
+
+def longest_overlap(text: np.ndarray, item: np.ndarray, diagonal: int, min_words: int = MIN_WORDS, identity: float = IDENTITY) -> tuple[int, int, int, int] | None:
+    """The longest verified overlap of two word lists on a diagonal (place in text less place in
+    item): start in text, start in item, words, equal words. It begins and ends with equal words,
+    `identity` of them are equal, and it has min_words words, or is all of a shorter item,
+    unchanged. The first of equals is taken. Time and memory are in proportion to the item."""
+    a, b = max(0, -diagonal), min(len(item), len(text) - diagonal)
+    same = item[a:b] == text[a + diagonal : b + diagonal]
+    if len(item) < min_words:
+        n = len(item)
+        return (diagonal, 0, n, n) if b - a == n > 0 and same.all() else None
+    at = np.flatnonzero(same)
+    if not len(at):
+        return None
+    share = Fraction(str(identity))
+    num, den = share.numerator, share.denominator
+    # from the i-th to the j-th equal word: den (j - i + 1) >= num (at[j] - at[i] + 1)
+    height = den * np.arange(len(at)) - num * at
+    lowest = np.minimum.accumulate(height)  # falls, so the first i at most so high is found by bisection
+    i = np.searchsorted(-lowest, -(height + den - num), "left")
+    size = at - at[i] + 1
+    long = int(size.max())
+    if long < min_words:
+        return None
+    j = int(np.argmax(size))
+    return int(a + at[i[j]] + diagonal), int(a + at[i[j]]), long, int(j - i[j] + 1)
+
+
+def _item_seeds(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in K.chunks(batches, text="t"):
+            h, row = _words(table["t"])
+            first = _first(row, table.num_rows)
+            n = np.diff(first)
+            short = sorted({int(k) for k in n if 0 < k < min_words})
+            for mask, fits in [*((m, n >= min_words) for m in MASKS), *(("1" * k, n == k) for k in short)]:
+                key, p = _seeds(h, row, mask)
+                whole = fits[row[p]]
+                key, p = key[whole], p[whole]
+                of = pa.array(row[p])
+                yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "i": table["i"].combine_chunks().take(of), "th": table["th"].combine_chunks().take(of), "p": p - first[row[p]]})
+
+    return run
+
+
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table in K.chunks(batches, text="t"):
+        h, row = _words(table["t"])
+        lists = pa.LargeListArray.from_arrays(_first(row, table.num_rows), pa.array(h.view(np.int64))).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_pydict({"i": table["i"].combine_chunks(), "th": table["th"].combine_chunks(), "words": lists})
+
+
+def _probes(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    k = key.view(U)
+    return (k >> U(64 - bits)).astype(np.int64), (k & U((1 << bits) - 1)).astype(np.int64)
+
+
+def _bitmap(keys: DataFrame, count: int) -> tuple[np.ndarray, int]:
+    """A bitmap in which two bits stand for each key: 256 bits for a key up to 2^MAX_BITS bits."""
+    bits = min(MAX_BITS, max(16, int(256 * count).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << bits >> 3, np.uint8)
+        for batch in batches:
+            for at in _probes(batch.column(0).to_numpy(), bits):
+                np.bitwise_or.at(own, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_pydict({"b": pa.array([own.tobytes()], pa.binary())})
+
+    all_ = np.zeros(1 << bits >> 3, np.uint8)
+    for r in keys.select("key").coalesce(8).mapInArrow(run, "b binary").toLocalIterator():
+        all_ |= np.frombuffer(r.b, np.uint8)
+    return all_, bits
+
+
+def _text_seeds(shared, masks: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, bits = shared.value
+        for table in K.chunks(batches):
+            h, row = _words(table["text"])
+            first = _first(row, table.num_rows)
+            d = table["d"].combine_chunks()
+            for mask in masks:
+                key, p = _seeds(h, row, mask)
+                for probe in range(2):
+                    at = _probes(key, bits)[probe]
+                    some = np.flatnonzero(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                    key, p = key[some], p[some]
+                if len(p):
+                    yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "d": d.take(pa.array(row[p])), "q": p - first[row[p]]})
+
+    return run
+
+
+def _verify(min_words: int, identity: float):
+    """Rows come by text: first the text itself, then its hits, each with its item's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(0, U)
+        for table in K.chunks(batches):
+            out: list[tuple] = []
+            texts, ds, items, ths, diagonals = (table[c].to_pylist() for c in ("text", "d", "i", "th", "diagonal"))
+            lists = table["words"].combine_chunks()
+            flat, offs = lists.values.to_numpy().view(U), lists.offsets.to_numpy()
+            for k, text in enumerate(texts):
+                if text is not None:
+                    words = _words(pa.array([text]))[0]
+                    continue
+                found = longest_overlap(words, flat[offs[k] : offs[k + 1]], diagonals[k], min_words, identity)
+                if found:
+                    out.append((ds[k], items[k], ths[k], diagonals[k], *found))
+            if out:
+                kinds = [pa.binary(), *[pa.int64()] * 7]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["d", "i", "th", "diagonal", "a", "b", "n", "equal"])
+
+    return run
 
 
 OVERLAPS = "array<struct<item_id:bigint,text_start:int,item_start:int,n_words:int,n_equal:int>>"
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", out_col: str = "overlaps", min_words: int = MIN_WORDS, identity: float = IDENTITY, block_words: int = BLOCK_WORDS) -> DataFrame:
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
+def _overlaps(texts: DataFrame, benchmark: DataFrame, item_id_col: str, item_text_col: str, min_words: int, identity: float) -> DataFrame:
+    """d and overlaps of the texts (d, text; copies of a text share d) that have any."""
+    spark = texts.sparkSession
+    ship(spark)
+    items = benchmark.where(F.col(item_id_col).isNotNull()).select(F.col(item_id_col).cast("long").alias("i"), F.coalesce(F.col(item_text_col), F.lit("")).alias("t"))
+    items = items.withColumn("th", F.xxhash64("t")).distinct()
+    seeds = materialise(items.mapInArrow(_item_seeds(min_words), "key long, i long, th long, p long"), "benchmark-seeds")
+    words = materialise(items.mapInArrow(_item_words, "i long, th long, words array<long>"), "benchmark-words")
+    short = sorted(r.n for r in words.select(F.size("words").alias("n")).where(f"n > 0 AND n < {min_words}").distinct().collect())  # at most min_words - 1 numbers
+    shared = spark.sparkContext.broadcast(_bitmap(seeds, seeds.count()))
+    masks = [*MASKS, *("1" * n for n in short)]
+    own = texts.mapInArrow(_text_seeds(shared, masks), "key long, d binary, q long")
+    hits = own.join(seeds, "key").select("d", "i", "th", (F.col("q") - F.col("p")).alias("diagonal")).distinct()
+    hits = materialise(hits, "benchmark-hits")
+    held = texts.join(hits.select("d").distinct(), "d", "left_semi").dropDuplicates(["d"])
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    rows = held.select("d", "text", none("long", "i"), none("long", "th"), none("long", "diagonal"), F.array().cast("array<long>").alias("words"))
+    rows = rows.unionByName(hits.join(words, ["i", "th"]).select("d", none("string", "text"), "i", "th", "diagonal", "words"))
+    rows = rows.repartition("d").sortWithinPartitions("d", F.col("text").isNull())
+    found = rows.mapInArrow(_verify(min_words, identity), "d binary, i long, th long, diagonal long, a long, b long, n long, equal long")
+    best = found.groupBy("d", "i", "th").agg(F.max(F.struct("n", (-F.col("diagonal")).alias("o"), "a", "b", "equal")).alias("x"))
+    one = F.struct(F.col("i").alias("item_id"), F.col("x.a").cast("int").alias("text_start"), F.col("x.b").cast("int").alias("item_start"), F.col("x.n").cast("int").alias("n_words"), F.col("x.equal").cast("int").alias("n_equal"))
+    return materialise(best.groupBy("d").agg(F.sort_array(F.collect_list(one)).cast(OVERLAPS).alias("o")), "benchmark-overlaps")
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", out_col: str = "overlaps", min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
     """The rows of docs with out_col: for each benchmark item met in the row's whole text, its
     longest verified overlap (the earliest diagonal on ties), by item_id.
 
@@ -121,45 +220,20 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     words, of which at least `identity` are equal place by place, of at least min_words words;
     items with fewer words count where all their words stand unchanged. Items longer than the
     text are compared as far as they overlap. Null or empty texts and items without words have no
-    overlaps; items with a null id are passed over. Repeated items give one overlap each. A column
-    called out_col is replaced. Empty tables on either side give empty lists.
+    overlaps; items with a null id are passed over. Repeated items count once; different texts of
+    one id give one overlap each. A column called out_col is replaced, other names may clash with
+    any used here. Empty tables on either side give empty lists.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    items = benchmark.where(F.col(item_id_col).isNotNull()).select(F.col(item_id_col).cast("long").alias("i"), F.coalesce(F.col(item_text_col), F.lit("")).alias("t"))
-    size = items.agg(F.sum(F.size(F.split("t", " ")))).first()[0] or 0
-    blocks = max(1, -(-int(size) // block_words))
-    out = docs.withColumn(out_col, F.array().cast(OVERLAPS))
-    kept = [f for f in out.schema]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).orderBy("i", "t").collect()
-        against = spark.sparkContext.broadcast(Benchmark([r.i for r in block], [r.t for r in block], min_words, identity))
-
-        def run(batches: Iterator[pa.RecordBatch], against=against) -> Iterator[pa.RecordBatch]:
-            bench = against.value
-            for table in K.chunks(batches, text=text_col):
-                h, row = _words(table[text_col])
-                n = np.bincount(row, minlength=table.num_rows)
-                first = np.cumsum(n) - n
-                best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-                for r, item, diagonal in bench.hits(h, row, first).tolist():
-                    found = bench.overlap(h[first[r] : first[r] + n[r]], item, diagonal)
-                    if found and found[2] > best.get((r, item), (0, 0, 0))[2]:
-                        best[r, item] = found
-                lists = table[out_col].to_pylist()
-                for (r, item), (a, b, size, equal) in sorted(best.items()):
-                    lists[r].append({"item_id": int(bench.ids[item]), "text_start": a, "item_start": b, "n_words": size, "n_equal": equal})
-                column = pa.array(lists, table.schema.field(out_col).type)
-                yield from table.set_column(table.schema.get_field_index(out_col), out_col, column).combine_chunks().to_batches()
-
-        out = out.mapInArrow(run, schema)
-    return out
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **kw) -> DataFrame:
-    """The rows of docs, same columns, whose text has no verified overlap with any item."""
-    mark = "_overlaps"
-    while mark in docs.columns:
-        mark += "_"
-    return find_overlaps(docs, benchmark, text_col, out_col=mark, **kw).where(F.size(mark) == 0).drop(mark)
+    rest = docs.drop(out_col)
+    mark = _unused(docs, "_digest")
+    found = _overlaps(rest.select(_digest(F.col(text_col)).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), benchmark, item_id_col, item_text_col, min_words, identity)
+    out = rest.withColumn(mark, _digest(F.col(text_col))).join(found.toDF(mark, out_col), mark, "left").drop(mark)
+    return out.withColumn(out_col, F.coalesce(out_col, F.array().cast(OVERLAPS)))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
+    """The rows of docs, same columns, whose text has no verified overlap with any item. Rows
+    with null or empty text have none and stay."""
+    mark = _unused(docs, "_digest")
+    found = _overlaps(docs.select(_digest(F.col(text_col)).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), benchmark, item_id_col, item_text_col, min_words, identity)
+    return docs.withColumn(mark, _digest(F.col(text_col))).join(found.select(F.col("d").alias(mark)), mark, "left_anti").drop(mark)

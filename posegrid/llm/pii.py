@@ -3,19 +3,23 @@
 Base spans come from four patterns with checks. They are the seeds: the words around them induce
 lexical patterns. Other tokens with digits or @ are candidate instances. Over the graph of
 patterns and instances, a pattern's confidence in a kind is the mean score of the distinct
-instances it was met with, smoothed, and an instance's score comes from its patterns'
-confidences, in turns. Candidates of fitting shape that score at least `accept` are spans too.
+instances it was met with, smoothed, once `min_seeds` of them are seeds; a candidate of fitting
+shape scores by its patterns' confidences. Candidates that score at least `accept` are seeds of
+the next round, so patterns that only they induce are found too, until a round accepts no more.
+
+Places are prefix sums over the pieces of a text, taken in blocks; words around an instance are
+looked up by index. So the work for a text is nearly in proportion to its length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posegrid.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, ACCEPT, MIN_SEEDS, SMOOTH = 3, 0.8, 5, 1.0
+ROUNDS, ACCEPT, MIN_SEEDS, SMOOTH, SALTS = 10, 0.8, 5, 1.0, 16
 #: Possessive repeats and look-behinds change no match of the plain patterns; they keep the search linear and its stack flat.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -23,7 +27,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]++"
+WORD = r"[^\x20\x09-\x0D]++"
 _HINT = {"email": "contains({t}, '@')", "ip": "{t} rlike '[0-9][.][0-9]'", "card": "{t} rlike '[0-9][ -]?[0-9][ -]?[0-9]'", "phone": "contains({t}, '+')"}
 _SHAPE = {
     "email": r"^[^@\s]+@[^@\s]+$",
@@ -32,16 +36,29 @@ _SHAPE = {
     "phone": r"^[(+]?[0-9](?:[().\-]*[0-9]){6,14}$",
 }
 _SPAN = "array<struct<start:int,end:int,value:string>>"
+_BLOCK = 128
 
 
-def _found(text: str, pattern: str) -> str:
-    """SQL for the matches of a pattern in a column, with places in code points. Pieces between
-    matches and matches alternate, so places are running sums of their lengths."""
+def _placed(text: str, pattern: str, pick: str, fields: str, kind: str) -> str:
+    """SQL for an array of structs of a pattern's matches in a column, those that `pick` wants.
+    pick and fields are SQL over m (all matches), i (place in m) and start (in code points). Pieces
+    between matches and matches alternate, so starts are sums of their lengths: of whole blocks
+    before, and of the few in the match's own block."""
     p = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    return f"""aggregate(arrays_zip(split({text}, '{p}', -1), concat(regexp_extract_all({text}, '{p}', 0), array('')))
-      , named_struct('at', 0, 'out', cast(array() as {_SPAN}))
-      , (s, x) -> named_struct('at', s.at + length(x.`0`) + length(x.`1`), 'out', array_append(s.out, named_struct('start', s.at + length(x.`0`), 'end', s.at + length(x.`0`) + length(x.`1`), 'value', x.`1`)))
-      , s -> slice(s.out, 1, size(s.out) - 1))"""
+    total = "(s, x) -> s + x"
+    return f"""coalesce(flatten(transform(array(named_struct('g', split({text}, '{p}', -1), 'm', regexp_extract_all({text}, '{p}', 0))), a ->
+      IF(size(a.m) = 0, cast(array() as {kind}), flatten(transform(array(named_struct('n', zip_with(slice(a.g, 1, size(a.m)), a.m, (g, w) -> length(g) + length(w)))), b ->
+        flatten(transform(array(transform(sequence(0, (size(b.n) - 1) div {_BLOCK}), k -> aggregate(slice(b.n, k * {_BLOCK} + 1, {_BLOCK}), 0, {total}))), c ->
+          flatten(transform(array(transform(sequence(0, size(c) - 1), k -> aggregate(slice(c, 1, k), 0, {total}))), d ->
+            transform(transform(filter(sequence(0, size(a.m) - 1), i -> {pick.format(m="a.m")}),
+              i -> named_struct('i', i, 'start', d[i div {_BLOCK}] + aggregate(slice(b.n, (i div {_BLOCK}) * {_BLOCK} + 1, i % {_BLOCK}), 0, {total}) + length(a.g[i]))),
+              q -> {fields.format(m="a.m", i="q.i", start="q.start")})))))))))), cast(array() as {kind}))"""
+
+
+def _found(text: str, pattern: str) -> str:
+    """SQL for all matches of a pattern in a column: start, end and value."""
+    fields = "named_struct('start', {start}, 'end', {start} + length({m}[{i}]), 'value', {m}[{i}])"
+    return _placed(text, pattern, "true", fields, _SPAN)
 
 
 def _digits(v: str) -> str:
@@ -77,36 +94,73 @@ def base_spans(text: str = "text") -> Column:
     return F.expr(f"array_sort(concat({', '.join(kinds)}))")
 
 
+_TOKEN = "struct<start:int,token:string,l2:string,l1:string,r1:string>"
+
+
+def _tokens(text: str) -> str:
+    """SQL for a text's tokens with a digit or @: start, token, two words before, one after."""
+    at = lambda o: f"coalesce(get({{m}}, {{i}} {o}), '')"
+    fields = f"named_struct('start', {{start}}, 'token', {{m}}[{{i}}], 'l2', {at('- 2')}, 'l1', {at('- 1')}, 'r1', {at('+ 1')})"
+    return _placed(text, WORD, "{m}[i] rlike '[0-9@]'", fields, f"array<{_TOKEN}>")
+
+
 def _candidates(rows: DataFrame) -> DataFrame:
     """id, h, start, end, value, seed (rank of kind or null) and patterns of every base span and of
-    every other token with a digit or @, without marks at its ends."""
-    tokens = _found("text", TOKEN)
-    trimmed = "transform(filter(tokens, x -> NOT exists(spans, b -> b.start < x.end AND x.start < b.end)), x -> named_struct('start', x.start + length(x.value) - length(regexp_replace(x.value, '^[^0-9A-Za-z@+]+', '')), 'value', regexp_replace(regexp_replace(x.value, '^[^0-9A-Za-z@+]+', ''), '[^0-9A-Za-z@]+$', '')))"
-    items = f"concat(transform(spans, b -> named_struct('start', b.start, 'end', b.end, 'value', b.value, 'seed', b.rank)), transform({trimmed}, x -> named_struct('start', x.start, 'end', x.start + length(x.value), 'value', x.value, 'seed', cast(null as int))))"
-    some = rows.where(F.expr("text rlike '[0-9@]'")).withColumn("tokens", F.expr(tokens))
-    one = some.select("id", "h", "text", F.expr(f"explode({items})").alias("x")).select("id", "h", "text", "x.*").where("length(value) > 0")
-    left = "lower(regexp_extract(substring(text, greatest(1, start - 59), least(60, start)), '([^\\\\s]+\\\\s+[^\\\\s]+|[^\\\\s]+)\\\\s*$', 1))"
-    near = "lower(regexp_extract(substring(text, greatest(1, start - 39), least(40, start)), '([^\\\\s]+)\\\\s*$', 1))"
-    right = "lower(regexp_extract(substring(text, end + 1, 40), '^\\\\s*([^\\\\s]+)', 1))"
+    every other token with a digit or @, without marks at its ends.
+
+    A base span starts and ends within such tokens, which know the words beside them: in each
+    document's order of places, these are the last tokens before the span's two ends."""
+    some = rows.where(F.expr("text rlike '[0-9@]'"))
+    tokens = some.select("id", "h", F.explode(F.expr(_tokens("text"))).alias("t")).distinct()
+    spans = some.select("id", "h", F.explode("spans").alias("b")).distinct()
+    none = lambda kind: F.lit(None).cast(kind)
+    b = "struct<start:int,rank:int,end:int,value:string>"
+    places = tokens.select("id", "h", F.col("t.start").alias("at"), F.lit(0).alias("what"), "t", none(b).alias("b"))
+    for what, at in ((1, "b.start"), (2, "b.end - 1")):
+        places = places.unionByName(spans.select("id", "h", F.expr(at).alias("at"), F.lit(what).alias("what"), none(_TOKEN).alias("t"), "b"))
+    order = Window.partitionBy("id", "h").orderBy("at", "what")
+    before = order.rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("id", "h").orderBy(F.desc("at"), F.desc("what")).rowsBetween(Window.unboundedPreceding, -1)
+    near = places.select("*", F.last("t", True).over(before).alias("own"), F.max("b.end").over(before).alias("covered"), F.min("b.start").over(after).alias("next"))
+    free = near.where("what = 0 AND NOT coalesce(covered > t.start, false) AND NOT coalesce(next < t.start + length(t.token), false)")
+    trim = "regexp_replace(t.token, '^[^0-9A-Za-z@+]+', '')"
+    free = free.select("id", "h", F.expr(f"t.start + length(t.token) - length({trim})").alias("start"), F.expr(f"regexp_replace({trim}, '[^0-9A-Za-z@]+$', '')").alias("value"), F.col("t.l2").alias("far"), F.col("t.l1").alias("near"), F.col("t.r1").alias("right")).where("length(value) > 0")
+    free = free.select("id", "h", "start", F.expr("start + length(value)").alias("end"), "value", none("int").alias("seed"), "far", "near", "right")
+    ends = near.where("what > 0").groupBy("id", "h", "b").agg(F.max(F.when(F.col("what") == 1, F.col("own"))).alias("l"), F.max(F.when(F.col("what") == 2, F.col("own"))).alias("r"))
+    cut = ends.select("*", F.expr("substring(l.token, 1, b.start - l.start)").alias("head"), F.expr("substring(r.token, b.end - r.start + 1)").alias("tail"))
+    known = cut.select("id", "h", "b.start", "b.end", "b.value", F.col("b.rank").alias("seed"), F.expr("IF(head = '', l.l2, l.l1)").alias("far"), F.expr("IF(head = '', l.l1, head)").alias("near"), F.expr("IF(tail = '', r.r1, tail)").alias("right"))
     # digits in a pattern are only digits: a number beside another must not make every context its own
-    return one.selectExpr("id", "h", "start", "end", "value", "seed", f"transform(array(concat('L ', {left}), concat('B ', {near}, ' _ ', {right})), p -> regexp_replace(p, '[0-9]+', '0')) AS patterns")
+    patterns = "transform(array(concat('L ', far, ' ', near), concat('B ', near, ' _ ', right)), p -> regexp_replace(lower(p), '[0-9]+', '0')) AS patterns"
+    return known.unionByName(free).selectExpr("id", "h", "start", "end", "value", "seed", patterns)
 
 
-def _scores(items: DataFrame, rounds: int, min_seeds: int) -> DataFrame:
-    """value and its score for each kind (s0 to s3), after rounds of turns over the graph."""
+def _accepted(items: DataFrame, rounds: int, accept: float, min_seeds: int) -> DataFrame:
+    """value and rank of kind of the candidates that rounds of turns over the graph accept."""
     n = range(len(KINDS))
-    edges = items.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
     kinds = items.groupBy("value").agg(F.max("seed").alias("kind"))
-    graph = materialise(edges.select("pattern", "value").join(kinds, "value"), "pii-graph")
-    scores = kinds.select("value", "kind", *[F.when(F.col("kind") == k, 1.0).otherwise(0.0).alias(f"s{k}") for k in n])
+    edges = items.select("value", F.explode("patterns").alias("pattern")).distinct()
+    graph = materialise(edges.join(kinds, "value"), "pii-graph")
+    scores, before = None, 0
     for _ in range(rounds):
-        marks = graph.select("pattern", "value").join(scores, "value")
-        trust = marks.groupBy("pattern").agg(F.count("*").alias("n"), *[F.sum(f"s{k}").alias(f"t{k}") for k in n], *[F.count(F.when(F.col("kind") == k, 1)).alias(f"q{k}") for k in n])
+        marks = graph if scores is None else graph.join(scores, "value", "left")
+        own = lambda k: F.when(F.col("kind").isNotNull(), (F.col("kind") == k).cast("double")).otherwise(F.lit(0.0) if scores is None else F.coalesce(f"s{k}", F.lit(0.0)))  # noqa: E731, B023
+        trust = marks.groupBy("pattern").agg(F.count("*").alias("n"), *[F.sum(own(k)).alias(f"t{k}") for k in n], *[F.count(F.when(own(k) >= accept, 1)).alias(f"q{k}") for k in n])
+        trust = trust.where(F.greatest(*[F.col(f"q{k}") for k in n]) >= min_seeds)
         trust = trust.select("pattern", *[F.when(F.col(f"q{k}") >= min_seeds, F.col(f"t{k}") / (F.col("n") + SMOOTH)).otherwise(0.0).alias(f"c{k}") for k in n])
-        told = graph.join(trust, "pattern").groupBy("value", "kind").agg(*[F.sum(F.log(1.0 - F.least(F.col(f"c{k}"), F.lit(0.999999)))).alias(f"l{k}") for k in n])
-        scores = told.select("value", "kind", *[F.when(F.col("kind").isNotNull(), (F.col("kind") == k).cast("double")).otherwise(1.0 - F.exp(f"l{k}")).alias(f"s{k}") for k in n])
-        scores = materialise(scores, "pii-scores")
-    return scores
+        # one pattern may hold a large part of all candidates: it is dealt to SALTS tasks
+        trust = trust.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        told = graph.where("kind IS NULL").withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int")).join(trust, ["pattern", "salt"])
+        told = told.groupBy("value").agg(*[F.sum(F.log(1.0 - F.least(F.col(f"c{k}"), F.lit(0.999999)))).alias(f"l{k}") for k in n])
+        told = told.select("value", *[F.when(F.col("value").rlike(_SHAPE[kind]), 1.0 - F.exp(f"l{k}")).otherwise(0.0).alias(f"s{k}") for k, kind in enumerate(KINDS)])
+        scores = materialise(told.where(F.greatest(*[F.col(f"s{k}") for k in n]) > 0), "pii-scores")
+        now = scores.where(F.greatest(*[F.col(f"s{k}") for k in n]) >= accept).count()
+        if now == before:
+            break
+        before = now
+    if scores is None:
+        return kinds.where("false").select("value", F.lit(0).alias("rank"))
+    best = F.greatest(*[F.col(f"s{k}") for k in n])
+    return scores.where(best >= accept).select("value", (F.array_position(F.array(*[f"s{k}" for k in n]), best) - 1).cast("int").alias("rank"))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, accept: float = ACCEPT, min_seeds: int = MIN_SEEDS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -119,13 +173,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep])
     rows = rows.withColumn("h", F.xxhash64("text")).withColumn("spans", base_spans("text"))
     items = materialise(_candidates(rows.select("id", "h", "text", "spans")), "pii-items")
-    scores = _scores(items, rounds, min_seeds)
-    best = scores.where("kind IS NULL").withColumn("rank", F.array_position(F.array(*[f"s{k}" for k in range(len(KINDS))]), F.greatest(*[F.col(f"s{k}") for k in range(len(KINDS))])).cast("int") - 1)
-    fits = F.lit(False)
-    for k, kind in enumerate(KINDS):
-        fits = fits | ((F.col("rank") == k) & (F.col(f"s{k}") >= accept) & F.col("value").rlike(_SHAPE[kind]))
-    new = items.where("seed IS NULL").join(best.where(fits).select("value", "rank"), "value")
-    new = new.groupBy("id", "h").agg(F.collect_set(F.struct("start", "rank", "end")).alias("more"))
+    new = items.where("seed IS NULL").join(_accepted(items, rounds, accept, min_seeds), "value")
+    new = materialise(new.groupBy("id", "h").agg(F.collect_set(F.struct("start", "rank", "end")).alias("more")), "pii-new")
     base = rows.select("id", "h", F.expr("transform(spans, x -> named_struct('start', x.start, 'rank', x.rank, 'end', x.end))").alias("base"), *[f"kept_{c}" for c in keep])
     out = base.join(new, base["id"].eqNullSafe(new["id"]) & (base["h"] == new["h"]), "left").drop(new["id"]).drop(new["h"])
     every = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))

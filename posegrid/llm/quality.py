@@ -1,11 +1,12 @@
 """Quality by supervised subword embeddings.
 
-Every word and every character 3- to 5-gram of a word (with its ends marked by the space beside
-it) has a learned vector, found by hashing; a text is the average of its vectors, and a softmax
-layer reads it. Vectors and layer are trained together by stochastic gradient descent in numpy on
-at most `sample_rows` labelled texts. One more feature, met where a word repeats the one before
-it, stands for repetition, which no single word shows. As averaging and the layer are linear, a
-trained model needs one number for each hash bucket: how far its vector moves the log odds.
+Every word, every pair of neighbouring words, every character 3- to 5-gram of a word (with its ends
+marked by the space beside it) and every character skip-gram over two neighbouring words (the first
+one, two and three bytes of each) has a learned vector, found by hashing; a text is the average of
+its vectors, and a softmax layer reads it. Vectors and layer are trained together by stochastic
+gradient descent in numpy on at most `sample_rows` labelled texts of at most `sample_bytes` in all.
+As averaging and the layer are linear, a trained model needs one number for each hash bucket: how
+far its vector moves the log odds.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from posegrid.llm import kernels as K
 from posegrid.llm.bpe import _field, _with
 from posegrid.llm.labelled import labelled_sample
 from posegrid.session import ship
 
-SAMPLE_ROWS, BITS, DIM, EPOCHS, RATE = 4_000, 16, 8, 6, 0.5
+SAMPLE_ROWS, SAMPLE_BYTES, BITS, DIM, EPOCHS, RATE = 4_000, 64 << 20, 16, 8, 6, 1.0
 _MIX = (K.mix64(np.arange(5 * 256, dtype=np.uint64) + np.uint64(991)) >> np.uint64(32)).astype(np.uint32).reshape(5, 256)
 _SPACE = ~K._WORD
 
@@ -29,11 +31,17 @@ _SPACE = ~K._WORD
 def buckets(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Bucket and row of every feature of some texts, kind by kind."""
     starts, ends, row = K.split_words(data, offs)
+    top = lambda h: (h >> np.uint64(64 - BITS)).astype(np.int32)
     if len(starts):
         h = K.word_hashes(data, starts, ends)
-        yield (h >> np.uint64(64 - BITS)).astype(np.int32), row
-        same = np.flatnonzero((h[1:] == h[:-1]) & (row[1:] == row[:-1])) + 1
-        yield np.zeros(len(same), np.int32), row[same]
+        yield top(h), row
+        pair = np.flatnonzero(row[1:] == row[:-1])
+        yield top(K.mix64(h[pair] * K.MULT + h[pair + 1])), row[pair]
+        head = np.zeros(len(starts), np.uint64)
+        for n in range(3):  # the first n + 1 bytes of each word, zeros behind a shorter one
+            more = data[np.minimum(starts + n, len(data) - 1)].astype(np.uint64)
+            head = head << np.uint64(8) | np.where(starts + n < ends, more, np.uint64(0))
+            yield top(K.mix64(head[pair] * K.MULT + (head[pair + 1] << np.uint64(2)) + np.uint64(n))), row[pair]
     if not len(data):
         return
     space = _SPACE[data]
@@ -96,12 +104,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.bias + total / np.maximum(count, 1), -40, 40)))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Train on the whole texts of at most sample_rows labelled rows outside the held-out fifth.
+def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Train on the whole texts of at most sample_rows labelled rows outside the held-out fifth, in
+    the order of a hash of the id (rows of one id by text), as long as they are within sample_bytes.
     With no labelled rows, or rows of one class only, every score is the smoothed share of label 1."""
     ship(docs.sparkSession)
-    sample = sorted(labelled_sample(docs, labels, label_col, sample_rows, id_col, text_col).toLocalIterator(), key=lambda r: r.id)
-    return Model([r.text.encode() for r in sample], np.array([r.label for r in sample]))
+    texts, y, size = [], [], 0
+    for r in labelled_sample(docs, labels, label_col, sample_rows, id_col, text_col).orderBy(F.xxhash64("id"), "id", "text").toLocalIterator():
+        text = r.text.encode()
+        size += len(text)
+        if size > sample_bytes:
+            break
+        texts.append(text)
+        y.append(r.label)
+    return Model(texts, np.array(y))
 
 
 def score_quality(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:

@@ -1,13 +1,19 @@
-"""Near copies by the exact Jaccard similarity of shingle sets, on top of SimHash groups.
-
-64 bits can't tell texts that are 0.8 alike from strangers: about 10 bits differ, and so many
-meet by chance. SimHash therefore only joins what is nearly equal, and each of its links is
-verified on the sets. The rest is found by prefixes: with all shingles in one fixed order, two sets
-at least t alike share one of the first n - ceil(t n) + 1 of their n shingles. Texts meet in an
-equality of such shingles, and what meets is verified, so no pair is missed. The order puts
-shingles often seen in a sample last, which keeps buckets small; any order gives the same result.
-
-Equal sets are one class from the start, and pairs already joined are not compared again.
+"""Near copies by the exact Jaccard similarity of shingle sets, on top of SimHash.
+
+64 bits can't tell texts that are 0.8 alike from strangers by 3 bits: about 10 differ. SimHash's
+deletion variants therefore join what is nearly equal, and each of these links is verified on the
+sets. The rest meets by prefixes: with all shingles in one fixed order, two sets at least t alike
+share one of the first n - ceil(t n) + 1 of their n shingles. What meets is compared by a second,
+longer SimHash of 128 bits (at most REACH may differ, where 0.8 alike gives 19.4 +- 4.1; for sets
+under FEW shingles REACH_FEW), and what is left is verified on the sets. So but for a chance of
+about 1e-9 a pair no link is missed. The order puts shingles often seen in a sample last, which
+keeps buckets small; any order gives the same result.
+
+Equal sets are one class from the start, and classes already joined are not compared again. In a
+bucket of more than SMALL classes each is only paired with its nearest in other groups, first one,
+then 4, 16 and so on in further rounds over the buckets that had more, until none has: a group of
+thousands of near copies is joined in one or two rounds without all its pairs. Buckets of more than
+HOT classes are cut into blocks, and each two blocks meet in a task of their own.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ from posegrid.operators.components import connected_components
 from posegrid.session import materialise, ship
 
 SAMPLE, OFTEN, LISTED, SLICE = 2_000, 4, 200_000, 1 << 16
+REACH, REACH_FEW, FEW, SMALL, HOT = 44, 56, 64, 8, 10_000
 
 
 def _sets(column: pa.ChunkedArray, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,6 +50,15 @@ def _names(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(h[a:b].tobytes()) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())), np.uint64, len(offs) - 1).view(np.int64)
 
 
+def _print(h: np.ndarray, of: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """SimHash of each row's set: the bits set in over half of its hashes."""
+    lanes, out = h.view(np.uint8).reshape(-1, 8), np.zeros(len(size), np.uint64)
+    for j in range(8):
+        seen = np.bincount(of * 256 + lanes[:, j], minlength=len(size) * 256).reshape(len(size), 256) @ simhash._BITS
+        out |= ((seen * 2 > size[:, None]) @ (1 << np.arange(8))).astype(np.uint64) << np.uint64(8 * j)
+    return out.view(np.int64)
+
+
 def _prefixes(shingle: int, seed: int, t: float, often: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in K.chunks(batches):
@@ -54,7 +70,8 @@ def _prefixes(shingle: int, seed: int, t: float, often: np.ndarray):
             many = np.where(size > 0, size - np.ceil(t * size - 1e-9).astype(np.int64) + 1, 0)
             keep = np.arange(len(h)) - offs[:-1][of] < many[of]
             keys = pa.LargeListArray.from_arrays(np.concatenate(([0], np.cumsum(many))), pa.array(ranked[keep].view(np.int64))).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_pydict({"id": table["id"].combine_chunks(), "cls": _names(h, offs), "n": size.astype(np.int64), "keys": keys})
+            prints = {"bits": _print(h, of, size), "more": _print(K.mix64(h), of, size)}
+            yield pa.RecordBatch.from_pydict({"id": table["id"].combine_chunks(), "cls": _names(h, offs), "n": size.astype(np.int64), **prints, "keys": keys})
 
     return run
 
@@ -92,59 +109,79 @@ def _alike(shingle: int, seed: int, t: float):
     return run
 
 
-def _meetings(t: float):
-    """Pairs a, b of one key (rows sorted by key and n) in different parts, whose sizes allow t."""
+def _meetings(t: float, nearest: int):
+    """Pairs a, b of one bucket (rows sorted by key, sub and n) in different parts, whose sizes and
+    prints allow t; and the keys of buckets in which a class had more than `nearest` of them."""
 
-    def pairs(n: np.ndarray, cls: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def solve(n: np.ndarray, cls: np.ndarray, part: np.ndarray, bits: np.ndarray, more: np.ndarray) -> tuple[list[tuple], bool]:
+        found: list[tuple] = []
+        if (part == part[0]).all():
+            return found, False
+        m, cut = len(n), False
+        bits, more = bits.view(np.uint64), more.view(np.uint64)  # bits of signed numbers are counted by absolute value
         to = np.searchsorted(n, n / t + 1e-6, "right")
-        for i in range(len(n) - 1):
-            other = np.arange(i + 1, to[i])
+        since = np.searchsorted(n, n * t - 1e-6, "left")
+        for i in range(m):
+            # in a small bucket each pair once; in a large one each class needs its own nearest
+            other = np.arange(i + 1 if m <= SMALL else since[i], to[i])
             other = other[part[other] != part[i]]
-            yield np.full(len(other), cls[i]), cls[other]
+            if not len(other):
+                continue
+            apart = np.bitwise_count(bits[other] ^ bits[i]).astype(np.int64) + np.bitwise_count(more[other] ^ more[i])
+            near = apart <= np.where(np.minimum(n[other], n[i]) >= FEW, REACH, REACH_FEW)
+            other, apart = other[near], apart[near]
+            if m > SMALL and len(other) > nearest:
+                cut = True
+                other = other[np.lexsort((cls[other], apart))[:nearest]]
+            if len(other):
+                found.append((np.full(len(other), cls[i]), cls[other]))
+        return found, cut
+
+    def packed(found: list[tuple[np.ndarray, np.ndarray]], again: list[int]) -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        none = pa.nulls(len(again), pa.int64())
+        cols = {"a": pa.concat_arrays([pa.array(a), none]), "b": pa.concat_arrays([pa.array(b), none]), "key": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(again, pa.int64())])}
+        return pa.RecordBatch.from_pydict(cols)
+
+    def buckets(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, sub, n, cls, part, bits, more = rows
+        at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (sub[1:] != sub[:-1]), [True])))
+        size = np.diff(at)
+        found, again, many = [], [], 0
+        for a, m in zip(at[:-1][size > 1].tolist(), size[size > 1].tolist()):
+            pairs, cut = solve(*(x[a : a + m] for x in (n, cls, part, bits, more)))
+            found += pairs
+            many += sum(len(x) for x, _ in pairs)
+            if cut:
+                again.append(int(key[a]))
+            if many > SLICE:
+                yield packed(found, again)
+                found, again, many = [], [], 0
+        if found or again:
+            yield packed(found, again)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-
-        def solve(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            key, n, cls, part = rows
-            at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-            size = np.diff(at)
-            two = at[:-1][size == 2]
-            two = two[(part[two] != part[two + 1]) & (n[two] >= t * n[two + 1] - 1e-6)]
-            found, many = [(cls[two], cls[two + 1])], len(two)
-            for a, m in zip(at[:-1][size > 2].tolist(), size[size > 2].tolist()):
-                for pair in pairs(n[a : a + m], cls[a : a + m], part[a : a + m]):
-                    found.append(pair)
-                    many += len(pair[0])
-                    if many > SLICE:
-                        yield packed(found)
-                        found, many = [], 0
-            if many:
-                yield packed(found)
-
-        def packed(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            a, b = (np.concatenate(x) for x in zip(*found))
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            return pa.RecordBatch.from_pydict({"a": both[0], "b": both[1]})
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([batch.column(c).to_numpy() for c in range(4)])
-            cut = int(np.searchsorted(rows[0], rows[0, -1], "left"))
-            if held and (cut or held[-1][0, -1] != rows[0, 0]):
-                yield from solve(np.concatenate([*held, rows[:, :cut]], axis=1))
+            rows = np.stack([batch.column(c).to_numpy() for c in range(7)])
+            last = (rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])
+            cut = int(np.argmax(last))
+            if held and (cut or (held[-1][:2, -1] != rows[:2, 0]).any()):
+                yield from buckets(np.concatenate([*held, rows[:, :cut]], axis=1))
                 held = []
             elif cut:
-                yield from solve(rows[:, :cut])
+                yield from buckets(rows[:, :cut])
             held.append(rows[:, cut:])
         if held:
-            yield from solve(np.concatenate(held, axis=1))
+            yield from buckets(np.concatenate(held, axis=1))
 
     return run
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, seed: int = 42, sample: int = SAMPLE) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, seed: int = 42, sample: int = SAMPLE, hot: int = HOT) -> DataFrame:
     """id and component_id: the smallest id reachable over pairs whose sets of shingles have a
     Jaccard similarity of at least `least`, the row's own included, one row per row with an id.
 
@@ -158,30 +195,50 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     some = rows.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("text").mapInArrow(_sampled(shingle, seed), "h long")
     seen = some.groupBy("h").count().where(f"count >= {OFTEN}").orderBy(F.desc("count"), "h").limit(LISTED)
     often = np.sort(np.array([r.h for r in seen.collect()], np.int64).view(np.uint64))
-    own = materialise(rows.mapInArrow(_prefixes(shingle, seed, least, often), "id long, cls long, n long, keys array<long>"), "sets")
-    names = materialise(own.groupBy("cls").agg(F.min("id").alias("least")), "set-classes")
-
+    own = materialise(rows.mapInArrow(_prefixes(shingle, seed, least, often), "id long, cls long, n long, bits long, more long, keys array<long>"), "sets")
+    one = F.first(F.struct("n", "bits", "more", "keys")).alias("x")
+    classes = materialise(own.groupBy("cls").agg(F.min("id").alias("least"), one).select("cls", "least", "x.*"), "set-classes")
+    names = classes.select("cls", "least")
     repeated = own.count() > own.select("id").distinct().count()
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        held = own.select("id", "cls").join(ends, "cls", "left_semi").join(names, "cls").where("id = least").select("id").distinct()
+        held = names.join(ends, "cls", "left_semi").select(F.col("least").alias("id")).distinct()
         texts = rows.join(held, "id", "left_semi").mapInArrow(_named(shingle, seed), "cls long, text string")
         texts = materialise(texts.dropDuplicates(["cls"]) if repeated else texts, "set-texts")
         both = pairs.join(texts.toDF("a", "p"), "a").join(texts.toDF("b", "q"), "b").select("a", "b", "p", "q")
         return materialise(both.mapInArrow(_alike(shingle, seed, least), "src long, dst long"), "set-links")
 
-    # first the groups of SimHash, each member against its group's least
-    near = simhash.near_dedup(rows, "id", "text", shingle, seed).select("id", "component_id").where("id <> component_id")
-    cls = own.select("id", "cls")
-    star = near.join(cls.toDF("id", "a"), "id").join(cls.toDF("component_id", "b"), "component_id").where("a <> b").select("a", "b").distinct()
-    links = verified(materialise(star, "set-star"))
-    parts = connected_components(links).toDF("cls", "part")
+    # first what SimHash's deletion variants link
+    first = classes.groupBy("bits").agg(F.min("cls").alias("rep"))
+    star = classes.join(first, "bits").where("cls <> rep").select(F.col("rep").alias("a"), F.col("cls").alias("b"))
+    near = simhash.hamming_links(first.select("bits"))
+    near = near.join(first.toDF("src", "a"), "src").join(first.toDF("dst", "b"), "dst").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tested = materialise(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(near).distinct(), "set-star")
+    links = verified(tested)
     # then all that meet in a prefix and aren't joined yet
-    keyed = own.join(names, "cls").where("id = least").join(parts, "cls", "left").select(F.explode("keys").alias("key"), "n", "cls", F.coalesce("part", "cls").alias("part"))
-    met = keyed.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_meetings(least), "a long, b long").distinct()
-    links = materialise(links.unionByName(verified(materialise(met, "set-pairs"))), "set-links")
+    nearest, again = 1, None
+    while True:
+        parts = connected_components(links).toDF("cls", "part")
+        keyed = classes.join(parts, "cls", "left").select(F.explode("keys").alias("key"), "n", "cls", F.coalesce("part", "cls").alias("part"), "bits", "more")
+        if again is not None:
+            keyed = keyed.join(again, "key", "left_semi")
+        large = materialise(keyed.groupBy("key").count().where(f"count > {hot}").selectExpr("key", f"cast(ceil(count / {hot}) as int) AS blocks"), "set-hot")
+        if large.isEmpty():
+            keyed = keyed.withColumn("sub", F.lit(0).cast("long"))
+        else:
+            keyed = keyed.join(large, "key", "left").withColumn("own", F.expr("pmod(xxhash64(cls), coalesce(blocks, 1))"))
+            keyed = keyed.withColumn("sub", F.expr("explode(transform(sequence(0, coalesce(blocks, 1) - 1), j -> least(own, j) * coalesce(blocks, 1) + greatest(own, j)))"))
+        dealt = keyed.select("key", "sub", "n", "cls", "part", "bits", "more").repartition("key", "sub").sortWithinPartitions("key", "sub", "n")
+        met = materialise(dealt.mapInArrow(_meetings(least, nearest), "a long, b long, key long").distinct(), "set-pairs")
+        pairs = met.where("key IS NULL").select("a", "b").join(tested, ["a", "b"], "left_anti")
+        again = met.where("key IS NOT NULL").select("key")
+        links = materialise(links.unionByName(verified(materialise(pairs, "set-new"))), "set-links")
+        if again.isEmpty():
+            break
+        tested = tested.unionByName(met.where("key IS NULL").select("a", "b"))
+        nearest *= 4
     parts = connected_components(links).toDF("cls", "part")
     named = names.join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
     named = named.join(named.groupBy("part").agg(F.min("least").alias("component_id")), "part").select("cls", "component_id")
-    return cls.join(named, "cls").select(F.col("id").alias(id_col), "component_id")
+    return own.select("id", "cls").join(named, "cls").select(F.col("id").alias(id_col), "component_id")

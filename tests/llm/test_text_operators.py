@@ -109,13 +109,13 @@ def test_similar_groups_are_those_of_all_pairs(spark):
     tell = [f"w{i}" for i in range(400)]
     rows = []
     for g in range(12):
-        base = [rng.choice(tell) for _ in range(rng.choice([12, 60, 150]))]
-        for k in range(6):
+        base = [rng.choice(tell) for _ in range(rng.choice([12, 60, 150]) if g != 5 else 170)]
+        for k in range(14 if g == 5 else 6):  # one group of more than SMALL
             edited = list(base)
-            for _ in range(k):
+            for _ in range(k if k < 6 else 3):
                 edited[rng.randrange(len(edited))] = "edited"
             rows.append((len(rows), " ".join(edited)))
-    rows += [(200, None), (201, " "), (202, "One two"), (203, "one  TWO"), (204, "two one"), (205, rows[0][1]), (0, rows[30][1]), (None, rows[0][1])]
+    rows += [(i + 200, t) for i, t in [(0, None), (1, " ")]] + [(202, "One two"), (203, "one  TWO"), (204, "two one"), (205, rows[0][1]), (0, rows[-1][1]), (None, rows[0][1])]
     sets = []
     for i, t in rows:
         w = (t or "").lower().split()
@@ -140,8 +140,8 @@ def test_similar_groups_are_those_of_all_pairs(spark):
     want = sorted((i, least[find(a)]) for a, (i, _) in enumerate(sets))
     docs = spark.createDataFrame(rows, DOC)
     assert unequal > 10
-    for sample in (4000, 5):
-        got = sorted((r.doc_id, r.component_id) for r in similar_sets.similar_groups(docs, sample=sample).collect())
+    for sample, hot in ((4000, similar_sets.HOT), (5, 4)):
+        got = sorted((r.doc_id, r.component_id) for r in similar_sets.similar_groups(docs, sample=sample, hot=hot).collect())
         assert got == want
     assert similar_sets.similar_groups(spark.createDataFrame([], DOC)).count() == 0
 
@@ -194,13 +194,57 @@ def test_decontamination(spark):
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(None, "x"), (9, None)], "item_id long, text string")
     found = {(r.doc_id, o.item_id): (o.n_words, o.n_equal) for r in decontamination.find_overlaps(docs, bench).collect() for o in r.overlaps}
     assert found == {(0, 0): (30, 30), (1, 0): (30, 28), (3, 3): (5, 5), (7, 2): (12, 12)}
-    blocks = {(r.doc_id, o.item_id) for r in decontamination.find_overlaps(docs, bench, block_words=20).collect() for o in r.overlaps}
-    assert blocks == set(found)
     clean = decontamination.decontaminate(docs, bench)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {2, 4, 5, 6, 8}
     assert decontamination.decontaminate(docs, bench.where("false")).count() == len(rows)
 
 
+def _overlap(text, item, diagonal, min_words=12, identity=0.8):
+    """Brute force over all pairs of ends."""
+    best = None
+    same = lambda p: 0 <= p + diagonal < len(text) and text[p + diagonal] == item[p]
+    for i in range(len(item)):
+        for j in range(i + min_words - 1, len(item)):
+            if same(i) and same(j) and j + diagonal < len(text):
+                equal = sum(same(p) for p in range(i, j + 1))
+                if 10 * equal >= round(10 * identity) * (j - i + 1) and (best is None or j - i + 1 > best[2]):
+                    best = (i + diagonal, i, j - i + 1, equal)
+    return best
+
+
+def test_longest_overlap_against_all_pairs_of_ends():
+    import numpy as np
+
+    rng = random.Random(12)
+    for _ in range(300):
+        text, item = ([rng.randrange(2) for _ in range(rng.randrange(12, 40))] for _ in range(2))
+        diagonal = rng.randrange(-10, 10)
+        assert decontamination.longest_overlap(np.array(text), np.array(item), diagonal) == _overlap(text, item, diagonal)
+
+
+def test_decontamination_recall_and_long_texts(spark):
+    """Overlaps of 12 to 60 words with a fifth substituted, one word 20,000 times, one seed in every text."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    items = [" ".join(word() for _ in range(n)) for n in range(12, 61)] + ["same " * 40]
+    rows = []
+    for k, item in enumerate(items[:-1]):
+        for _ in range(4):
+            w = item.split()
+            for p in rng.sample(range(1, len(w) - 1), len(w) // 5):
+                w[p] = word()
+            rows.append((len(rows), f"{word()} {items[0]} {' '.join(w)} {word()}", k))
+    long = [(1000, "same " * 20_000, 49), (1001, "same " * 20_000, 49), (1002, " ".join(word() for _ in range(20_000)) + " " + items[5], 5)]
+    docs = spark.createDataFrame([r[:2] for r in rows + long], DOC)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: {o.item_id: o for o in r.overlaps} for r in decontamination.find_overlaps(docs, bench).collect()}
+    for i, text, k in rows:
+        want = _overlap(text.split(), items[k].split(), 13)
+        assert 0 in got[i] and (k in got[i]) == (want is not None), (i, k)
+    assert got[1000] == got[1001] and got[1000][49].n_words == 40 and got[1002][5].n_words == 17
+    assert decontamination.decontaminate(docs, bench.where("false")).count() == docs.count()
+
+
 def test_seed_masks_miss_no_two_substitutions():
     from itertools import combinations
 
@@ -304,6 +348,35 @@ def test_pii_discovers_by_context(spark):
     assert pii.find_pii(docs.where("false")).count() == 0
 
 
+def test_pii_accepted_instances_seed_new_patterns(spark):
+    """Eight numbers found by the first context stand in a second one, which finds three more."""
+    seen = [(i, f"contact the desk at phone number +1 (5{i:02d}) 55{i % 10}-{1000 + i} today please") for i in range(30)]
+    found = [f"55{i}-{2000 + i}" for i in range(8)]
+    rows = seen + [(100 + i, f"so contact the desk at phone number {v} today please") for i, v in enumerate(found)]
+    rows += [(200 + i, f"then we rang up {v} without luck") for i, v in enumerate(found)]
+    rows += [(300 + i, f"then we rang up 77{i}-{3000 + i} without luck") for i in range(3)] + [(400, "he counted 775-3009 of them")]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find_pii(spark.createDataFrame(rows, DOC)).collect()}
+    assert all(got[i] == [(16, 3, 24)] for i in (*range(200, 208), *range(300, 303))) and got[400] == []
+
+
+def test_pii_contexts_of_spans_within_tokens(spark):
+    rows = spark.createDataFrame([(1, "one two (a@b.c) three", 5), (2, "x 4111 1111 1111 1111, y9", 6)], "id long, text string, h long").withColumn("spans", pii.base_spans("text"))
+    got = {(r.id, r.value): list(r.patterns) for r in pii._candidates(rows).collect()}
+    assert got == {(1, "a@b.c"): ["l two (", "b ( _ )"], (2, "4111 1111 1111 1111"): ["l  x", "b x _ ,"], (2, "y9"): ["l 0 0,", "b 0, _ "]}
+
+
+def test_pii_long_texts_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        text = " ".join(f"{i} a{i}@b.c" for i in range(n // 2))
+        began = time.time()
+        assert len(pii.find_pii(spark.createDataFrame([(1, text)], DOC)).first().base) == n // 2
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0] + 5
+
+
 def _labelled(spark, marked, plain, column):
     rows = [(i, marked(i), 1) if i % 4 == 0 else (i, plain(i), 0) for i in range(400)] + [(900, None, 0), (901, "", 0)]
     docs = spark.createDataFrame([r[:2] for r in rows], DOC)
