@@ -1,8 +1,8 @@
 """Document fingerprints by order MinHash.
 
 A text's k-mers are runs of `k` code points, each numbered by how often it came before. For each
-of `size` hash functions the `PICK` k-mers with the least values are selected, put back into text
-order, and hashed as a tuple: two texts share a signature entry only if they share these k-mers
+of `size` hash functions the `PICK` k-mers with the least values are selected (the earlier of two
+with one 32-bit value), put back into text order, and hashed as a tuple: two texts share a signature entry only if they share these k-mers
 in the same order, so likeness follows edit distance, not only common content.
 """
 
@@ -20,7 +20,7 @@ from posegrid.llm import kernels as K
 from posegrid.llm.bpe import _field, _with
 from posegrid.session import ship
 
-MER, SIZE, PICK = 8, 64, 2
+MER, SIZE, PICK, RANGES = 8, 64, 2, 8
 U = np.uint64
 _SALT = K.mix64(np.arange(2 * SIZE, dtype=U) + U(4242))
 _XOR, _MUL = (_SALT[:SIZE] >> U(32)).astype(np.uint32), (_SALT[SIZE:] >> U(32)).astype(np.uint32) | np.uint32(1)
@@ -98,25 +98,30 @@ def order_minhash(docs: DataFrame, text_col: str = "text", out_col: str = "finge
 
 
 def _neighbours(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
-    """Rows key, id, text, part, extra, dealt by ranges of the id. Each range ends with an extra
-    row, a copy of the row that follows its last one (after the last of all, the first)."""
+    """Rows part, key, id, text, extra, dealt by ranges of the id, RANGES of them for each of `parts`
+    partitions. Each range ends with an extra row, a copy of the row that follows its last one
+    (after the last of all, the first). The driver sees two numbers for each range."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce("id", F.lit(-(2**63))))
-    cuts = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    part = F.lit(0)
-    for c in cuts[:-1]:
-        part = part + (F.col("key") > F.lit(c)).cast("int")
-    rows = rows.withColumn("part", part)
-    # at most `parts` rows: where each range begins
-    begins = sorted((r.part, r.key) for r in rows.groupBy("part").agg(F.min("key").alias("key")).collect())
+    many = parts * RANGES
+    cuts = rows.agg(F.percentile_approx("key", [i / many for i in range(1, many)] or [0.5], max(10_000, 4 * many))).first()[0] or []
+    shared = spark.sparkContext.broadcast(np.unique(np.array(cuts, np.int64)))
+
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = np.searchsorted(shared.value, batch["key"].to_numpy(), "left").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], [*batch.schema.names, "part"])
+
+    firsts = rows.select("key").mapInArrow(ranged, "key long, part int").groupBy("part").agg(F.min("key").alias("key"))
+    begins = sorted((r.part, r.key) for r in firsts.collect())
     follows = [(p, k) for (p, _), (_, k) in zip(begins, begins[1:] + begins[:1])]
-    spark = docs.sparkSession
     after = spark.createDataFrame(follows, "part int, key long")
-    firsts = rows.drop("part").join(F.broadcast(after), "key").groupBy("part", "key").agg(F.min("text").alias("text"))
-    extra = firsts.select(F.lit(None).cast("long").alias("id"), "text", "key", "part", F.lit(1).alias("extra"))
-    both = rows.withColumn("extra", F.lit(0)).unionByName(extra)
-    return both.repartition(parts, "part").sortWithinPartitions("part", "extra", "key", "text")
+    heads = rows.join(F.broadcast(after), "key").groupBy("part", "key").agg(F.min("text").alias("text"))
+    extra = heads.select("part", "key", F.lit(None).cast("long").alias("id"), "text", F.lit(1).alias("extra"))
+    dealt = rows.select("id", "text", "key").mapInArrow(ranged, "id long, text string, key long, part int").select("part", "key", "id", "text", F.lit(0).alias("extra"))
+    # whole ranges, in order: hashing their numbers would give some tasks several and others none
+    return dealt.unionByName(extra).repartitionByRange(parts, "part").sortWithinPartitions("part", "extra", "key", "text")
 
 
 def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = MER) -> DataFrame:
@@ -128,8 +133,7 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near_next, one row per input row. A lone row is its own next. Null texts are read as empty.
     """
     ship(docs.sparkSession)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, min(1000, parts))
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row before: part, id, text, signature

@@ -10,8 +10,8 @@ about 1e-9 a pair no link is missed. The order puts shingles often seen in a sam
 keeps buckets small; any order gives the same result.
 
 Equal sets are one class from the start, and classes already joined are not compared again. In a
-bucket of more than SMALL classes each is only paired with its nearest in other groups, first one,
-then 4, 16 and so on in further rounds over the buckets that had more, until none has: a group of
+bucket of more than SMALL classes each is only paired with its nearest in other groups, first four,
+then 32, 256 and so on in further rounds over the buckets that had more, until none has: a group of
 thousands of near copies is joined in one or two rounds without all its pairs. Buckets of more than
 HOT classes are cut into blocks, and each two blocks meet in a task of their own.
 """
@@ -217,7 +217,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tested = materialise(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(near).distinct(), "set-star")
     links = verified(tested)
     # then all that meet in a prefix and aren't joined yet
-    nearest, again = 1, None
+    nearest, again = 4, None
     while True:
         parts = connected_components(links).toDF("cls", "part")
         keyed = classes.join(parts, "cls", "left").select(F.explode("keys").alias("key"), "n", "cls", F.coalesce("part", "cls").alias("part"), "bits", "more")
@@ -237,7 +237,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if again.isEmpty():
             break
         tested = tested.unionByName(met.where("key IS NULL").select("a", "b"))
-        nearest *= 4
+        nearest *= 8
     parts = connected_components(links).toDF("cls", "part")
     named = names.join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
     named = named.join(named.groupBy("part").agg(F.min("least").alias("component_id")), "part").select("cls", "component_id")

@@ -1,12 +1,15 @@
 """URL filters by a path-template tree. Built of DataFrame functions only.
 
 Under each host, paths form a tree of segments. Variable segments (with digits, or long) become
-wildcards, and so do rare children of a node with many; what is left are templates. Templates are
-labelled by the URLs that rules judge. A labelled branch whose share of blocked URLs does not
-differ from that of the host's other branches by more than chance is merged with them. A branch's
-share is smoothed towards that of its template over all domains, where each domain has one vote,
-so one large site does not decide for others. Templates with a smoothed share of at least
-`reject` are blocked.
+wildcards. Then, level by level from the top, the children of each node are compared: a child's
+evidence is its URLs that rules judge, and one vote of each domain that has judged URLs under the
+same path; a child whose share of blocked ones doesn't differ from that of its siblings by more
+than two standard errors becomes a wildcard too, as does one without evidence and a rare child of a
+node with many. The children of merged siblings are pooled before the next level is compared, so
+branches merge at inner nodes as well. What is left are templates. A template's share of blocked
+URLs on its host is smoothed towards that of the URL's own path over all domains, where each domain
+has one vote, so one large site does not decide for others. Templates with a smoothed share of at
+least `reject` are blocked.
 """
 
 from __future__ import annotations
@@ -14,8 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from posegrid.session import materialise
+
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DEPTH, SMOOTH, REJECT, MANY, RARE = 4, 2.0, 0.7, 50, 3
+DEPTH, SMOOTH, REJECT, MANY, RARE = 6, 2.0, 0.7, 50, 3
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -37,47 +42,83 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return (none, none) if name is None else (name, verdict)
 
 
-def template_of(path: Column, depth: int = DEPTH) -> Column:
-    """The path's first segments with variable ones as *, deeper ones as one *."""
+def segments_of(path: Column, depth: int = DEPTH) -> Column:
+    """The path's segments, lower-cased, with variable ones as *, and all beyond depth as one *."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
     shaped = F.transform(F.slice(segments, 1, depth), lambda s: F.when(s.rlike("[0-9]") | (F.length(s) > 24), F.lit("*")).otherwise(F.lower(s)))
-    return F.concat(F.lit("/"), F.array_join(shaped, "/"), F.when(F.size(segments) > depth, F.lit("/*")).otherwise(F.lit("")))
+    return F.concat(shaped, F.when(F.size(segments) > depth, F.array(F.lit("*"))).otherwise(F.array().cast("array<string>")))
+
+
+def _grown(leaves: DataFrame, depth: int) -> DataFrame:
+    """leaves (host, domain, segs, n, bad, known) with template, the tree merged down to depth."""
+    cur = leaves.withColumn("template", F.lit(""))
+    for level in range(1, depth + 1):
+        at = cur.withColumn("seg", F.get("segs", F.lit(level - 1))).withColumn("path", F.array_join(F.slice("segs", 1, level), "/"))
+        here = at.where("seg IS NOT NULL")
+        votes = here.groupBy("domain", "path").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known")).where("known > 0")
+        votes = votes.groupBy("path").agg(F.round(F.sum(F.col("bad") / F.col("known")), 9).alias("votes"), F.count("*").alias("voters"))
+        own = here.groupBy("host", "template", "seg", "path").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("known").alias("known")).join(votes, "path", "left")
+        child = own.groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.round(F.sum("bad") + F.sum(F.coalesce("votes", F.lit(0.0))), 6).alias("bad"), (F.sum("known") + F.sum(F.coalesce("voters", F.lit(0)))).alias("known"))
+        parent = child.groupBy("host", "template").agg(F.count("*").alias("children"), F.round(F.sum("bad"), 6).alias("all_bad"), F.sum("known").alias("all_known"))
+        both = child.join(parent, ["host", "template"])
+        share = (F.col("all_bad") + 1.0) / (F.col("all_known") + 2.0)
+        mine, rest = F.nullif(F.col("known"), F.lit(0)), F.nullif(F.col("all_known") - F.col("known"), F.lit(0))
+        apart = F.col("bad") / mine - (F.col("all_bad") - F.col("bad")) / rest
+        alike = F.coalesce(apart * apart <= 4.0 * share * (1.0 - share) * (1.0 / mine + 1.0 / rest), F.lit(True))
+        rare = (F.col("children") > MANY) & (F.col("n") <= RARE)
+        named = both.select("host", "template", "seg", F.when((F.col("children") > 1) & (alike | rare), F.lit("*")).otherwise(F.col("seg")).alias("to"))
+        below = here.join(named, ["host", "template", "seg"]).withColumn("template", F.concat("template", F.lit("/"), "to"))
+        cur = materialise(below.select(cur.columns).unionByName(at.where("seg IS NULL").select(cur.columns)), "url-tree")
+    return cur
 
 
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, smooth: float = SMOOTH, reject: float = REJECT) -> DataFrame:
+def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, smooth: float = SMOOTH, reject: float = REJECT, depth: int = DEPTH) -> DataFrame:
     """id, host, path, rule, template, blocked_share and verdict for every row.
 
     The verdict is the rule's, else block where the template's smoothed share of blocked URLs is
-    at least `reject`, else allow. Null URLs and URLs without :// have empty host and path and
-    the template /. Repeated rows count as often as they come. Empty tables give empty results;
-    columns other than the two named are not read.
+    at least `reject`, else allow. The tree has `depth` levels and one more wildcard for all that is
+    deeper. Null URLs and URLs without :// have empty host and path and the template /. Repeated
+    rows count as often as they come. Empty tables give empty results; columns other than the two
+    named are not read.
     """
     host, path = split_url(F.coalesce(F.col(url_col), F.lit("")))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     name, said = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", name).withColumn("said", said).withColumn("shape", template_of(F.col("path")))
-    rows = rows.withColumn("node", F.regexp_replace("shape", "[^/]*$", ""))
-    leaves = rows.groupBy("host", "node", "shape").agg(F.count("*").alias("n"), F.count(F.when(F.col("said") == "block", 1)).alias("bad"), F.count("said").alias("known"))
-    nodes = leaves.groupBy("host", "node").agg(F.count("*").alias("children"))
-    wide = leaves.join(nodes, ["host", "node"]).withColumn("template", F.when((F.col("children") > MANY) & (F.col("n") <= RARE), F.concat("node", F.lit("*"))).otherwise(F.col("shape")))
-    own = wide.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known"))
-    # a labelled branch is merged with the host's others where their shares differ by less than two standard errors
-    hosts = own.groupBy("host").agg(F.sum("bad").alias("all_bad"), F.sum("known").alias("all_known"))
-    pooled = own.join(hosts, "host").withColumn("rest", F.col("all_known") - F.col("known"))
-    share = (F.col("all_bad") + 1.0) / (F.col("all_known") + 2.0)
-    known, rest = F.nullif(F.col("known"), F.lit(0)), F.nullif(F.col("rest"), F.lit(0))
-    apart = F.col("bad") / known - (F.col("all_bad") - F.col("bad")) / rest
-    alike = (F.col("known") > 0) & (F.col("rest") > 0) & (apart * apart <= 4.0 * share * (1.0 - share) * (1.0 / known + 1.0 / rest))
-    pooled = pooled.withColumn("used_bad", F.when(alike, F.col("all_bad")).otherwise(F.col("bad"))).withColumn("used", F.when(alike, F.col("all_known")).otherwise(F.col("known")))
-    domain = F.regexp_extract("host", "([^.]*\\.?[^.]*)$", 1)
-    votes = own.where("known > 0").groupBy(domain.alias("domain"), "template").agg((F.sum("bad") / F.sum("known")).alias("vote"))
-    votes = votes.groupBy("template").agg(F.sum("vote").alias("votes"), F.count("*").alias("voters"))
+    rows = rows.withColumn("rule", name).withColumn("said", said).withColumn("segs", segments_of(F.col("path"), depth))
+    leaves = rows.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count(F.when(F.col("said") == "block", 1)).alias("bad"), F.count("said").alias("known"))
+    leaves = materialise(leaves.withColumn("domain", F.regexp_extract("host", "([^.]*\\.?[^.]*)$", 1)), "url-leaves")
+    deepest = leaves.agg(F.max(F.size("segs"))).first()[0] or 0  # at most depth + 1
+    tree = _grown(leaves, deepest)
+    own = tree.groupBy("host", "template").agg(F.sum("bad").alias("used_bad"), F.sum("known").alias("used"))
+    votes = leaves.where("known > 0").groupBy("domain", "segs").agg((F.sum("bad") / F.sum("known")).alias("vote"))
+    votes = votes.groupBy("segs").agg(F.round(F.sum("vote"), 9).alias("votes"), F.count("*").alias("voters"))
     prior = (F.coalesce("votes", F.lit(0.0)) + smooth * 0.5) / (F.coalesce("voters", F.lit(0)) + smooth)
-    judged = pooled.join(votes, "template", "left").withColumn("blocked_share", F.round((F.col("used_bad") + smooth * prior) / (F.col("used") + smooth), 9))
-    judged = wide.select("host", "shape", "template").join(judged.select("host", "template", "blocked_share"), ["host", "template"])
-    out = rows.join(judged, ["host", "shape"])
+    judged = tree.select("host", "segs", "template").join(own, ["host", "template"]).join(votes, "segs", "left")
+    judged = judged.select("host", "segs", "template", F.round((F.col("used_bad") + smooth * prior) / (F.col("used") + smooth), 9).alias("blocked_share"))
+    out = rows.join(judged, ["host", "segs"])
     verdict = F.coalesce("said", F.when(F.col("blocked_share") >= reject, F.lit("block")).otherwise(F.lit("allow")))
-    return out.select(F.col("page_id").alias(id_col), "host", "path", "rule", "template", "blocked_share", verdict.alias("verdict"))
+    template = F.when(F.col("template") == "", F.lit("/")).otherwise(F.col("template"))
+    return out.select(F.col("page_id").alias(id_col), "host", "path", "rule", template.alias("template"), "blocked_share", verdict.alias("verdict"))
+
+
+def _level(k: int) -> str:
+    """SQL of one level of the tree: t{k} from t{k - 1}."""
+    return f"""
+at{k} AS (SELECT *, segs[{k}] AS seg, array_to_string(segs[1:{k}], '/') AS path FROM t{k - 1}),
+votes{k} AS (
+  SELECT path, round(sum(bad / known), 9) AS votes, count(*) AS voters FROM (
+    SELECT domain, path, sum(bad)::DOUBLE AS bad, sum(known)::DOUBLE AS known FROM at{k} WHERE seg IS NOT NULL GROUP BY ALL HAVING sum(known) > 0) GROUP BY ALL),
+child{k} AS (
+  SELECT host, template, seg, sum(n) AS n, round(sum(bad)::DOUBLE + sum(coalesce(votes, 0)), 6) AS bad, (sum(known) + sum(coalesce(voters, 0)))::DOUBLE AS known FROM (
+    SELECT host, template, seg, path, sum(n) AS n, sum(bad) AS bad, sum(known) AS known FROM at{k} WHERE seg IS NOT NULL GROUP BY ALL) LEFT JOIN votes{k} USING (path) GROUP BY ALL),
+parent{k} AS (SELECT host, template, count(*) AS children, round(sum(bad), 6) AS all_bad, sum(known) AS all_known FROM child{k} GROUP BY ALL),
+named{k} AS (
+  SELECT host, template, seg, CASE WHEN children > 1 AND (coalesce(
+    pow(bad / nullif(known, 0) - (all_bad - bad) / nullif(all_known - known, 0), 2) <= 4.0 * ((all_bad + 1.0) / (all_known + 2.0)) * (1.0 - (all_bad + 1.0) / (all_known + 2.0)) * (1.0 / nullif(known, 0) + 1.0 / nullif(all_known - known, 0)), true)
+    OR children > {MANY} AND n <= {RARE}) THEN '*' ELSE seg END AS to_ FROM child{k} JOIN parent{k} USING (host, template)),
+t{k} AS (
+  SELECT a.host, a.domain, a.segs, a.n, a.bad, a.known, a.template || '/' || m.to_ AS template FROM at{k} a JOIN named{k} m ON a.host = m.host AND a.template = m.template AND a.seg = m.seg
+  UNION ALL SELECT host, domain, segs, n, bad, known, template FROM at{k} WHERE seg IS NULL),"""
 
 
 #: The same in DuckDB's SQL, for the default rules and numbers.
@@ -91,25 +132,20 @@ ruled AS (
                  WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
                  WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
                  WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
-         list_filter(string_split(path, '/'), lambda s: s <> '') AS segs FROM parts),
-shaped AS (
+         list_filter(string_split(path, '/'), lambda s: s <> '') AS raw FROM parts),
+rows_ AS (
   SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS said,
-         '/' || array_to_string(list_transform(segs[1:{DEPTH}], lambda s: CASE WHEN regexp_matches(s, '[0-9]') OR length(s) > 24 THEN '*' ELSE lower(s) END), '/') || CASE WHEN len(segs) > {DEPTH} THEN '/*' ELSE '' END AS shape FROM ruled),
-rows_ AS (SELECT *, regexp_replace(shape, '[^/]*$', '') AS node FROM shaped),
-leaves AS (SELECT host, node, shape, count(*) AS n, count(CASE WHEN said = 'block' THEN 1 END) AS bad, count(said) AS known FROM rows_ GROUP BY ALL),
-nodes AS (SELECT host, node, count(*) AS children FROM leaves GROUP BY ALL),
-wide AS (SELECT l.*, CASE WHEN children > {MANY} AND n <= {RARE} THEN node || '*' ELSE shape END AS template FROM leaves l JOIN nodes USING (host, node)),
-own AS (SELECT host, template, sum(bad)::BIGINT AS bad, sum(known)::BIGINT AS known FROM wide GROUP BY ALL),
-hosts AS (SELECT host, sum(bad)::BIGINT AS all_bad, sum(known)::BIGINT AS all_known FROM own GROUP BY ALL),
-pooled AS (
-  SELECT o.*, all_bad, all_known, known > 0 AND all_known > known AND
-         pow(bad::DOUBLE / nullif(known, 0) - (all_bad - bad)::DOUBLE / nullif(all_known - known, 0), 2) <= 4.0 * ((all_bad + 1.0) / (all_known + 2.0)) * (1.0 - (all_bad + 1.0) / (all_known + 2.0)) * (1.0 / nullif(known, 0) + 1.0 / nullif(all_known - known, 0)) AS alike
-  FROM own o JOIN hosts USING (host)),
-domains AS (SELECT regexp_extract(host, '([^.]*\\.?[^.]*)$', 1) AS domain, template, sum(bad)::DOUBLE / sum(known) AS vote FROM own WHERE known > 0 GROUP BY ALL),
-votes AS (SELECT template, sum(vote) AS votes, count(*) AS voters FROM domains GROUP BY ALL),
+         list_concat(list_transform(raw[1:{DEPTH}], lambda s: CASE WHEN regexp_matches(s, '[0-9]') OR length(s) > 24 THEN '*' ELSE lower(s) END), CASE WHEN len(raw) > {DEPTH} THEN ['*'] ELSE [] END) AS segs FROM ruled),
+leaves AS (
+  SELECT host, regexp_extract(host, '([^.]*\\.?[^.]*)$', 1) AS domain, segs, count(*) AS n, count(CASE WHEN said = 'block' THEN 1 END) AS bad, count(said) AS known FROM rows_ GROUP BY ALL),
+t0 AS (SELECT *, '' AS template FROM leaves),{"".join(_level(k) for k in range(1, DEPTH + 2))}
+own AS (SELECT host, template, sum(bad) AS used_bad, sum(known) AS used FROM t{DEPTH + 1} GROUP BY ALL),
+votes AS (
+  SELECT segs, round(sum(vote), 9) AS votes, count(*) AS voters FROM (
+    SELECT domain, segs, sum(bad)::DOUBLE / sum(known) AS vote FROM leaves WHERE known > 0 GROUP BY ALL) GROUP BY ALL),
 judged AS (
-  SELECT p.host, p.template, round(((CASE WHEN alike THEN all_bad ELSE bad END) + {SMOOTH} * (coalesce(votes, 0.0) + {SMOOTH} * 0.5) / (coalesce(voters, 0) + {SMOOTH})) / ((CASE WHEN alike THEN all_known ELSE known END) + {SMOOTH}), 9) AS share
-  FROM pooled p LEFT JOIN votes v ON p.template = v.template)
+  SELECT t.host, t.segs, round((used_bad + {SMOOTH} * (coalesce(votes, 0.0) + {SMOOTH} * 0.5) / (coalesce(voters, 0) + {SMOOTH})) / (used + {SMOOTH}), 9) AS share
+  FROM t{DEPTH + 1} t JOIN own o ON t.host = o.host AND t.template = o.template LEFT JOIN votes v ON t.segs = v.segs)
 SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.said, CASE WHEN j.share >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict
-FROM rows_ r JOIN wide w ON r.host = w.host AND r.shape = w.shape JOIN judged j ON w.host = j.host AND w.template = j.template
+FROM rows_ r JOIN judged j ON r.host = j.host AND r.segs = j.segs
 """

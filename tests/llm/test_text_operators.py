@@ -275,6 +275,49 @@ def test_licenses(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_order_minhash_signature_against_a_plain_version():
+    import numpy as np
+
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        for shift, mult in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = (x ^ x >> shift) * mult & mask
+        return x
+
+    def plain(text, k=8):
+        cs = [mix(ord(c)) for c in text]
+        if not cs:
+            return [0] * order_minhash.SIZE
+        mult = 0x9E3779B97F4A7C15 | 5
+        mers = []
+        for a in range(max(1, len(cs) - k + 1)):
+            acc = 0 if len(cs) >= k else len(cs)
+            for c in cs[a : a + k]:
+                acc = (acc * mult + c) & mask
+            mers.append(acc)
+        bits = max(1, (len(mers) - 1).bit_length())
+        seen, named = {}, []
+        for m in mers:
+            n = seen[m >> bits] = seen.get(m >> bits, -1) + 1
+            named.append(mix((m + n * 0xD1B54A32D192ED03) & mask))
+        out = []
+        salt = [mix(4242 + i) for i in range(2 * order_minhash.SIZE)]
+        for j in range(order_minhash.SIZE):
+            x, m = salt[j] >> 32, salt[order_minhash.SIZE + j] >> 32 | 1
+            best = sorted(range(len(named)), key=lambda i: (((named[i] >> 32) ^ x) * m & 0xFFFFFFFF, i))[: order_minhash.PICK]
+            acc = 7
+            for i in sorted(best):
+                acc = mix((acc * mult + named[i]) & mask)
+            out.append(acc >> 48)
+        return out
+
+    rng = random.Random(21)
+    for text in ["", "a", "short", "aaaaaaaaaaaaaaaaaaaa", "é漢🙂" * 9] + ["".join(rng.choice("ab c") for _ in range(rng.randrange(5, 300))) for _ in range(40)]:
+        assert order_minhash.signature(text).tolist() == plain(text), text
+    assert order_minhash.signature("ab" * 50).dtype == np.uint16
+
+
 def test_order_minhash(spark):
     rows = [(5, "abcdefghijklmnop" * 20), (1, "the quick brown fox jumps over the lazy dog " * 9), (9, ""), (7, None), (3, "é漢" * 50), (None, "first of all"), (1, "a repeated id, later by text")]
     got = order_minhash.edit_probe(spark.createDataFrame(rows, DOC)).collect()
@@ -297,17 +340,32 @@ def test_order_minhash(spark):
 
 def test_url_filter(spark):
     urls = ["https://A.Example.net/en/1", "http://x.example.net/fr/2", "https://b.example.com/de/3?x", "https://c.example.org/fr/4#t", "https://c.example.org/de/5", "https://b.example.com/en/6", None, "no scheme", "://only", "http://net/x", "https://d.example.net", "http://x.example.net/de/9"]
+    urls += [f"https://c.example.org/fr/{k}" for k in range(10)]  # enough to tell /de/ there from /fr/
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("host", F.lit("clash"))
     got = {r.page_id: r for r in url_filter.filter_urls(pages).collect()}
     assert len(got) == len(urls)
     assert [got[i].rule for i in range(11)] == ["example.net/en/", "net/", "example.com/de/", "org/fr/", None, None, None, None, None, "net/", None]
     assert [got[i].verdict for i in (0, 1, 2, 3, 9)] == ["allow", "block", "block", "allow", "block"]
     assert (got[0].host, got[0].path) == ("a.example.net", "/en/1") and (got[6].host, got[6].path) == ("", "") and (got[8].host, got[8].path) == ("only", "")
-    # two domains block /de/*, so a third one's pages of that template are rejected; one domain is not enough for /fr/*
+    # two domains block /de/*, so a third one's pages of that path are rejected; one domain is not enough for /en/*
     assert got[4].verdict == "block" and got[5].verdict == "allow"
     assert url_filter.filter_urls(pages.where("false")).count() == 0
 
 
+def test_url_tree_merges_at_inner_nodes(spark):
+    rules = (("block", "a.com", "/shop/old/"), ("block", "a.com", "/shop/away/"), ("allow", "a.com", "/news/"))
+    paths = {"old": 30, "away": 30, "spam": 5}
+    urls = [f"http://a.com/shop/{seg}/x{k}" for seg, n in paths.items() for k in range(n)]
+    urls += [f"http://a.com/news/{seg}/{k}" for seg in ("home", "world") for k in range(30)] + ["http://a.com/news/" + "deep/" * 3_000, "http://a.com/shop/" + "y" * 90_000]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.path: r for r in url_filter.filter_urls(pages, rules=rules).collect()}
+    assert len(got) == len(urls)
+    # shop and news differ and stay; below shop the labelled branches merge, and the unlabelled one goes with them
+    assert got["/shop/old/x1"].template == got["/shop/spam/x1"].template == "/shop/*/*"
+    assert got["/shop/spam/x1"].rule is None and got["/shop/spam/x1"].verdict == "block" and got["/shop/" + "y" * 90_000].verdict == "block"
+    assert got["/news/home/3"].verdict == "allow" and got["/news/home/3"].template.startswith("/news/")
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
