@@ -21,12 +21,12 @@ def pinhole(u: Column, v: Column, d: Column, fx: float, fy: float, cx: float, cy
 def equirect(u: Column, v: Column, d: Column, width: int, height: int, convention: str = "lonlat", offset: float = 0.0) -> Vec:
     """Panorama pixels to camera space. lonlat: x = d cos lat sin lon, y = d cos lat cos lon,
     z = d sin lat. thetaphi: polar angle from +y down, with a heading offset. yawpitch: y down, z ahead."""
-    lon = (u + 0.5) / width * (2 * math.pi) - math.pi
-    lat = F.lit(math.pi / 2) - (v + 0.5) / height * math.pi
+    lon = u / width * (2 * math.pi) - math.pi
+    lat = F.lit(math.pi / 2) - v / height * math.pi
     if convention == "lonlat":
         return d * F.cos(lat) * F.sin(lon), d * F.cos(lat) * F.cos(lon), d * F.sin(lat)
     if convention == "thetaphi":
-        theta, phi = lon + offset, (v + 0.5) / height * math.pi
+        theta, phi = lon + offset, v / height * math.pi
         return d * F.sin(phi) * F.sin(theta), d * F.cos(phi), -d * F.sin(phi) * F.cos(theta)
     if convention == "yawpitch":
         return d * F.cos(lat) * F.sin(lon), -d * F.sin(lat), d * F.cos(lat) * F.cos(lon)

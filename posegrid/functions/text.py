@@ -98,6 +98,16 @@ def parse_descriptor(col: Column) -> tuple[Column, Column, Column]:
     return name, opts, F.forall(F.map_keys(opts), lambda k: k.isin("root", "extra", "split"))
 
 
-#: Fixed groups of object classes by first letters, as the vocabulary's two groups.
-def class_group(cls: Column) -> Column:
-    return F.when(cls.isin("STANDARD", "SMALL", "MEDIUM"), "manipulation").otherwise("other")
+#: Classes of objects that can be handled.
+MANIPULATION = (
+    "doorknob", "door handle", "drawer pull", "light switch", "power outlet", "faucet", "thermostat", "soap", "soap dispenser", "toothbrush", "toothpaste", "shampoo",
+    "toilet paper", "tissue", "sponge", "plunger", "plate", "bowl", "cup", "mug", "glass", "wine glass", "bottle", "jug", "pitcher", "pot", "pan", "skillet", "tray",
+    "cutting board", "knife", "fork", "spoon", "spatula", "whisk", "can opener", "saltshaker", "pepper shaker", "napkin", "laptop", "tablet", "keyboard", "mouse",
+    "telephone", "camera", "router", "speaker", "clock", "book", "notebook", "folder", "binder", "pen", "pencil", "marker", "eraser", "scissors", "stapler", "tape",
+    "wallet", "keys", "glasses", "shoe", "boot", "sneaker", "slipper", "sock", "hat", "cap", "glove", "scarf", "tie", "belt", "box", "carton", "basket", "bag", "handbag", "purse",
+)
+
+
+def class_group(cls: Column, manipulation: tuple[str, ...] = MANIPULATION) -> Column:
+    """manipulation for classes that can be handled, else other; null for null."""
+    return F.when(cls.isin(*manipulation), "manipulation").when(cls.isNotNull(), "other")

@@ -63,20 +63,23 @@ def geodesic(arcs: DataFrame, sources: DataFrame, limit: float, max_rounds: int
     raise RuntimeError("no fixed point within max_rounds")
 
 
-def trace_paths(tree: DataFrame, goals: DataFrame, max_steps: int = 2000) -> DataFrame:
+def trace_paths(tree: DataFrame, goals: DataFrame) -> DataFrame:
     """scene, source, goal, i, node: nodes from each goal back to its source (i from 0 at the goal),
-    of goals (scene, source, goal) that the tree reaches; others have no rows."""
-    tree = materialise(tree.select("scene", "source", "node", "via"), "tree")
-    at = goals.join(tree, (goals["scene"] == tree["scene"]) & (goals["source"] == tree["source"]) & (goals["goal"] == tree["node"])).select(goals["scene"], goals["source"], "goal", "node", "via", F.lit(0).alias("i"))
-    done, front = None, materialise(at, "trace")
-    done = front
-    for i in range(1, max_steps):
-        back = front.where("via IS NOT NULL").select("scene", "source", "goal", F.col("via").alias("node")).join(tree, ["scene", "source", "node"]).select("scene", "source", "goal", "node", "via", F.lit(i).alias("i"))
-        front = materialise(back, "trace")
-        if front.isEmpty():
-            break
-        done = done.unionByName(front)
-    return done.drop("via")
+    of goals (scene, source, goal) that the tree reaches; others have no rows.
+
+    Pointers are doubled: round k knows every node's ancestor 2^k steps back, and each path of so
+    many nodes is continued by as many again, so a path of n nodes takes log2(n) rounds."""
+    on = ["scene", "source", "node"]
+    tree = materialise(tree.select(*on, "via"), "tree")
+    rows = materialise(goals.select("scene", "source", "goal", F.col("goal").alias("node")).join(tree, on, "left_semi").select("scene", "source", "goal", F.lit(0).alias("i"), "node"), "trace")
+    jump, step = tree.where("via IS NOT NULL").withColumnRenamed("via", "to"), 1
+    while True:
+        more = materialise(rows.join(jump, on).select("scene", "source", "goal", (F.col("i") + step).alias("i"), F.col("to").alias("node")), "trace")
+        if more.isEmpty():
+            return rows
+        rows = rows.unionByName(more)
+        onward = jump.select("scene", "source", F.col("node").alias("to"), F.col("to").alias("far"))
+        jump, step = materialise(jump.join(onward, ["scene", "source", "to"]).select(*on, F.col("far").alias("to")), "jump"), 2 * step
 
 
 def draw_starts(tree: DataFrame, low: float, high: float, k: int, seed: int) -> DataFrame:

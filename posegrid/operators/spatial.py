@@ -82,30 +82,40 @@ def radius_edges(cells: DataFrame, r: float = 2.5, cap: int = 64) -> DataFrame:
     return near.where(a_first).select("scene", F.col("gx").alias("ax"), F.col("gy").alias("ay"), F.col("b_gx").alias("bx"), F.col("b_gy").alias("by"), F.sqrt("d2").alias("dist"))
 
 
-def snap(queries: DataFrame, nodes: DataFrame, dims: list[str], r: float, rings: int = 3, keys: list[str] = ["scene"]) -> DataFrame:  # noqa: B006
-    """Queries with the nearest node (columns b_*, d2), ties to the least node. The radius grows
-    fourfold for the queries that found none; those beyond the last ring get nulls."""
-    order = [F.col("d2"), *[F.col(f"b_{d}") for d in dims]]
-    left, done = queries, None
-    best = [F.min_by(F.col(f"b_{c}"), F.struct(*order)).alias(f"b_{c}") for c in nodes.columns]
-    for i in range(rings):
+def snap(queries: DataFrame, nodes: DataFrame, dims: list[str], r: float, keys: list[str] = ["scene"]) -> DataFrame:  # noqa: B006
+    """Queries with the nearest node (columns b_*, d2), ties to the least node; equal queries come
+    once. The radius grows fourfold, for the queries that found none, until all have one: only
+    queries whose scene has no node, or with a null among keys and dims, get nulls."""
+    rest = [c for c in nodes.columns if c not in keys and c not in dims]
+    order = F.struct("d2", *[F.col(f"b_{c}") for c in [*dims, *rest]])
+    best = [F.min_by(F.col(f"b_{c}"), order).alias(f"b_{c}") for c in nodes.columns]
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in queries.columns])
+    whole = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*keys, *dims]])
+    nodes = nodes.where(whole)
+    every = materialise(queries.distinct(), "snap")
+    left, done, i = every.where(whole).join(nodes.select(*keys).distinct(), keys, "left_semi"), None, 0
+    while done is None or not left.isEmpty():
         found = radius_pairs(left, nodes, r * 4**i, dims, keys).groupBy(*queries.columns).agg(*best, F.min("d2").alias("d2"))
+        found = materialise(found, "snap")
         done = found if done is None else done.unionByName(found)
-        left = left.join(found.select(*queries.columns), queries.columns, "left_anti")
-    none = left.select("*", *[F.lit(None).cast(nodes.schema[c].dataType).alias(f"b_{c}") for c in nodes.columns], F.lit(None).cast(done.schema["d2"].dataType).alias("d2"))
+        left, i = materialise(left.join(found, same(left, found), "left_anti").select(*queries.columns), "snap"), i + 1
+    none = every.join(done, same(every, done), "left_anti")
+    none = none.select("*", *[F.lit(None).cast(nodes.schema[c].dataType).alias(f"b_{c}") for c in nodes.columns], F.lit(None).cast(done.schema["d2"].dataType).alias("d2"))
     return done.unionByName(none)
 
 
 def floor_snap(queries: DataFrame, nodes: DataFrame, reach: float = 1.0, below: float = 1.5, above: float = 0.2, layer: float = 0.2) -> DataFrame:
     """Queries (scene, q, x, y, z) with a node: among nodes within reach in x, y and z from z - below
-    to z + above, those up to `layer` over the lowest; the nearest in x, y; else the nearest in x, y."""
+    to z + above, those up to `layer` over the lowest; the nearest in x, y; else, at any distance, the
+    nearest in x, y. Scenes without nodes give nulls."""
+    nodes = nodes.select("scene", "x", "y", "z")
     pairs = radius_pairs(queries, nodes, reach, ["x", "y"])
     fit = pairs.where((F.col("b_z") >= F.col("z") - below) & (F.col("b_z") <= F.col("z") + above))
     low = F.min("b_z").over(Window.partitionBy("scene", "q"))
     pick = F.min_by(F.struct("b_x", "b_y", "b_z"), F.struct("d2", "b_x", "b_y", "b_z"))
-    first = fit.withColumn("_low", low).where(F.col("b_z") <= F.col("_low") + layer).groupBy("scene", "q").agg(pick.alias("a"))
-    other = pairs.groupBy("scene", "q").agg(pick.alias("b"))
-    return queries.join(first, ["scene", "q"], "left").join(other, ["scene", "q"], "left").withColumn("n", F.coalesce("a", "b")).select(*queries.columns, "n.b_x", "n.b_y", "n.b_z")
+    first = materialise(fit.withColumn("_low", low).where(F.col("b_z") <= F.col("_low") + layer).groupBy("scene", "q").agg(pick.alias("n")), "floor-snap")
+    other = snap(queries.join(first, ["scene", "q"], "left_anti"), nodes, ["x", "y"], reach).select(*queries.columns, "b_x", "b_y", "b_z")
+    return queries.join(first, ["scene", "q"]).select(*queries.columns, "n.b_x", "n.b_y", "n.b_z").unionByName(other)
 
 
 def neighbour_support(places: DataFrame, cells: DataFrame, reach: float = 2.0) -> DataFrame:
@@ -149,8 +159,7 @@ def dbscan(points: DataFrame, eps: float, min_points: int, dims: list[str], keys
     """
     names = [*keys, *dims]
     places = points.groupBy(*names).agg(F.count("*").alias("_n"))
-    label = F.concat_ws("|", *[F.lpad((F.col(c).cast("long") + 10**9).cast("string"), 11, "0") for c in names])
-    places = materialise(places.withColumn("_id", label), "dbscan-places")
+    places = materialise(places.withColumn("_id", F.struct(*names)), "dbscan-places")
     pairs = radius_pairs(places.select(*names, "_id"), places, eps, dims, keys)
     dense = pairs.groupBy("_id").agg(F.sum("b__n").alias("n")).where(F.col("n") >= min_points).select("_id")
     core = materialise(places.select(*names, "_id").join(dense, "_id", "left_semi"), "dbscan-core")
@@ -160,5 +169,6 @@ def dbscan(points: DataFrame, eps: float, min_points: int, dims: list[str], keys
     reach = radius_pairs(places.select(*names, "_id"), named, eps, dims, keys)
     # a core place is in reach of itself and of its own cluster only
     best = reach.groupBy("_id").agg(F.min(F.col("b_cluster")).alias("cluster"), F.max(F.when(F.col("_id") == F.col("b__id"), F.col("b_cluster"))).alias("own"))
-    out = places.join(best, "_id", "left").select(*names, F.col("_n").alias("n"), F.coalesce("own", "cluster").alias("cluster"))
-    return out
+    out = places.join(best, "_id", "left").select(*names, F.col("_n").alias("n"), F.coalesce("own", "cluster").alias("c"))
+    label = F.when(F.col("c").isNotNull(), F.concat_ws("|", *[F.col(f"c.{c}").cast("string") for c in names]))
+    return out.withColumn("cluster", label).drop("c")

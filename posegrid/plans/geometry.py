@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from posegrid.functions import geometry as G
+from posegrid.operators import detections as D
 from posegrid.plans.register import Registry
 
 R = Registry()
@@ -30,8 +31,8 @@ def backproject_pinhole(pixels):
     return pixels.select("image", "u", "v", *_cols(G.rotate_translate(p, r, (F.lit(1.0), F.lit(2.0), F.lit(0.5)))))
 
 
-_LON, _LAT = "((u + 0.5) / 32 * (2 * pi()) - pi())", "(pi() / 2 - (v + 0.5) / 24 * pi())"
-_PHI = "((v + 0.5) / 24 * pi())"
+_LON, _LAT = "(u / 32 * (2 * pi()) - pi())", "(pi() / 2 - v / 24 * pi())"
+_PHI = "(v / 24 * pi())"
 
 
 @R.query("pixels", sql=f"SELECT image, u, v, {_sql(f'gt * cos{_LAT} * sin{_LON}', f'gt * cos{_LAT} * cos{_LON}', f'gt * sin{_LAT}')} FROM {{pixels}}")
@@ -165,16 +166,28 @@ def class_mask(seg):
     return seg.where(F.col("pred").isin(1, 3, 5) & (F.col("label") != 255)).groupBy("image").agg(F.count("*").alias("walkable"))
 
 
-@R.query("objects", sql="SELECT scene, cls, count(*) AS n, round(median(z_cm)::DOUBLE, 3) AS depth FROM {objects} WHERE conf >= 0.08 AND CAST(floor(p_size * l_quantity) AS BIGINT) >= 300 GROUP BY scene, cls HAVING max(z_cm) > 0.1 AND median(z_cm) <= 12")
-def filter_detections(objects):
-    kept = objects.where((F.col("conf") >= 0.08) & (F.floor(F.col("p_size") * F.col("l_quantity")) >= 300))
-    return kept.groupBy("scene", "cls").agg(F.count("*").alias("n"), F.round(F.percentile("z_cm", 0.5), 3).alias("depth"), F.max("z_cm").alias("_m")).where("_m > 0.1 AND depth <= 12").drop("_m")
+_DETECTED = """b AS (SELECT cy AS image, (cx % 32 - 3)::INTEGER AS x1, (3 * l_linenumber - 2)::INTEGER AS y1, (cx % 32 + w / 4)::DOUBLE AS x2, (3 * l_linenumber + h)::DOUBLE AS y2, score, l_partkey, price FROM {boxes}),
+big AS (SELECT *, trunc((x1 + trunc(x2)) / 2)::INTEGER AS u, trunc((y1 + trunc(y2)) / 2)::INTEGER AS v FROM b WHERE score >= 0.08 AND (trunc(x2) - x1) * (trunc(y2) - y1) >= 60),
+patch AS (SELECT k.image, k.u, k.v, median(p.gt) AS depth FROM (SELECT DISTINCT image, u, v FROM big) k JOIN {pixels} p ON p.image = k.image AND p.u BETWEEN k.u - 2 AND k.u + 2 AND p.v BETWEEN k.v - 2 AND k.v + 2 WHERE p.gt > 0.1 GROUP BY ALL HAVING median(p.gt) <= 6),
+found AS (SELECT big.*, depth FROM big JOIN patch USING (image, u, v))"""
 
 
-@R.query("objects", sql="SELECT scene, cls, round(sum(((x_cm // 2) - 64) * (z_cm + 1) / 50.0) + 0.0, 4) AS sx, round(sum(((y_cm // 2) - 48) * (z_cm + 1) / 50.0) + 0.0, 4) AS sy FROM {objects} GROUP BY scene, cls")
-def lift_detections(objects):
-    p = G.pinhole(F.floor(F.col("x_cm") / 2), F.floor(F.col("y_cm") / 2), F.col("z_cm") + 1, 50.0, 50.0, 64, 48)
-    return objects.groupBy("scene", "cls").agg((F.round(F.sum(p[0]), 4) + 0.0).alias("sx"), (F.round(F.sum(p[1]), 4) + 0.0).alias("sy"))
+def _detected(boxes, pixels):
+    corners = boxes.select(F.col("cy").alias("image"), (F.col("cx") % 32 - 3).alias("x1"), (3 * F.col("l_linenumber") - 2).alias("y1"), (F.col("cx") % 32 + F.col("w") / 4).alias("x2"), (3 * F.col("l_linenumber") + F.col("h")).cast("double").alias("y2"), "score", "l_partkey", "price")
+    return D.filter_detections(corners, pixels.select("image", "u", "v", F.col("gt").alias("depth")), area=60, far=6.0)
+
+
+@R.query("boxes", "pixels", sql=f"WITH {_DETECTED} SELECT image, l_partkey, price, u, v, round(depth + 1e-9, 5) AS depth FROM found")
+def filter_detections(boxes, pixels):
+    return _detected(boxes, pixels).select("image", "l_partkey", "price", "u", "v", F.round(F.col("depth") + 1e-9, 5).alias("depth"))
+
+
+@R.query("boxes", "pixels", sql=f"""WITH {_DETECTED}
+SELECT image, l_partkey, price, round((u - 15.5) * depth / 20.0 + image + 1e-9, 4) AS x, round(depth + 0.5 + 1e-9, 4) AS y, round(-(v - 11.5) * depth / 18.0 + 1.0 + 1e-9, 4) AS z FROM found""")
+def lift_detections(boxes, pixels):
+    m = [F.lit(x) for x in (1.0, 0.0, 0.0)] + [F.col("image").cast("double")] + [F.lit(x) for x in (0.0, 0.0, 1.0, 0.5, 0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)]
+    cameras = pixels.select("image").distinct().select("image", F.lit(20.0).alias("fx"), F.lit(18.0).alias("fy"), F.lit(15.5).alias("cx"), F.lit(11.5).alias("cy"), F.array(*m).alias("m"))
+    return D.lift_detections(_detected(boxes, pixels), cameras).select("image", "l_partkey", "price", *[F.round(F.col(c) + 1e-9, 4).alias(c) for c in "xyz"])
 
 
 _B = ("x0", "y0", "x1", "y1")

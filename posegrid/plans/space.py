@@ -148,14 +148,14 @@ SELECT scene, qx, qy, nx, ny FROM (SELECT scene, qx, qy, gx AS nx, gy AS ny, row
 def snap_to_cells(cells):
     q = cells.where("gx % 7 = 0 AND gy = 0").select("scene", F.col("gx").alias("qx"), F.col("gy").alias("qy"), "gx", (F.col("gy") + 2).alias("gy"))
     nodes = cells.where("(gx + gy) % 3 = 0")
-    return S.snap(q, nodes, ["gx", "gy"], 2.0, rings=4).select("scene", "qx", "qy", F.col("b_gx").alias("nx"), F.col("b_gy").alias("ny"))
+    return S.snap(q, nodes, ["gx", "gy"], 2.0).select("scene", "qx", "qy", F.col("b_gx").alias("nx"), F.col("b_gy").alias("ny"))
 
 
 @R.query("cloud", sql="""
 WITH nodes AS (SELECT DISTINCT scene, x_cm AS x, y_cm AS y, z_cm AS z FROM {cloud}),
 q AS (SELECT DISTINCT scene, l_orderkey AS q, x_cm + 2 AS x, y_cm + 1 AS y, 1 AS z FROM {cloud} WHERE l_orderkey % 50 = 0 AND l_linenumber = 1),
-p AS (SELECT q.scene, q.q, q.x, q.y, q.z, n.x AS bx, n.y AS b_y, n.z AS bz, pow(q.x - n.x, 2) + pow(q.y - n.y, 2) AS d2 FROM q JOIN nodes n ON q.scene = n.scene WHERE pow(q.x - n.x, 2) + pow(q.y - n.y, 2) <= 25),
-f AS (SELECT *, min(bz) OVER (PARTITION BY scene, q, x, y) AS low FROM p WHERE bz >= z - 1 AND bz <= z),
+p AS (SELECT q.scene, q.q, q.x, q.y, q.z, n.x AS bx, n.y AS b_y, n.z AS bz, pow(q.x - n.x, 2) + pow(q.y - n.y, 2) AS d2 FROM q JOIN nodes n ON q.scene = n.scene),
+f AS (SELECT *, min(bz) OVER (PARTITION BY scene, q, x, y) AS low FROM p WHERE d2 <= 25 AND bz >= z - 1 AND bz <= z),
 a AS (SELECT *, row_number() OVER (PARTITION BY scene, q, x, y ORDER BY d2, bx, b_y, bz) AS k FROM f WHERE bz <= low),
 b AS (SELECT *, row_number() OVER (PARTITION BY scene, q, x, y ORDER BY d2, bx, b_y, bz) AS k FROM p)
 SELECT q.scene, q.q, q.x, q.y, coalesce(a.bx, b.bx) AS nx, coalesce(a.b_y, b.b_y) AS ny, coalesce(a.bz, b.bz) AS nz FROM q LEFT JOIN (SELECT * FROM a WHERE k = 1) a ON q.scene = a.scene AND q.q = a.q AND q.x = a.x AND q.y = a.y LEFT JOIN (SELECT * FROM b WHERE k = 1) b ON q.scene = b.scene AND q.q = b.q AND q.x = b.x AND q.y = b.y""")
@@ -167,40 +167,39 @@ def floor_aware_snap(cloud):
 
 @R.query("cells", sql="""
 WITH p AS (SELECT a.scene, a.gx, a.gy, b.gx AS bx, b.gy AS b_y, i * i + j * j AS d2 FROM {cells} a, (SELECT unnest(generate_series(-4, 4)) AS i), (SELECT unnest(generate_series(-4, 4)) AS j), {cells} b
-  WHERE a.gx % 5 = 0 AND i * i + j * j <= 16 AND a.scene = b.scene AND b.gx = a.gx + i AND b.gy = a.gy + j)
+  WHERE i * i + j * j <= 16 AND a.scene = b.scene AND b.gx = a.gx + i AND b.gy = a.gy + j)
 SELECT scene, gx, gy, count(CASE WHEN d2 <= 4 THEN 1 END) AS n_near, count(*) AS n_wide, round(avg(bx) + 1e-9, 6) AS mean_x, round(avg(b_y) + 1e-9, 6) AS mean_y FROM p GROUP BY scene, gx, gy""")
 def neighbour_support(cells):
-    out = S.neighbour_support(cells.where("gx % 5 = 0"), cells, 2.0)
+    out = S.neighbour_support(cells, cells, 2.0)
     return out.select("scene", "gx", "gy", "n_near", "n_wide", *_mean("mean_x", "mean_y"))
 
 
 @R.query("cells", sql="""
-WITH h AS (SELECT * FROM {cells} WHERE gx % 20 = 1 AND gy % 20 = 1), c AS (SELECT * FROM {cells} WHERE (gx + gy) % 4 = 0),
+WITH h AS (SELECT * FROM {cells} WHERE gx % 20 = 1 AND gy % 20 = 1), c AS (SELECT * FROM {cells}),
 d AS (SELECT c.scene, c.gx, c.gy, min(pow(h.gx - c.gx, 2) + pow(h.gy - c.gy, 2))::BIGINT AS d2 FROM c LEFT JOIN h ON c.scene = h.scene GROUP BY ALL)
 SELECT scene, gx, gy, d2, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY d2 DESC NULLS LAST, gx, gy) AS k FROM d) WHERE k <= 5""")
 def furthest_candidates(cells):
-    return S.furthest_candidates(cells.where("(gx + gy) % 4 = 0"), cells.where("gx % 20 = 1 AND gy % 20 = 1"), 5).select("scene", "gx", "gy", "d2", "rank")
+    return S.furthest_candidates(cells, cells.where("gx % 20 = 1 AND gy % 20 = 1"), 5).select("scene", "gx", "gy", "d2", "rank")
 
 
 @R.query("cells")
 def density_clusters(cells):
-    thin = cells.where("(gx * 31 + gy * 17) % 7 < 3")
-    return S.dbscan(thin, 1.5, 4, ["gx", "gy"]).select("scene", "gx", "gy", "cluster")
+    return S.dbscan(cells, 1.5, 4, ["gx", "gy"]).select("scene", "gx", "gy", "cluster")
 
 
 @R.query("cells")
 def scene_quality(cells):
-    return C.scene_quality(cells.where("(gx * 31 + gy * 17) % 7 < 4"), 1.5, 3, ["gx", "gy"], 0.0025, 50, 0.5)
+    return C.scene_quality(cells, 1.5, 3, ["gx", "gy"], 0.0025, 50, 0.5)
 
 
 @R.query("cells")
 def small_clusters_removed(cells):
-    return C.remove_small_clusters(cells.where("(gx * 31 + gy * 17) % 7 < 3"), 1.5, 3, ["gx", "gy"], 5).select("scene", "gx", "gy", "cluster")
+    return C.remove_small_clusters(cells, 1.5, 3, ["gx", "gy"], 5).select("scene", "gx", "gy", "cluster")
 
 
 @R.query("cells")
 def despeckled(cells):
-    return C.despeckle(cells.where("(gx * 31 + gy * 17) % 7 < 2"), 8)
+    return C.despeckle(cells, 8)
 
 
 def _planes(cloud):

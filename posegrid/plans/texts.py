@@ -165,7 +165,7 @@ def parsed_ratios(chat):
 
 @R.query("objects", sql="SELECT scene, CASE WHEN cls IN ('STANDARD', 'SMALL', 'MEDIUM') THEN 'manipulation' ELSE 'other' END AS grp, count(*) AS n FROM {objects} GROUP BY ALL")
 def class_groups(objects):
-    return objects.groupBy("scene", X.class_group(F.col("cls")).alias("grp")).agg(F.count("*").alias("n"))
+    return objects.groupBy("scene", X.class_group(F.col("cls"), ("STANDARD", "SMALL", "MEDIUM")).alias("grp")).agg(F.count("*").alias("n"))
 
 
 @R.query("chat")

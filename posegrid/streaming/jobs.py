@@ -50,9 +50,16 @@ def _ordered(batches: Iterator[pd.DataFrame], by: str, columns: list[str]) -> pd
 
 
 def count_windows(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """key, window, rows, total: a row every n values of a key (columns key, seq, value)."""
+    """key, window, rows, total: a row every n values of a key (columns key, seq, value), and one
+    for the last, shorter window when the key's state times out."""
 
     def fold(k, batches: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            window, count, total = state.get
+            state.remove()
+            short = [(k[0], window, count, total)] if count else []
+            yield pd.DataFrame(short, columns=["key", "window", "rows", "total"])
+            return
         window, count, total = _get(state, (0, 0, 0.0))
         out = []
         for v in _ordered(batches, "seq", ["value"])["value"]:
@@ -60,8 +67,7 @@ def count_windows(rows: DataFrame, key: str, n: int) -> DataFrame:
             if count == n:
                 out.append((k[0], window, count, total))
                 window, count, total = window + 1, 0, 0.0
-        if not state.hasTimedOut:
-            _put(state, (window, count, total))
+        _put(state, (window, count, total))
         yield pd.DataFrame(out, columns=["key", "window", "rows", "total"])
 
     return _stateful(rows.select(F.col(key).cast("string").alias("key"), "seq", "value"), ["key"], fold, "key string, window long, rows long, total double", "window long, count long, total double")
