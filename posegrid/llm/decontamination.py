@@ -194,7 +194,8 @@ def _overlaps(texts: DataFrame, benchmark: DataFrame, item_id_col: str, item_tex
     own = texts.mapInArrow(_text_seeds(shared, masks), "key long, d binary, q long")
     hits = own.join(seeds, "key").select("d", "i", "th", (F.col("q") - F.col("p")).alias("diagonal")).distinct()
     hits = materialise(hits, "benchmark-hits")
-    held = texts.join(hits.select("d").distinct(), "d", "left_semi").dropDuplicates(["d"])
+    met = materialise(hits.select("d").distinct(), "benchmark-texts")  # a table of its own: its size is known, so few go to every task
+    held = texts.join(met, "d", "left_semi").dropDuplicates(["d"])
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     rows = held.select("d", "text", none("long", "i"), none("long", "th"), none("long", "diagonal"), F.array().cast("array<long>").alias("words"))
     rows = rows.unionByName(hits.join(words, ["i", "th"]).select("d", none("string", "text"), "i", "th", "diagonal", "words"))
