@@ -85,9 +85,23 @@ def heading_of(dx: Column, dy: Column) -> Column:
     return F.pmod(F.lit(math.pi / 2) - F.atan2(dy, dx), F.lit(2 * math.pi))
 
 
-def pose_heading(kind: Column, yaw: Column, fx: Column, fy: Column) -> Column:
-    """Heading by frame kind: yaw for panoramas, the forward axis for perspective frames, else 0."""
-    return F.when(kind.isin("BUILDING", "MACHINERY"), F.pmod(yaw, F.lit(2 * math.pi))).when(kind.isin("AUTOMOBILE", "FURNITURE"), heading_of(fx, fy)).otherwise(0.0)
+#: Frame kinds whose camera looks along minus z with z up, along plus z with y down,
+#: and (any kind that contains the word) along minus z with the angle taken from the x axis.
+LOOKS_BACK, LOOKS_AHEAD, FROM_X = ("matterport", "hm3d", "gibson"), ("realsee",), "structured3d"
+
+
+def pose_heading(kind: Column, r: list[Column]) -> Column:
+    """Heading of a camera with row-major rotation r, by the rule of its frame kind, not wrapped;
+    0 for unknown kinds and null."""
+    back = F.lit(math.pi / 2) - F.atan2(-r[5], -r[2])
+    ahead = F.lit(math.pi / 2) - F.atan2(r[8], r[2])
+    return F.when(kind.isin(*LOOKS_BACK), back).when(kind.isin(*LOOKS_AHEAD), ahead).when(F.contains(kind, F.lit(FROM_X)), F.atan2(-r[5], -r[2])).otherwise(0.0)
+
+
+def pose_position(kind: Column, t: Vec) -> Vec:
+    """Position with z up: kinds with y down have y and z exchanged, and z reversed."""
+    down = kind.isin(*LOOKS_AHEAD)
+    return t[0], F.when(down, t[2]).otherwise(t[1]), F.when(down, -t[1]).otherwise(t[2])
 
 
 def depth_metres(kind: Column, raw: Column, scale: Column) -> Column:
@@ -104,7 +118,10 @@ def depth_valid(layout: str, d: Column, filled_limit: float | None = None) -> Co
     return (d > low) & (d < (high if filled_limit is None else min(high, filled_limit)))
 
 
-def panorama_mask(v: Column, d: Column, height: int, pole_deg: float = 30.0, low: float = 0.4, high: float = 10.0) -> Column:
+def panorama_mask(v: Column, d: Column, height: int, pole_deg: float = 30.0, low: float = 0.4, high: float = 10.0, external: Column | None = None) -> Column:
+    """Pixels off the poles with a depth in [low, high), and with 255 in the external mask if one is given."""
+    if external is not None:
+        return panorama_mask(v, d, height, pole_deg, low, high) & (external == 255)
     lat = 90.0 - (v + 0.5) * (180.0 / height)
     return (F.abs(lat) <= 90.0 - pole_deg) & (d >= low) & (d < high)
 
@@ -174,3 +191,23 @@ def rodrigues(rx: Column, ry: Column, rz: Column) -> list[Column]:
     c = F.when(a < 1e-12, 0.5).otherwise((1 - F.cos(a)) / F.nullif(a * a, F.lit(0.0)))
     one = F.lit(1.0)
     return [one - c * (ry * ry + rz * rz), c * rx * ry - s * rz, c * rx * rz + s * ry, c * rx * ry + s * rz, one - c * (rx * rx + rz * rz), c * ry * rz - s * rx, c * rx * rz - s * ry, c * ry * rz + s * rx, one - c * (rx * rx + ry * ry)]
+
+
+#: Helpers as SQL functions: name, parameters, result and body.
+SQL_HELPERS = {
+    "wrap_angle": ("a DOUBLE", "DOUBLE", "pmod(a + pi(), 2 * pi()) - pi()"),
+    "heading_of": ("dx DOUBLE, dy DOUBLE", "DOUBLE", "pmod(pi() / 2 - atan2(dy, dx), 2 * pi())"),
+    "quat_yaw": ("x DOUBLE, y DOUBLE, z DOUBLE, w DOUBLE", "DOUBLE", "atan2(2 * (x * y + z * w), 1 - 2 * (y * y + z * z))"),
+    "quat_rotate": (
+        "x DOUBLE, y DOUBLE, z DOUBLE, w DOUBLE, p ARRAY<DOUBLE>", "ARRAY<DOUBLE>",
+        "array((1 - 2 * (y * y + z * z)) * p[0] + 2 * (x * y - z * w) * p[1] + 2 * (x * z + y * w) * p[2], "
+        "2 * (x * y + z * w) * p[0] + (1 - 2 * (x * x + z * z)) * p[1] + 2 * (y * z - x * w) * p[2], "
+        "2 * (x * z - y * w) * p[0] + 2 * (y * z + x * w) * p[1] + (1 - 2 * (x * x + y * y)) * p[2])",
+    ),
+}
+
+
+def register_helpers(spark) -> None:
+    """Angles and quaternions (scalar last) as temporary SQL functions, which Catalyst inlines."""
+    for name, (takes, gives, body) in SQL_HELPERS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({takes}) RETURNS {gives} RETURN {body}")

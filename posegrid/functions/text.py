@@ -83,10 +83,11 @@ def ratios(json: Column) -> Column:
 
 
 def marked_spans(tokens: Column, start: str, end: str) -> Column:
-    """Tokens between start and end markers; others, and the markers, null. Null if there is none."""
-    inside = F.transform(tokens, lambda t, i: F.when((t != start) & (t != end) & (
-        F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), i), lambda j: F.get(tokens, j) == start)), F.lit(-1)) >
-        F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), i), lambda j: F.get(tokens, j) == end)), F.lit(-1))), t))
+    """Tokens between start and end markers; others, and the markers, null. Null if there is none.
+    Each token looks at the markers only, of which a text has few."""
+    marks = F.filter(F.transform(tokens, lambda t, i: F.when((t == start) | (t == end), F.struct(i.alias("i"), (t == start).alias("opens")))), lambda m: m.isNotNull())
+    last = lambda i: F.array_max(F.filter(marks, lambda m: m.i <= i))
+    inside = F.transform(tokens, lambda t, i: F.when((t != start) & (t != end) & F.coalesce(last(i).opens, F.lit(False)), t))
     return F.when(F.exists(inside, lambda t: t.isNotNull()), inside)
 
 

@@ -6,11 +6,13 @@ written to the shared folder, so lineage does not grow; the driver sees one coun
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from posegrid.operators.spatial import radius_pairs, snap
-from posegrid.rand import seeded, uniform
+from posegrid.functions.text import episode_id, style_prompt
+from posegrid.operators.sampling import STYLE_SCALES, bucket_draw, idf_choice
+from posegrid.operators.spatial import furthest_candidates, radius_pairs, snap
+from posegrid.rand import seeded
 from posegrid.session import materialise
 
 NODE = ["gx", "gy"]
@@ -43,23 +45,25 @@ def both_ways(edges: DataFrame, cost: str) -> DataFrame:
     return one.unionByName(edges.select("scene", t.alias("src"), s.alias("dst"), F.col(cost).alias("w")))
 
 
-def geodesic(arcs: DataFrame, sources: DataFrame, limit: float, max_rounds: int = 500) -> DataFrame:
-    """scene, source, node, dist, via: least distance within `limit` from every source (scene,
-    source), and the node before on a least path (null at the source), ties to the least node.
+def geodesic(arcs: DataFrame, sources: DataFrame, limit: float | str, max_rounds: int = 500) -> DataFrame:
+    """scene, source, node, dist, via: least distance within `limit` (a number, or a column of
+    sources) from every source (scene, source), and the node before on a least path (null at the
+    source), ties to the least node.
 
     Frontier relaxation: a round extends only what improved in the round before."""
     arcs = materialise(arcs, "arcs")
     none = F.lit(None).cast(arcs.schema["src"].dataType)
-    best = materialise(sources.select("scene", "source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), none.alias("via"), F.lit(True).alias("new")), "geodesic")
+    most = F.col(limit) if isinstance(limit, str) else F.lit(float(limit))
+    best = materialise(sources.select("scene", "source", most.alias("most"), F.col("source").alias("node"), F.lit(0.0).alias("dist"), none.alias("via"), F.lit(True).alias("new")), "geodesic")
     for _ in range(max_rounds):
-        step = best.where("new").select("scene", "source", F.col("node").alias("src"), F.col("dist").alias("d0")).join(arcs, ["scene", "src"])
-        step = step.select("scene", "source", F.col("dst").alias("node"), F.round(F.col("d0") + F.col("w"), 9).alias("dist"), F.col("src").alias("via")).where(F.col("dist") <= limit)
-        merged = best.select("scene", "source", "node", "dist", "via", F.lit(0).alias("age")).unionByName(step.withColumn("age", F.lit(1)))
+        step = best.where("new").select("scene", "source", "most", F.col("node").alias("src"), F.col("dist").alias("d0")).join(arcs, ["scene", "src"])
+        step = step.select("scene", "source", "most", F.col("dst").alias("node"), F.round(F.col("d0") + F.col("w"), 9).alias("dist"), F.col("src").alias("via")).where("dist <= most")
+        merged = best.select("scene", "source", "most", "node", "dist", "via", F.lit(0).alias("age")).unionByName(step.withColumn("age", F.lit(1)))
         # a min over (dist, age, via): an old value wins a tie, so only improvements are new
-        top = merged.groupBy("scene", "source", "node").agg(F.min(F.struct("dist", "age", "via")).alias("m"))
-        best = materialise(top.select("scene", "source", "node", "m.dist", "m.via", (F.col("m.age") == 1).alias("new")), "geodesic")
+        top = merged.groupBy("scene", "source", "most", "node").agg(F.min(F.struct("dist", "age", "via")).alias("m"))
+        best = materialise(top.select("scene", "source", "most", "node", "m.dist", "m.via", (F.col("m.age") == 1).alias("new")), "geodesic")
         if best.where("new").isEmpty():
-            return best.drop("new")
+            return best.drop("new", "most")
     raise RuntimeError("no fixed point within max_rounds")
 
 
@@ -97,27 +101,75 @@ def reachable_objects(objects: DataFrame, cells: DataFrame, tree: DataFrame, nea
     return d.withColumn("euclid", euclid).where((F.col("euclid") <= near) & (F.col("dist") <= ratio * F.greatest("euclid", F.lit(cell)))).select("scene", "source", "obj", "euclid", "dist")
 
 
-def draw_tasks(cells: DataFrame, arcs: DataFrame, rounds: int, seed: int, low: float, high: float, candidates: int = 100) -> DataFrame:
-    """scene, round, start, goal, dist: one start a scene and round, the furthest of some seeded
-    candidates from the starts before, and a goal with a geodesic in [low, high], the farthest of
-    three seeded ones. Scenes without such a goal have no row in that round."""
-    from posegrid.operators.spatial import furthest_candidates
-
-    history, tasks = None, None
+def _one(rows: DataFrame, seed: str, *key: Column | str) -> DataFrame:
+    """One row a scene, the first in seeded order."""
+    w = Window.partitionBy("scene").orderBy(seeded(seed, "scene", *key), *key)
+    return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
+def _attempt(drawn: DataFrame, cells: DataFrame, arcs: DataFrame, starts: DataFrame, ends: DataFrame, seed: str, candidates: int) -> DataFrame:
+    """drawn with start, goal and dist, for the scenes where a goal lies in [low, high]."""
+    w = Window.partitionBy("scene").orderBy(seeded(seed, "scene", *NODE), *NODE)
+    some = cells.join(drawn.select("scene"), "scene", "left_semi").withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= candidates)
+    start = _one(furthest_candidates(some.select("scene", *NODE), starts, 5, f"{seed}:far"), f"{seed}:start", *NODE)
+    at = materialise(drawn.join(start.select("scene", F.struct(*NODE).alias("source")), "scene"), "starts")
+    tree = geodesic(arcs, at.select("scene", "source", "high"), "high").join(at.select("scene", "low"), "scene").where("dist >= low")
+    goals = tree.select("scene", "node.gx", "node.gy", "dist")
+    goal = _one(furthest_candidates(goals, ends, 3, f"{seed}:end"), f"{seed}:goal", *NODE)
+    return at.join(goal.select("scene", F.struct(*NODE).alias("goal"), "dist"), "scene").withColumnRenamed("source", "start")
+
+
+def draw_tasks(cells: DataFrame, arcs: DataFrame, rounds: int, seed: int, candidates: int = 100, trials: int = 20, least: float = 1.5, most: float = 10.0) -> DataFrame:
+    """scene, round, style, low, high, start, goal, dist: one task a scene and round, for all scenes
+    at once. Arcs are weighed in metres.
+
+    A style is drawn, and a length bucket scaled by it. The start is one of the 5 of `candidates`
+    seeded cells that are furthest from the starts before; the goal one of the 3 cells with a
+    geodesic in the bucket that are furthest from the goals before. Scenes without such a goal try
+    again, up to `trials` times; then any start is paired with any goal between `least` and `most`
+    away, which is not remembered. Scenes where that fails too have no row in that round."""
+    scenes = materialise(cells.select("scene").distinct(), "scenes")
+    places = lambda c: tasks.where("not fallback").select("scene", f"{c}.gx", f"{c}.gy")
+    tasks, starts, ends = None, cells.limit(0), cells.limit(0)
     for r in range(rounds):
-        w = Window.partitionBy("scene").orderBy(seeded(f"{seed}:{r}", "scene", *NODE), *NODE)
-        some = cells.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= candidates).drop("_k")
-        start = some.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k") if history is None else furthest_candidates(some, history, 1).select("scene", *NODE)
-        start = materialise(start, "starts")
-        tree = geodesic(arcs, start.select("scene", F.struct(*NODE).alias("source")), high)
-        goal = draw_starts(tree, low, high, 3, seed + r)
-        best = goal.groupBy("scene", "source").agg(F.max(F.struct("dist", "node")).alias("g")).select("scene", F.lit(r).alias("round"), F.col("source").alias("start"), F.col("g.node").alias("goal"), "g.dist")
-        history = start if history is None else history.unionByName(start)
-        tasks = best if tasks is None else tasks.unionByName(best)
-    return tasks
-
-
-def episode_plan(tasks: DataFrame, styles: list[str], seed: int) -> DataFrame:
-    """Tasks with style and episode_id."""
-    pick = F.element_at(F.array(*map(F.lit, styles)), (F.floor(uniform(seed, "scene", "round") * len(styles)) + 1).cast("int"))
-    return tasks.withColumn("style", pick).withColumn("episode_id", F.concat_ws("_", F.lit("scene"), "scene", "style", F.lpad(F.col("round").cast("string"), 4, "0")))
+        style = F.element_at(F.array(*map(F.lit, STYLE_SCALES)), (seeded(f"{seed}:style", "scene", "round") % len(STYLE_SCALES) + 1).cast("int"))
+        left = materialise(bucket_draw(scenes.withColumn("round", F.lit(r)).withColumn("style", style), ["scene", "round"], seed, "style"), "drawn")
+        for t in range(trials + 1):
+            if t < trials:
+                got = _attempt(left, cells, arcs, starts, ends, f"{seed}:{r}:{t}", candidates)
+            else:
+                start = _one(cells.join(left.select("scene"), "scene", "left_semi"), f"{seed}:{r}:any", *NODE)
+                at = materialise(left.join(start.select("scene", F.struct(*NODE).alias("start")), "scene"), "starts")
+                tree = geodesic(arcs, at.select("scene", F.col("start").alias("source")), most).where(F.col("dist") >= least)
+                goal = _one(tree.select("scene", "node.gx", "node.gy", "dist"), f"{seed}:{r}:goal", *NODE)
+                got = at.join(goal.select("scene", F.struct(*NODE).alias("goal"), "dist"), "scene")
+            got = materialise(got.select(*left.columns, "start", "goal", "dist", F.lit(t == trials).alias("fallback")), "tasks")
+            tasks = got if tasks is None else tasks.unionByName(got)
+            left = materialise(left.join(got.select("scene"), "scene", "left_anti"), "drawn")
+            if left.isEmpty():
+                break
+        starts, ends = places("start"), places("goal")
+    return tasks.drop("fallback")
+
+
+def episode_plan(tasks: DataFrame, cells: DataFrame, arcs: DataFrame, objects: DataFrame, seed: int, near: float = 3.0) -> DataFrame:
+    """Tasks with path (the nodes from start to goal), target (a class among the objects (scene, obj,
+    cls, gx, gy) reachable near the goal, rarer draws first; null if there is none), phrase and
+    episode_id. Rounds follow each other, as a draw counts the draws before."""
+    tasks = materialise(tasks, "plan")
+    tree = geodesic(arcs, tasks.groupBy("scene", F.col("start").alias("source")).agg(F.max("dist").alias("reach")), "reach")
+    steps = trace_paths(tree, tasks.select("scene", F.col("start").alias("source"), "goal").distinct())
+    path = steps.groupBy("scene", F.col("source").alias("start"), "goal").agg(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("i", "node")))), lambda s: s.node).alias("path"))
+    around = geodesic(arcs, tasks.select("scene", F.col("goal").alias("source")).distinct(), 1.5 * max(near, 1.0))
+    seen = materialise(reachable_objects(objects, cells, around, near).join(objects.select("scene", "obj", "cls"), ["scene", "obj"]).select("scene", F.col("source").alias("goal"), "cls", F.col("euclid").alias("d")), "seen")
+    chosen = None
+    for r in sorted(x["round"] for x in tasks.select("round").distinct().collect()):
+        here = seen.join(tasks.where(F.col("round") == r).select("scene", "goal"), ["scene", "goal"], "left_semi")
+        counts = seen.limit(0).select("cls") if chosen is None else chosen.select("cls")
+        pick = idf_choice(here, counts.groupBy("cls").agg(F.count("*").alias("n")), seed + r).select("scene", F.lit(r).alias("round"), "cls")
+        pick = materialise(pick, "targets")
+        chosen = pick if chosen is None else chosen.unionByName(pick)
+    targets = tasks.select("scene", "round").limit(0).withColumn("target", F.lit("")) if chosen is None else chosen.withColumnRenamed("cls", "target")
+    name = episode_id(F.concat(F.lit("scene/"), F.col("scene").cast("string")), F.col("style"), F.col("round"))
+    out = tasks.join(path, ["scene", "start", "goal"]).join(targets, ["scene", "round"], "left")
+    return out.withColumn("phrase", style_prompt(seed, F.concat_ws("|", "scene", "round"))).withColumn("episode_id", name)

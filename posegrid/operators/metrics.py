@@ -35,6 +35,15 @@ def f1(preds: DataFrame, average: str = "macro") -> DataFrame:
     return each.groupBy("c").agg(score.alias("f")).agg(F.avg("f").alias("f1"))
 
 
+def f1_multilabel(preds: DataFrame, average: str = "macro", threshold: float = 0.5) -> DataFrame:
+    """One row, f1 of scores above the threshold against label sets (`labels`). Macro is over all
+    classes scored; a class never predicted nor true counts 0."""
+    said, true = (F.col("score") > threshold).cast("int"), F.array_contains("labels", F.col("cls")).cast("int")
+    d = preds.select("cls", said.alias("p"), true.alias("t"))
+    score = F.coalesce(2.0 * F.sum(F.col("p") * F.col("t")) / F.nullif(F.sum(F.col("p") + F.col("t")).cast("double"), F.lit(0.0)), F.lit(0.0))
+    return d.agg(score.alias("f1")) if average == "micro" else d.groupBy("cls").agg(score.alias("f")).agg(F.avg("f").alias("f1"))
+
+
 def auroc(preds: DataFrame) -> DataFrame:
     """cls, auroc: one against rest by average ranks (Mann-Whitney), exact with ties."""
     s = F.round("score", 9)
@@ -78,6 +87,13 @@ def any_match(preds: DataFrame, k: int, by: list[str] | None = None) -> DataFram
     return each.groupBy("g.name", "g.value").agg(F.avg("ok").alias("accuracy"))
 
 
+def any_match_groups(preds: DataFrame, groups: DataFrame, k: int = 1) -> DataFrame:
+    """variable, value, accuracy: any_match by a table of labels (q, variable, value). A sample
+    counts in each group it is listed in; samples not listed are left out."""
+    top = ranked(preds).where(F.size("labels") > 0).groupBy("q").agg(F.max((F.array_contains("labels", F.col("cls")) & (F.col("rank") <= k)).cast("int")).alias("ok"))
+    return top.join(groups, "q").groupBy("variable", "value").agg(F.avg("ok").alias("accuracy"))
+
+
 def macro_mrr(preds: DataFrame, classes: int) -> DataFrame:
     """One row: rank is the number of scores at least the target's; a class's sum / (n + 1e-6), mean
     over all `classes`."""
@@ -132,6 +148,19 @@ def frame_sharpness(pixels: DataFrame, value: str = "g") -> DataFrame:
     return pixels.withColumn("_l", lap).groupBy("image").agg(F.var_pop("_l").alias("sharpness"), F.count("_l").alias("n"))
 
 
+#: Least sharpness of a frame by its kind.
+SHARP = {"scannet_perspective": 120.0, "3rscan_perspective": 100.0, "arkitscenes_perspective": 80.0}
+
+
+def sharp_frames(pixels: DataFrame, kinds: DataFrame, value: str = "g", least: dict[str, float] | None = None) -> DataFrame:
+    """image, kind, sharpness of frames (image, kind) at least as sharp as their kind asks for; kinds
+    without a threshold, and frames without a Laplacian, are dropped."""
+    asked = F.lit(None).cast("double")
+    for kind, t in (SHARP if least is None else least).items():
+        asked = F.when(F.col("kind") == kind, t).otherwise(asked)
+    return frame_sharpness(pixels, value).join(kinds.select("image", "kind"), "image").where(F.col("sharpness") >= asked).select("image", "kind", "sharpness")
+
+
 def seg_areas(seg: DataFrame, ignore: int = 255) -> DataFrame:
     """cls with intersect, predicted, label and union areas, without ignored pixels."""
     d = seg.where(F.col("label") != ignore)

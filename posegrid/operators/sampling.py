@@ -135,9 +135,24 @@ def assign_workers(blocks: DataFrame, workers: int, batch: int) -> DataFrame:
 BUCKETS = ((3.0, 6.0, 0.2), (6.0, 10.0, 0.3), (10.0, 15.0, 0.5))
 
 
-def bucket_draw(rows: DataFrame, key: str, seed: int) -> DataFrame:
-    """Rows with low, high: a length bucket by the fixed shares."""
-    u = uniform(seed, key)
+#: Styles of instructions and what they do to path lengths.
+STYLE_SCALES = {"r2r": 1.0, "reverie": 0.5, "demand": 0.5}
+
+
+def style_scale(style: Column) -> Column:
+    """Scale of path lengths by style; 1 for other styles and null."""
+    scale = F.lit(1.0)
+    for name, x in STYLE_SCALES.items():
+        scale = F.when(style == name, x).otherwise(scale)
+    return scale
+
+
+def bucket_draw(rows: DataFrame, key: str | list[str], seed: int, style: str | None = None) -> DataFrame:
+    """Rows with low, high: a length bucket by the fixed shares, scaled by the column `style` if named."""
+    if style is not None:
+        scale = style_scale(F.col(style))
+        return bucket_draw(rows, key, seed).withColumn("low", F.col("low") * scale).withColumn("high", F.col("high") * scale)
+    u = uniform(seed, *([key] if isinstance(key, str) else key))
     first, second = BUCKETS[0][2], BUCKETS[0][2] + BUCKETS[1][2]
     three = lambda i: F.when(u < first, BUCKETS[0][i]).when(u < second, BUCKETS[1][i]).otherwise(BUCKETS[2][i])
     return rows.withColumn("low", three(0)).withColumn("high", three(1))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posegrid.operators.components import connected_components
+from posegrid.rand import seeded
 from posegrid.session import materialise
 
 
@@ -126,13 +127,15 @@ def neighbour_support(places: DataFrame, cells: DataFrame, reach: float = 2.0) -
     return places.join(found, places.columns, "left").fillna(0, ["n_near", "n_wide"])
 
 
-def furthest_candidates(candidates: DataFrame, history: DataFrame, k: int) -> DataFrame:
-    """Per scene the k candidates furthest from their nearest history place; without history the
-    least k. History is a bounded list per scene (the starts drawn so far)."""
+def furthest_candidates(candidates: DataFrame, history: DataFrame, k: int, seed: int | str | None = None) -> DataFrame:
+    """Per scene the k candidates furthest from their nearest history place; ties, and scenes
+    without history, go by the least place, or by seeded order if a seed is given. History is a
+    bounded list per scene (the starts drawn so far)."""
     h = history.select("scene", F.struct("gx", "gy").alias("h")).groupBy("scene").agg(F.collect_list("h").alias("hs"))
     far = F.array_min(F.transform("hs", lambda p: (p.gx - F.col("gx")) * (p.gx - F.col("gx")) + (p.gy - F.col("gy")) * (p.gy - F.col("gy"))))
     d = candidates.join(h, "scene", "left").withColumn("d2", far).drop("hs")
-    w = Window.partitionBy("scene").orderBy(F.desc_nulls_last("d2"), "gx", "gy")
+    drawn = [] if seed is None else [seeded(seed, "scene", "gx", "gy")]
+    w = Window.partitionBy("scene").orderBy(F.desc_nulls_last("d2"), *drawn, "gx", "gy")
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -130,19 +130,47 @@ def mean_patches(patches: DataFrame, group: str) -> DataFrame:
     return each.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s.x).alias("embedding"))
 
 
-def logreg_sweep(train: DataFrame, val: DataFrame, cs: list[float], dims: int) -> DataFrame:
-    """c, accuracy, best: logistic regression for every C (regParam 1 / (C n), no scaling of
-    features), scored on val; the first best is marked."""
-    from pyspark.ml.classification import LogisticRegression
+def compose_embedding(blocks: DataFrame, patches: DataFrame, group: str, layer: str, last: int) -> DataFrame:
+    """group, embedding: the class vectors of the last layers of blocks, in order, and after them the
+    mean of the group's patch vectors. Groups without patches are dropped."""
+    w = Window.partitionBy(group).orderBy(F.desc(layer))
+    ends = blocks.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= last)
+    tokens = ends.groupBy(group).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(layer, F.col("embedding").alias("e")))), lambda s: s.e)).alias("_c"))
+    means = mean_patches(patches, group).withColumnRenamed("embedding", "_m")
+    return tokens.join(means, group).select(group, F.concat(F.col("_c").cast("array<double>"), F.col("_m")).alias("embedding"))
+
+
+#: 45 powers of ten from -6 to 5, evenly spaced.
+POWERS = tuple(-6 + 11 * i / 44 for i in range(45))
+
+
+def _points(d: DataFrame) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
-    spark = train.sparkSession
-    t, v = (d.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label")) for d in (train, val))
-    t, n = t.cache(), train.count()
-    rows = []
-    for c in cs:
-        model = LogisticRegression(regParam=1.0 / (c * n), standardization=False, maxIter=60).fit(t)
-        rows.append((c, float(model.transform(v).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0])))
+    return d.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>"))).withColumn("_y", F.col("label").cast("double"))
+
+
+def _logreg(points: DataFrame, n: int, c: float, iterations: int):
+    from pyspark.ml.classification import LogisticRegression
+
+    return LogisticRegression(labelCol="_y", regParam=1.0 / (c * n), standardization=False, maxIter=iterations).fit(points)
+
+
+def logreg_sweep(train: DataFrame, val: DataFrame, cs: list[float] | None = None, iterations: int = 60) -> DataFrame:
+    """c, accuracy, best: logistic regression for every C (45 of 10^-6 to 10^5 by default; regParam
+    1 / (C n), no scaling of features), scored on val; the first best is marked."""
+    cs = [10.0**p for p in POWERS] if cs is None else cs
+    t, v, n = _points(train).select("features", "_y").cache(), _points(val).select("features", "_y").cache(), train.count()
+    rows = [(c, float(_logreg(t, n, c, iterations).transform(v).agg(F.avg((F.col("prediction") == F.col("_y")).cast("double"))).first()[0])) for c in cs]
     t.unpersist()
+    v.unpersist()
     best = max(range(len(rows)), key=lambda i: (rows[i][1], -i))
-    return spark.createDataFrame([(c, a, i == best) for i, (c, a) in enumerate(rows)], "c double, accuracy double, best boolean")
+    return train.sparkSession.createDataFrame([(c, a, i == best) for i, (c, a) in enumerate(rows)], "c double, accuracy double, best boolean")
+
+
+def logreg_refit(train: DataFrame, val: DataFrame, test: DataFrame, sweep: DataFrame, iterations: int = 60) -> DataFrame:
+    """test with predicted: by a regression fitted to train and val together with the sweep's best C."""
+    both = train.select("embedding", "label").unionByName(val.select("embedding", "label"))
+    model = _logreg(_points(both), both.count(), sweep.where("best").first()["c"], iterations)
+    out = model.setPredictionCol("predicted").setRawPredictionCol("").setProbabilityCol("").transform(_points(test))
+    return out.select(*test.columns, F.col("predicted").cast("int").alias("predicted"))

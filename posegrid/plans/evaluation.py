@@ -46,6 +46,19 @@ def f1_macro(preds):
     return _r(M.f1(preds), "f1")
 
 
+_MULTI = "m AS (SELECT q, cls, CASE WHEN score > 0.1 THEN 1 ELSE 0 END AS p, CASE WHEN list_contains([label, (label + q % 3) % 10], cls) THEN 1 ELSE 0 END AS t FROM {preds})"
+
+
+@R.query("preds", sql=f"WITH {_MULTI}, f AS (SELECT cls, coalesce(2.0 * sum(p * t) / nullif(sum(p + t), 0), 0.0) AS f FROM m GROUP BY cls) SELECT round(avg(f) + 1e-10, 6) AS f1 FROM f")
+def f1_multilabel_macro(preds):
+    return _r(M.f1_multilabel(_labels(preds), threshold=0.1), "f1")
+
+
+@R.query("preds", sql=f"WITH {_MULTI} SELECT round(2.0 * sum(p * t) / sum(p + t) + 1e-10, 6) AS f1 FROM m")
+def f1_multilabel_micro(preds):
+    return _r(M.f1_multilabel(_labels(preds), "micro", 0.1), "f1")
+
+
 @R.query("preds", sql=f"WITH {_RANK}, {_TP} SELECT round(2.0 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) + 1e-10, 6) AS f1 FROM c")
 def f1_micro(preds):
     return _r(M.f1(preds, "micro"), "f1")
@@ -89,6 +102,15 @@ def any_match_by(preds):
     return _r(M.any_match(p, 2, ["half", "third"]), "accuracy")
 
 
+@R.query("preds", sql=f"""WITH {_ANY}, g AS (SELECT DISTINCT q, 'parity' AS variable, CASE WHEN q % 2 = 0 THEN 'even' ELSE 'odd' END AS value FROM {{preds}} UNION ALL SELECT DISTINCT q, 'third', CAST(q % 3 AS VARCHAR) FROM {{preds}})
+SELECT variable, value, round(avg(ok) + 1e-10, 6) AS accuracy FROM m JOIN g USING (q) GROUP BY ALL""")
+def any_match_groups(preds):
+    q = preds.select("q").distinct()
+    groups = q.select("q", F.lit("parity").alias("variable"), F.when(F.col("q") % 2 == 0, "even").otherwise("odd").alias("value"))
+    groups = groups.unionByName(q.select("q", F.lit("third").alias("variable"), (F.col("q") % 3).cast("string").alias("value")))
+    return _r(M.any_match_groups(_labels(preds), groups, 2), "accuracy")
+
+
 @R.query("preds", sql="""
 WITH t AS (SELECT q, score AS t FROM {preds} WHERE cls = label), r AS (SELECT p.q, label, count(CASE WHEN score >= t THEN 1 END) AS r FROM {preds} p JOIN t ON p.q = t.q GROUP BY ALL),
 m AS (SELECT label, sum(1.0 / r) / (count(*) + 1e-6) AS m FROM r GROUP BY label) SELECT round(sum(m) / 12.0 + 1e-10, 6) AS mrr FROM m""")
@@ -202,7 +224,21 @@ def psnr(pixels):
     return M.psnr(pixels, "gt", "pred").select("image", F.round("psnr", 5).alias("psnr"))
 
 
-@R.query("pixels")
+@R.query("pixels", sql="""
+WITH n AS (SELECT p.image, l.g + r.g + u.g + d.g - 4 * p.g AS lap FROM {pixels} p JOIN {pixels} l ON p.image = l.image AND p.v = l.v AND p.u = l.u + 1 JOIN {pixels} r ON p.image = r.image AND p.v = r.v AND p.u = r.u - 1
+  JOIN {pixels} u ON p.image = u.image AND p.u = u.u AND p.v = u.v + 1 JOIN {pixels} d ON p.image = d.image AND p.u = d.u AND p.v = d.v - 1),
+k AS (SELECT image, CASE image % 3 WHEN 0 THEN 'scannet_perspective' WHEN 1 THEN '3rscan_perspective' ELSE 'arkitscenes_perspective' END AS kind, var_pop(lap * 10) AS s FROM n GROUP BY image)
+SELECT image, kind, round(s + 1e-9, 5) AS sharpness FROM k WHERE s >= CASE kind WHEN 'scannet_perspective' THEN 120.0 WHEN '3rscan_perspective' THEN 100.0 ELSE 80.0 END""")
+def sharp_frames(pixels):
+    kinds = pixels.select("image").distinct().withColumn("kind", F.element_at(F.array(*map(F.lit, M.SHARP)), (F.col("image") % 3 + 1).cast("int")))
+    return M.sharp_frames(pixels.withColumn("g", F.col("g") * 10), kinds).select("image", "kind", F.round(F.col("sharpness") + 1e-9, 5).alias("sharpness"))
+
+
+@R.query("pixels", sql="""
+WITH o AS (SELECT i, exp(-(i * i) / 4.5) AS g FROM (SELECT unnest(generate_series(-5, 5)) AS i)), k AS (SELECT a.i AS i, b.i AS j, a.g * b.g AS g FROM o a, o b),
+s AS (SELECT p.image, p.u, p.v, sum(k.g * q.r) / sum(k.g) AS a, sum(k.g * q.g_) / sum(k.g) AS b, sum(k.g * q.r * q.r) / sum(k.g) AS aa, sum(k.g * q.g_ * q.g_) / sum(k.g) AS bb, sum(k.g * q.r * q.g_) / sum(k.g) AS ab
+      FROM {pixels} p CROSS JOIN k JOIN (SELECT image, u, v, r, g AS g_ FROM {pixels}) q ON q.image = p.image AND q.u = p.u + k.i AND q.v = p.v + k.j GROUP BY p.image, p.u, p.v)
+SELECT image, round(avg((2 * a * b + 0.0001) * (2 * (ab - a * b) + 0.0009) / ((a * a + b * b + 0.0001) * ((aa - a * a) + (bb - b * b) + 0.0009))), 6) AS ssim FROM s GROUP BY image""")
 def ssim(pixels):
     return M.ssim(pixels, "r", "g").select("image", F.round("ssim", 6).alias("ssim"))
 
@@ -295,7 +331,10 @@ def gram_mse(vecs):
     return V.gram_mse(V.gram(g, "clip"), V.gram(g, "clip", True), "clip").select("clip", F.round("mse", 6).alias("mse"))
 
 
-@R.query("vecs")
+@R.query("vecs", sql="""
+WITH u AS (SELECT vec_id, i, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(generate_series(1, len(embedding))) AS i FROM {vecs})),
+l AS (SELECT a.vec_id AS image, b.vec_id AS text, round(sum(a.x * b.x) * exp(1.0), 6) AS logit FROM u a JOIN u b ON a.i = b.i WHERE a.vec_id >= 20 AND b.vec_id < 20 GROUP BY ALL)
+SELECT image, text, round(logit, 5) AS logit FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY logit DESC, text) AS k FROM l) WHERE k = 1""")
 def best_text(vecs):
     return V.best_text(vecs.where("vec_id >= 20"), vecs.where("vec_id < 20"), 1.0).select("image", "text", F.round("logit", 5).alias("logit"))
 
@@ -315,14 +354,39 @@ def vector_norms(vecs):
     return vecs.select("vec_id", F.round(F.sqrt(V.dot("embedding", "embedding")), 5).alias("norm"))
 
 
-@R.query("preds")
+_ROUND = "b{0} AS (SELECT sample, prototype, p / sum(p) OVER (PARTITION BY prototype) / 10 AS p FROM a{0}), a{1} AS (SELECT sample, prototype, p / sum(p) OVER (PARTITION BY sample) / n AS p FROM b{0}, n)"
+
+
+@R.query("preds", sql=f"""
+WITH n AS (SELECT count(DISTINCT q)::DOUBLE AS n FROM {{preds}}), a0 AS (SELECT q AS sample, cls AS prototype, exp((score - max(score) OVER ()) / 0.1) AS p FROM {{preds}}),
+{", ".join(_ROUND.format(i, i + 1) for i in range(3))} SELECT sample, prototype, round(p * n, 6) AS p FROM a3, n""")
 def sinkhorn(preds):
     return V.sinkhorn(preds.select(F.col("q").alias("sample"), F.col("cls").alias("prototype"), "score")).select("sample", "prototype", F.round("p", 6).alias("p"))
 
 
+@R.query("vecs", sql="""
+WITH e AS (SELECT vec_id // 10 AS clip, vec_id % 10 AS layer, unnest(embedding)::DOUBLE AS x, unnest(generate_series(1, len(embedding))) AS i, max(vec_id % 10) OVER (PARTITION BY vec_id // 10) AS top FROM {vecs}),
+m AS (SELECT clip, count(DISTINCT layer) AS n, max(i) AS d FROM e GROUP BY clip)
+SELECT clip, ((layer - top + least(n, 4) - 1) * d + i - 1)::BIGINT AS i, round(x, 6) AS x FROM e JOIN m USING (clip) WHERE layer > top - least(n, 4) UNION ALL SELECT clip, (least(n, 4) * d + i - 1)::BIGINT, round(avg(x), 6) FROM e JOIN m USING (clip) GROUP BY clip, i, n, d""")
+def composed_embeddings(vecs):
+    d = _clips(vecs).withColumn("layer", F.col("vec_id") % 10)
+    return V.compose_embedding(d, d, "clip", "layer", 4).select("clip", F.posexplode("embedding").alias("i", "x")).select("clip", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+def _folds(vecs):
+    """Fold 0 tests, fold 1 validates, the others train."""
+    return [vecs.where(c) for c in ("vec_id % 5 > 1", "vec_id % 5 = 1", "vec_id % 5 = 0")]
+
+
 @R.query("vecs")
 def logreg_sweep(vecs):
-    return V.logreg_sweep(vecs.where("vec_id % 5 > 1"), vecs.where("vec_id % 5 = 1"), [1e-2, 1.0, 1e2], 64)
+    return V.logreg_sweep(*_folds(vecs)[:2])
+
+
+@R.query("vecs")
+def logreg_refit(vecs):
+    train, val, test = _folds(vecs)
+    return V.logreg_refit(train, val, test, V.logreg_sweep(train, val)).select("vec_id", "label", "predicted")
 
 
 QUERIES, SQL = R.queries, R.sql

@@ -63,6 +63,12 @@ def panorama_mask(pixels):
     return pixels.where(G.panorama_mask(F.col("v"), F.col("gt"), 24) & (F.col("u") % 4 != 0)).select("image", "u", "v")
 
 
+@R.query("pixels", sql="SELECT image, u, v FROM {pixels} WHERE abs(90.0 - (v + 0.5) * (180.0 / 24)) <= 60 AND gt >= 0.4 AND gt < 10 AND r >= 0.5")
+def panorama_mask_external(pixels):
+    mask = F.when(F.col("r") >= 0.5, 255).otherwise(0)
+    return pixels.where(G.panorama_mask(F.col("v"), F.col("gt"), 24, external=mask)).select("image", "u", "v")
+
+
 @R.query("pixels", sql="SELECT image, u, v FROM {pixels} WHERE v >= 24 * 145 // 1024 AND v < 24 - 24 * 149 // 1024")
 def strip_mask(pixels):
     return pixels.where(G.strip_mask(F.col("v"), 24, 145, 149, 1024)).select("image", "u", "v")
@@ -128,11 +134,28 @@ def to_z_up(cloud):
 
 
 _MOD = "((({0}) % (2 * pi())) + 2 * pi()) % (2 * pi())"
+# a tilted camera: its quaternion is (0.6 cos yaw, 0.6 sin yaw, 0.48, 0.64)
+_AXIS = ("(2 * (0.6 * cos(yaw) * 0.48 + 0.6 * sin(yaw) * 0.64))", "(2 * (0.6 * sin(yaw) * 0.48 - 0.6 * cos(yaw) * 0.64))", "(1 - 2 * (0.36 * cos(yaw) * cos(yaw) + 0.36 * sin(yaw) * sin(yaw)))")
 
 
-@R.query("poses", sql=f"SELECT id, round(CASE WHEN kind IN ('BUILDING', 'MACHINERY') THEN {_MOD.format('yaw')} WHEN kind IN ('AUTOMOBILE', 'FURNITURE') THEN {_MOD.format('pi() / 2 - atan2(ty, tx + 0.5)')} ELSE 0.0 END, 6) AS heading FROM {{poses}}")
+@R.query("poses", sql=f"""
+SELECT id, round(CASE WHEN frame IN ('matterport', 'gibson') THEN pi() / 2 - atan2(-{_AXIS[1]}, -{_AXIS[0]}) WHEN frame = 'realsee' THEN pi() / 2 - atan2({_AXIS[2]}, {_AXIS[0]}) WHEN frame = 'structured3d_perspective' THEN atan2(-{_AXIS[1]}, -{_AXIS[0]}) ELSE 0.0 END + 1e-9, 6) AS heading,
+  tx AS x, CASE WHEN frame = 'realsee' THEN tz ELSE ty END AS y, CASE WHEN frame = 'realsee' THEN -ty ELSE tz END AS z FROM {{poses}}""")
 def pose_headings(poses):
-    return poses.select("id", F.round(G.pose_heading(F.col("kind"), F.col("yaw"), F.col("tx") + 0.5, F.col("ty")), 6).alias("heading"))
+    r = G.quat_rotation(0.6 * F.cos("yaw"), 0.6 * F.sin("yaw"), F.lit(0.48), F.lit(0.64))
+    at = G.pose_position(F.col("frame"), (F.col("tx"), F.col("ty"), F.col("tz")))
+    return poses.select("id", F.round(G.pose_heading(F.col("frame"), r) + 1e-9, 6).alias("heading"), *[c.alias(k) for k, c in zip("xyz", at)])
+
+
+@R.query("poses", sql="""
+SELECT id, round(((yaw * 3 + 0.1 + pi()) % (2 * pi()) + 2 * pi()) % (2 * pi()) - pi() + 1e-9, 6) AS wrapped, round(((pi() / 2 - atan2(ty, tx + 0.5)) % (2 * pi()) + 2 * pi()) % (2 * pi()) + 1e-9, 6) AS heading,
+  round(cos(yaw) * tx - sin(yaw) * ty + 1e-9, 6) AS x, round(sin(yaw) * tx + cos(yaw) * ty + 1e-9, 6) AS y, round(atan2(sin(yaw), cos(yaw)) + 1e-9, 6) AS turned FROM {poses}""")
+def sql_helpers(poses):
+    spark = poses.sparkSession
+    G.register_helpers(spark)
+    rotated = "quat_rotate(0, 0, sin(yaw / 2), cos(yaw / 2), array(tx, ty, tz))"
+    return spark.sql(f"""SELECT id, round(wrap_angle(yaw * 3 + 0.1) + 1e-9, 6) AS wrapped, round(heading_of(tx + 0.5, ty) + 1e-9, 6) AS heading, round({rotated}[0] + 1e-9, 6) AS x, round({rotated}[1] + 1e-9, 6) AS y,
+      round(quat_yaw(0, 0, sin(yaw / 2), cos(yaw / 2)) + 1e-9, 6) AS turned FROM {{poses}}""", poses=poses)
 
 
 _PREV = "(SELECT episode, step, x - lag(x) OVER (PARTITION BY episode ORDER BY step) AS dx, y - lag(y) OVER (PARTITION BY episode ORDER BY step) AS dy, tick, lag(tick) OVER (PARTITION BY episode ORDER BY step) AS t0 FROM {steps})"

@@ -9,6 +9,7 @@ from posegrid.operators import spatial as S
 from posegrid.operators.clouds import cell_components
 from posegrid.plans.register import Registry
 from posegrid.plans.space import _EDGES, _SAMPLES
+from posegrid.rand import sql_seeded
 
 R = Registry()
 _CLEAR = """rim AS (SELECT DISTINCT scene, gx + i AS gx, gy + j AS gy FROM {cells}, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)),
@@ -42,11 +43,15 @@ def _sources(cells):
     return cells.where("gx = 0 AND gy % 30 = 3").select("scene", F.struct("gx", "gy").alias("source"))
 
 
-@R.query("cells", sql=f"""
-WITH RECURSIVE {_EDGES.replace('near AS', 'near AS')}, arcs AS (SELECT scene, ax, ay, bx, by_, round(dist, 9) AS w FROM edges UNION ALL SELECT scene, bx, by_, ax, ay, round(dist, 9) FROM edges),
+def _walk(limit: float) -> str:
+    """Leading CTEs: t, the least distance from each source to the nodes within limit."""
+    return f"""WITH RECURSIVE {_EDGES}, arcs AS (SELECT scene, ax, ay, bx, by_, round(dist, 9) AS w FROM edges UNION ALL SELECT scene, bx, by_, ax, ay, round(dist, 9) FROM edges),
 walk(scene, sx, sy, x, y, d) AS (SELECT scene, gx, gy, gx, gy, 0.0::DOUBLE FROM {{cells}} WHERE gx = 0 AND gy % 30 = 3
-  UNION SELECT k.scene, sx, sy, bx, by_, round(d + w, 9) FROM walk k JOIN arcs a ON k.scene = a.scene AND x = ax AND y = ay WHERE d + w <= 4.0)
-SELECT scene, sx, sy, x, y, round(min(d), 6) AS dist FROM walk GROUP BY scene, sx, sy, x, y""")
+  UNION SELECT k.scene, sx, sy, bx, by_, round(d + w, 9) FROM walk k JOIN arcs a ON k.scene = a.scene AND x = ax AND y = ay WHERE d + w <= {limit}),
+t AS (SELECT scene, sx, sy, x, y, min(d) AS d FROM walk GROUP BY scene, sx, sy, x, y)"""
+
+
+@R.query("cells", sql=f"{_walk(4.0)} SELECT scene, sx, sy, x, y, round(d, 6) AS dist FROM t")
 def bounded_geodesics(cells):
     t = G.geodesic(_arcs(cells), _sources(cells), 4.0)
     return t.select("scene", F.col("source.gx").alias("sx"), F.col("source.gy").alias("sy"), F.col("node.gx").alias("x"), F.col("node.gy").alias("y"), F.round("dist", 6).alias("dist"))
@@ -62,17 +67,20 @@ def least_cost_paths(cells):
     return p.groupBy("scene", F.col("source.gx").alias("sx"), F.col("source.gy").alias("sy")).agg(F.count("*").alias("nodes"))
 
 
-@R.query("cells")
+@R.query("cells", sql=f"""{_walk(6.0)} SELECT scene, sy, x, y, round(d, 6) AS dist FROM (
+  SELECT *, row_number() OVER (PARTITION BY scene, sx, sy ORDER BY {sql_seeded(3, 'scene', 'sx', 'sy', 'x', 'y')}, x, y) AS k FROM t WHERE d >= 4.0) WHERE k <= 2""")
 def starts_in_band(cells):
     t = G.geodesic(_arcs(cells), _sources(cells), 6.0)
     d = G.draw_starts(t, 4.0, 6.0, 2, 3)
     return d.select("scene", F.col("source.gy").alias("sy"), F.col("node.gx").alias("x"), F.col("node.gy").alias("y"), F.round("dist", 6).alias("dist"))
 
 
-@R.query("cells")
+@R.query("cells", sql=f"""{_walk(8.0)}, e AS (SELECT *, sqrt((sx - x) * (sx - x) + (sy - y) * (sy - y)) AS euclid FROM t)
+SELECT scene, sy, x * 100 + y AS obj, round(euclid, 6) AS euclid, round(d, 6) AS dist FROM e WHERE euclid <= 6.0 AND d <= 1.5 * greatest(euclid, 1.0)""")
 def reachable_objects(cells):
+    """One object on every cell."""
     t = G.geodesic(_arcs(cells), _sources(cells), 8.0)
-    objects = cells.where("(gx * 7 + gy) % 29 = 0").select("scene", (F.col("gx") * 100 + F.col("gy")).alias("obj"), "gx", "gy")
+    objects = cells.select("scene", (F.col("gx") * 100 + F.col("gy")).alias("obj"), "gx", "gy")
     out = G.reachable_objects(objects, cells, t, 6.0)
     return out.select("scene", F.col("source.gy").alias("sy"), "obj", F.round("euclid", 6).alias("euclid"), F.round("dist", 6).alias("dist"))
 
@@ -90,16 +98,23 @@ def linked_customers(orders):
     return components.connected_components(edges).where("node < 1000000000").select(F.col("node").alias("c_custkey"), "component")
 
 
+def _places(*names):
+    return [F.col(f"{c}.{k}").alias(f"{c}_{k}") for c in names for k in ("gx", "gy")]
+
+
 @R.query("cells")
 def drawn_tasks(cells):
-    t = G.draw_tasks(cells, _arcs(cells), 2, 5, 3.0, 6.0)
-    return t.select("scene", "round", F.col("start.gx").alias("sx"), F.col("start.gy").alias("sy"), F.col("goal.gx").alias("gx"), F.col("goal.gy").alias("gy"), F.round("dist", 6).alias("dist"))
+    t = G.draw_tasks(cells, _arcs(cells), 2, 5)
+    return t.select("scene", "round", "style", "low", "high", *_places("start", "goal"), F.round("dist", 6).alias("dist"))
 
 
-@R.query("cells")
-def episode_plan(cells):
-    t = G.draw_tasks(cells, _arcs(cells), 1, 6, 3.0, 6.0)
-    return G.episode_plan(t, ["brief", "detailed", "landmark"], 7).select("scene", "round", "style", "episode_id", F.round("dist", 6).alias("dist"))
+@R.query("cells", "objects")
+def episode_plan(cells, objects):
+    things = objects.select("scene", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("obj"), "cls", (F.col("x_cm") / 5).alias("gx"), (F.col("y_cm") / 5).alias("gy"))
+    arcs = _arcs(cells)
+    p = G.episode_plan(G.draw_tasks(cells, arcs, 1, 6), cells, arcs, things, 7)
+    nodes = F.array_join(F.transform("path", lambda n: F.concat_ws(":", n.gx, n.gy)), " ").alias("path")
+    return p.select("scene", "round", "style", "low", "high", *_places("start", "goal"), F.round("dist", 6).alias("dist"), nodes, "target", "phrase", "episode_id")
 
 
 QUERIES, SQL = R.queries, R.sql

@@ -146,6 +146,14 @@ def bucket_draws(sources):
     return S.bucket_draw(sources.select("episode"), "episode", 12)
 
 
+@R.query("sources", sql=f"""
+WITH s AS (SELECT episode, CASE episode % 3 WHEN 0 THEN 'r2r' WHEN 1 THEN 'reverie' ELSE 'demand' END AS style, {_u(12, 'episode')} AS u FROM {{sources}}), k AS (SELECT *, CASE WHEN style = 'r2r' THEN 1.0 ELSE 0.5 END AS k FROM s)
+SELECT episode, style, (CASE WHEN u < 0.2 THEN 3.0 WHEN u < 0.5 THEN 6.0 ELSE 10.0 END * k)::DOUBLE AS low, (CASE WHEN u < 0.2 THEN 6.0 WHEN u < 0.5 THEN 10.0 ELSE 15.0 END * k)::DOUBLE AS high FROM k""")
+def scaled_bucket_draws(sources):
+    style = F.element_at(F.array(*map(F.lit, S.STYLE_SCALES)), (F.col("episode") % 3 + 1).cast("int"))
+    return S.bucket_draw(sources.select("episode", style.alias("style")), "episode", 12, "style")
+
+
 @R.query("objects", sql=f"""
 WITH c AS (SELECT cls, count(*) AS n FROM {{objects}} WHERE scene < 3 GROUP BY cls), near AS (SELECT scene, cls, min(x_cm + y_cm) AS d FROM {{objects}} WHERE cls <> 'PROMO' GROUP BY ALL),
 w AS (SELECT near.*, 1.0 / (coalesce(n, 0) + 1.0) AS w FROM near LEFT JOIN c ON near.cls = c.cls), t AS (SELECT *, sum(w) OVER (PARTITION BY scene ORDER BY cls ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(w) OVER (PARTITION BY scene) AS up FROM w)

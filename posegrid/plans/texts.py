@@ -18,6 +18,22 @@ def frame_manifest(files):
     return S.flat_manifest(files).select("scene", "uuid")
 
 
+_FRAMES = "p AS (SELECT regexp_extract(path, '^(scene_[0-9]+)/', 1) AS scene, regexp_extract(path, '/([0-9]+)_', 1) AS uuid, regexp_extract(path, '_(rgb|depth|pose)$', 1) AS part FROM {files})"
+
+
+@R.query("files", sql=f"WITH {_FRAMES} SELECT scene, uuid, concat(scene, '/color/', uuid, '.jpg') AS rgb, concat(scene, '/depth/', uuid, '.png') AS depth, concat(scene, '/pose/', uuid, '.txt') AS pose FROM p GROUP BY scene, uuid HAVING count(DISTINCT part) = 3")
+def sequence_manifest(files):
+    part = F.regexp_extract("path", "_(rgb|depth|pose)$", 1)
+    stem = F.regexp_replace(F.regexp_replace("path", "_(rgb|depth|pose)$", ""), "/", F.concat(F.lit("/"), F.when(part == "rgb", "color").otherwise(part), F.lit("/")))
+    return S.sequence_manifest(files.select(F.concat(stem, F.when(part == "rgb", ".jpg").when(part == "depth", ".png").otherwise(".txt")).alias("path")))
+
+
+@R.query("files", sql=f"WITH {_FRAMES} SELECT scene, uuid, concat(scene, '/', uuid, '.color.jpg') AS rgb, concat(scene, '/', uuid, '.depth.pgm') AS depth, concat(scene, '/', uuid, '.pose.txt') AS pose FROM p GROUP BY scene, uuid HAVING count(DISTINCT part) = 3")
+def triplet_manifest(files):
+    path = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", "_rgb$", ".color.jpg"), "_depth$", ".depth.pgm"), "_pose$", ".pose.txt")
+    return S.triplet_manifest(files.select(path.alias("path")))
+
+
 @R.query("files", sql="SELECT DISTINCT regexp_extract(path, '^scene_([0-9]+)/', 1) AS scene FROM {files}")
 def list_scenes(files):
     return S.list_scenes(files, "^scene_([0-9]+)/")
@@ -168,9 +184,12 @@ def class_groups(objects):
     return objects.groupBy("scene", X.class_group(F.col("cls"), ("STANDARD", "SMALL", "MEDIUM")).alias("grp")).agg(F.count("*").alias("n"))
 
 
-@R.query("chat")
+@R.query("chat", sql="""
+WITH t AS (SELECT conv_id, turn, unnest(l) AS tok, unnest(generate_series(1, len(l))) AS i FROM (SELECT conv_id, turn, string_split(concat('a <s> ', coalesce(text, ''), ' </s> b'), ' ') AS l FROM {chat})),
+m AS (SELECT *, coalesce(max(CASE WHEN tok = '<s>' THEN i END) OVER w, 0) AS s, coalesce(max(CASE WHEN tok = '</s>' THEN i END) OVER w, 0) AS e FROM t WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i))
+SELECT conv_id, turn, string_agg(CASE WHEN tok NOT IN ('<s>', '</s>') AND s > e THEN tok ELSE '_' END, ' ' ORDER BY i) AS marked FROM m GROUP BY conv_id, turn""")
 def marked_spans(chat):
-    tokens = F.split(F.concat(F.lit("a <s> "), F.substring("text", 1, 30), F.lit(" </s> b")), " ")
+    tokens = F.split(F.concat(F.lit("a <s> "), F.coalesce("text", F.lit("")), F.lit(" </s> b")), " ")
     return chat.select("conv_id", "turn", X.marked_spans(tokens, "<s>", "</s>").alias("m")).select("conv_id", "turn", F.array_join("m", " ", "_").alias("marked"))
 
 

@@ -29,6 +29,32 @@ def room_manifest(files: DataFrame) -> DataFrame:
     return pano.unionByName(p.where("path LIKE '%/perspective/%'").select("room", "path", F.lit("perspective").alias("kind"), F.lit(False).alias("trainable")))
 
 
+def sequence_manifest(files: DataFrame) -> DataFrame:
+    """scene, uuid, rgb, depth, pose: frames of scenes with the folders color, depth and pose, named by
+    the file's name up to its first dot. Colour images are jpg, depths png, poses txt; frames that
+    lack a part are dropped."""
+    kinds = {"color": ("jpg", "rgb"), "depth": ("png", "depth"), "pose": ("txt", "pose")}
+    found = F.lit(None).cast("string")
+    for folder, (ending, part) in kinds.items():
+        found = F.when(F.col("path").rlike(f"(^|/){folder}/[^/]+[.]{ending}$"), part).otherwise(found)
+    d = files.select("path", found.alias("_part"), F.regexp_extract("path", "^(.*?)/?[^/]+/[^/]+$", 1).alias("scene"), F.substring_index(F.substring_index("path", "/", -1), ".", 1).alias("uuid"))
+    return _complete(d)
+
+
+def triplet_manifest(files: DataFrame) -> DataFrame:
+    """scene, uuid, rgb, depth, pose: frames written as one prefix with .color.jpg, .depth.pgm and
+    .pose.txt in one folder, which is the scene; frames that lack a part are dropped."""
+    found = F.when(F.col("path").endswith(".color.jpg"), "rgb").when(F.col("path").endswith(".depth.pgm"), "depth").when(F.col("path").endswith(".pose.txt"), "pose")
+    name = F.substring_index("path", "/", -1)
+    return _complete(files.select("path", found.alias("_part"), F.regexp_extract("path", "^(.*?)/?[^/]+$", 1).alias("scene"), F.regexp_replace(name, "[.][^.]*[.][^.]*$", "").alias("uuid")))
+
+
+def _complete(parts: DataFrame) -> DataFrame:
+    """The frames that have all parts, one row each; the least path where a part is there twice."""
+    each = [F.min(F.when(F.col("_part") == p, F.col("path"))).alias(p) for p in ("rgb", "depth", "pose")]
+    return parts.where("_part IS NOT NULL").groupBy("scene", "uuid").agg(*each).where("rgb IS NOT NULL AND depth IS NOT NULL AND pose IS NOT NULL")
+
+
 def ordinal_manifest(files: DataFrame, poses: DataFrame, group: str = "scene", order: str = "path", line: str = "line") -> DataFrame:
     """Sorted files of a scene paired with its pose lines by place; the shorter side decides."""
     a = files.withColumn("i", F.row_number().over(Window.partitionBy(group).orderBy(order)))

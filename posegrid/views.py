@@ -50,7 +50,8 @@ VIEWS = {
       SELECT l_orderkey AS image, l_partkey % 100 AS cx, l_suppkey AS cy, 1 + l_quantity AS w, 1 + l_linenumber AS h, l_discount + l_tax AS score, l_returnflag AS cls, l_partkey, l_suppkey, l_linenumber, l_extendedprice AS price
       FROM {lineitem}""",
     "poses": """
-      SELECT c_custkey AS id, CAST(c_nationkey AS DOUBLE) AS tx, c_acctbal / 100 AS ty, CAST(c_nationkey % 5 AS DOUBLE) AS tz, (c_custkey % 360) * pi() / 180 AS yaw, c_mktsegment AS kind
+      SELECT c_custkey AS id, CAST(c_nationkey AS DOUBLE) AS tx, c_acctbal / 100 AS ty, CAST(c_nationkey % 5 AS DOUBLE) AS tz, (c_custkey % 360) * pi() / 180 AS yaw, c_mktsegment AS kind,
+             CASE c_mktsegment WHEN 'BUILDING' THEN 'matterport' WHEN 'MACHINERY' THEN 'gibson' WHEN 'AUTOMOBILE' THEN 'realsee' WHEN 'FURNITURE' THEN 'structured3d_perspective' ELSE 'other' END AS frame
       FROM {customer}""",
     "sources": "SELECT c_mktsegment AS source, c_nationkey AS scene, c_custkey AS episode FROM {customer}",
     "chat": "SELECT conv_id, turn, role, text FROM {conversations}",
