@@ -10,10 +10,12 @@ about 1e-9 a pair no link is missed. The order puts shingles often seen in a sam
 keeps buckets small; any order gives the same result.
 
 Equal sets are one class from the start, and classes already joined are not compared again. In a
-bucket of more than SMALL classes each is only paired with its nearest in other groups, first four,
-then 32, 256 and so on in further rounds over the buckets that had more, until none has: a group of
-thousands of near copies is joined in one or two rounds without all its pairs. Buckets of more than
-HOT classes are cut into blocks, and each two blocks meet in a task of their own.
+bucket of more than SMALL classes each is only paired with its nearest in other groups, first one,
+then 8, 64 and so on in further rounds over the buckets that had more, until none has. Of the pairs
+met, each class first tests its nearest over all buckets; pairs that this has joined are dropped, and
+of the rest each class tests its next 4, 16 and so on until none is left. So a group of thousands of
+near copies is joined by a few tests a class, and no link between groups goes untested. Buckets of
+more than HOT classes are cut into blocks, and each two blocks meet in a task of their own.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from posegrid.llm import kernels as K
@@ -111,7 +113,7 @@ def _alike(shingle: int, seed: int, t: float):
 
 def _meetings(t: float, nearest: int):
     """Pairs a, b of one bucket (rows sorted by key, sub and n) in different parts, whose sizes and
-    prints allow t; and the keys of buckets in which a class had more than `nearest` of them."""
+    prints allow t, with the bits they are apart; and the keys of buckets in which a class had more than `nearest` of them."""
 
     def solve(n: np.ndarray, cls: np.ndarray, part: np.ndarray, bits: np.ndarray, more: np.ndarray) -> tuple[list[tuple], bool]:
         found: list[tuple] = []
@@ -132,16 +134,17 @@ def _meetings(t: float, nearest: int):
             other, apart = other[near], apart[near]
             if m > SMALL and len(other) > nearest:
                 cut = True
-                other = other[np.lexsort((cls[other], apart))[:nearest]]
+                first = np.lexsort((cls[other], apart))[:nearest]
+                other, apart = other[first], apart[first]
             if len(other):
-                found.append((np.full(len(other), cls[i]), cls[other]))
+                found.append((np.full(len(other), cls[i]), cls[other], apart))
         return found, cut
 
-    def packed(found: list[tuple[np.ndarray, np.ndarray]], again: list[int]) -> pa.RecordBatch:
-        a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-        a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    def packed(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], again: list[int]) -> pa.RecordBatch:
+        a, b, apart = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        a, b, apart = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), apart]), axis=1)
         none = pa.nulls(len(again), pa.int64())
-        cols = {"a": pa.concat_arrays([pa.array(a), none]), "b": pa.concat_arrays([pa.array(b), none]), "key": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(again, pa.int64())])}
+        cols = {"a": pa.concat_arrays([pa.array(a), none]), "b": pa.concat_arrays([pa.array(b), none]), "apart": pa.concat_arrays([pa.array(apart), none]), "key": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(again, pa.int64())])}
         return pa.RecordBatch.from_pydict(cols)
 
     def buckets(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -152,7 +155,7 @@ def _meetings(t: float, nearest: int):
         for a, m in zip(at[:-1][size > 1].tolist(), size[size > 1].tolist()):
             pairs, cut = solve(*(x[a : a + m] for x in (n, cls, part, bits, more)))
             found += pairs
-            many += sum(len(x) for x, _ in pairs)
+            many += sum(len(x) for x, _, _ in pairs)
             if cut:
                 again.append(int(key[a]))
             if many > SLICE:
@@ -217,9 +220,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tested = materialise(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(near).distinct(), "set-star")
     links = verified(tested)
     # then all that meet in a prefix and aren't joined yet
-    nearest, again = 4, None
+    parts = connected_components(links).toDF("cls", "part")
+    nearest, again = 1, None
     while True:
-        parts = connected_components(links).toDF("cls", "part")
         keyed = classes.join(parts, "cls", "left").select(F.explode("keys").alias("key"), "n", "cls", F.coalesce("part", "cls").alias("part"), "bits", "more")
         if again is not None:
             keyed = keyed.join(again, "key", "left_semi")
@@ -230,15 +233,21 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             keyed = keyed.join(large, "key", "left").withColumn("own", F.expr("pmod(xxhash64(cls), coalesce(blocks, 1))"))
             keyed = keyed.withColumn("sub", F.expr("explode(transform(sequence(0, coalesce(blocks, 1) - 1), j -> least(own, j) * coalesce(blocks, 1) + greatest(own, j)))"))
         dealt = keyed.select("key", "sub", "n", "cls", "part", "bits", "more").repartition("key", "sub").sortWithinPartitions("key", "sub", "n")
-        met = materialise(dealt.mapInArrow(_meetings(least, nearest), "a long, b long, key long").distinct(), "set-pairs")
-        pairs = met.where("key IS NULL").select("a", "b").join(tested, ["a", "b"], "left_anti")
-        again = met.where("key IS NOT NULL").select("key")
-        links = materialise(links.unionByName(verified(materialise(pairs, "set-new"))), "set-links")
+        met = materialise(dealt.mapInArrow(_meetings(least, nearest), "a long, b long, apart long, key long").distinct(), "set-pairs")
+        waiting = materialise(met.where("key IS NULL").select("a", "b", "apart").join(tested, ["a", "b"], "left_anti"), "set-waiting")
+        again, most = met.where("key IS NOT NULL").select("key"), 1
+        while not waiting.isEmpty():
+            ranks = [waiting.withColumn("_k", F.row_number().over(Window.partitionBy(c).orderBy("apart", "a", "b"))).where(F.col("_k") <= most) for c in "ab"]
+            pairs = materialise(ranks[0].unionByName(ranks[1]).select("a", "b").distinct(), "set-new")
+            links = materialise(links.unionByName(verified(pairs)), "set-links")
+            tested = materialise(tested.unionByName(pairs), "set-tested")
+            parts = connected_components(links).toDF("cls", "part")
+            ends = waiting.join(pairs, ["a", "b"], "left_anti").join(parts.toDF("a", "_p"), "a", "left").join(parts.toDF("b", "_q"), "b", "left")
+            waiting = materialise(ends.where("coalesce(_p, a) <> coalesce(_q, b)").select("a", "b", "apart"), "set-waiting")
+            most *= 4
         if again.isEmpty():
             break
-        tested = tested.unionByName(met.where("key IS NULL").select("a", "b"))
         nearest *= 8
-    parts = connected_components(links).toDF("cls", "part")
     named = names.join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
     named = named.join(named.groupBy("part").agg(F.min("least").alias("component_id")), "part").select("cls", "component_id")
     return own.select("id", "cls").join(named, "cls").select(F.col("id").alias(id_col), "component_id")
