@@ -1,21 +1,22 @@
 """Near copies by the exact Jaccard similarity of shingle sets, on top of SimHash.
 
 64 bits can't tell texts that are 0.8 alike from strangers by 3 bits: about 10 differ. SimHash's
-deletion variants therefore join what is nearly equal, and each of these links is verified on the
-sets. The rest meets by prefixes: with all shingles in one fixed order, two sets at least t alike
-share one of the first n - ceil(t n) + 1 of their n shingles. What meets is compared by a second,
-longer SimHash of 128 bits (at most REACH may differ, where 0.8 alike gives 19.4 +- 4.1; for sets
-under FEW shingles REACH_FEW), and what is left is verified on the sets. So but for a chance of
-about 1e-9 a pair no link is missed. The order puts shingles often seen in a sample last, which
-keeps buckets small; any order gives the same result.
-
-Equal sets are one class from the start, and classes already joined are not compared again. In a
-bucket of more than SMALL classes each is only paired with its nearest in other groups, first one,
-then 8, 64 and so on in further rounds over the buckets that had more, until none has. Of the pairs
-met, each class first tests its nearest over all buckets; pairs that this has joined are dropped, and
-of the rest each class tests its next 4, 16 and so on until none is left. So a group of thousands of
-near copies is joined by a few tests a class, and no link between groups goes untested. Buckets of
-more than HOT classes are cut into blocks, and each two blocks meet in a task of their own.
+deletion variants find what is nearly equal. The rest meets by prefixes: with all shingles in one
+fixed order, two sets at least t alike share one of the first n - ceil(t n) + 1 of their n shingles.
+What meets is compared by a second, longer SimHash of 128 bits (at most REACH may differ, where 0.8
+alike gives 19.4 +- 4.1; for sets under FEW shingles REACH_FEW). So but for a chance of about 1e-9 a
+pair no link is missed. The order puts shingles often seen in a sample last, which keeps buckets
+small; any order gives the same result.
+
+Equal sets are one class from the start. A bucket gives a spanning forest of what meets in it, not
+its pairs; the components of all forests are families, which no link leaves. The texts of a family
+come together once, and all its pairs are compared on the sets: intersections are counted by a
+matrix product over its commonest shingles and by lists of holders for the others. Only a forest of
+the links leaves a task.
+
+Buckets of more than HOT classes are cut into blocks, and each two blocks meet in a task of their
+own. A family of more than BLOCK shingles is cut into blocks too, each with the same few pivots,
+which joins most of it; then what is outside of the family's largest group meets every block.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posegrid.llm import kernels as K
@@ -34,7 +35,8 @@ from posegrid.operators.components import connected_components
 from posegrid.session import materialise, ship
 
 SAMPLE, OFTEN, LISTED, SLICE = 2_000, 4, 200_000, 1 << 16
-REACH, REACH_FEW, FEW, SMALL, HOT = 44, 56, 64, 8, 10_000
+REACH, REACH_FEW, FEW, HOT = 44, 56, 64, 10_000
+BLOCK, PIVOTS, DENSE, CELLS = 1 << 20, 64, 1024, 1 << 22
 
 
 def _sets(column: pa.ChunkedArray, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,90 +88,50 @@ def _sampled(shingle: int, seed: int):
     return run
 
 
-def _named(shingle: int, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in K.chunks(batches):
-            yield pa.RecordBatch.from_pydict({"cls": _names(*_sets(table["text"], shingle, seed)), "text": table["text"].combine_chunks()})
-
-    return run
-
-
-def _alike(shingle: int, seed: int, t: float):
-    """The pairs a, b whose texts p, q have sets at least t alike."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in K.chunks(batches, text="p"):
-            (g, x), (h, y) = (_sets(table[c], shingle, seed) for c in ("p", "q"))
-            keep = []
-            for i in range(table.num_rows):
-                one, two = g[x[i] : x[i + 1]], h[y[i] : y[i + 1]]
-                shared = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(shared >= t * (len(one) + len(two) - shared) - 1e-9)
-            kept = table.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).combine_chunks()
-            yield from kept.rename_columns(["src", "dst"]).to_batches()
-
-    return run
-
-
-def _meetings(t: float, nearest: int):
-    """Pairs a, b of one bucket (rows sorted by key, sub and n) in different parts, whose sizes and
-    prints allow t, with the bits they are apart; and the keys of buckets in which a class had more than `nearest` of them."""
-
-    def solve(n: np.ndarray, cls: np.ndarray, part: np.ndarray, bits: np.ndarray, more: np.ndarray) -> tuple[list[tuple], bool]:
-        found: list[tuple] = []
-        if (part == part[0]).all():
-            return found, False
-        m, cut = len(n), False
-        bits, more = bits.view(np.uint64), more.view(np.uint64)  # bits of signed numbers are counted by absolute value
-        to = np.searchsorted(n, n / t + 1e-6, "right")
-        since = np.searchsorted(n, n * t - 1e-6, "left")
-        for i in range(m):
-            # in a small bucket each pair once; in a large one each class needs its own nearest
-            other = np.arange(i + 1 if m <= SMALL else since[i], to[i])
-            other = other[part[other] != part[i]]
-            if not len(other):
-                continue
-            apart = np.bitwise_count(bits[other] ^ bits[i]).astype(np.int64) + np.bitwise_count(more[other] ^ more[i])
-            near = apart <= np.where(np.minimum(n[other], n[i]) >= FEW, REACH, REACH_FEW)
-            other, apart = other[near], apart[near]
-            if m > SMALL and len(other) > nearest:
-                cut = True
-                first = np.lexsort((cls[other], apart))[:nearest]
-                other, apart = other[first], apart[first]
-            if len(other):
-                found.append((np.full(len(other), cls[i]), cls[other], apart))
-        return found, cut
-
-    def packed(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], again: list[int]) -> pa.RecordBatch:
-        a, b, apart = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
-        a, b, apart = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), apart]), axis=1)
-        none = pa.nulls(len(again), pa.int64())
-        cols = {"a": pa.concat_arrays([pa.array(a), none]), "b": pa.concat_arrays([pa.array(b), none]), "apart": pa.concat_arrays([pa.array(apart), none]), "key": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(again, pa.int64())])}
-        return pa.RecordBatch.from_pydict(cols)
+def _met(t: float):
+    """Edges src, dst of a forest of what meets in each bucket (rows sorted by key and sub): classes
+    whose sizes and prints allow a similarity of t. dst is the least class of its tree."""
+
+    def near(n: np.ndarray, bits: np.ndarray, more: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        apart = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64) + np.bitwise_count(more[i] ^ more[j])
+        low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        return (apart <= np.where(low >= FEW, REACH, REACH_FEW)) & (low >= t * high - 1e-9)
+
+    def trees(m: int, n: np.ndarray, bits: np.ndarray, more: np.ndarray) -> Iterator[list[int]]:
+        left = np.arange(m)
+        while len(left) > 1:
+            front, left = [int(left[0])], left[1:]
+            tree = list(front)
+            while front and len(left):
+                hit = near(n, bits, more, np.array([front.pop()]), left)
+                found, left = left[hit].tolist(), left[~hit]
+                tree += found
+                front += found
+            if len(tree) > 1:
+                yield tree
 
     def buckets(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key, sub, n, cls, part, bits, more = rows
+        key, sub, n, cls, bits, more = rows
+        bits, more = bits.view(np.uint64), more.view(np.uint64)  # bits of signed numbers are counted by absolute value
         at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (sub[1:] != sub[:-1]), [True])))
         size = np.diff(at)
-        found, again, many = [], [], 0
-        for a, m in zip(at[:-1][size > 1].tolist(), size[size > 1].tolist()):
-            pairs, cut = solve(*(x[a : a + m] for x in (n, cls, part, bits, more)))
-            found += pairs
-            many += sum(len(x) for x, _, _ in pairs)
-            if cut:
-                again.append(int(key[a]))
-            if many > SLICE:
-                yield packed(found, again)
-                found, again, many = [], [], 0
-        if found or again:
-            yield packed(found, again)
+        two = at[:-1][size == 2]
+        two = two[near(n, bits, more, two, two + 1)]
+        src, dst = [np.maximum(cls[two], cls[two + 1])], [np.minimum(cls[two], cls[two + 1])]
+        for a, m in zip(at[:-1][size > 2].tolist(), size[size > 2].tolist()):
+            for tree in trees(m, n[a : a + m], bits[a : a + m], more[a : a + m]):
+                ids = np.sort(cls[a : a + m][tree])
+                src.append(ids[1:])
+                dst.append(np.full(len(ids) - 1, ids[0]))
+        u, v = np.unique(np.stack([np.concatenate(src), np.concatenate(dst)]), axis=1)
+        yield from pa.Table.from_pydict({"src": u, "dst": v}).to_batches(SLICE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([batch.column(c).to_numpy() for c in range(7)])
+            rows = np.stack([batch.column(c).to_numpy() for c in range(6)])
             last = (rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])
             cut = int(np.argmax(last))
             if held and (cut or (held[-1][:2, -1] != rows[:2, 0]).any()):
@@ -184,7 +146,67 @@ def _meetings(t: float, nearest: int):
     return run
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, seed: int = 42, sample: int = SAMPLE, hot: int = HOT) -> DataFrame:
+def _joined(sets: list[np.ndarray], t: float) -> np.ndarray:
+    """A label for each set: the first set it is joined with over pairs at least t alike."""
+    m, n = len(sets), np.array([len(x) for x in sets], np.int64)
+    label = np.arange(m)
+    row = np.repeat(label, n)
+    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, col = row[count[col] > 1], col[count[col] > 1]
+    # the commonest shingles are columns of a matrix; each other has a list of its holders
+    common = np.argsort(-count, kind="stable")[:DENSE]
+    common = common[count[common] > 64]
+    place = np.full(len(count), -1)
+    place[common] = np.arange(len(common))
+    dense = place[col] >= 0
+    x = np.zeros((m, len(common)), np.float32)
+    x[row[dense], place[col[dense]]] = 1
+    row, col = row[~dense], col[~dense]
+    holders, many = row[np.argsort(col, kind="stable")], np.bincount(col, minlength=len(count))
+    start = np.cumsum(many) - many
+    work = np.cumsum(np.bincount(row, weights=many[col], minlength=m) + m) // CELLS
+    ends = np.append(np.flatnonzero(work[1:] != work[:-1]) + 1, m)
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        own = slice(*np.searchsorted(row, [a, b]))
+        times = many[col[own]]
+        other = holders[np.repeat(start[col[own]] - np.cumsum(times) + times, times) + np.arange(times.sum())]
+        shared = np.bincount(np.repeat(row[own] - a, times) * m + other, minlength=(b - a) * m).reshape(b - a, m) + x[a:b] @ x.T
+        alike = shared >= t * (n[a:b, None] + n - shared) - 1e-9
+        for i in range(a, b):
+            met = label[alike[i - a]]
+            if (met != label[i]).any():
+                label[np.isin(label, met)] = met.min()
+    return label
+
+
+def _links(shingle: int, seed: int, t: float):
+    """Edges src, dst of a forest of the pairs of classes at least t alike in each block of a family
+    (rows sorted by family and sub)."""
+
+    def forest(held: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        names = np.array([x for x, _ in held], np.int64)
+        root = names[_joined([x for _, x in held], t)] if len(held) > 1 else names
+        return names[names != root], root[names != root]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for table in K.chunks(batches):
+            h, offs = _sets(table["text"], shingle, seed)
+            names, out = _names(h, offs).tolist(), []
+            for i, at in enumerate(zip(table["family"].to_pylist(), table["sub"].to_pylist())):
+                if at != last:
+                    out.append(forest(held))
+                    held, last = [], at
+                held.append((names[i], h[offs[i] : offs[i + 1]].copy()))
+            src, dst = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+            yield pa.RecordBatch.from_pydict({"src": src, "dst": dst})
+        src, dst = forest(held)
+        yield pa.RecordBatch.from_pydict({"src": src, "dst": dst})
+
+    return run
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, seed: int = 42, sample: int = SAMPLE, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """id and component_id: the smallest id reachable over pairs whose sets of shingles have a
     Jaccard similarity of at least `least`, the row's own included, one row per row with an id.
 
@@ -201,53 +223,50 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = materialise(rows.mapInArrow(_prefixes(shingle, seed, least, often), "id long, cls long, n long, bits long, more long, keys array<long>"), "sets")
     one = F.first(F.struct("n", "bits", "more", "keys")).alias("x")
     classes = materialise(own.groupBy("cls").agg(F.min("id").alias("least"), one).select("cls", "least", "x.*"), "set-classes")
-    names = classes.select("cls", "least")
-    repeated = own.count() > own.select("id").distinct().count()
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        held = names.join(ends, "cls", "left_semi").select(F.col("least").alias("id")).distinct()
-        texts = rows.join(held, "id", "left_semi").mapInArrow(_named(shingle, seed), "cls long, text string")
-        texts = materialise(texts.dropDuplicates(["cls"]) if repeated else texts, "set-texts")
-        both = pairs.join(texts.toDF("a", "p"), "a").join(texts.toDF("b", "q"), "b").select("a", "b", "p", "q")
-        return materialise(both.mapInArrow(_alike(shingle, seed, least), "src long, dst long"), "set-links")
-
-    # first what SimHash's deletion variants link
+    names = classes.select("cls", "least", "n")
+
+    # what SimHash's deletion variants link
     first = classes.groupBy("bits").agg(F.min("cls").alias("rep"))
-    star = classes.join(first, "bits").where("cls <> rep").select(F.col("rep").alias("a"), F.col("cls").alias("b"))
+    star = classes.join(first, "bits").where("cls <> rep").select(F.col("cls").alias("src"), F.col("rep").alias("dst"))
     near = simhash.hamming_links(first.select("bits"))
-    near = near.join(first.toDF("src", "a"), "src").join(first.toDF("dst", "b"), "dst").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tested = materialise(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(near).distinct(), "set-star")
-    links = verified(tested)
-    # then all that meet in a prefix and aren't joined yet
-    parts = connected_components(links).toDF("cls", "part")
-    nearest, again = 1, None
-    while True:
-        keyed = classes.join(parts, "cls", "left").select(F.explode("keys").alias("key"), "n", "cls", F.coalesce("part", "cls").alias("part"), "bits", "more")
-        if again is not None:
-            keyed = keyed.join(again, "key", "left_semi")
-        large = materialise(keyed.groupBy("key").count().where(f"count > {hot}").selectExpr("key", f"cast(ceil(count / {hot}) as int) AS blocks"), "set-hot")
-        if large.isEmpty():
-            keyed = keyed.withColumn("sub", F.lit(0).cast("long"))
-        else:
-            keyed = keyed.join(large, "key", "left").withColumn("own", F.expr("pmod(xxhash64(cls), coalesce(blocks, 1))"))
-            keyed = keyed.withColumn("sub", F.expr("explode(transform(sequence(0, coalesce(blocks, 1) - 1), j -> least(own, j) * coalesce(blocks, 1) + greatest(own, j)))"))
-        dealt = keyed.select("key", "sub", "n", "cls", "part", "bits", "more").repartition("key", "sub").sortWithinPartitions("key", "sub", "n")
-        met = materialise(dealt.mapInArrow(_meetings(least, nearest), "a long, b long, apart long, key long").distinct(), "set-pairs")
-        waiting = materialise(met.where("key IS NULL").select("a", "b", "apart").join(tested, ["a", "b"], "left_anti"), "set-waiting")
-        again, most = met.where("key IS NOT NULL").select("key"), 1
-        while not waiting.isEmpty():
-            ranks = [waiting.withColumn("_k", F.row_number().over(Window.partitionBy(c).orderBy("apart", "a", "b"))).where(F.col("_k") <= most) for c in "ab"]
-            pairs = materialise(ranks[0].unionByName(ranks[1]).select("a", "b").distinct(), "set-new")
-            links = materialise(links.unionByName(verified(pairs)), "set-links")
-            tested = materialise(tested.unionByName(pairs), "set-tested")
-            parts = connected_components(links).toDF("cls", "part")
-            ends = waiting.join(pairs, ["a", "b"], "left_anti").join(parts.toDF("a", "_p"), "a", "left").join(parts.toDF("b", "_q"), "b", "left")
-            waiting = materialise(ends.where("coalesce(_p, a) <> coalesce(_q, b)").select("a", "b", "apart"), "set-waiting")
-            most *= 4
-        if again.isEmpty():
-            break
-        nearest *= 8
+    near = near.join(first.toDF("src", "a"), "src").join(first.toDF("dst", "b"), "dst").select("a", "b")
+    # what meets in a prefix
+    keyed = classes.select(F.explode("keys").alias("key"), "n", "cls", "bits", "more")
+    large = materialise(keyed.groupBy("key").count().where(f"count > {hot}").selectExpr("key", f"cast(ceil(count / {hot}) as int) AS blocks"), "set-hot")
+    if large.isEmpty():
+        keyed = keyed.withColumn("sub", F.lit(0).cast("long"))
+    else:
+        keyed = keyed.join(large, "key", "left").withColumn("own", F.expr("pmod(xxhash64(cls), coalesce(blocks, 1))"))
+        keyed = keyed.withColumn("sub", F.expr("explode(transform(sequence(0, coalesce(blocks, 1) - 1), j -> least(own, j) * coalesce(blocks, 1) + greatest(own, j)))"))
+    dealt = keyed.select("key", "sub", "n", "cls", "bits", "more").repartition("key", "sub").sortWithinPartitions("key", "sub")
+    met = dealt.mapInArrow(_met(least), "src long, dst long")
+    edges = materialise(star.unionByName(near.toDF("src", "dst")).unionByName(met).distinct(), "set-edges")
+    families = materialise(names.join(connected_components(edges).toDF("cls", "family"), "cls"), "set-families")
+
+    def links(members: DataFrame) -> DataFrame:
+        """Links of the texts of members (least, family, sub) that come together."""
+        texts = rows.join(members.select(F.col("least").alias("id"), "family", "sub"), "id").select("family", "sub", "text")
+        return materialise(texts.repartition("family", "sub").sortWithinPartitions("family", "sub").mapInArrow(_links(shingle, seed, least), "src long, dst long"), "set-links")
+
+    sizes = families.groupBy("family").agg(F.sum("n").alias("_n"), F.count("*").alias("many")).selectExpr("family", "many", f"cast(greatest(1, ceil(_n / {block})) as int) AS blocks")
+    sizes = materialise(sizes.where("blocks > 1"), "set-sizes")
+    if sizes.isEmpty():
+        parts = links(families.withColumn("sub", F.lit(0).cast("long"))).distinct().toDF("cls", "part")
+    else:
+        cut = families.join(sizes, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.expr("pmod(xxhash64(cls), blocks)"))
+        pivot = f"blocks > 1 AND pmod(xxhash64(cls, 1), many) < {PIVOTS}"
+        found = links(cut.withColumn("sub", F.expr(f"explode(CASE WHEN {pivot} THEN sequence(0L, blocks - 1L) ELSE array(own) END)")))
+        parts = connected_components(found).toDF("cls", "part")
+        # what is outside of a family's largest group meets all of the family
+        cut = materialise(cut.where("blocks > 1").join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls")), "set-cut")
+        most = cut.groupBy("family", "part").count().groupBy("family").agg(F.max_by("part", F.struct("count", "part")).alias("most"))
+        stray = cut.join(most, "family").where("part <> most")
+        lots = stray.groupBy("family").agg(F.sum("n").alias("_n")).selectExpr("family", f"cast(ceil(_n / {block}) as long) AS lots")
+        every = "explode(transform(sequence(0L, {} - 1), j -> {}))"
+        one = stray.join(lots, "family").withColumn("sub", F.expr(every.format("blocks", "pmod(xxhash64(cls, 2), lots) * blocks + j")))
+        two = cut.join(lots, "family").withColumn("sub", F.expr(every.format("lots", "j * blocks + own")))
+        again = links(one.select("least", "family", "sub").unionByName(two.select("least", "family", "sub")).distinct())
+        parts = connected_components(found.unionByName(again)).toDF("cls", "part")
     named = names.join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
     named = named.join(named.groupBy("part").agg(F.min("least").alias("component_id")), "part").select("cls", "component_id")
     return own.select("id", "cls").join(named, "cls").select(F.col("id").alias(id_col), "component_id")

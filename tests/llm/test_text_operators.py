@@ -7,6 +7,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -110,7 +111,7 @@ def test_similar_groups_are_those_of_all_pairs(spark):
     rows = []
     for g in range(12):
         base = [rng.choice(tell) for _ in range(rng.choice([12, 60, 150]) if g != 5 else 170)]
-        for k in range(14 if g == 5 else 6):  # one group of more than SMALL
+        for k in range(14 if g == 5 else 6):
             edited = list(base)
             for _ in range(k if k < 6 else 3):
                 edited[rng.randrange(len(edited))] = "edited"
@@ -140,12 +141,37 @@ def test_similar_groups_are_those_of_all_pairs(spark):
     want = sorted((i, least[find(a)]) for a, (i, _) in enumerate(sets))
     docs = spark.createDataFrame(rows, DOC)
     assert unequal > 10
-    for sample, hot in ((4000, similar_sets.HOT), (5, 4)):
-        got = sorted((r.doc_id, r.component_id) for r in similar_sets.similar_groups(docs, sample=sample, hot=hot).collect())
+    for sample, hot, block in ((4000, similar_sets.HOT, similar_sets.BLOCK), (5, 4, 300)):
+        got = sorted((r.doc_id, r.component_id) for r in similar_sets.similar_groups(docs, sample=sample, hot=hot, block=block).collect())
         assert got == want
     assert similar_sets.similar_groups(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_joined_sets_are_those_of_all_pairs(monkeypatch):
+    from posegrid.llm import similar_sets
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 120).astype(np.uint64)
+    sets = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+    for _ in range(150):
+        own = base.copy()
+        edits = int(rng.integers(5, 22))
+        own[rng.choice(120, edits, replace=False)] = rng.integers(0, 60, edits) + 7
+        sets.append(np.unique(own))
+    want = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            if shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared) - 1e-9 and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    assert 3 < len(set(want)) < 150
+    for cells, dense in ((1 << 22, 1024), (2000, 1024), (2000, 5)):
+        monkeypatch.setattr(similar_sets, "CELLS", cells)
+        monkeypatch.setattr(similar_sets, "DENSE", dense)
+        assert similar_sets._joined(sets, 0.8).tolist() == want
+
+
 def test_near_dedup_stage_drops_texts_that_are_0_8_alike(spark):
     import corpus_pipeline
 
