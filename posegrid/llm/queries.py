@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posegrid.llm import bpe, decontamination, licenses, order_minhash, pii, quality, simhash, substring_dedup, toxicity, url_filter
+from posegrid.llm import bpe, centroids, decontamination, licenses, order_minhash, pii, quality, simhash, substring_dedup, token_counts, toxicity, url_filter, whitening
 from posegrid.llm.labelled import held_out
 
 
@@ -75,7 +75,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality, op3_bpe, op4_decontamination, op5_licenses, op6_order_minhash, op7_url_filter, op8_pii, op9_simhash, op10_toxicity)}
+def piece_model(path: str | None = None) -> bytes:
+    """Bytes of a sentencepiece model; by default the public one of 32,000 pieces."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_read(spark, sf_dir, "embeddings"), k=40)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_read(spark, sf_dir, "documents").select("doc_id", "text"), piece_model())
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality, op3_bpe, op4_decontamination, op5_licenses, op6_order_minhash, op7_url_filter, op8_pii, op9_simhash, op10_toxicity, op11_centroids, op12_token_counts, op13_whitening)}
 
 #: Exact for tables of the size of the correctness check; windows are compared as text.
 OP1_SQL = r"""
@@ -93,4 +115,4 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT A
 FROM words d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
-ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op7_url_filter": url_filter.SQL}
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op7_url_filter": url_filter.SQL, "op11_centroids": centroids.sql()}
