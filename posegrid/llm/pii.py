@@ -6,6 +6,8 @@ patterns and instances, a pattern's confidence in a kind is the mean score of th
 instances it was met with, smoothed, once `min_seeds` of them are seeds; a candidate of fitting
 shape scores by its patterns' confidences. Candidates that score at least `accept` are seeds of
 the next round, so patterns that only they induce are found too, until a round accepts no more.
+As seeds are only ever added, confidences and scores never fall: once the number of accepted values
+stays, so does everything else, and the last round is the fixed point.
 
 Places are prefix sums over the pieces of a text, taken in blocks; words around an instance are
 looked up by index. So the work for a text is nearly in proportion to its length.
@@ -16,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from posegrid.session import materialise
+from posegrid.session import discard, materialise
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, ACCEPT, MIN_SEEDS, SMOOTH, SALTS = 10, 0.8, 5, 1.0, 16
+ACCEPT, MIN_SEEDS, SMOOTH = 0.8, 5, 1.0
+#: Instances of a pattern that one task takes; a pattern with more is dealt to several.
+HOT = 100_000
 #: Possessive repeats and look-behinds change no match of the plain patterns; they keep the search linear and its stack flat.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -134,36 +138,46 @@ def _candidates(rows: DataFrame) -> DataFrame:
     return known.unionByName(free).selectExpr("id", "h", "start", "end", "value", "seed", patterns)
 
 
-def _accepted(items: DataFrame, rounds: int, accept: float, min_seeds: int) -> DataFrame:
-    """value and rank of kind of the candidates that rounds of turns over the graph accept."""
-    n = range(len(KINDS))
+def _graph(items: DataFrame, hot: int) -> DataFrame:
+    """value, pattern, kind (rank of a seed's kind, or null) and salt: the instances of a pattern
+    that holds over `hot` of them are dealt to as many salts as they fill."""
     kinds = items.groupBy("value").agg(F.max("seed").alias("kind"))
-    edges = items.select("value", F.explode("patterns").alias("pattern")).distinct()
-    graph = materialise(edges.join(kinds, "value"), "pii-graph")
-    scores, before = None, 0
-    for _ in range(rounds):
-        marks = graph if scores is None else graph.join(scores, "value", "left")
-        own = lambda k: F.when(F.col("kind").isNotNull(), (F.col("kind") == k).cast("double")).otherwise(F.lit(0.0) if scores is None else F.coalesce(f"s{k}", F.lit(0.0)))  # noqa: E731, B023
-        trust = marks.groupBy("pattern").agg(F.count("*").alias("n"), *[F.sum(own(k)).alias(f"t{k}") for k in n], *[F.count(F.when(own(k) >= accept, 1)).alias(f"q{k}") for k in n])
+    edges = materialise(items.select("value", F.explode("patterns").alias("pattern")).distinct().join(kinds, "value"), "pii-edges")
+    large = edges.groupBy("pattern").count().where(F.col("count") > hot).select("pattern", F.ceil(F.col("count") / hot).alias("salts"))
+    salt = F.expr("cast(pmod(xxhash64(value), coalesce(salts, 1L)) as int)")
+    graph = materialise(edges.join(large, "pattern", "left").select("value", "pattern", "kind", salt.alias("salt")), "pii-graph")
+    discard(edges)
+    return graph
+
+
+def _accepted(graph: DataFrame, accept: float, min_seeds: int, hot: int) -> DataFrame:
+    """A table of value and rank of kind of the candidates that are accepted at the fixed point."""
+    n = range(len(KINDS))
+    accepted, before = None, -1
+    while True:
+        marks = graph if accepted is None else graph.join(accepted, "value", "left")
+        own = lambda k: (F.col("kind") == k) if accepted is None else F.coalesce(F.col("kind") == k, F.array_contains("ranks", k))  # noqa: E731, B023
+        trust = marks.groupBy("pattern").agg(F.count("*").alias("n"), *[F.count(F.when(own(k), 1)).alias(f"q{k}") for k in n])
         trust = trust.where(F.greatest(*[F.col(f"q{k}") for k in n]) >= min_seeds)
-        trust = trust.select("pattern", *[F.when(F.col(f"q{k}") >= min_seeds, F.col(f"t{k}") / (F.col("n") + SMOOTH)).otherwise(0.0).alias(f"c{k}") for k in n])
-        # one pattern may hold a large part of all candidates: it is dealt to SALTS tasks
-        trust = trust.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        told = graph.where("kind IS NULL").withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int")).join(trust, ["pattern", "salt"])
+        salts = F.sequence(F.lit(0), F.greatest(F.lit(0), (F.ceil(F.col("n") / hot) - 1).cast("int")))
+        trust = trust.select("pattern", F.explode(salts).alias("salt"), *[F.when(F.col(f"q{k}") >= min_seeds, F.col(f"q{k}") / (F.col("n") + SMOOTH)).otherwise(0.0).alias(f"c{k}") for k in n])
+        told = graph.where("kind IS NULL").join(trust, ["pattern", "salt"])
         told = told.groupBy("value").agg(*[F.sum(F.log(1.0 - F.least(F.col(f"c{k}"), F.lit(0.999999)))).alias(f"l{k}") for k in n])
-        told = told.select("value", *[F.when(F.col("value").rlike(_SHAPE[kind]), 1.0 - F.exp(f"l{k}")).otherwise(0.0).alias(f"s{k}") for k, kind in enumerate(KINDS)])
-        scores = materialise(told.where(F.greatest(*[F.col(f"s{k}") for k in n]) > 0), "pii-scores")
-        now = scores.where(F.greatest(*[F.col(f"s{k}") for k in n]) >= accept).count()
-        if now == before:
-            break
-        before = now
-    if scores is None:
-        return kinds.where("false").select("value", F.lit(0).alias("rank"))
-    best = F.greatest(*[F.col(f"s{k}") for k in n])
-    return scores.where(best >= accept).select("value", (F.array_position(F.array(*[f"s{k}" for k in n]), best) - 1).cast("int").alias("rank"))
-
-
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, accept: float = ACCEPT, min_seeds: int = MIN_SEEDS, keep: tuple[str, ...] = ()) -> DataFrame:
+        scores = [F.when(F.col("value").rlike(_SHAPE[kind]), F.round(1.0 - F.exp(f"l{k}"), 9)).otherwise(0.0).alias(f"s{k}") for k, kind in enumerate(KINDS)]
+        told = told.select("value", *scores)
+        best = F.greatest(*[F.col(f"s{k}") for k in n])
+        ranks = F.array_compact(F.array(*[F.when(F.col(f"s{k}") >= accept, k) for k in n]))
+        told = told.where(best >= accept).select("value", (F.array_position(F.array(*[f"s{k}" for k in n]), best) - 1).cast("int").alias("rank"), ranks.alias("ranks"))
+        now = materialise(told, "pii-accepted")
+        if accepted is not None:
+            discard(accepted)
+        accepted, count = now, now.agg(F.count("*"), F.sum(F.size("ranks"))).first()
+        if count == before or not count[0]:
+            return accepted
+        before = count
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT, min_seeds: int = MIN_SEEDS, keep: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
     """id, base and spans (arrays of start, rank, end in code points; rank is the kind's place in
     KINDS), and the columns in keep, one row per input row. spans has base and what the method added.
 
@@ -173,8 +187,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep])
     rows = rows.withColumn("h", F.xxhash64("text")).withColumn("spans", base_spans("text"))
     items = materialise(_candidates(rows.select("id", "h", "text", "spans")), "pii-items")
-    new = items.where("seed IS NULL").join(_accepted(items, rounds, accept, min_seeds), "value")
+    graph = _graph(items, hot)
+    accepted = _accepted(graph, accept, min_seeds, hot)
+    new = items.where("seed IS NULL").join(accepted.select("value", "rank"), "value")
     new = materialise(new.groupBy("id", "h").agg(F.collect_set(F.struct("start", "rank", "end")).alias("more")), "pii-new")
+    for table in (items, graph, accepted):
+        discard(table)
     base = rows.select("id", "h", F.expr("transform(spans, x -> named_struct('start', x.start, 'rank', x.rank, 'end', x.end))").alias("base"), *[f"kept_{c}" for c in keep])
     out = base.join(new, base["id"].eqNullSafe(new["id"]) & (base["h"] == new["h"]), "left").drop(new["id"]).drop(new["h"])
     every = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))
