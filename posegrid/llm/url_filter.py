@@ -4,9 +4,10 @@ Under each host, paths form a tree of segments. Variable segments (with digits,
 wildcards. Then, level by level from the top, the children of each node are compared: a child's
 evidence is its URLs that rules judge, and one vote of each domain that has judged URLs under the
 same path; a child whose share of blocked ones doesn't differ from that of its siblings by more
-than two standard errors becomes a wildcard too, as does one without evidence and a rare child of a
-node with many. The children of merged siblings are pooled before the next level is compared, so
-branches merge at inner nodes as well. What is left are templates. A template's share of blocked
+than two standard errors becomes a wildcard too, as does one without evidence. The children of
+merged siblings are pooled before the next level is compared, so branches merge at inner nodes as
+well. A path that is alone under its node has no siblings further down, so it leaves the comparison
+there: levels go on to the deepest branch, however deep that is. What is left are templates. A template's share of blocked
 URLs on its host is smoothed towards that of the URL's own path over all domains, where each domain
 has one vote, so one large site does not decide for others. Templates with a smoothed share of at
 least `reject` are blocked.
@@ -17,10 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from posegrid.session import materialise
+from posegrid.session import discard, materialise
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DEPTH, SMOOTH, REJECT, MANY, RARE = 6, 2.0, 0.7, 50, 3
+SMOOTH, REJECT = 2.0, 0.7
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -42,53 +43,65 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return (none, none) if name is None else (name, verdict)
 
 
-def segments_of(path: Column, depth: int = DEPTH) -> Column:
-    """The path's segments, lower-cased, with variable ones as *, and all beyond depth as one *."""
+def segments_of(path: Column) -> Column:
+    """The path's segments, lower-cased, with variable ones as *."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    shaped = F.transform(F.slice(segments, 1, depth), lambda s: F.when(s.rlike("[0-9]") | (F.length(s) > 24), F.lit("*")).otherwise(F.lower(s)))
-    return F.concat(shaped, F.when(F.size(segments) > depth, F.array(F.lit("*"))).otherwise(F.array().cast("array<string>")))
-
-
-def _grown(leaves: DataFrame, depth: int) -> DataFrame:
-    """leaves (host, domain, segs, n, bad, known) with template, the tree merged down to depth."""
-    cur = leaves.withColumn("template", F.lit(""))
-    for level in range(1, depth + 1):
-        at = cur.withColumn("seg", F.get("segs", F.lit(level - 1))).withColumn("path", F.array_join(F.slice("segs", 1, level), "/"))
-        here = at.where("seg IS NOT NULL")
-        votes = here.groupBy("domain", "path").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known")).where("known > 0")
+    return F.transform(segments, lambda s: F.when(s.rlike("[0-9]") | (F.length(s) > 24), F.lit("*")).otherwise(F.lower(s)))
+
+
+def _grown(leaves: DataFrame) -> DataFrame:
+    """leaves (host, domain, segs, n, bad, known) with template, the tree merged at every level."""
+    names = [*leaves.columns, "template"]
+    done, cur, level = [], leaves.withColumn("template", F.lit("")), 0
+    while True:
+        # a leaf alone in its node, or at its end, keeps what is left of its path
+        beside = cur.groupBy("host", "template").agg((F.count("*") > 1).alias("many"))
+        split = cur.join(beside, ["host", "template"]).withColumn("open", F.col("many") & (F.size("segs") > level))
+        split = materialise(split.select(*names, "open"), "url-split")
+        if level:
+            discard(cur)
+        rest = F.expr(f"transform(slice(segs, {level + 1}, size(segs)), s -> concat('/', s))")
+        done.append(split.where("NOT open").withColumn("template", F.concat("template", F.array_join(rest, ""))).select(names))
+        here = split.where("open").drop("open")
+        if here.isEmpty():
+            break
+        level += 1
+        here = here.withColumn("seg", F.get("segs", F.lit(level - 1))).withColumn("path", F.array_join(F.slice("segs", 1, level), "/"))
+        deep = leaves.where((F.size("segs") >= level) & (F.col("known") > 0)).withColumn("path", F.array_join(F.slice("segs", 1, level), "/"))
+        votes = deep.groupBy("domain", "path").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known"))
         votes = votes.groupBy("path").agg(F.round(F.sum(F.col("bad") / F.col("known")), 9).alias("votes"), F.count("*").alias("voters"))
-        own = here.groupBy("host", "template", "seg", "path").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("known").alias("known")).join(votes, "path", "left")
-        child = own.groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.round(F.sum("bad") + F.sum(F.coalesce("votes", F.lit(0.0))), 6).alias("bad"), (F.sum("known") + F.sum(F.coalesce("voters", F.lit(0)))).alias("known"))
+        own = here.groupBy("host", "template", "seg", "path").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known")).join(votes, "path", "left")
+        child = own.groupBy("host", "template", "seg").agg(F.round(F.sum("bad") + F.sum(F.coalesce("votes", F.lit(0.0))), 6).alias("bad"), (F.sum("known") + F.sum(F.coalesce("voters", F.lit(0)))).alias("known"))
         parent = child.groupBy("host", "template").agg(F.count("*").alias("children"), F.round(F.sum("bad"), 6).alias("all_bad"), F.sum("known").alias("all_known"))
         both = child.join(parent, ["host", "template"])
         share = (F.col("all_bad") + 1.0) / (F.col("all_known") + 2.0)
-        mine, rest = F.nullif(F.col("known"), F.lit(0)), F.nullif(F.col("all_known") - F.col("known"), F.lit(0))
-        apart = F.col("bad") / mine - (F.col("all_bad") - F.col("bad")) / rest
-        alike = F.coalesce(apart * apart <= 4.0 * share * (1.0 - share) * (1.0 / mine + 1.0 / rest), F.lit(True))
-        rare = (F.col("children") > MANY) & (F.col("n") <= RARE)
-        named = both.select("host", "template", "seg", F.when((F.col("children") > 1) & (alike | rare), F.lit("*")).otherwise(F.col("seg")).alias("to"))
+        mine, others = F.nullif(F.col("known"), F.lit(0)), F.nullif(F.col("all_known") - F.col("known"), F.lit(0))
+        apart = F.col("bad") / mine - (F.col("all_bad") - F.col("bad")) / others
+        alike = F.coalesce(apart * apart <= 4.0 * share * (1.0 - share) * (1.0 / mine + 1.0 / others), F.lit(True))
+        named = both.select("host", "template", "seg", F.when((F.col("children") > 1) & alike, F.lit("*")).otherwise(F.col("seg")).alias("to"))
         below = here.join(named, ["host", "template", "seg"]).withColumn("template", F.concat("template", F.lit("/"), "to"))
-        cur = materialise(below.select(cur.columns).unionByName(at.where("seg IS NULL").select(cur.columns)), "url-tree")
-    return cur
+        cur = materialise(below.select(names), "url-tree")
+    tree = done[0]
+    for more in done[1:]:
+        tree = tree.unionByName(more)
+    return tree
 
 
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, smooth: float = SMOOTH, reject: float = REJECT, depth: int = DEPTH) -> DataFrame:
+def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, smooth: float = SMOOTH, reject: float = REJECT) -> DataFrame:
     """id, host, path, rule, template, blocked_share and verdict for every row.
 
     The verdict is the rule's, else block where the template's smoothed share of blocked URLs is
-    at least `reject`, else allow. The tree has `depth` levels and one more wildcard for all that is
-    deeper. Null URLs and URLs without :// have empty host and path and the template /. Repeated
+    at least `reject`, else allow. Null URLs and URLs without :// have empty host and path and the template /. Repeated
     rows count as often as they come. Empty tables give empty results; columns other than the two
     named are not read.
     """
     host, path = split_url(F.coalesce(F.col(url_col), F.lit("")))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     name, said = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", name).withColumn("said", said).withColumn("segs", segments_of(F.col("path"), depth))
+    rows = rows.withColumn("rule", name).withColumn("said", said).withColumn("segs", segments_of(F.col("path")))
     leaves = rows.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count(F.when(F.col("said") == "block", 1)).alias("bad"), F.count("said").alias("known"))
     leaves = materialise(leaves.withColumn("domain", F.regexp_extract("host", "([^.]*\\.?[^.]*)$", 1)), "url-leaves")
-    deepest = leaves.agg(F.max(F.size("segs"))).first()[0] or 0  # at most depth + 1
-    tree = _grown(leaves, deepest)
+    tree = _grown(leaves)
     own = tree.groupBy("host", "template").agg(F.sum("bad").alias("used_bad"), F.sum("known").alias("used"))
     votes = leaves.where("known > 0").groupBy("domain", "segs").agg((F.sum("bad") / F.sum("known")).alias("vote"))
     votes = votes.groupBy("segs").agg(F.round(F.sum("vote"), 9).alias("votes"), F.count("*").alias("voters"))
@@ -101,29 +114,10 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     return out.select(F.col("page_id").alias(id_col), "host", "path", "rule", template.alias("template"), "blocked_share", verdict.alias("verdict"))
 
 
-def _level(k: int) -> str:
-    """SQL of one level of the tree: t{k} from t{k - 1}."""
-    return f"""
-at{k} AS (SELECT *, segs[{k}] AS seg, array_to_string(segs[1:{k}], '/') AS path FROM t{k - 1}),
-votes{k} AS (
-  SELECT path, round(sum(bad / known), 9) AS votes, count(*) AS voters FROM (
-    SELECT domain, path, sum(bad)::DOUBLE AS bad, sum(known)::DOUBLE AS known FROM at{k} WHERE seg IS NOT NULL GROUP BY ALL HAVING sum(known) > 0) GROUP BY ALL),
-child{k} AS (
-  SELECT host, template, seg, sum(n) AS n, round(sum(bad)::DOUBLE + sum(coalesce(votes, 0)), 6) AS bad, (sum(known) + sum(coalesce(voters, 0)))::DOUBLE AS known FROM (
-    SELECT host, template, seg, path, sum(n) AS n, sum(bad) AS bad, sum(known) AS known FROM at{k} WHERE seg IS NOT NULL GROUP BY ALL) LEFT JOIN votes{k} USING (path) GROUP BY ALL),
-parent{k} AS (SELECT host, template, count(*) AS children, round(sum(bad), 6) AS all_bad, sum(known) AS all_known FROM child{k} GROUP BY ALL),
-named{k} AS (
-  SELECT host, template, seg, CASE WHEN children > 1 AND (coalesce(
-    pow(bad / nullif(known, 0) - (all_bad - bad) / nullif(all_known - known, 0), 2) <= 4.0 * ((all_bad + 1.0) / (all_known + 2.0)) * (1.0 - (all_bad + 1.0) / (all_known + 2.0)) * (1.0 / nullif(known, 0) + 1.0 / nullif(all_known - known, 0)), true)
-    OR children > {MANY} AND n <= {RARE}) THEN '*' ELSE seg END AS to_ FROM child{k} JOIN parent{k} USING (host, template)),
-t{k} AS (
-  SELECT a.host, a.domain, a.segs, a.n, a.bad, a.known, a.template || '/' || m.to_ AS template FROM at{k} a JOIN named{k} m ON a.host = m.host AND a.template = m.template AND a.seg = m.seg
-  UNION ALL SELECT host, domain, segs, n, bad, known, template FROM at{k} WHERE seg IS NULL),"""
-
-
-#: The same in DuckDB's SQL, for the default rules and numbers.
+#: The same in DuckDB's SQL, for the default rules and numbers: one turn of the recursion a level.
+#: A window row marked rp, rd or rc is the first of its path, domain and path, or child: sums take these.
 SQL = f"""
-WITH cut AS (
+WITH RECURSIVE cut AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (
   SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_UPPER.lower()}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
@@ -135,17 +129,35 @@ ruled AS (
          list_filter(string_split(path, '/'), lambda s: s <> '') AS raw FROM parts),
 rows_ AS (
   SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS said,
-         list_concat(list_transform(raw[1:{DEPTH}], lambda s: CASE WHEN regexp_matches(s, '[0-9]') OR length(s) > 24 THEN '*' ELSE lower(s) END), CASE WHEN len(raw) > {DEPTH} THEN ['*'] ELSE [] END) AS segs FROM ruled),
+         list_transform(raw, lambda s: CASE WHEN regexp_matches(s, '[0-9]') OR length(s) > 24 THEN '*' ELSE lower(s) END) AS segs FROM ruled),
 leaves AS (
   SELECT host, regexp_extract(host, '([^.]*\\.?[^.]*)$', 1) AS domain, segs, count(*) AS n, count(CASE WHEN said = 'block' THEN 1 END) AS bad, count(said) AS known FROM rows_ GROUP BY ALL),
-t0 AS (SELECT *, '' AS template FROM leaves),{"".join(_level(k) for k in range(1, DEPTH + 2))}
-own AS (SELECT host, template, sum(bad) AS used_bad, sum(known) AS used FROM t{DEPTH + 1} GROUP BY ALL),
+t AS (
+  SELECT 0 AS k, host, domain, segs, n, bad, known, '' AS template FROM leaves
+  UNION ALL
+  SELECT k + 1, host, domain, segs, n, bad, known, template || '/' || CASE WHEN children > 1 AND coalesce(
+      pow(c_bad / nullif(c_known, 0) - (all_bad - c_bad) / nullif(all_known - c_known, 0), 2) <= 4.0 * ((all_bad + 1.0) / (all_known + 2.0)) * (1.0 - (all_bad + 1.0) / (all_known + 2.0)) * (1.0 / nullif(c_known, 0) + 1.0 / nullif(all_known - c_known, 0)), true) THEN '*' ELSE seg END
+  FROM (
+    SELECT *, sum(CASE WHEN rc = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY host, template) AS children, round(sum(CASE WHEN rc = 1 THEN c_bad ELSE 0.0 END) OVER (PARTITION BY host, template), 6) AS all_bad,
+           sum(CASE WHEN rc = 1 THEN c_known ELSE 0.0 END) OVER (PARTITION BY host, template) AS all_known
+    FROM (
+      SELECT *, row_number() OVER (PARTITION BY host, template, seg) AS rc,
+             round((sum(bad) OVER (PARTITION BY host, template, seg))::DOUBLE + sum(CASE WHEN rp = 1 THEN coalesce(votes, 0.0) ELSE 0.0 END) OVER (PARTITION BY host, template, seg), 6) AS c_bad,
+             (sum(known) OVER (PARTITION BY host, template, seg) + sum(CASE WHEN rp = 1 THEN voters ELSE 0 END) OVER (PARTITION BY host, template, seg))::DOUBLE AS c_known
+      FROM (
+        SELECT *, row_number() OVER (PARTITION BY host, template, seg, path) AS rp, round(sum(CASE WHEN rd = 1 AND d_known > 0 THEN d_bad / d_known END) OVER (PARTITION BY path), 9) AS votes,
+               sum(CASE WHEN rd = 1 AND d_known > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY path) AS voters
+        FROM (
+          SELECT *, row_number() OVER (PARTITION BY domain, path) AS rd, (sum(bad) OVER (PARTITION BY domain, path))::DOUBLE AS d_bad, (sum(known) OVER (PARTITION BY domain, path))::DOUBLE AS d_known
+          FROM (SELECT *, segs[k + 1] AS seg, array_to_string(segs[1:k + 1], '/') AS path FROM t WHERE len(segs) > k) w1) w2) w3) w4) w5),
+tree AS (SELECT * FROM t WHERE k = len(segs)),
+own AS (SELECT host, template, sum(bad) AS used_bad, sum(known) AS used FROM tree GROUP BY ALL),
 votes AS (
   SELECT segs, round(sum(vote), 9) AS votes, count(*) AS voters FROM (
     SELECT domain, segs, sum(bad)::DOUBLE / sum(known) AS vote FROM leaves WHERE known > 0 GROUP BY ALL) GROUP BY ALL),
 judged AS (
   SELECT t.host, t.segs, round((used_bad + {SMOOTH} * (coalesce(votes, 0.0) + {SMOOTH} * 0.5) / (coalesce(voters, 0) + {SMOOTH})) / (used + {SMOOTH}), 9) AS share
-  FROM t{DEPTH + 1} t JOIN own o ON t.host = o.host AND t.template = o.template LEFT JOIN votes v ON t.segs = v.segs)
+  FROM tree t JOIN own o ON t.host = o.host AND t.template = o.template LEFT JOIN votes v ON t.segs = v.segs)
 SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.said, CASE WHEN j.share >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict
 FROM rows_ r JOIN judged j ON r.host = j.host AND r.segs = j.segs
 """
