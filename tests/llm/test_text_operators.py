@@ -419,6 +419,18 @@ def test_url_tree_merges_at_inner_nodes(spark):
     assert got["/news/home/3"].verdict == "allow" and got["/news/home/3"].template.startswith("/news/")
 
 
+def test_url_tree_reaches_any_depth(spark):
+    top = "/a/b/c/d/e/f/g/h"
+    rules = (("block", "a.com", f"{top}/old/"), ("allow", "a.com", f"{top}/new/"), ("block", "b.org", f"{top}/old/"), ("allow", "b.org", f"{top}/new/"))
+    urls = [f"http://{host}{top}/{seg}/x{k}" for host in ("a.com", "b.org") for seg in ("old", "new") for k in range(30)]
+    # 60 rare children of one node are judged by evidence, as few children are; a third domain follows the two others
+    urls += [f"http://a.com{top}/new/{'abcdefghij'[k // 6]}{'klmnop'[k % 6]}/y" for k in range(60)] + [f"http://c.net{top}/old/z1", f"http://c.net{top}/new/z1"]
+    got = {(r.host, r.path): r for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()}
+    assert got["a.com", f"{top}/old/x1"].template == f"{top}/old/*" and got["a.com", f"{top}/new/x1"].template == f"{top}/new/*"
+    assert {got["a.com", f"{top}/new/{'abcdefghij'[k // 6]}{'klmnop'[k % 6]}/y"].template for k in range(60)} == {f"{top}/new/*/y"}
+    assert got["c.net", f"{top}/old/z1"].verdict == "block" and got["c.net", f"{top}/new/z1"].verdict == "allow"
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -470,6 +482,17 @@ def test_pii_accepted_instances_seed_new_patterns(spark):
     assert all(got[i] == [(16, 3, 24)] for i in (*range(200, 208), *range(300, 303))) and got[400] == []
 
 
+def test_pii_follows_a_chain_of_contexts_to_its_end(spark):
+    hops, rows = 14, []
+    for k in range(hops + 1):  # the numbers of hop k stand in its own context and in that of hop k + 1
+        for i in range(6):
+            number = f"{600 + k}-{k:02d}{i}-{1000 + i}" if k else f"+1 415 555 01{i:02d}"
+            for c, v in itertools.product((k, k + 1), ("side", "line")):  # half of a context's numbers are known, so it takes four patterns
+                rows.append((len(rows), f"we reach {'qrstuvwxyzabcdef'[c]}{v} at{c}{v} {number} then{c}{v} stop now".replace(f"{c}{v} ", f"{'abcdefghijklmnop'[c]}{v} ")))
+    got = {r.doc_id: [s.rank for s in r.spans] for r in pii.find_pii(spark.createDataFrame(rows, DOC), hot=4).collect()}
+    assert all(got[i] == [pii.KINDS.index("phone")] for i, _ in rows)
+
+
 def test_pii_contexts_of_spans_within_tokens(spark):
     rows = spark.createDataFrame([(1, "one two (a@b.c) three", 5), (2, "x 4111 1111 1111 1111, y9", 6)], "id long, text string, h long").withColumn("spans", pii.base_spans("text"))
     got = {(r.id, r.value): list(r.patterns) for r in pii._candidates(rows).collect()}
