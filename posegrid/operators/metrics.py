@@ -220,24 +220,6 @@ def merge_logs(rows: DataFrame) -> DataFrame:
     return rows.where("scene IS NOT NULL AND episode IS NOT NULL").withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def first_seen(objects: DataFrame, radius: float, order: list[str]) -> DataFrame:
-    """Detections kept when later ones of the same class within radius of a kept one are dropped.
-    Greedy in the given order, so one group for each (scene, cls)."""
-    import numpy as np
-    import pandas as pd
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        p = pdf[["x", "y", "z"]].to_numpy(float)
-        kept: list[int] = []
-        for i in range(len(p)):
-            if not kept or (((p[kept] - p[i]) ** 2).sum(1) > radius * radius).all():
-                kept.append(i)
-        return pdf.iloc[kept]
-
-    return objects.groupBy("scene", "cls").applyInPandas(keep, objects.schema)
-
-
 def finite_only(rows: DataFrame, cols: list[str]) -> DataFrame:
     cond = F.lit(True)
     for c in cols:

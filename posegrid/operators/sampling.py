@@ -1,11 +1,12 @@
 """Seeded sampling, splits, plans and batches. Order is by md5 of seed and key, so a draw is the
-same on any cluster. Plans over a range of numbers are generated, not collected."""
+same on any cluster. Plans are ranked by ranges of their order, whatever the number of items."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from posegrid.operators.ranks import numbered, numbered_within
 from posegrid.rand import seeded, uniform
 
 
@@ -15,8 +16,8 @@ def sample_per_group(rows: DataFrame, group: list[str], k: int, seed: int, key:
 
 
 def shard(rows: DataFrame, order: list[str], n: int) -> DataFrame:
-    """Rows with shard: their place in order modulo n. For lists of scenes or episodes' files."""
-    return rows.withColumn("shard", (F.row_number().over(Window.orderBy(*order)) - 1) % n)
+    """Rows with shard: their place in order modulo n."""
+    return numbered(rows, order, "shard").withColumn("shard", (F.col("shard") % n).cast("int"))
 
 
 def few_shot(rows: DataFrame, n_or_p: float, tries: int, label: str = "label", key: str = "vec_id") -> DataFrame:
@@ -44,28 +45,34 @@ def rebalance_multilabel(rows: DataFrame, p: float, seed: int, key: str = "q", l
     return u.where(F.col("_u") < F.lit(p * scale)).drop("_u")
 
 
-def epoch_plan(spark: SparkSession, n: int, size: int, workers: int, seed: int | None = None) -> DataFrame:
-    """i, item, worker: indices tiled to size, permuted if seeded, dealt in strides."""
-    d = spark.range(size).select(F.col("id").alias("i"), (F.col("id") % n).alias("item"))
-    if seed is None:
-        return d.withColumn("worker", F.col("i") % workers)
-    order = Window.orderBy(seeded(seed, "i"), "i")
-    return d.withColumn("place", F.row_number().over(order) - 1).select(F.col("place").alias("i"), "item", (F.col("place") % workers).alias("worker"))
+def epoch_plan(items: DataFrame, key: str, workers: int, size: int | None = None, seed: int | None = None) -> DataFrame:
+    """i, item, worker: the items, in the order of their key, tiled to size (as many as there are by
+    default), permuted if seeded, dealt in strides."""
+    first = numbered(items.select(F.col(key).alias("item")), ["item"], "_p")
+    n = first.count()
+    size = n if size is None else size
+    tiles = F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-size // max(1, n)) - 1))))
+    d = first.withColumn("_t", tiles).select((F.col("_t").cast("long") * n + F.col("_p")).alias("i"), "item").where(F.col("i") < size)
+    if seed is not None:
+        d = numbered(d, [seeded(seed, "i"), "i"]).select(F.col("place").alias("i"), "item")
+    return d.withColumn("worker", F.col("i") % workers)
 
 
-def infinite_plan(spark: SparkSession, n: int, upto: int, advance: int, workers: int) -> DataFrame:
-    """The part of an endless strided plan from `advance` on: i, item, worker."""
-    return spark.range(advance, upto).select(F.col("id").alias("i"), (F.col("id") % n).alias("item"), (F.col("id") % workers).alias("worker"))
+def infinite_plan(items: DataFrame, key: str, passes: int, advance: int, workers: int) -> DataFrame:
+    """Of an endless strided plan over the items, in the order of their key, the part from `advance`
+    on to the end of the given number of passes: i, item, worker."""
+    first = numbered(items.select(F.col(key).alias("item")), ["item"], "_p")
+    d = first.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).select((F.col("_t").cast("long") * first.count() + F.col("_p")).alias("i"), "item")
+    return d.where(F.col("i") >= advance).withColumn("worker", F.col("i") % workers)
 
 
-def sharded_plan(spark: SparkSession, n: int, passes: int, workers: int, seed: int) -> DataFrame:
+def sharded_plan(items: DataFrame, key: str, passes: int, workers: int, seed: int) -> DataFrame:
     """pass, worker, place, item: items permuted once and dealt to workers, the remainder dropped,
     and each worker's share permuted anew each pass."""
-    w = Window.orderBy(seeded(seed, "id"), "id")
-    dealt = spark.range(n).withColumn("k", F.row_number().over(w) - 1).where(F.col("k") < n // workers * workers).withColumn("worker", F.col("k") % workers)
-    each = dealt.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
-    place = F.row_number().over(Window.partitionBy("pass", "worker").orderBy(seeded(seed, F.shiftleft(F.col("pass"), 24), F.col("id")), "id")) - 1
-    return each.select("pass", "worker", place.alias("place"), F.col("id").alias("item"))
+    dealt = numbered(items.select(F.col(key).alias("item")), [seeded(seed, "item"), "item"], "_k")
+    dealt = dealt.where(F.col("_k") < dealt.count() // workers * workers).withColumn("worker", F.col("_k") % workers)
+    each = dealt.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).select("pass", "worker", "item")
+    return numbered_within(each, ["pass", "worker"], [seeded(seed, F.shiftleft(F.col("pass"), 24), F.col("item")), "item"]).select("pass", "worker", "place", "item")
 
 
 def weighted_draw(spark: SparkSession, weights: list[tuple[str, float]], files: DataFrame, n: int, seed: int) -> DataFrame:
@@ -123,7 +130,7 @@ def scene_blocks(eps: DataFrame, size: int, seed: int) -> DataFrame:
 def assign_workers(blocks: DataFrame, workers: int, batch: int) -> DataFrame:
     """place, worker, batch with the rows of blocks: blocks in round-robin order over scenes, the
     list padded from its head to a multiple of workers, contiguous ranges for workers."""
-    each = blocks.select("scene", "block").distinct().withColumn("place", F.row_number().over(Window.orderBy("block", "scene")) - 1)
+    each = numbered(blocks.select("scene", "block").distinct(), ["block", "scene"])
     n = each.count()
     pad = (-n) % workers
     padded = each.unionByName(each.where(F.col("place") < pad).withColumn("place", F.col("place") + n))

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from posegrid.operators.ranks import pieces
 
 
 def in_order() -> WindowSpec:
@@ -179,12 +180,25 @@ def smooth_path(steps: DataFrame, passes: int = 5) -> DataFrame:
     return out.drop("_n", "_i")
 
 
-def smoothed_value(rows: DataFrame, key: str, value: str, order: list[str], n: int = 20) -> DataFrame:
-    """Lower median, mean and max over the last n values of a key, and the running global mean."""
-    w = Window.partitionBy(key).orderBy(*order)
+def smoothed_value(rows: DataFrame, key: str, value: str, order: list[str], n: int = 20, size: int = 1 << 15) -> DataFrame:
+    """Lower median, mean and max over the last n values of a key, and the running global mean.
+
+    A key's rows are cut into pieces of `size`, each with the n - 1 rows before it and the sums of
+    the pieces before, so a task's rows don't grow with a key. The order must tell rows apart."""
+    d = pieces(rows.withColumn("_v", F.col(value)), [key], order, n - 1, size)
+    w = Window.partitionBy(key, "_piece").orderBy("_k")
     last = w.rowsBetween(-(n - 1), 0)
-    held = F.sort_array(F.collect_list(value).over(last))
-    return rows.withColumn("median", F.element_at(held, ((F.size(held) - 1) / 2).cast("int") + 1)).withColumn("mean", F.avg(value).over(last)).withColumn("most", F.max(value).over(last)).withColumn("global_mean", F.avg(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    held = F.sort_array(F.collect_list("_v").over(last))
+    own = lambda c: F.sum(F.when(~F.col("_halo"), c)).over(upto)
+    out = d.withColumn("median", F.get(held, ((F.size(held) - 1) / 2).cast("int"))).withColumn("mean", F.avg("_v").over(last)).withColumn("most", F.max("_v").over(last))
+    out = out.withColumn("_s", F.coalesce(own(F.col("_v")), F.lit(0))).withColumn("_n", F.coalesce(own(F.col("_v").isNotNull().cast("long")), F.lit(0))).where("NOT _halo")
+    # one row a piece: their window is `size` times shorter than the key
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = d.where("NOT _halo").groupBy(F.col(key).alias("_key"), F.col("_piece").alias("_part")).agg(F.sum("_v").alias("_s"), F.count("_v").alias("_n"))
+    sums = sums.select("_key", "_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"))
+    out = out.join(sums, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_piece") == F.col("_part")))
+    return out.select(*rows.columns, "median", "mean", "most", ((F.col("_s") + F.col("_s0")) / F.nullif(F.col("_n") + F.col("_n0"), F.lit(0))).alias("global_mean"))
 
 
 def _run_length(steps: DataFrame, within: Column, name: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from posegrid.operators import metrics as M
 from posegrid.operators import vectors as V
+from posegrid.operators.registry import first_seen
 from posegrid.plans.register import Registry
 
 R = Registry()
@@ -277,7 +278,7 @@ def object_summary(objects):
 @R.query("objects")
 def first_seen_objects(objects):
     o = objects.select("scene", "cls", F.col("x_cm").alias("x"), F.col("y_cm").alias("y"), F.col("z_cm").alias("z"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "price")
-    return M.first_seen(o, 50.0, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "price"]).select("scene", "cls", "x", "y", "z")
+    return first_seen(o, 50.0, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "price"]).select("scene", "cls", "x", "y", "z")
 
 
 @R.query("boxes", sql="SELECT image, cx, cy, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY round(score, 6) DESC, cx, cy, l_partkey, l_suppkey, l_linenumber, price) AS rank FROM (SELECT *, round(score, 6) AS s FROM {boxes})) WHERE rank <= 3".replace("score, rank FROM (", "s AS score, rank FROM ("))

@@ -55,21 +55,29 @@ def rebalanced_labels(preds):
     return S.rebalance_multilabel(labels, 0.3, 5).select("q", "label")
 
 
-@R.query("vecs", sql=f"WITH n AS (SELECT count(*) AS n FROM {{vecs}}), r AS (SELECT i, i % n AS item, row_number() OVER (ORDER BY {sql_seeded(7, 'i')}, i) - 1 AS place FROM n, (SELECT unnest(generate_series(0, 999)) AS i)) SELECT place AS i, item, place % 4 AS worker FROM r")
+_PLACES = "p AS (SELECT vec_id AS item, row_number() OVER (ORDER BY vec_id) - 1 AS p, count(*) OVER () AS n FROM {vecs})"
+
+
+@R.query("vecs", sql=f"""
+WITH {_PLACES}, t AS (SELECT t * n + p AS i, item FROM p, (SELECT unnest([0, 1]) AS t) WHERE t * n + p < n + n // 2)
+SELECT row_number() OVER (ORDER BY {sql_seeded(7, 'i')}, i) - 1 AS i, item, (row_number() OVER (ORDER BY {sql_seeded(7, 'i')}, i) - 1) % 4 AS worker FROM t""")
 def epoch_plan(vecs):
-    return S.epoch_plan(vecs.sparkSession, vecs.count(), 1000, 4, 7)
+    """One and a half times the table."""
+    n = vecs.count()
+    return S.epoch_plan(vecs, "vec_id", 4, n + n // 2, 7)
 
 
-@R.query("vecs", sql="WITH n AS (SELECT count(*) AS n FROM {vecs}) SELECT i, i % n AS item, i % 4 AS worker FROM n, (SELECT unnest(generate_series(300, 1499)) AS i)")
+@R.query("vecs", sql=f"WITH {_PLACES} SELECT t * n + p AS i, item, (t * n + p) % 4 AS worker FROM p, (SELECT unnest([0, 1, 2]) AS t) WHERE t * n + p >= 300")
 def infinite_plan(vecs):
-    return S.infinite_plan(vecs.sparkSession, vecs.count(), 1500, 300, 4)
+    """Three passes but for the 300 items that a run before took."""
+    return S.infinite_plan(vecs, "vec_id", 3, 300, 4)
 
 
 @R.query("vecs", sql=f"""
 WITH n AS (SELECT count(*) AS n FROM {{vecs}}), d AS (SELECT vec_id AS id, row_number() OVER (ORDER BY {sql_seeded(9, 'vec_id')}, vec_id) - 1 AS k FROM {{vecs}}), e AS (SELECT id, k % 3 AS worker, pass FROM d, n, (SELECT unnest([0, 1]) AS pass) WHERE k < n // 3 * 3)
 SELECT pass, worker, row_number() OVER (PARTITION BY pass, worker ORDER BY {sql_seeded(9, 'pass * 16777216', 'id')}, id) - 1 AS place, id AS item FROM e""")
 def sharded_plan(vecs):
-    return S.sharded_plan(vecs.sparkSession, vecs.count(), 2, 3, 9)
+    return S.sharded_plan(vecs, "vec_id", 2, 3, 9)
 
 
 _FILES = "f AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY episode) - 1 AS k, episode AS item FROM {sources}), z AS (SELECT source, count(*) AS n FROM {sources} GROUP BY source)"

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from posegrid.operators.ranks import numbered_within
 from posegrid.plans.register import Registry
 from posegrid.session import shared_dir
 from posegrid.sources import readers, sinks
@@ -42,10 +43,7 @@ def streamed(df: DataFrame, job, mode: str = "append") -> DataFrame:
 
 
 def _seq(events):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    return events.select("event_id", "event_type", (F.row_number().over(w) - 1).alias("seq"), "value")
+    return numbered_within(events.select("event_id", "event_type", "ts", "value"), ["event_type"], ["ts", "event_id"], "seq")
 
 
 _ES = "e AS (SELECT event_id, event_type AS key, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS seq, value FROM {events})"

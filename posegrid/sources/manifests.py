@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from posegrid.operators.ranks import numbered
+
 PARTS = ("rgb", "depth", "pose")
 
 
@@ -68,11 +70,11 @@ def list_scenes(files: DataFrame, pattern: str) -> DataFrame:
 
 def class_index(files: DataFrame, class_pattern: str, ordinal_pattern: str, names: DataFrame | None = None) -> DataFrame:
     """path, class_id, actual, class_index (dense, by class id) and class_name if names (class_id,
-    class_name) are given. The class list is what is ranked, so no window sees all files."""
+    class_name) are given. The class list is what is ranked; Spark sends it whole where it is small."""
     d = files.select("path", F.regexp_extract("path", class_pattern, 1).alias("class_id"), F.regexp_extract("path", ordinal_pattern, 1).cast("long").alias("actual"))
-    ids = d.select("class_id").distinct().withColumn("class_index", F.dense_rank().over(Window.orderBy("class_id")) - 1)
-    out = d.join(F.broadcast(ids), "class_id")
-    return out if names is None else out.join(F.broadcast(names), "class_id", "left")
+    ids = numbered(d.select("class_id").distinct(), ["class_id"], "class_index").withColumn("class_index", F.col("class_index").cast("int"))
+    out = d.join(ids, "class_id")
+    return out if names is None else out.join(names, "class_id", "left")
 
 
 def block_offsets(logs: DataFrame, order: str = "block", size: int = 512) -> DataFrame:
@@ -123,5 +125,5 @@ def pad_arrays(rows: DataFrame, col: str, pad: int = -1) -> DataFrame:
 
 def first_source(scenes: DataFrame, registry: DataFrame) -> DataFrame:
     """Each scene with the first registry source (source, ord, scene) that has it; others dropped."""
-    hit = scenes.join(F.broadcast(registry), "scene")
+    hit = scenes.join(registry, "scene")
     return hit.withColumn("_k", F.row_number().over(Window.partitionBy(*scenes.columns).orderBy("ord"))).where("_k = 1").drop("_k", "ord")
