@@ -6,6 +6,8 @@ written to the shared folder, so lineage does not grow; the driver sees one coun
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from posegrid.functions.text import episode_id, style_prompt
 from posegrid.operators.sampling import STYLE_SCALES, bucket_draw, idf_choice
 from posegrid.operators.spatial import furthest_candidates, radius_pairs, snap
 from posegrid.rand import seeded
-from posegrid.session import materialise
+from posegrid.session import discard, materialise, remove, shared_dir
 
 NODE = ["gx", "gy"]
 
@@ -45,25 +47,55 @@ def both_ways(edges: DataFrame, cost: str) -> DataFrame:
     return one.unionByName(edges.select("scene", t.alias("src"), s.alias("dst"), F.col(cost).alias("w")))
 
 
-def geodesic(arcs: DataFrame, sources: DataFrame, limit: float | str, max_rounds: int = 500) -> DataFrame:
+def geodesic(arcs: DataFrame, sources: DataFrame, limit: float | str, delta: float | None = None, max_rounds: int = 10_000) -> DataFrame:
     """scene, source, node, dist, via: least distance within `limit` (a number, or a column of
     sources) from every source (scene, source), and the node before on a least path (null at the
-    source), ties to the least node.
+    source), ties to the least node. Weights are at least 0.
 
-    Frontier relaxation: a round extends only what improved in the round before."""
+    Delta-stepping: distances are settled bucket by bucket, each `delta` wide (four mean weights by
+    default). Within a bucket, what improved in a round is extended in the next; nodes beyond wait
+    for their bucket, by when most of them have their final distance. A round writes improvements
+    only, each once; what is settled is read, never written again."""
+    spark, on = arcs.sparkSession, ["scene", "source", "node"]
     arcs = materialise(arcs, "arcs")
+    if delta is None:
+        delta = 4 * float(arcs.agg(F.avg("w")).first()[0] or 0) or 1.0
     none = F.lit(None).cast(arcs.schema["src"].dataType)
     most = F.col(limit) if isinstance(limit, str) else F.lit(float(limit))
-    best = materialise(sources.select("scene", "source", most.alias("most"), F.col("source").alias("node"), F.lit(0.0).alias("dist"), none.alias("via"), F.lit(True).alias("new")), "geodesic")
+    root, wrote = f"{shared_dir(spark)}/geodesic-{uuid.uuid4().hex}", []
+    start = sources.select("scene", "source", most.alias("most"), F.col("source").alias("node"), F.lit(0.0).alias("dist"), none.alias("via"), F.lit(True).alias("nearer")).distinct()
+
+    def log(rows: DataFrame) -> DataFrame:
+        """The improvements that were written now."""
+        wrote.append(f"{root}/{len(wrote)}")
+        rows.write.parquet(wrote[-1])
+        return spark.read.schema(start.schema).parquet(wrote[-1])
+
+    def best() -> DataFrame:
+        every = spark.read.schema(start.schema).parquet(*wrote)
+        return every.groupBy(*on).agg(F.min(F.struct("dist", "via", "most")).alias("m")).select(*on, "m.dist", "m.via", "m.most")
+
+    front, high = log(start), delta
     for _ in range(max_rounds):
-        step = best.where("new").select("scene", "source", "most", F.col("node").alias("src"), F.col("dist").alias("d0")).join(arcs, ["scene", "src"])
-        step = step.select("scene", "source", "most", F.col("dst").alias("node"), F.round(F.col("d0") + F.col("w"), 9).alias("dist"), F.col("src").alias("via")).where("dist <= most")
-        merged = best.select("scene", "source", "most", "node", "dist", "via", F.lit(0).alias("age")).unionByName(step.withColumn("age", F.lit(1)))
-        # a min over (dist, age, via): an old value wins a tie, so only improvements are new
-        top = merged.groupBy("scene", "source", "most", "node").agg(F.min(F.struct("dist", "age", "via")).alias("m"))
-        best = materialise(top.select("scene", "source", "most", "node", "m.dist", "m.via", (F.col("m.age") == 1).alias("new")), "geodesic")
-        if best.where("new").isEmpty():
-            return best.drop("new", "most")
+        if front.isEmpty():
+            beyond = best().where(F.col("dist") >= high)
+            least = beyond.agg(F.min("dist")).first()[0]
+            if least is None:
+                tree = materialise(best().select(*on, "dist", "via"), "geodesics")
+                for path in wrote:
+                    remove(spark, path)
+                discard(arcs)
+                return tree
+            low, high = high, (least // delta + 1) * delta
+            front = beyond.where((F.col("dist") >= low) & (F.col("dist") < high))
+        step = front.select("scene", "source", "most", F.col("node").alias("src"), F.col("dist").alias("d0")).join(arcs, ["scene", "src"])
+        # an arc of weight 0 gives no tie, or two nodes could be each other's via
+        step = step.select("scene", "source", "most", F.col("dst").alias("node"), F.round(F.col("d0") + F.col("w"), 9).alias("dist"), F.col("src").alias("via"), (F.col("w") > 0).alias("_ties")).where("dist <= most")
+        step = step.groupBy(*on).agg(F.min(F.struct("dist", "via", "most", "_ties")).alias("m")).select(*on, "m.*")
+        known = best().select(*on, F.col("dist").alias("_dist"), F.col("via").alias("_via"))
+        step = step.join(known, on, "left").withColumn("nearer", F.col("_dist").isNull() | (F.col("dist") < F.col("_dist")))
+        step = step.where(F.col("nearer") | (F.col("_ties") & (F.col("dist") == F.col("_dist")) & (F.col("via") < F.col("_via"))))
+        front = log(step.select(*start.columns)).where(F.col("nearer") & (F.col("dist") < high))
     raise RuntimeError("no fixed point within max_rounds")
 
 

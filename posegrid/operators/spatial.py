@@ -7,6 +7,7 @@ an equality of (keys, cell) and the exact distance is a filter after it.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,14 +74,29 @@ def denoise(points: DataFrame, r: float, least: int, dims: list[str], small: int
     return counted.select(*points.columns)
 
 
+def _disc(r: float) -> list[tuple[int, int]]:
+    """Offsets on the grid of at most r, itself left out."""
+    n = int(r)
+    return [(i, j) for i in range(-n, n + 1) for j in range(-n, n + 1) if 0 < i * i + j * j <= r * r]
+
+
 def radius_edges(cells: DataFrame, r: float = 2.5, cap: int = 64) -> DataFrame:
-    """scene, ax, ay, bx, by, dist of neighbouring cells, each pair once (a before b). A cell keeps
-    its `cap` nearest, itself included, by distance and then place."""
-    pairs = radius_pairs(cells, cells, r, ["gx", "gy"])
-    w = Window.partitionBy("scene", "gx", "gy").orderBy("d2", "b_gx", "b_gy")
-    near = pairs.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= cap)
-    a_first = (F.col("gx") < F.col("b_gx")) | ((F.col("gx") == F.col("b_gx")) & (F.col("gy") < F.col("b_gy")))
-    return near.where(a_first).select("scene", F.col("gx").alias("ax"), F.col("gy").alias("ay"), F.col("b_gx").alias("bx"), F.col("b_gy").alias("by"), F.sqrt("d2").alias("dist"))
+    """scene, ax, ay, bx, by, dist of neighbouring cells (whole gx, gy, each cell once), each pair
+    once (a before b). A cell keeps its `cap` nearest, itself included, by distance and then place;
+    where the disc of r has no more cells than that, each is joined by half its offsets alone."""
+    disc = _disc(r)
+    rank = len(disc) + 1 > cap
+    steps = [(i, j) for i, j in disc if rank or (i, j) > (0, 0)]
+    if not steps:
+        steps = [(0, 0)]
+    offset = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])).alias("o")
+    pairs = cells.select("scene", F.col("gx").alias("ax"), F.col("gy").alias("ay"), offset)
+    pairs = pairs.select("scene", "ax", "ay", (F.col("ax") + F.col("o.i")).alias("bx"), (F.col("ay") + F.col("o.j")).alias("by"), F.sqrt((F.col("o.i") * F.col("o.i") + F.col("o.j") * F.col("o.j")).cast("double")).alias("dist"))
+    near = pairs.where("dist > 0").join(cells.select("scene", F.col("gx").alias("bx"), F.col("gy").alias("by")), ["scene", "bx", "by"])
+    if rank:
+        w = Window.partitionBy("scene", "ax", "ay").orderBy("dist", "bx", "by")
+        near = near.withColumn("_k", F.row_number().over(w)).where(F.col("_k") < cap).where("ax < bx OR (ax = bx AND ay < by)")
+    return near.select("scene", "ax", "ay", "bx", "by", "dist")
 
 
 def snap(queries: DataFrame, nodes: DataFrame, dims: list[str], r: float, keys: list[str] = ["scene"]) -> DataFrame:  # noqa: B006
@@ -139,19 +155,36 @@ def furthest_candidates(candidates: DataFrame, history: DataFrame, k: int, seed:
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def line_of_sight(edges: DataFrame, cells: DataFrame, per_cell: int = 2, gap: int = 1) -> DataFrame:
-    """Edges whose straight line lies on cells: samples at `per_cell` a cell, gaps of up to `gap`
-    samples between hits closed."""
-    n = F.greatest(F.lit(1), F.ceil(F.col("dist") * per_cell).cast("int"))
-    at = edges.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n"))))
-    lerp = lambda a, b: F.round(F.col(a) + (F.col(b) - F.col(a)) * F.col("_i") / F.col("_n")).cast("long")
-    at = at.withColumn("gx", lerp("ax", "bx")).withColumn("gy", lerp("ay", "by"))
-    hit = at.join(cells.withColumn("_hit", F.lit(1)), ["scene", "gx", "gy"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(0)))
-    w = Window.partitionBy("scene", "ax", "ay", "bx", "by").orderBy("_i")
-    wide = hit.withColumn("_d", F.max("_hit").over(w.rowsBetween(-gap, gap)))
-    closed = wide.withColumn("_e", F.min("_d").over(w.rowsBetween(-gap, gap)))
-    clear = closed.groupBy("scene", "ax", "ay", "bx", "by").agg(F.min("_e").alias("_ok")).where("_ok = 1").drop("_ok")
-    return edges.join(clear, ["scene", "ax", "ay", "bx", "by"], "left_semi")
+def _crossed(i: int, j: int, per_cell: int, gap: int) -> list[set[tuple[int, int]]]:
+    """Of the line to offset (i, j): for each sample the cells of which one must be there, without
+    samples that an end of the line serves. Samples lie at `per_cell` a cell, rounded half up."""
+    n = max(1, math.ceil(math.sqrt(i * i + j * j) * per_cell))
+    at = [(math.floor(i * k / n + 0.5), math.floor(j * k / n + 0.5)) for k in range(n + 1)]
+    near = [set(at[max(0, k - gap) : k + gap + 1]) for k in range(n + 1)]
+    free = [s for s in near if not s & {(0, 0), (i, j)}]
+    return [s for k, s in enumerate(free) if s not in free[:k]]
+
+
+def line_of_sight(edges: DataFrame, cells: DataFrame, per_cell: int = 2, gap: int = 1, reach: float | None = None) -> DataFrame:
+    """Edges between cells whose straight line lies on cells: samples at `per_cell` a cell, gaps of
+    up to `gap` samples between hits closed.
+
+    What a line crosses depends on its offset alone, so it is tabulated once for all offsets within
+    reach (by default the longest edge's). Offsets on which no cell but the ends matters need no
+    join; for the others the crossed cells are joined by equality and counted."""
+    if reach is None:
+        reach = float(edges.agg(F.max("dist")).first()[0] or 0)
+    table = [(i, j, k, x, y) for i, j in _disc(reach + 1e-9) for k, need in enumerate(_crossed(i, j, per_cell, gap)) for x, y in sorted(need)]
+    if not table:
+        return edges
+    names = ["scene", "ax", "ay", "bx", "by"]
+    offsets = cells.sparkSession.createDataFrame(table, "_i long, _j long, _need long, _x long, _y long")
+    # a table of the disc's size, whatever the number of edges
+    away = edges.select(*names, (F.col("bx") - F.col("ax")).alias("_i"), (F.col("by") - F.col("ay")).alias("_j")).join(F.broadcast(offsets), ["_i", "_j"])
+    asked = away.select(*names, "_need", (F.col("ax") + F.col("_x")).alias("gx"), (F.col("ay") + F.col("_y")).alias("gy"))
+    hit = asked.join(cells.select("scene", "gx", "gy", F.lit(1).alias("_hit")), ["scene", "gx", "gy"], "left")
+    blind = hit.groupBy(*names, "_need").agg(F.count("_hit").alias("_n")).where("_n = 0").select(*names).distinct()
+    return edges.join(blind, names, "left_anti")
 
 
 def dbscan(points: DataFrame, eps: float, min_points: int, dims: list[str], keys: list[str] = ["scene"]) -> DataFrame:  # noqa: B006

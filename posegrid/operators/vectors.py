@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from posegrid.session import materialise, ship
+
 BLOCK = 4096
 
 
@@ -26,44 +28,104 @@ def softmax(v: str | Column, temperature: float = 1.0) -> Column:
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, skip_first: bool = False, block: int = BLOCK) -> DataFrame:
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of a list column as rows; all have one length."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def _dealt(corpus: DataFrame, centres: np.ndarray) -> DataFrame:
+    """corpus with cell, the nearest centre, and its distance to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        half = (centres**2).sum(1) / 2
+        for batch in batches:
+            if batch.num_rows:
+                e = _matrix(batch.column("embedding"))
+                cell = (half - e @ centres.T).argmin(1)
+                far = np.sqrt(((e - centres[cell]) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(far)], [*batch.schema.names, "cell", "far"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in corpus.schema)
+    return corpus.mapInArrow(run, f"{kinds}, cell int, far double")
+
+
+def _asked(queries: DataFrame, centres: np.ndarray, size: np.ndarray, radius: np.ndarray, want: int) -> DataFrame:
+    """queries (q, embedding) with cells, those that may hold one of the `want` nearest.
+
+    For x in a cell of centre c and radius r, |q.x - q.c| <= |q| r. So each cell gives a floor under
+    the products of all its vectors and a ceiling over them; the highest floor that `want` vectors
+    reach is a bound, and cells whose ceiling lies under it hold none of the nearest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            e = _matrix(batch.column("embedding"))
+            mid, norm = e @ centres.T, np.sqrt((e**2).sum(1))[:, None]
+            slack = norm * radius + 1e-6 * (1 + norm * (radius + np.sqrt((centres**2).sum(1))))
+            low, high = mid - slack, mid + slack
+            order = np.argsort(-low, axis=1, kind="stable")
+            reached = np.cumsum(size[order], axis=1) >= want
+            at = np.where(reached.any(1), reached.argmax(1), size.size - 1)
+            bound = np.take_along_axis(low, order, 1)[np.arange(len(e)), at]
+            keep = (high >= bound[:, None]) & (size > 0)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(keep.sum(1)))), pa.int32()), pa.array(np.nonzero(keep)[1], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("embedding"), lists], ["q", "embedding", "cells"])
+
+    kind = queries.schema["embedding"].dataType.simpleString()
+    return queries.mapInArrow(run, f"q long, embedding {kind}, cells array<int>")
+
+
+def knn(queries: DataFrame, corpus: DataFrame, k: int, skip_first: bool = False, block: int = BLOCK, cells: int | None = None) -> DataFrame:
     """q, vec_id, label, sim, rank: the k corpus vectors of greatest inner product, ties by id.
+    skip_first drops the first neighbour (a query that is in the corpus). All vectors have one
+    length, and ids tell them apart; rows with a null id or vector are left out.
 
-    Queries are taken in blocks of at most `block`, the size of what is broadcast; each task keeps
-    its own top k of a block, and the final ranking sees k rows a query and task. skip_first drops
-    the first neighbour (a query that is in the corpus)."""
-    spark = queries.sparkSession
+    An exact index: corpus vectors are dealt to the cells of `cells` of them (by default the square
+    root of their number, 1,024 at most), a query goes only to cells that may hold a neighbour (see
+    `_asked`), and each (cell, block of at most `block` vectors, block of queries) is one product
+    of matrices. The corpus is written once, dealt; the driver holds centres, sizes and radii."""
     want = k + int(skip_first)
-    blocks = max(1, -(-queries.count() // block))
-    dealt = queries.withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    out = None
-    for i in range(blocks):
-        rows = dealt.where(F.col("_b") == i).select("vec_id", "embedding").orderBy("vec_id").collect()
-        ids, matrix = np.array([r.vec_id for r in rows], np.int64), np.array([r.embedding for r in rows], np.float64)
-        shared = spark.sparkContext.broadcast((ids, matrix))
-
-        def top(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
-            held: tuple[np.ndarray, ...] | None = None
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                e = np.array(batch.column("embedding").to_pylist(), np.float64)
-                sims = np.round(matrix @ e.T, 9)
-                own = np.broadcast_to(batch.column("vec_id").to_numpy(), sims.shape)
-                lab = np.broadcast_to(batch.column("label").to_numpy(), sims.shape)
-                if held is not None:
-                    sims, own, lab = (np.concatenate(p, 1) for p in zip(held, (sims, own, lab)))
-                order = np.lexsort((own, -sims), axis=1)[:, :want]
-                held = tuple(np.take_along_axis(x, order, 1) for x in (sims, own, lab))
-            if held is not None:
-                sims, own, lab = held
-                yield pa.RecordBatch.from_pydict({"q": np.repeat(ids, sims.shape[1]), "vec_id": own.ravel().astype(np.int64), "label": lab.ravel().astype(np.int64), "sim": sims.ravel()})
-
-        part = corpus.select("vec_id", "embedding", F.col("label").cast("long").alias("label")).mapInArrow(top, "q long, vec_id long, label long, sim double")
-        out = part if out is None else out.unionByName(part)
+    ship(queries.sparkSession)
+    own = corpus.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    if cells is None:
+        cells = int(min(1024, max(1, own.count() ** 0.5)))
+    first = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(cells).select("embedding").collect()
+    if not first:
+        return queries.sparkSession.createDataFrame([], "q long, vec_id long, label long, sim double, rank int")
+    centres = np.array([r.embedding for r in first], np.float64)
+    dealt = materialise(_dealt(own, centres), "knn-cells")
+    size, radius = np.zeros(len(centres), np.int64), np.zeros(len(centres))
+    for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():
+        size[r.cell], radius[r.cell] = r.n, r.far
+    asked = _asked(queries.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").alias("q"), "embedding"), centres, size, radius, want)
+    asked = materialise(asked.withColumn("lot", F.pmod(F.xxhash64("q"), F.lit(1 << 20))), "knn-queries")
+    lots = max(1, -(-asked.count() // block))
+    parts = F.element_at(F.array(*[F.lit(int(max(1, -(-n // block)))) for n in size]), F.col("cell") + 1)
+    left = dealt.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts).cast("int")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))).select("cell", "part", "lot", "vec_id", "label", "embedding")
+    right = asked.withColumn("lot", F.pmod("lot", F.lit(lots)).cast("int")).withColumn("cell", F.explode("cells"))
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("cell", "part", "lot", "q", "embedding")
+
+    def top(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, lab, q = (t[c].combine_chunks().to_numpy() for t, c in ((a, "vec_id"), (a, "label"), (b, "q")))
+        out: dict[str, list[np.ndarray]] = {"q": [], "vec_id": [], "label": [], "sim": []}
+        if len(ids) and len(q):
+            e, rows = _matrix(a["embedding"].combine_chunks()), _matrix(b["embedding"].combine_chunks())
+            step = max(1, (1 << 22) // len(ids))
+            for at in range(0, len(q), step):
+                sims = np.round(rows[at : at + step] @ e.T, 9)
+                order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :want]
+                out["q"].append(np.repeat(q[at : at + step], order.shape[1]))
+                out["vec_id"].append(ids[order].ravel())
+                out["label"].append(lab[order].ravel())
+                out["sim"].append(np.take_along_axis(sims, order, 1).ravel())
+        return pa.table({c: np.concatenate(v) if v else np.zeros(0, float if c == "sim" else np.int64) for c, v in out.items()}, pa.schema([("q", pa.int64()), ("vec_id", pa.int64()), ("label", pa.int64()), ("sim", pa.float64())]))
+
+    key = ["cell", "part", "lot"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(top, "q long, vec_id long, label long, sim double")
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "vec_id")
-    ranked = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= want)
+    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= want)
     return ranked.where("rank > 1").withColumn("rank", F.col("rank") - 1) if skip_first else ranked
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from posegrid.operators import metrics as M
@@ -283,19 +284,17 @@ def first_seen_objects(objects):
 
 @R.query("boxes", sql="SELECT image, cx, cy, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY round(score, 6) DESC, cx, cy, l_partkey, l_suppkey, l_linenumber, price) AS rank FROM (SELECT *, round(score, 6) AS s FROM {boxes})) WHERE rank <= 3".replace("score, rank FROM (", "s AS score, rank FROM ("))
 def topk_detections(boxes):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("image").orderBy(F.desc("score"), "cx", "cy", "l_partkey", "l_suppkey", "l_linenumber", "price")
     return boxes.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("image", "cx", "cy", "score", "rank")
 
 
 _SIMS = """e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(generate_series(1, len(embedding))) AS i FROM {vecs}),
-sims AS (SELECT a.vec_id AS q, b.vec_id, any_value(b.label) AS label, round(sum(a.x * b.x), 6) AS sim FROM e a JOIN e b ON a.i = b.i WHERE a.vec_id % 50 = 0 AND b.vec_id % 5 <> 0 GROUP BY a.vec_id, b.vec_id),
+sims AS (SELECT a.vec_id AS q, b.vec_id, any_value(b.label) AS label, round(sum(a.x * b.x), 6) AS sim FROM e a JOIN e b ON a.i = b.i WHERE a.vec_id % 50 = 0 GROUP BY a.vec_id, b.vec_id),
 knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS rank FROM sims) WHERE rank <= 20)"""
 
 
 def _neighbours(vecs, k=20):
-    n = V.knn(vecs.where("vec_id % 50 = 0"), vecs.where("vec_id % 5 <> 0"), k)
+    n = V.knn(vecs.where("vec_id % 50 = 0"), vecs, k)
     return n.withColumn("sim", F.round("sim", 6))
 
 
@@ -309,9 +308,14 @@ def knn_vote(vecs):
     return V.knn_vote(_neighbours(vecs), [5, 10, 20]).select("q", "k", "label", F.round("score", 5).alias("score"))
 
 
-@R.query("vecs", sql=f"WITH {_SIMS} SELECT round(-avg(ln(sqrt(greatest(0.0, 2.0 - 2.0 * sim)) + 1e-8)), 5) AS koleo FROM knn WHERE rank <= 1")
+@R.query("vecs", sql=f"""WITH u AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) AS size FROM {{vecs}}), e AS (SELECT vec_id, unnest(embedding)::DOUBLE / size AS x, unnest(generate_series(1, len(embedding))) AS i FROM u),
+sims AS (SELECT a.vec_id AS q, max(s) AS sim FROM (SELECT a.vec_id, b.vec_id AS o, round(sum(a.x * b.x), 9) AS s FROM e a JOIN e b ON a.i = b.i WHERE a.vec_id <> b.vec_id GROUP BY a.vec_id, b.vec_id) a GROUP BY a.vec_id)
+SELECT round(-avg(ln(sqrt(greatest(0.0, 2.0 - 2.0 * sim)) + 1e-8)), 5) AS koleo FROM sims""")
 def koleo(vecs):
-    return V.koleo(_neighbours(vecs, 1)).select(F.round("koleo", 5).alias("koleo"))
+    """Every unit vector with its nearest other one."""
+    unit = vecs.withColumn("embedding", V.l2_normalise("embedding"))
+    near = V.knn(unit, unit, 2).where("q <> vec_id").withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("rank"))).where("rank = 1")
+    return V.koleo(near, 1).select(F.round("koleo", 5).alias("koleo"))
 
 
 _GRAM = "e AS (SELECT vec_id, vec_id // 10 AS clip, unnest(embedding)::DOUBLE AS x, unnest(generate_series(1, len(embedding))) AS i FROM {vecs}), gram AS (SELECT a.clip, a.vec_id AS a, b.vec_id AS b, sum(a.x * b.x) AS s FROM e a JOIN e b ON a.clip = b.clip AND a.i = b.i AND a.vec_id <= b.vec_id GROUP BY ALL)"

@@ -138,7 +138,7 @@ sight AS (SELECT scene, ax, ay, bx, by_, any_value(dist) AS dist FROM e GROUP BY
 
 @R.query("cells", sql=f"WITH {_EDGES}, {_SAMPLES} SELECT scene, ax, ay, bx, by_ AS by FROM sight")
 def walkable_edges(cells):
-    return S.line_of_sight(S.radius_edges(cells), cells).select("scene", "ax", "ay", "bx", "by")
+    return S.line_of_sight(S.radius_edges(cells), cells, reach=2.5).select("scene", "ax", "ay", "bx", "by")
 
 
 @R.query("cells", sql="""

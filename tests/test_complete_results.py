@@ -67,22 +67,6 @@ def test_trace_paths_of_more_than_2000_steps(spark):
     assert sorted((r.i, r.node.gx) for r in got if r.goal.gx == 3) == [(0, 3), (1, 2), (2, 1), (3, 0)] and len(got) == n + 4
 
 
-class _State:
-    def __init__(self, value):
-        self.value, self.exists, self.hasTimedOut, self.get = value, True, True, value
-
-    def remove(self):
-        self.exists = False
-
-
-def test_count_windows_gives_the_short_last_window_on_a_timeout(spark, monkeypatch):
-    folds = []
-    monkeypatch.setattr(jobs, "_stateful", lambda rows, keys, fold, *a: folds.append(fold))
-    jobs.count_windows(spark.createDataFrame([("a", 1, 1.0)], "key string, seq long, value double"), "key", 4)
-    out = pd.concat(folds[0](("a",), iter([]), _State((3, 2, 5.5))))
-    assert out.values.tolist() == [["a", 3, 2, 5.5]]
-
-
 def test_detections_against_a_plain_version(spark):
     rng = random.Random(4)
     pixels = {(i, u, v): round(rng.choice([0.0, 0.05, rng.uniform(0.2, 15)]), 3) for i in range(3) for u in range(16) for v in range(12) if rng.random() < 0.8}

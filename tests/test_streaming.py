@@ -90,7 +90,7 @@ def test_history_takes_turns_that_come_in_a_later_micro_batch():
     assert [t for batch in seen for _, t, _ in batch] == [5, 1, 6, 2]
 
 
-def test_meter_and_stuck_put_late_rows_in_their_place():
+def test_meter_and_stuck_put_late_rows_in_their_place(spark):
     meter = _folds(lambda r: jobs.sliding_meter(r, "event_type", 3), "a", [{"seq": s, "value": v} for s, v in (([1, 2, 4], [1.0, 2.0, 4.0]), ([3, 4, 5], [3.0, 9.0, 5.0]), ([1, 6], [7.0, 6.0]))])
     assert [(s, med, most, late) for _, s, med, _, most, late in meter[1]] == [(3, 2.0, 3.0, 0), (5, 4.0, 5.0, 1)]
     assert [(s, med, late) for _, s, med, _, _, late in meter[2]] == [(6, 5.0, 2)]  # 1 is no longer among the last three
