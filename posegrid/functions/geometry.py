@@ -126,6 +126,16 @@ def panorama_mask(v: Column, d: Column, height: int, pole_deg: float = 30.0, low
     return (F.abs(lat) <= 90.0 - pole_deg) & (d >= low) & (d < high)
 
 
+#: Ids of walkable classes (floor, rug, sidewalk, earth, road, path, step) and of doors.
+WALKABLE_IDS, DOOR_IDS = (3, 9, 11, 12, 13, 29, 94), (14,)
+
+
+def class_mask(cls: Column, depth: Column, ids: tuple[int, ...] = WALKABLE_IDS, near: float = 0.2, far: float = 10.0) -> Column:
+    """True for pixels of one of the classes with a depth strictly between near and far; false for
+    null classes and depths."""
+    return F.coalesce(cls.isin(*ids) & (depth > near) & (depth < far), F.lit(False))
+
+
 def strip_mask(v: Column, height: int, top: int, bottom: int, of: int) -> Column:
     """Rows left after cutting top/of and bottom/of of the height (whole rows)."""
     return (v >= height * top // of) & (v < height - height * bottom // of)

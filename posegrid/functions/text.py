@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posegrid.rand import seeded
@@ -112,3 +112,11 @@ MANIPULATION = (
 def class_group(cls: Column, manipulation: tuple[str, ...] = MANIPULATION) -> Column:
     """manipulation for classes that can be handled, else other; null for null."""
     return F.when(cls.isin(*manipulation), "manipulation").when(cls.isNotNull(), "other")
+
+
+def with_vocabulary(objects: DataFrame, vocabulary: DataFrame, known_only: bool = True) -> DataFrame:
+    """objects (with cls) with grp, the group that the vocabulary (cls, grp), a dimension table of the
+    user's, gives their class. Classes outside it are dropped, as a detector that is asked for the
+    vocabulary finds none; or kept, with a null grp. Of a class with several groups the least counts."""
+    one = vocabulary.where("cls IS NOT NULL").groupBy("cls").agg(F.min("grp").alias("grp"))
+    return objects.drop("grp").join(one, "cls", "inner" if known_only else "left").select(*[c for c in objects.columns if c != "grp"], "grp")

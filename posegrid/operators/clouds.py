@@ -55,9 +55,15 @@ def scene_budget(cells: DataFrame, size: float, density: float, least: int, most
     return cells.groupBy("scene").agg(F.greatest(F.lit(least), F.least(F.lit(most), F.floor(F.count("*") * size * size * density).cast("int"))).alias(name))
 
 
-def scene_quality(points: DataFrame, eps: float, min_points: int, dims: list[str], cell_area: float, least_points: int = 50, least_area: float = 5.0) -> DataFrame:
-    """scene, n_points, area of the largest cluster, and ok."""
-    clusters = dbscan(points, eps, min_points, dims).where("cluster IS NOT NULL").groupBy("scene", "cluster").agg(F.count("*").alias("k"))
+def scene_quality(points: DataFrame, size: float, dims: list[str], eps: float | None = None, min_points: int = 10, least_points: int = 50, least_area: float = 5.0) -> DataFrame:
+    """scene, n_points, area of the largest cluster, and ok: at least least_points points and, of their
+    means by voxels of `size`, a density cluster (eps 2.5 sizes by default) of at least least_area,
+    a voxel counting size^2."""
+    low = points.groupBy("scene").agg(*[F.min(d).alias(f"_{d}") for d in dims])
+    at = [F.floor((F.col(d) - F.col(f"_{d}")) / F.lit(size)).alias(f"_v{d}") for d in dims]
+    even = points.join(low, "scene").groupBy("scene", *at).agg(*[F.round(F.avg(d), 9).alias(d) for d in dims]).select("scene", *dims)
+    cell_area, eps = size * size, 2.5 * size if eps is None else eps
+    clusters = dbscan(even, eps, min_points, dims).where("cluster IS NOT NULL").groupBy("scene", "cluster").agg(F.count("*").alias("k"))
     big = clusters.groupBy("scene").agg((F.max("k") * cell_area).alias("area"))
     n = points.groupBy("scene").agg(F.count("*").alias("n_points"))
     out = n.join(big, "scene", "left").withColumn("area", F.coalesce("area", F.lit(0.0)))
@@ -132,7 +138,7 @@ def fit_planes(points: DataFrame, order: list[str], tolerance: float, tries: int
     p = p.withColumn("d", -(F.col("a") * F.col("x0") + F.col("b") * F.col("y0") + F.col("c") * F.col("z0"))).drop("x0", "y0", "z0")
     # at most `tries` planes a scene are joined to its points
     away = F.abs(F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c") * F.col("z") + F.col("d"))
-    votes = points.select("scene", "x", "y", "z").join(F.broadcast(p), "scene").groupBy("scene", "t").agg(F.count(F.when(F.round(away, 9) <= tolerance, 1)).alias("inliers"))
+    votes = points.select("scene", "x", "y", "z").join(p, "scene").groupBy("scene", "t").agg(F.count(F.when(F.round(away, 9) <= tolerance, 1)).alias("inliers"))
     best = Window.partitionBy("scene").orderBy(F.abs("c") < steep, F.desc("inliers"), "t")
     return p.join(votes, ["scene", "t"]).withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k", "t")
 
@@ -140,7 +146,7 @@ def fit_planes(points: DataFrame, order: list[str], tolerance: float, tries: int
 def level_scene(points: DataFrame, planes: DataFrame, tolerance: float) -> DataFrame:
     """Points rotated so that their scene's plane normal is +z, then lowered by the mean height of
     the plane's points; scenes without a plane are lowered by their median z."""
-    d = points.join(F.broadcast(planes), "scene", "left")
+    d = points.join(planes, "scene", "left")
     a, b, c = (F.col(k) for k in "abc")
     # rotation taking (a, b, c) to (0, 0, 1): I + [v]x + [v]x^2 / (1 + c), v = (b, -a, 0)
     k = 1.0 / (1.0 + c)
@@ -150,12 +156,12 @@ def level_scene(points: DataFrame, planes: DataFrame, tolerance: float) -> DataF
     rz = a * x + b * y + c * z
     r = d.withColumns({"rx": F.coalesce(rx, x), "ry": F.coalesce(ry, y), "rz": F.coalesce(rz, z), "on": F.abs(rz + F.col("d")) <= tolerance})
     base = r.groupBy("scene").agg(F.coalesce(F.avg(F.when(F.col("on"), F.col("rz"))), F.percentile("rz", 0.5)).alias("base"))
-    return r.join(F.broadcast(base), "scene").select(*[F.col(c) for c in points.columns if c not in ("x", "y", "z")], F.col("rx").alias("x"), F.col("ry").alias("y"), (F.col("rz") - F.col("base")).alias("z"))
+    return r.join(base, "scene").select(*[F.col(c) for c in points.columns if c not in ("x", "y", "z")], F.col("rx").alias("x"), F.col("ry").alias("y"), (F.col("rz") - F.col("base")).alias("z"))
 
 
 def classify_ground(points: DataFrame, planes: DataFrame, tolerance: float, low: float = 0.1, high: float = 1.8) -> DataFrame:
     """Points with layer: ground within tolerance of the plane, obstacle between low and high over it, else other."""
     h = F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c") * F.col("z") + F.col("d")
-    d = points.join(F.broadcast(planes.select("scene", "a", "b", "c", "d")), "scene").withColumn("h", F.round(h, 9))
+    d = points.join(planes.select("scene", "a", "b", "c", "d"), "scene").withColumn("h", F.round(h, 9))
     layer = F.when(F.abs("h") <= tolerance, "ground").when((F.col("h") > low) & (F.col("h") < high), "obstacle").otherwise("other")
     return d.withColumn("layer", layer).drop("a", "b", "c", "d", "h")

@@ -124,13 +124,26 @@ def draw_starts(tree: DataFrame, low: float, high: float, k: int, seed: int) ->
     return tree.where((F.col("dist") >= low) & (F.col("dist") <= high)).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).drop("_k")
 
 
-def reachable_objects(objects: DataFrame, cells: DataFrame, tree: DataFrame, near: float, ratio: float = 1.5, cell: float = 1.0) -> DataFrame:
+#: Least and most distance in metres of a goal to an object, by its class's group.
+REACH = {"manipulation": (0.5, 1.5), "other": (0.3, 3.0)}
+
+
+def reachable_objects(objects: DataFrame, cells: DataFrame, tree: DataFrame, near: float | dict[str, tuple[float, float]], ratio: float = 1.5, cell: float = 1.0) -> DataFrame:
     """scene, source, obj, euclid, dist: objects (scene, obj, gx, gy) within `near` of a source and
-    with a geodesic to their nearest cell of at most ratio times the straight distance."""
-    at = snap(objects, cells, NODE, 2.0).where("b_gx IS NOT NULL").select("scene", "obj", F.struct(F.col("b_gx").alias("gx"), F.col("b_gy").alias("gy")).alias("node"), "gx", "gy")
+    with a geodesic to their nearest cell of at most ratio times the straight distance. near may be
+    ranges (least, most) by group, as REACH: objects then have a column grp, and those of no group
+    that is named are out of reach."""
+    if isinstance(near, dict):
+        low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
+        for name, (least, most) in near.items():
+            low, high = F.when(F.col("grp") == name, least).otherwise(low), F.when(F.col("grp") == name, most).otherwise(high)
+        objects = objects.select("scene", "obj", "gx", "gy", low.alias("_low"), high.alias("_high"))
+    else:
+        objects = objects.select("scene", "obj", "gx", "gy", F.lit(0.0).alias("_low"), F.lit(float(near)).alias("_high"))
+    at = snap(objects, cells, NODE, 2.0).where("b_gx IS NOT NULL").select("scene", "obj", F.struct(F.col("b_gx").alias("gx"), F.col("b_gy").alias("gy")).alias("node"), "gx", "gy", "_low", "_high")
     d = tree.join(at, ["scene", "node"])
     euclid = F.sqrt((F.col("source.gx") - F.col("gx")) * (F.col("source.gx") - F.col("gx")) + (F.col("source.gy") - F.col("gy")) * (F.col("source.gy") - F.col("gy"))) * cell
-    return d.withColumn("euclid", euclid).where((F.col("euclid") <= near) & (F.col("dist") <= ratio * F.greatest("euclid", F.lit(cell)))).select("scene", "source", "obj", "euclid", "dist")
+    return d.withColumn("euclid", euclid).where((F.col("euclid") >= F.col("_low")) & (F.col("euclid") <= F.col("_high")) & (F.col("dist") <= ratio * F.greatest("euclid", F.lit(cell)))).select("scene", "source", "obj", "euclid", "dist")
 
 
 def _one(rows: DataFrame, seed: str, *key: Column | str) -> DataFrame:

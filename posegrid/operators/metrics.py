@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def ranked(preds: DataFrame) -> DataFrame:
@@ -184,21 +188,88 @@ def psnr(pixels: DataFrame, a: str, b: str) -> DataFrame:
     return pixels.groupBy("image").agg((-10.0 * F.log10(F.greatest(F.avg(d * d), F.lit(1e-12)))).alias("psnr"))
 
 
-def ssim(pixels: DataFrame, a: str, b: str, sigma: float = 1.5, reach: int = 5) -> DataFrame:
-    """image, ssim with a Gaussian window, separably: weights along u, then v; absent pixels are
-    left out and the weights renormalised."""
-    g = [math.exp(-(o * o) / (2 * sigma * sigma)) for o in range(-reach, reach + 1)]
-    names = {"_a": F.col(a), "_b": F.col(b), "_aa": F.col(a) * F.col(a), "_bb": F.col(b) * F.col(b), "_ab": F.col(a) * F.col(b), "_w": F.lit(1.0)}
-    d = pixels.select("image", "u", "v", *[c.alias(n) for n, c in names.items()])
-    for axis in ("u", "v"):
-        off = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w).alias("g")) for o, w in zip(range(-reach, reach + 1), g)])).alias("k")
-        moved = d.select("image", "u", "v", *names, off).withColumn(axis, F.col(axis) + F.col("k.o"))
-        d = moved.groupBy("image", "u", "v").agg(*[F.sum(F.col(n) * F.col("k.g")).alias(n) for n in names])
-    d = d.join(pixels.select("image", "u", "v"), ["image", "u", "v"], "left_semi").select("image", *[(F.col(n) / F.col("_w")).alias(n) for n in names if n != "_w"])
-    va, vb, cov = F.col("_aa") - F.col("_a") * F.col("_a"), F.col("_bb") - F.col("_b") * F.col("_b"), F.col("_ab") - F.col("_a") * F.col("_b")
+#: Pixels of an image that a task holds at once, beside the rows that the window reaches around them.
+BAND = 1 << 20
+
+
+def _smooth(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """Sums weighed by the kernel along both axes; nothing lies beyond the borders."""
+    reach = len(kernel) // 2
+    for axis in (0, 1):
+        wide = np.pad(x, [(reach, reach) if i == axis else (0, 0) for i in range(2)])
+        n = x.shape[axis]
+        x = sum(k * (wide[i : i + n] if axis == 0 else wide[:, i : i + n]) for i, k in enumerate(kernel))
+    return x
+
+
+def _ssim_sum(v: np.ndarray, u: np.ndarray, a: np.ndarray, b: np.ndarray, kernel: np.ndarray, low: int, high: int) -> tuple[float, int]:
+    """Sum and number of the values of the pixels given in rows low to high - 1, which those of the
+    rows around them are given for as well."""
+    own = (v >= low) & (v < high)
+    if not own.any():
+        return 0.0, 0
+    top, left = int(v.min()), int(u.min())
+    shape = int(v.max()) - top + 1, int(u.max()) - left + 1
+    grids = []
+    for x in (np.ones(len(a)), a, b, a * a, b * b, a * b):
+        grid = np.zeros(shape)
+        grid[v - top, u - left] = x
+        grids.append(_smooth(grid, kernel)[v[own] - top, u[own] - left])
+    w, ma, mb, aa, bb, ab = grids
+    ma, mb, aa, bb, ab = (x / w for x in (ma, mb, aa, bb, ab))
     c1, c2 = 0.01**2, 0.03**2
-    s = (2 * F.col("_a") * F.col("_b") + c1) * (2 * cov + c2) / ((F.col("_a") * F.col("_a") + F.col("_b") * F.col("_b") + c1) * (va + vb + c2))
-    return d.groupBy("image").agg(F.avg(s).alias("ssim"))
+    s = (2 * ma * mb + c1) * (2 * (ab - ma * mb) + c2) / ((ma * ma + mb * mb + c1) * ((aa - ma * ma) + (bb - mb * mb) + c2))
+    return float(s.sum()), int(own.sum())
+
+
+def ssim(pixels: DataFrame, a: str, b: str, sigma: float = 1.5, reach: int = 5, band: int = BAND) -> DataFrame:
+    """image, ssim with a Gaussian window; absent pixels, and those with a null value, are left out
+    and the weights renormalised. Each place of an image has one pixel.
+
+    The table is shuffled once, to images sorted by rows of pixels. A task takes an image in bands
+    of rows of about `band` pixels, with `reach` rows before and after, and sends sum and number."""
+    kernel = np.array([math.exp(-(o * o) / (2 * sigma * sigma)) for o in range(-reach, reach + 1)])
+    d = pixels.select("image", F.col("v").cast("long").alias("v"), F.col("u").cast("long").alias("u"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    d = d.where("image IS NOT NULL AND u IS NOT NULL AND v IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL").repartition("image").sortWithinPartitions("image", "v", "u")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+        image, low = None, None
+        out: list[tuple] = []
+
+        def done(high: int) -> None:
+            nonlocal low, held
+            total, n = _ssim_sum(*held, kernel, low, high)
+            if n:
+                out.append((image, total, n))
+            keep = held[0] >= high - reach
+            low, held = high, [x[keep] for x in held]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column("image").to_pylist()
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("v", "u", "a", "b")]
+            cuts = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if names[i] != image:
+                    if len(held[0]):
+                        done(int(held[0][-1]) + 1)
+                    image, held = names[i], [x[:0] for x in held]
+                    low = int(cols[0][i])
+                held = [np.concatenate([x, c[i:j]]) for x, c in zip(held, cols)]
+                if (held[0] >= low).sum() > band and held[0][-1] - reach > low:
+                    done(int(held[0][-1]) - reach)  # the last row may go on in the next batch
+            yield pa.RecordBatch.from_pylist([{"image": i, "total": t, "n": n} for i, t, n in out], schema) if out else pa.RecordBatch.from_pylist([], schema)
+            out.clear()
+        if len(held[0]):
+            done(int(held[0][-1]) + 1)
+        yield pa.RecordBatch.from_pylist([{"image": i, "total": t, "n": n} for i, t, n in out], schema)
+
+    kind = d.schema["image"].dataType
+    schema = pa.schema([("image", to_arrow_type(kind)), ("total", pa.float64()), ("n", pa.int64())])
+    sums = d.mapInArrow(run, f"image {kind.simpleString()}, total double, n long")
+    return sums.groupBy("image").agg((F.sum("total") / F.sum("n")).alias("ssim"))
 
 
 def fill_depth(pixels: DataFrame, width: int, height: int, reach: int = 1, rounds: int = 2, value: str = "gt") -> DataFrame:

@@ -88,7 +88,7 @@ def weighted_draw(spark: SparkSession, weights: list[tuple[str, float]], files:
     last = F.lit(bounds[-1][0])
     draws = spark.range(n).select(F.col("id").alias("i"), uniform(seed, "id").alias("u")).withColumn("source", last if pick is None else pick.otherwise(last))
     sizes = files.groupBy("source").agg(F.count("*").alias("_n"))
-    second = draws.join(F.broadcast(sizes), "source").withColumn("k", seeded(f"{seed}b", "i") % F.col("_n"))
+    second = draws.join(sizes, "source").withColumn("k", seeded(f"{seed}b", "i") % F.col("_n"))
     return second.join(files, ["source", "k"]).select("i", "source", "item")
 
 
@@ -97,7 +97,7 @@ def cyclic_plan(spark: SparkSession, sources: list[str], files: DataFrame, n: in
     at = F.element_at(F.array(*map(F.lit, sources)), (F.col("id") % len(sources) + 1).cast("int"))
     d = spark.range(n).select(F.col("id").alias("i"), at.alias("source"))
     sizes = files.groupBy("source").agg(F.count("*").alias("_n"))
-    return d.join(F.broadcast(sizes), "source").withColumn("k", seeded(seed, "i") % F.col("_n")).join(files, ["source", "k"]).select("i", "source", "item")
+    return d.join(sizes, "source").withColumn("k", seeded(seed, "i") % F.col("_n")).join(files, ["source", "k"]).select("i", "source", "item")
 
 
 def mix_sources(spark: SparkSession, weights: list[tuple[str, float]], files: DataFrame, n: int, seed: int) -> DataFrame:
@@ -169,7 +169,7 @@ def idf_choice(candidates: DataFrame, counts: DataFrame, seed: int, excluded: tu
     """scene, cls, d: of each scene's candidate classes (nearest instance each) one is drawn with
     weight 1 / (count + 1); counts are those of the round before."""
     near = candidates.where(~F.col("cls").isin(*excluded) if excluded else F.lit(True)).groupBy("scene", "cls").agg(F.min("d").alias("d"))
-    weighted = near.join(F.broadcast(counts), "cls", "left").withColumn("w", 1.0 / (F.coalesce("n", F.lit(0)) + 1.0))
+    weighted = near.join(counts, "cls", "left").withColumn("w", 1.0 / (F.coalesce("n", F.lit(0)) + 1.0))
     w = Window.partitionBy("scene")
     upto = F.sum("w").over(w.orderBy("cls").rowsBetween(Window.unboundedPreceding, 0))
     d = weighted.withColumn("_to", upto / F.sum("w").over(w)).where(F.round("_to", 9) > uniform(seed, "scene"))

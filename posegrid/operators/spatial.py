@@ -49,9 +49,14 @@ def near_reference(points: DataFrame, reference: DataFrame, r: float, dims: list
     return points.join(hit, [*keys, *dims], "left_semi")
 
 
-def away_from(points: DataFrame, obstacles: DataFrame, r: float, dims: list[str], keys: list[str] = ["scene"]) -> DataFrame:  # noqa: B006
-    """Points with no obstacle within r."""
-    hit = radius_pairs(points.select(*keys, *dims).distinct(), obstacles.select(*keys, *dims).distinct(), r, dims, keys).select(*keys, *dims).distinct()
+def away_from(points: DataFrame, obstacles: DataFrame, r: float, dims: list[str], keys: list[str] = ["scene"], most: int | None = None, seed: int = 0) -> DataFrame:  # noqa: B006
+    """Points with no obstacle within r. most: only so many places of obstacles of each key, drawn in
+    seeded order, are centres."""
+    centres = obstacles.select(*keys, *dims).distinct()
+    if most is not None:
+        drawn = Window.partitionBy(*keys).orderBy(seeded(seed, *keys, *dims), *dims)
+        centres = centres.withColumn("_k", F.row_number().over(drawn)).where(F.col("_k") <= most).drop("_k")
+    hit = radius_pairs(points.select(*keys, *dims).distinct(), centres, r, dims, keys).select(*keys, *dims).distinct()
     return points.join(hit, [*keys, *dims], "left_anti")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from posegrid.functions import callables
 from posegrid.operators import metrics as M
 from posegrid.operators import vectors as V
 from posegrid.operators.registry import first_seen
@@ -394,4 +395,29 @@ def logreg_refit(vecs):
     return V.logreg_refit(train, val, test, V.logreg_sweep(train, val)).select("vec_id", "label", "predicted")
 
 
+_SAMPLES = """best AS (SELECT q, any_value(label) AS label, arg_max(cls, score - cls * 1e-9) AS best, min(CASE WHEN cls = label THEN rank END) AS place FROM ranked GROUP BY q),
+f AS (SELECT cls, sum(n) AS n, sum(g) AS g, sum(h) AS h FROM (SELECT label AS cls, 1 AS n, 0 AS g, CASE WHEN best = label THEN 1 ELSE 0 END AS h FROM best UNION ALL SELECT best, 0, 1, 0 FROM best) GROUP BY cls),
+c AS (SELECT label, avg(CASE WHEN place <= 3 THEN 1.0 ELSE 0.0 END) AS top3, avg(1.0 / place) AS mrr FROM best GROUP BY label)"""
+
+
+@R.query("preds", sql=f"""WITH {_RANK}, {_SAMPLES}
+SELECT 'top1' AS metric, round(avg(CASE WHEN place <= 1 THEN 1.0 ELSE 0.0 END), 6) AS value FROM best UNION ALL SELECT 'top3_macro', round(avg(top3), 6) FROM c
+UNION ALL SELECT 'mrr_macro', round(avg(mrr), 6) FROM c UNION ALL SELECT 'f1_macro', round(avg(2.0 * h / (n + g)), 6) FROM f UNION ALL SELECT 'f1_micro', round(2.0 * sum(h) / sum(n + g), 6) FROM f""")
+def evaluated_metrics(preds):
+    """Five metrics of all predictions in one pass."""
+    scores = F.transform(F.array_sort(F.collect_list(F.struct("cls", "score"))), lambda s: s.score)
+    samples = preds.groupBy(F.col("q").alias("index")).agg(scores.alias("preds"), F.max("label").alias("target"))
+    asked = {"top1": callables.accuracy(1), "top3_macro": callables.accuracy(3, "macro"), "mrr_macro": callables.reciprocal_rank("macro"), "f1_macro": callables.f1(), "f1_micro": callables.f1("micro")}
+    return callables.evaluate_fused(samples, asked).withColumn("value", F.round("value", 6))
+
+
+@R.query("vecs", sql="SELECT vec_id, round(sqrt(label::DOUBLE), 6) AS value, round(ln(1 + label::DOUBLE), 6) AS other FROM {vecs}")
+def named_callables(vecs):
+    """Functions of a user's module, named by their paths, over a column of the whole table."""
+    spark = vecs.sparkSession
+    callables.register_vectorised(spark, "posegrid_root", "numpy:sqrt", "double")
+    callables.register_vectorised(spark, "posegrid_log1p", "numpy:log1p", "double")
+    return vecs.selectExpr("vec_id", "round(posegrid_root(cast(label AS double)), 6) AS value", "round(posegrid_log1p(cast(label AS double)), 6) AS other")
+
+
 QUERIES, SQL = R.queries, R.sql

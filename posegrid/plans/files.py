@@ -193,4 +193,15 @@ def result_columns(evals):
     return typed.groupBy(*typed.columns).agg(F.count("*").alias("n"))
 
 
+@R.query("pixels", sql="""
+SELECT g.image, g.u, g.v, round(coalesce(p.gt, 0.0)::FLOAT::DOUBLE, 4) AS depth FROM (
+  SELECT image, u, v FROM (SELECT DISTINCT image FROM {pixels}), (SELECT unnest(generate_series(0, 31)) AS u), (SELECT unnest(generate_series(0, 23)) AS v)) g
+LEFT JOIN {pixels} p ON g.image = p.image AND g.u = p.u AND g.v = p.v""")
+def depth_frames(pixels):
+    """Every image's depth as a raw frame, and back to pixels."""
+    frames = sinks.encode_depth_frames(pixels, 32, 24, "gt")
+    out = readers.explode_depth_frames(frames)
+    return out.select(F.col("path").cast("long").alias("image"), "u", "v", F.round(F.col("depth").cast("double"), 4).alias("depth"))
+
+
 QUERIES, SQL = R.queries, R.sql

@@ -127,10 +127,10 @@ def transform_points(poses):
     return poses.select("id", *_cols(G.rotate_translate((F.lit(1.5), F.lit(0.5), F.lit(1.0)), G.quat_rotation(*_q()), _t())))
 
 
-@R.query("cloud", sql="SELECT scene, sum(x_cm)::BIGINT AS sx, sum(-z_cm)::BIGINT AS sy, sum(y_cm)::BIGINT AS sz FROM {cloud} GROUP BY scene")
+@R.query("cloud", sql="SELECT l_orderkey, l_linenumber, x_cm AS x, -z_cm AS y, y_cm AS z FROM {cloud}")
 def to_z_up(cloud):
     x, y, z = G.z_up(F.col("x_cm"), F.col("y_cm"), F.col("z_cm"))
-    return cloud.groupBy("scene").agg(F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(z).alias("sz"))
+    return cloud.select("l_orderkey", "l_linenumber", x.alias("x"), y.alias("y"), z.alias("z"))
 
 
 _MOD = "((({0}) % (2 * pi())) + 2 * pi()) % (2 * pi())"
@@ -184,9 +184,10 @@ def reduced_labels(seg):
     return seg.groupBy("image").agg(F.count("*").alias("n"), F.count(F.when(F.col("label") == 255, 1)).alias("ignored"), F.sum(G.reduce_zero_label(F.col("label"))).alias("total"))
 
 
-@R.query("seg", sql="SELECT image, count(*) AS walkable FROM {seg} WHERE pred IN (1, 3, 5) AND label <> 255 GROUP BY image")
-def class_mask(seg):
-    return seg.where(F.col("pred").isin(1, 3, 5) & (F.col("label") != 255)).groupBy("image").agg(F.count("*").alias("walkable"))
+@R.query("pixels", sql="SELECT image, u, v, (u + v) % 16 IN (3, 9, 11, 12, 13, 29, 94) AND gt > 0.2 AND gt < 10.0 AS walkable, (u + v) % 16 = 14 AND gt > 0.2 AND gt < 10.0 AS door FROM {pixels}")
+def class_mask(pixels):
+    cls = (F.col("u") + F.col("v")) % 16
+    return pixels.select("image", "u", "v", G.class_mask(cls, F.col("gt")).alias("walkable"), G.class_mask(cls, F.col("gt"), G.DOOR_IDS).alias("door"))
 
 
 _DETECTED = """b AS (SELECT cy AS image, (cx % 32 - 3)::INTEGER AS x1, (3 * l_linenumber - 2)::INTEGER AS y1, (cx % 32 + w / 4)::DOUBLE AS x2, (3 * l_linenumber + h)::DOUBLE AS y2, score, l_partkey, price FROM {boxes}),
@@ -235,10 +236,10 @@ def scaled_boxes(boxes):
     return boxes.select(*_KEY, *[x.cast("double").alias(n) for n, x in zip(_B, c)])
 
 
-@R.query("steps", sql="SELECT episode, string_agg(CASE action WHEN 0 THEN 'STOP' WHEN 1 THEN '↑' WHEN 2 THEN '←' WHEN 3 THEN '→' END, '' ORDER BY step) AS arrows FROM {steps} WHERE step < 12 GROUP BY episode")
+@R.query("steps", sql="SELECT episode, string_agg(CASE action WHEN 0 THEN 'STOP' WHEN 1 THEN '↑' WHEN 2 THEN '←' WHEN 3 THEN '→' END, '' ORDER BY step) AS arrows FROM {steps} GROUP BY episode")
 def action_arrows(steps):
     name = F.when(F.col("action") == 1, "MOVE_FORWARD").when(F.col("action") == 2, "TURN_LEFT").when(F.col("action") == 3, "TURN_RIGHT").otherwise("unknown")
-    a = steps.where("step < 12").select("episode", F.struct("step", G.action_arrow(G.encode_action(name)).alias("a")).alias("s"))
+    a = steps.select("episode", F.struct("step", G.action_arrow(G.encode_action(name)).alias("a")).alias("s"))
     return a.groupBy("episode").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s.a), "").alias("arrows"))
 
 

@@ -40,13 +40,14 @@ def _arcs(cells):
 
 
 def _sources(cells):
-    return cells.where("gx = 0 AND gy % 30 = 3").select("scene", F.struct("gx", "gy").alias("source"))
+    """The least cell of every scene."""
+    return cells.groupBy("scene").agg(F.min(F.struct("gx", "gy")).alias("source"))
 
 
 def _walk(limit: float) -> str:
     """Leading CTEs: t, the least distance from each source to the nodes within limit."""
     return f"""WITH RECURSIVE {_EDGES}, arcs AS (SELECT scene, ax, ay, bx, by_, round(dist, 9) AS w FROM edges UNION ALL SELECT scene, bx, by_, ax, ay, round(dist, 9) FROM edges),
-walk(scene, sx, sy, x, y, d) AS (SELECT scene, gx, gy, gx, gy, 0.0::DOUBLE FROM {{cells}} WHERE gx = 0 AND gy % 30 = 3
+walk(scene, sx, sy, x, y, d) AS (SELECT scene, gx, gy, gx, gy, 0.0::DOUBLE FROM (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY gx, gy) AS k FROM {{cells}}) WHERE k = 1
   UNION SELECT k.scene, sx, sy, bx, by_, round(d + w, 9) FROM walk k JOIN arcs a ON k.scene = a.scene AND x = ax AND y = ay WHERE d + w <= {limit}),
 t AS (SELECT scene, sx, sy, x, y, min(d) AS d FROM walk GROUP BY scene, sx, sy, x, y)"""
 
@@ -76,18 +77,19 @@ def starts_in_band(cells):
 
 
 @R.query("cells", sql=f"""{_walk(8.0)}, e AS (SELECT *, sqrt((sx - x) * (sx - x) + (sy - y) * (sy - y)) AS euclid FROM t)
-SELECT scene, sy, x * 100 + y AS obj, round(euclid, 6) AS euclid, round(d, 6) AS dist FROM e WHERE euclid <= 6.0 AND d <= 1.5 * greatest(euclid, 1.0)""")
+SELECT scene, sy, x * 100 + y AS obj, round(euclid, 6) AS euclid, round(d, 6) AS dist FROM e WHERE (CASE WHEN (x + y) % 3 = 0 THEN euclid BETWEEN 1.0 AND 3.0 ELSE euclid BETWEEN 0.6 AND 6.0 END) AND d <= 1.5 * greatest(euclid, 1.0)""")
 def reachable_objects(cells):
     """One object on every cell."""
     t = G.geodesic(_arcs(cells), _sources(cells), 8.0)
-    objects = cells.select("scene", (F.col("gx") * 100 + F.col("gy")).alias("obj"), "gx", "gy")
-    out = G.reachable_objects(objects, cells, t, 6.0)
+    grp = F.when((F.col("gx") + F.col("gy")) % 3 == 0, "manipulation").otherwise("other")
+    objects = cells.select("scene", (F.col("gx") * 100 + F.col("gy")).alias("obj"), "gx", "gy", grp.alias("grp"))
+    out = G.reachable_objects(objects, cells, t, {name: (2 * low, 2 * high) for name, (low, high) in G.REACH.items()})
     return out.select("scene", F.col("source.gy").alias("sy"), "obj", F.round("euclid", 6).alias("euclid"), F.round("dist", 6).alias("dist"))
 
 
 @R.query("cells")
 def connected_cells(cells):
-    return cell_components(cells.where("(gx * 31 + gy * 17) % 7 < 3"))
+    return cell_components(cells)
 
 
 @R.query("orders")

@@ -62,9 +62,14 @@ def truncate_stuck(steps):
     return T.truncate_stuck(T.stuck_steps(steps)).select("episode", "step", "action")
 
 
-@R.query("steps", sql=f"WITH {_STUCK} SELECT episode, count(*) AS n FROM stuckness GROUP BY episode HAVING count(CASE WHEN stuck THEN 1 END) = 0")
+_LEGS = _STUCK.replace("{steps}", "(SELECT episode * 1000 + step // 8 AS episode, step, action, tick, x, y FROM {steps})")
+
+
+@R.query("steps", sql=f"WITH {_LEGS} SELECT episode, count(*) AS n FROM stuckness GROUP BY episode HAVING count(CASE WHEN stuck THEN 1 END) = 0")
 def reject_stuck(steps):
-    return T.truncate_stuck(T.stuck_steps(steps), "reject").groupBy("episode").agg(F.count("*").alias("n"))
+    """Legs of eight steps that are nowhere stuck."""
+    legs = steps.withColumn("episode", F.col("episode") * 1000 + F.floor(F.col("step") / 8))
+    return T.truncate_stuck(T.stuck_steps(legs), "reject").groupBy("episode").agg(F.count("*").alias("n"))
 
 
 @R.query("steps", sql="SELECT episode, step, action FROM (SELECT *, count(*) OVER (PARTITION BY episode) AS n FROM {steps}) WHERE n >= 60")

@@ -97,22 +97,22 @@ def _numbered(sources):
     return sources.select("source", (F.row_number().over(Window.partitionBy("source").orderBy("episode")) - 1).alias("k"), F.col("episode").alias("item"))
 
 
-@R.query("sources", sql=f"WITH {_FILES}, d AS (SELECT i, {_source(21)} AS source FROM (SELECT unnest(generate_series(0, 499)) AS i)) SELECT i, d.source, item FROM d JOIN z ON d.source = z.source JOIN f ON f.source = d.source AND f.k = {sql_seeded('21b', 'i')} % n")
+@R.query("sources", sql=f"WITH {_FILES}, d AS (SELECT i, {_source(21)} AS source FROM (SELECT row_number() OVER (ORDER BY episode) - 1 AS i FROM {{sources}})) SELECT i, d.source, item FROM d JOIN z ON d.source = z.source JOIN f ON f.source = d.source AND f.k = {sql_seeded('21b', 'i')} % n")
 def weighted_draw(sources):
-    return S.weighted_draw(sources.sparkSession, _WEIGHTS, _numbered(sources), 500, 21)
+    return S.weighted_draw(sources.sparkSession, _WEIGHTS, _numbered(sources), sources.count(), 21)
 
 
-@R.query("sources", sql=f"WITH {_FILES}, d AS (SELECT i, CASE i % 5 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE' WHEN 3 THEN 'HOUSEHOLD' ELSE 'MACHINERY' END AS source FROM (SELECT unnest(generate_series(0, 299)) AS i)) SELECT i, d.source, item FROM d JOIN z ON d.source = z.source JOIN f ON f.source = d.source AND f.k = {sql_seeded(8, 'i')} % n")
+@R.query("sources", sql=f"WITH {_FILES}, d AS (SELECT i, CASE i % 5 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE' WHEN 3 THEN 'HOUSEHOLD' ELSE 'MACHINERY' END AS source FROM (SELECT row_number() OVER (ORDER BY episode) - 1 AS i FROM {{sources}})) SELECT i, d.source, item FROM d JOIN z ON d.source = z.source JOIN f ON f.source = d.source AND f.k = {sql_seeded(8, 'i')} % n")
 def cyclic_plan(sources):
-    return S.cyclic_plan(sources.sparkSession, [s for s, _ in _WEIGHTS], _numbered(sources), 300, 8)
+    return S.cyclic_plan(sources.sparkSession, [s for s, _ in _WEIGHTS], _numbered(sources), sources.count(), 8)
 
 
 @R.query("sources", sql=f"""
-WITH {_FILES}, d AS (SELECT i, {_source(31)} AS source FROM (SELECT unnest(generate_series(0, 2999)) AS i)), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY i) - 1 AS k FROM d),
+WITH {_FILES}, d AS (SELECT i, {_source(31)} AS source FROM (SELECT row_number() OVER (ORDER BY episode) - 1 AS i FROM {{sources}} CROSS JOIN (SELECT unnest([0, 1]) AS twice))), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY i) - 1 AS k FROM d),
 m AS (SELECT k.i, k.source, f.item FROM k LEFT JOIN f ON k.source = f.source AND k.k = f.k), s AS (SELECT min(CASE WHEN item IS NULL THEN i END) AS stop FROM m)
 SELECT i, source, item FROM m, s WHERE stop IS NULL OR i < stop""")
 def mixed_sources(sources):
-    return S.mix_sources(sources.sparkSession, _WEIGHTS, _numbered(sources), 3000, 31)
+    return S.mix_sources(sources.sparkSession, _WEIGHTS, _numbered(sources), 2 * sources.count(), 31)
 
 
 @R.query("sources", sql="SELECT s.scene, count(*) AS n, min(CASE s.source WHEN 'BUILDING' THEN 'b' ELSE 'm' END) AS first FROM {sources} s WHERE s.source IN ('BUILDING', 'MACHINERY') GROUP BY s.scene")
@@ -163,20 +163,18 @@ def scaled_bucket_draws(sources):
 
 
 @R.query("objects", sql=f"""
-WITH c AS (SELECT cls, count(*) AS n FROM {{objects}} WHERE scene < 3 GROUP BY cls), near AS (SELECT scene, cls, min(x_cm + y_cm) AS d FROM {{objects}} WHERE cls <> 'PROMO' GROUP BY ALL),
+WITH c AS (SELECT cls, count(*) AS n FROM {{objects}} GROUP BY cls), near AS (SELECT scene, cls, min(x_cm + y_cm) AS d FROM {{objects}} WHERE cls <> 'PROMO' GROUP BY ALL),
 w AS (SELECT near.*, 1.0 / (coalesce(n, 0) + 1.0) AS w FROM near LEFT JOIN c ON near.cls = c.cls), t AS (SELECT *, sum(w) OVER (PARTITION BY scene ORDER BY cls ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(w) OVER (PARTITION BY scene) AS up FROM w)
 SELECT scene, cls, d FROM (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY up, cls) AS k FROM t WHERE round(up, 9) > {_u(2, 'scene')}) WHERE k = 1""")
 def chosen_targets(objects):
-    counts = objects.where("scene < 3").groupBy("cls").agg(F.count("*").alias("n"))
+    counts = objects.groupBy("cls").agg(F.count("*").alias("n"))
     return S.idf_choice(objects.withColumn("d", F.col("x_cm") + F.col("y_cm")), counts, 2, ("PROMO",))
 
 
-@R.query("cloud", sql=f"SELECT DISTINCT x_cm, y_cm FROM (SELECT x_cm, y_cm FROM (SELECT DISTINCT x_cm, y_cm FROM {{cloud}} WHERE scene = 1) ORDER BY {sql_seeded(1, 'x_cm', 'y_cm')}, x_cm, y_cm LIMIT 100)")
+@R.query("cloud", sql=f"SELECT scene, x_cm, y_cm FROM (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY {sql_seeded(1, 'x_cm', 'y_cm')}, x_cm, y_cm) AS k FROM (SELECT DISTINCT scene, x_cm, y_cm FROM {{cloud}})) WHERE k <= 100")
 def capped_centres(cloud):
-    from posegrid.rand import seeded
-
-    places = cloud.where("scene = 1").select("x_cm", "y_cm").distinct()
-    return places.orderBy(seeded(1, "x_cm", "y_cm"), "x_cm", "y_cm").limit(100)
+    """At most 100 seeded places of every scene."""
+    return S.sample_per_group(cloud.select("scene", "x_cm", "y_cm").distinct(), ["scene"], 100, 1, ["x_cm", "y_cm"])
 
 
 @R.query("objects", sql="SELECT cls, count(DISTINCT scene) AS scenes, count(*) AS n FROM {objects} GROUP BY cls")

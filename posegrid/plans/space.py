@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from posegrid.operators import clouds as C
 from posegrid.operators import spatial as S
 from posegrid.plans.register import Registry
+from posegrid.rand import sql_seeded
 
 R = Registry()
 XYZ = ["x_cm", "y_cm", "z_cm"]
@@ -92,14 +93,14 @@ def radius_counts(cloud):
     return S.radius_count(cloud.select("scene", *XYZ), 5.0, XYZ).distinct()
 
 
-@R.query("cloud", sql=f"WITH {_PLACES}, {_PAIRS}, k AS (SELECT scene, x_cm, y_cm, z_cm FROM pairs GROUP BY ALL HAVING sum(bn) >= 5) SELECT scene, sum(n)::BIGINT AS n, count(*) AS places FROM places JOIN k USING (scene, x_cm, y_cm, z_cm) GROUP BY scene")
+@R.query("cloud", sql=f"WITH {_PLACES}, {_PAIRS}, k AS (SELECT scene, x_cm, y_cm, z_cm FROM pairs GROUP BY ALL HAVING sum(bn) >= 2) SELECT scene, x_cm, y_cm, z_cm, n FROM places JOIN k USING (scene, x_cm, y_cm, z_cm)")
 def denoised(cloud):
-    return S.denoise(cloud.select("scene", *XYZ), 5.0, 4, XYZ).groupBy("scene").agg(F.count("*").alias("n"), F.countDistinct(*XYZ).alias("places"))
+    return S.denoise(cloud.select("scene", *XYZ), 5.0, 1, XYZ).groupBy("scene", *XYZ).agg(F.count("*").alias("n"))
 
 
-@R.query("cloud", sql=f"WITH {_PLACES}, {_PAIRS}, k AS (SELECT scene, x_cm, y_cm, z_cm FROM pairs GROUP BY ALL HAVING sum(bn) >= 9) SELECT scene, sum(n)::BIGINT AS n FROM places JOIN k USING (scene, x_cm, y_cm, z_cm) GROUP BY scene")
+@R.query("cloud", sql=f"WITH {_PLACES}, {_PAIRS}, k AS (SELECT scene, x_cm, y_cm, z_cm FROM pairs GROUP BY ALL HAVING sum(bn) >= 3) SELECT scene, x_cm, y_cm, z_cm, n FROM places JOIN k USING (scene, x_cm, y_cm, z_cm)")
 def outliers_removed(cloud):
-    return S.denoise(cloud.select("scene", *XYZ), 5.0, 8, XYZ).groupBy("scene").agg(F.count("*").alias("n"))
+    return S.denoise(cloud.select("scene", *XYZ), 5.0, 2, XYZ).groupBy("scene", *XYZ).agg(F.count("*").alias("n"))
 
 
 _REF = "SELECT DISTINCT scene, x_cm, y_cm, z_cm FROM {cloud} WHERE l_linenumber = 1"
@@ -107,15 +108,21 @@ _HITS = """hits AS (SELECT DISTINCT a.scene, a.x_cm, a.y_cm, a.z_cm FROM (SELECT
   JOIN ref b ON a.scene = b.scene AND a.cx = b.x_cm // 5 AND a.cy = b.y_cm // 5 WHERE pow(a.x_cm - b.x_cm, 2) + pow(a.y_cm - b.y_cm, 2) + pow(a.z_cm - b.z_cm, 2) <= 25)"""
 
 
-@R.query("cloud", sql=f"WITH {_PLACES}, ref AS ({_REF}), {_HITS} SELECT scene, count(*) AS places, sum(n)::BIGINT AS n FROM places JOIN hits USING (scene, x_cm, y_cm, z_cm) GROUP BY scene")
+@R.query("cloud", sql=f"WITH {_PLACES}, ref AS ({_REF}), {_HITS} SELECT scene, x_cm, y_cm, z_cm, n FROM places JOIN hits USING (scene, x_cm, y_cm, z_cm)")
 def near_reference(cloud):
     kept = S.near_reference(cloud, cloud.where("l_linenumber = 1"), 5.0, XYZ, [])
-    return kept.groupBy("scene").agg(F.countDistinct(*XYZ).alias("places"), F.count("*").alias("n"))
+    return kept.groupBy("scene", *XYZ).agg(F.count("*").alias("n"))
 
 
-@R.query("cloud", sql=f"WITH {_PLACES}, ref AS ({_REF.replace('l_linenumber = 1', 'l_linenumber = 7')}), {_HITS} SELECT scene, sum(n)::BIGINT AS n FROM places LEFT JOIN hits h USING (scene, x_cm, y_cm, z_cm) WHERE h.scene IS NULL AND NOT EXISTS (SELECT 1 FROM hits q WHERE q.scene = places.scene AND q.x_cm = places.x_cm AND q.y_cm = places.y_cm AND q.z_cm = places.z_cm) GROUP BY scene")
+_CAPPED = f"""ref AS (SELECT scene, x_cm, y_cm, z_cm FROM (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY {sql_seeded(1, 'scene', 'x_cm', 'y_cm', 'z_cm')}, x_cm, y_cm, z_cm) AS k FROM (
+  SELECT DISTINCT scene, x_cm, y_cm, z_cm FROM {{cloud}} WHERE l_linenumber = 7)) WHERE k <= 40)"""
+
+
+@R.query("cloud", sql=f"WITH {_PLACES}, {_CAPPED}, {_HITS} SELECT scene, x_cm, y_cm, z_cm, n FROM places p WHERE NOT EXISTS (SELECT 1 FROM hits q WHERE q.scene = p.scene AND q.x_cm = p.x_cm AND q.y_cm = p.y_cm AND q.z_cm = p.z_cm)")
 def away_from_obstacles(cloud):
-    return S.away_from(cloud, cloud.where("l_linenumber = 7"), 5.0, XYZ).groupBy("scene").agg(F.count("*").alias("n"))
+    """Places away from at most 40 seeded obstacles a scene."""
+    kept = S.away_from(cloud, cloud.where("l_linenumber = 7"), 5.0, XYZ, most=40, seed=1)
+    return kept.groupBy("scene", *XYZ).agg(F.count("*").alias("n"))
 
 
 #: Neighbouring cells within 2.5, by offsets.
@@ -142,11 +149,11 @@ def walkable_edges(cells):
 
 
 @R.query("cells", sql="""
-WITH q AS (SELECT scene, gx, gy + 100 AS gy, gx AS qx, gy AS qy FROM {cells} WHERE gx % 7 = 0 AND gy = 0),
+WITH q AS (SELECT scene, gx AS qx, gy AS qy FROM {cells}),
 p AS (SELECT q.scene, q.qx, q.qy, c.gx, c.gy, pow(q.qx + 0.0 - c.gx, 2) + pow(q.qy + 2 - c.gy, 2) AS d2 FROM q JOIN {cells} c ON q.scene = c.scene WHERE (c.gx + c.gy) % 3 = 0)
 SELECT scene, qx, qy, nx, ny FROM (SELECT scene, qx, qy, gx AS nx, gy AS ny, row_number() OVER (PARTITION BY scene, qx, qy ORDER BY d2, gx, gy) AS k FROM p) WHERE k = 1""")
 def snap_to_cells(cells):
-    q = cells.where("gx % 7 = 0 AND gy = 0").select("scene", F.col("gx").alias("qx"), F.col("gy").alias("qy"), "gx", (F.col("gy") + 2).alias("gy"))
+    q = cells.select("scene", F.col("gx").alias("qx"), F.col("gy").alias("qy"), "gx", (F.col("gy") + 2).alias("gy"))
     nodes = cells.where("(gx + gy) % 3 = 0")
     return S.snap(q, nodes, ["gx", "gy"], 2.0).select("scene", "qx", "qy", F.col("b_gx").alias("nx"), F.col("b_gy").alias("ny"))
 
@@ -189,7 +196,7 @@ def density_clusters(cells):
 
 @R.query("cells")
 def scene_quality(cells):
-    return C.scene_quality(cells, 1.5, 3, ["gx", "gy"], 0.0025, 50, 0.5)
+    return C.scene_quality(cells, 2.0, ["gx", "gy"], min_points=3, least_area=600.0)
 
 
 @R.query("cells")
@@ -234,18 +241,18 @@ _KERNEL = len(C.disk(2))
 
 
 @R.query("cells", sql=f"""
-WITH ground AS (SELECT * FROM {{cells}} WHERE (gx * 31 + gy * 17) % 7 < 5), obst AS (SELECT * FROM {{cells}} WHERE (gx * 31 + gy * 17) % 97 = 6),
+WITH ground AS (SELECT * FROM {{cells}} WHERE (gx * 31 + gy * 17) % 97 <> 6), obst AS (SELECT * FROM {{cells}} WHERE (gx * 31 + gy * 17) % 97 = 6),
 wide AS (SELECT DISTINCT scene, gx + i AS gx, gy + j AS gy FROM ground, {_DISK[2]}),
 closed AS (SELECT scene, gx - i AS gx, gy - j AS gy FROM wide, {_DISK[2]} GROUP BY scene, gx - i, gy - j HAVING count(*) = {_KERNEL}),
 grown AS (SELECT DISTINCT scene, gx + i AS gx, gy + j AS gy FROM obst, {_DISK[1]})
 SELECT scene, gx, gy FROM closed EXCEPT SELECT scene, gx, gy FROM ground EXCEPT SELECT scene, gx, gy FROM grown""")
 def walkable_fill(cells):
-    return C.walkable_fill(cells.where("(gx * 31 + gy * 17) % 7 < 5"), cells.where("(gx * 31 + gy * 17) % 97 = 6"), 2, 1)
+    return C.walkable_fill(cells.where("(gx * 31 + gy * 17) % 97 <> 6"), cells.where("(gx * 31 + gy * 17) % 97 = 6"), 2, 1)
 
 
-@R.query("cloud", sql="SELECT scene, count(*) AS n, sum(x_cm)::BIGINT AS sx FROM (SELECT * FROM {cloud} WHERE l_linenumber <= 2 UNION ALL SELECT * FROM {cloud} WHERE l_linenumber >= 6) GROUP BY scene")
+@R.query("cloud", sql="SELECT scene, x_cm, y_cm, z_cm, count(*) AS n FROM (SELECT * FROM {cloud} WHERE l_linenumber <= 3 UNION ALL SELECT * FROM {cloud} WHERE l_linenumber > 3) GROUP BY ALL")
 def union_points(cloud):
-    return cloud.where("l_linenumber <= 2").unionByName(cloud.where("l_linenumber >= 6")).groupBy("scene").agg(F.count("*").alias("n"), F.sum("x_cm").alias("sx"))
+    return cloud.where("l_linenumber <= 3").unionByName(cloud.where("l_linenumber > 3")).groupBy("scene", *XYZ).agg(F.count("*").alias("n"))
 
 
 @R.query("cells", sql="SELECT DISTINCT scene, gx // 10 AS bx, gy // 10 AS by FROM {cells}")

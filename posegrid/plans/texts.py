@@ -179,6 +179,15 @@ def parsed_ratios(chat):
     return chat.select("conv_id", "turn", F.element_at(X.ratios(j), "r0").alias("ratio"))
 
 
+@R.query("objects", "part", sql="""
+WITH w AS (SELECT p_type AS cls, CASE WHEN length(p_type) % 2 = 0 THEN 'manipulation' ELSE 'other' END AS grp FROM part WHERE p_type <> 'PROMO' GROUP BY p_type)
+SELECT scene, grp, count(*) AS n, count(DISTINCT o.cls) AS classes FROM {objects} o JOIN w ON o.cls = w.cls GROUP BY scene, grp""")
+def vocabulary_groups(objects, part):
+    """Objects of a vocabulary, made of the part table's types but one, by the groups of their classes."""
+    words = part.where("p_type <> 'PROMO'").select(F.col("p_type").alias("cls"), F.when(F.length("p_type") % 2 == 0, "manipulation").otherwise("other").alias("grp"))
+    return X.with_vocabulary(objects, words).groupBy("scene", "grp").agg(F.count("*").alias("n"), F.countDistinct("cls").alias("classes"))
+
+
 @R.query("objects", sql="SELECT scene, CASE WHEN cls IN ('STANDARD', 'SMALL', 'MEDIUM') THEN 'manipulation' ELSE 'other' END AS grp, count(*) AS n FROM {objects} GROUP BY ALL")
 def class_groups(objects):
     return objects.groupBy("scene", X.class_group(F.col("cls"), ("STANDARD", "SMALL", "MEDIUM")).alias("grp")).agg(F.count("*").alias("n"))
@@ -214,9 +223,9 @@ def episode_index(chat):
     return S.episode_index(chat.select("conv_id", "turn", j.alias("json")), "json").select("conv_id", "turn", "ordinal", "id")
 
 
-@R.query("chat", sql="SELECT conv_id, turn, role FROM {chat} WHERE role IN ('user', 'system') AND conv_id IN (SELECT DISTINCT conv_id FROM {chat} WHERE conv_id % 2 = 0)")
+@R.query("chat", sql="SELECT conv_id, turn, role FROM {chat} WHERE role IN ('user', 'system')")
 def allow_lists(chat):
-    return S.allowed(S.allowed(chat, "role", ["user", "system"]), "conv_id", ["*"]).where("conv_id % 2 = 0").select("conv_id", "turn", "role")
+    return S.allowed(S.allowed(chat, "role", ["user", "system"]), "conv_id", ["*"]).select("conv_id", "turn", "role")
 
 
 @R.query("chat", sql=f"SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY {sql_seeded(2, 'conv_id', 'turn')}, turn) AS k FROM {{chat}}) WHERE k <= 2")

@@ -69,3 +69,26 @@ def expect_rows(df: DataFrame, n: int) -> DataFrame:
     if got != n:
         raise ValueError(f"{got} rows where {n} are expected")
     return df
+
+
+def encode_depth_frames(pixels: DataFrame, width: int, height: int, depth: str = "depth") -> DataFrame:
+    """path, content of a raw frame for each image (image, u, v and depth): a 12-byte header of float
+    tag, int width and height, then float32 rows; pixels that are absent, null or outside are 0."""
+    import numpy as np
+    import pyarrow as pa
+
+    inside = pixels.where((F.col("u") >= 0) & (F.col("u") < width) & (F.col("v") >= 0) & (F.col("v") < height) & F.col(depth).isNotNull())
+    at = (F.col("v") * width + F.col("u")).cast("int").alias("at")
+    frames = inside.groupBy(F.col("image").cast("string").alias("path")).agg(F.collect_list(F.struct(at, F.col(depth).cast("float").alias("z"))).alias("own"))
+    frames = frames.select("path", "own.at", "own.z")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for place, z in zip(batch.column("at"), batch.column("z")):
+                frame = np.zeros(width * height, "<f4")
+                frame[place.values.to_numpy()] = z.values.to_numpy()
+                out.append(np.float32(202021.25).tobytes() + np.array([width, height], "<i4").tobytes() + frame.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.binary())], ["path", "content"])
+
+    return frames.mapInArrow(run, "path string, content binary")

@@ -20,12 +20,13 @@ VIEWS = {
                          CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN 1 WHEN 'view' THEN 2 WHEN 'signup' THEN 3 ELSE 0 END AS action, {_TURN} AS turn
                   FROM {{events}}) a) b
       WINDOW w AS (PARTITION BY episode ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    # scenes are suppliers, whose number grows with the tables; a scene is 3 m by 3 m
     "cloud": """
-      SELECT l_suppkey % 10 AS scene, (l_partkey % 60) * 5 + l_linenumber % 5 AS x_cm, (l_orderkey % 60) * 5 AS y_cm, CAST(floor(l_quantity) AS BIGINT) % 3 AS z_cm,
+      SELECT l_suppkey AS scene, (l_partkey % 60) * 5 + l_linenumber % 5 AS x_cm, (l_orderkey % 60) * 5 AS y_cm, CAST(floor(l_quantity) AS BIGINT) % 3 AS z_cm,
              l_discount AS r, l_tax AS g, l_quantity / 50 AS b, l_extendedprice AS price, l_orderkey, l_partkey, l_suppkey, l_linenumber
       FROM {lineitem}""",
     "cells": """
-      SELECT DISTINCT l_suppkey % 10 AS scene, l_partkey % 60 AS gx, l_orderkey % 60 AS gy FROM {lineitem}
+      SELECT DISTINCT l_suppkey AS scene, l_partkey % 60 AS gx, l_orderkey % 60 AS gy FROM {lineitem}
       WHERE (7 * (l_partkey % 60) + 13 * (l_orderkey % 60)) % 11 <> 0""",
     "pixels": """
       SELECT image, u, v, gt, gt * (0.75 + 5 * d) AS pred, r, g, b FROM (
@@ -43,7 +44,7 @@ VIEWS = {
       SELECT DISTINCT concat('scene_', CAST(l_orderkey % 10 AS STRING), '/', CAST(l_orderkey AS STRING), '_', CASE l_linenumber % 3 WHEN 0 THEN 'rgb' WHEN 1 THEN 'depth' ELSE 'pose' END) AS path
       FROM {lineitem}""",
     "objects": """
-      SELECT l_suppkey % 10 AS scene, p_type AS cls, (l_partkey % 60) * 5 + l_linenumber % 5 AS x_cm, (l_orderkey % 60) * 5 AS y_cm, CAST(floor(l_quantity) AS BIGINT) % 3 AS z_cm,
+      SELECT l_suppkey AS scene, p_type AS cls, (l_partkey % 60) * 5 + l_linenumber % 5 AS x_cm, (l_orderkey % 60) * 5 AS y_cm, CAST(floor(l_quantity) AS BIGINT) % 3 AS z_cm,
              l_discount * 10 AS conf, p_size, l_quantity, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice AS price
       FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     "boxes": """
