@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from posegrid.session import materialise
 
-SAMPLE_ROWS, WINDOW, FEATURES, CONFIRM, UNKNOWN, SELDOM, FOLDS, SALTS = 2_000, 40, 2_000, 0.5, "unknown", 0.01, 3, 16
+SAMPLE_ROWS, WINDOW, FEATURES, CONFIRM, UNKNOWN, SELDOM, FOLDS, HOT = 2_000, 40, 2_000, 0.5, "unknown", 0.01, 3, 100_000
 #: Words of the notices by which licences are stated.
 NOTICES = {
     "MIT": [
@@ -137,15 +137,23 @@ class Model:
         for part in range(FOLDS):
             w, b = self._fit(x[fold_ != part], y_[fold_ != part])
             z[fold_ == part] = x[fold_ == part] @ w + b
-        loss = lambda p: float(-np.log(p[np.arange(len(p)), y_] + 1e-12).mean())
-        unknown = np.eye(len(FAMILIES), dtype=np.float32)[-1]
-        tries = [(loss(self._soft((z + more * unknown) / heat)), float(heat), float(more)) for heat in np.exp(np.linspace(-2.5, 1.5, 33)) for more in np.linspace(-3, 3, 25)]
-        best, self.heat, more = min(tries)
-        p = self._soft((z + more * unknown) / self.heat)
+        loss = lambda p, at: float(-np.log(p[np.arange(len(p)), y_[at]] + 1e-12).mean())
+        unknown, every = np.eye(len(FAMILIES), dtype=np.float32)[-1], np.ones(len(y_), bool)
+
+        def calibrated(at: np.ndarray) -> tuple[float, float]:
+            tries = [(loss(self._soft((z[at] + more * unknown) / heat), at), float(heat), float(more)) for heat in np.exp(np.linspace(-2.5, 1.5, 33)) for more in np.linspace(-3, 3, 25)]
+            return min(tries)[1:]
+
+        self.heat, more = calibrated(every)
+        # what is reported of a window comes from a fit and a calibration that did not see its part
+        p = np.zeros_like(z)
+        for part in range(FOLDS):
+            heat, own = calibrated(fold_ != part)
+            p[fold_ == part] = self._soft((z[fold_ == part] + own * unknown) / heat)
         sure, right = p.max(1), p.argmax(1) == y_
         bins = np.minimum((sure * 10).astype(int), 9)
         gap = sum(abs(float(sure[bins == k].mean() - right[bins == k].mean())) * float((bins == k).mean()) for k in set(bins.tolist()))
-        self.reliability = {"log_loss_raw": loss(self._soft(z)), "log_loss": best, "calibration_error": gap, "right": float(right.mean())}
+        self.reliability = {"log_loss_raw": loss(self._soft(z), every), "log_loss": loss(p, every), "calibration_error": gap, "right": float(right.mean())}
         w, b = self._fit(x, y_)
         b = b + more * unknown
         self.weights = {g: [round(float(v), 6) for v in w[i]] for g, i in at.items() if np.abs(w[i]).max() > 0}
@@ -195,9 +203,10 @@ def _lines(has: str) -> str:
               i -> named_struct('line', i + 1, 'start', d[i div {block}] + aggregate(slice(n, (i div {block}) * {block} + 1, i % {block}), 0, {total}), 'paragraph', a[i]))))))))))"""
 
 
-def scan_licenses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", confirm: float = CONFIRM) -> DataFrame:
+def scan_licenses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", confirm: float = CONFIRM, hot: int = HOT) -> DataFrame:
     """id, line (from 1), family, probability, similarity, n_chars and start (code points) of
-    every paragraph that holds a feature of the model, in every whole text.
+    every paragraph that holds a feature of the model, in every whole text. Paragraphs are known by
+    their MD5 and length from the first shuffle on, so their n-grams don't carry them.
 
     family is the predicted one if the similarity is at least `confirm`, else unknown: the largest,
     over the family's notices, share of the notice's word pairs that stand in the paragraph, or of the
@@ -208,16 +217,17 @@ def scan_licenses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     has = f"(?<![a-z0-9])(?:{_any_of(model.words) or '$^'})(?![a-z0-9])"
     some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.lower("text").rlike(has))
-    lines = materialise(some.select("id", F.expr(f"inline({_lines(has)})")), "licence-lines")
-    distinct = lines.select("paragraph").distinct().withColumn("w", F.regexp_extract_all(F.lower("paragraph"), F.lit(f"({_WORD})"), F.lit(1)))
+    named = F.struct(F.unhex(F.md5("paragraph")).alias("h"), F.length("paragraph").alias("n")).alias("p")
+    lines = materialise(some.select("id", F.expr(f"inline({_lines(has)})")).select("id", "line", "start", named, "paragraph"), "licence-lines")
+    distinct = lines.groupBy("p").agg(F.first("paragraph").alias("paragraph")).withColumn("w", F.regexp_extract_all(F.lower("paragraph"), F.lit(f"({_WORD})"), F.lit(1)))
     gram = lambda n: f"CASE WHEN size(w) >= {n} THEN transform(sequence(1, size(w) - {n - 1}), i -> array_join(slice(w, i, {n}), ' ')) ELSE cast(array() as array<string>) END"
-    grams = distinct.select("paragraph", F.expr(f"explode(array_distinct(concat({gram(1)}, {gram(2)}, {gram(3)})))").alias("gram")).withColumn("n", F.size(F.split("gram", " ")))
+    grams = distinct.select("p", F.expr(f"explode(array_distinct(concat({gram(1)}, {gram(2)}, {gram(3)})))").alias("gram")).withColumn("n", F.size(F.split("gram", " ")))
     # both tables are bounded: by the number of features, and by the notices
     weights = spark.createDataFrame([(g, w) for g, w in model.weights.items()], "gram string, w array<double>")
     pairs = [(f, i, g, len(g.split()), sum(len(q.split()) == 2 for q in _grams(t))) for f, ts in NOTICES.items() for i, t in enumerate(ts) for g in sorted(_grams(t)) if len(g.split()) <= 2]
     notices = spark.createDataFrame(pairs, "family string, notice int, gram string, n int, size int")
     n_f = len(FAMILIES)
-    sums = grams.join(F.broadcast(weights), "gram", "left").groupBy("paragraph").agg(
+    sums = grams.join(F.broadcast(weights), "gram", "left").groupBy("p").agg(
         F.count("w").alias("features"),
         *[F.sum(F.get("w", F.lit(k))).alias(f"z{k}") for k in range(n_f)],
         F.count(F.when(F.col("n") == 2, 1)).alias("pairs"),
@@ -226,13 +236,16 @@ def scan_licenses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     z = [(F.col(f"z{k}") / F.sqrt("features") + model.bias[k]) / model.heat for k in range(n_f)]
     top = sums.withColumn("z", F.array(*z)).withColumn("most", F.array_max("z")).withColumn("k", F.array_position("z", F.col("most")).cast("int"))
     share = F.aggregate(F.transform("z", lambda v: F.exp(v - F.col("most"))), F.lit(0.0), lambda a, v: a + v)
-    guess = top.select("paragraph", "pairs", "singles", F.array(*map(F.lit, FAMILIES))[F.col("k") - 1].alias("guess"), F.round(1.0 / share, 6).alias("probability"))
-    shared = grams.join(F.broadcast(notices), ["gram", "n"]).groupBy("paragraph", "family", "notice", "size").agg(F.count(F.when(F.col("n") == 2, 1)).alias("two"), F.count(F.when(F.col("n") == 1, 1)).alias("one"))
-    near = shared.join(guess, "paragraph").where("family = guess")
-    near = near.groupBy("paragraph").agg(F.max(F.when(F.col("pairs") > 0, F.greatest(F.col("two") / F.col("pairs"), F.col("two") / F.nullif(F.col("size"), F.lit(0)))).otherwise(F.col("one") / F.col("singles"))).alias("similarity"))
-    named = guess.join(near, "paragraph", "left").select("paragraph", "guess", "probability", F.round(F.coalesce("similarity", F.lit(0.0)), 6).alias("similarity"))
-    # one notice may be a large part of all lines: it is dealt to SALTS tasks
-    named = materialise(named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "licence-names")
+    guess = top.select("p", "pairs", "singles", F.array(*map(F.lit, FAMILIES))[F.col("k") - 1].alias("guess"), F.round(1.0 / share, 6).alias("probability"))
+    shared = grams.join(F.broadcast(notices), ["gram", "n"]).groupBy("p", "family", "notice", "size").agg(F.count(F.when(F.col("n") == 2, 1)).alias("two"), F.count(F.when(F.col("n") == 1, 1)).alias("one"))
+    near = shared.join(guess, "p").where("family = guess")
+    near = near.groupBy("p").agg(F.max(F.when(F.col("pairs") > 0, F.greatest(F.col("two") / F.col("pairs"), F.col("two") / F.nullif(F.col("size"), F.lit(0)))).otherwise(F.col("one") / F.col("singles"))).alias("similarity"))
+    known = guess.join(near, "p", "left").select("p", "guess", "probability", F.round(F.coalesce("similarity", F.lit(0.0)), 6).alias("similarity"))
+    # a paragraph on more than `hot` lines is dealt to as many tasks as these fill
+    salts = lines.groupBy("p").agg(F.ceil(F.count("*") / hot).cast("int").alias("salts")).where("salts > 1")
+    salts = materialise(salts, "licence-hot")
+    known = materialise(known.join(salts, "p", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts"), "licence-names")
+    lines = lines.join(salts, "p", "left").withColumn("salt", F.expr("cast(pmod(xxhash64(id, line), coalesce(salts, 1)) as int)"))
     family = F.when(F.col("similarity") >= confirm, F.col("guess")).otherwise(F.lit(UNKNOWN))
-    out = lines.withColumn("salt", F.pmod(F.xxhash64("id", "line"), F.lit(SALTS)).cast("int")).join(named, ["paragraph", "salt"])
-    return out.select(F.col("id").alias(id_col), "line", "start", F.length("paragraph").alias("n_chars"), family.alias("family"), "probability", "similarity")
+    out = lines.select("id", "line", "start", "p", "salt").join(known, ["p", "salt"])
+    return out.select(F.col("id").alias(id_col), "line", "start", F.col("p.n").alias("n_chars"), family.alias("family"), "probability", "similarity")
