@@ -4,8 +4,13 @@ Texts and benchmark items are compared as lower-cased words (runs of ASCII lette
 of non-ASCII characters), each known by a 64-bit hash. A seed is a fixed mask laid over neighbouring
 words: words at its 0s are ignored, so a substituted word there does no harm. The masks are chosen
 so that however a fifth of an overlap's words is substituted between its equal ends, one mask at one
-place misses them all; a test enumerates this for 12 to 24 words. The seeds of both sides are joined
-by Spark, and each (text, item, diagonal) that meets is verified on all its words.
+place misses them all; a test enumerates this for 12 to 24 words. Shorter overlaps or a lower
+identity are refused, as the masks would miss some. The seeds of both sides are joined by Spark, and
+each (text, item, diagonal) that meets is verified on all its words.
+
+Equal seeds of one text at even distances, as repeated words or phrases make, are one row with a
+step and a number, on both sides. Two such rows of one step meet in a range of diagonals, so that
+repetition in a text and in an item adds up and doesn't multiply.
 
 Before the join, seeds of texts pass a bitmap of the benchmark's seeds of at most 2^MAX_BITS bits,
 whatever the benchmark's size; it saves shuffling seeds without a partner and changes no result.
@@ -84,6 +89,26 @@ def longest_overlap(text: np.ndarray, item: np.ndarray, diagonal: int, min_words
     return int(a + at[i[j]] + diagonal), int(a + at[i[j]]), long, int(j - i[j] + 1)
 
 
+def _runs(group: np.ndarray, key: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Progressions of the places p (below 2^40) of one key in one group: which place they begin
+    with, their step (0 for a place alone) and number."""
+    if not len(p):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort((p, key, group))
+    g, k, q = group[order], key[order], p[order]
+    gap = np.zeros(len(q), np.int64)  # to the place before, if that is of the same key
+    same = (g[1:] == g[:-1]) & (k[1:] == k[:-1])
+    gap[1:] = np.where(same, q[1:] - q[:-1], 0)
+    # a place begins a run if it is the first of its key, or its gap is another one than that before
+    begins = np.ones(len(q), bool)
+    begins[1:] = ~same
+    begins[2:] |= same[1:] & (gap[2:] != gap[1:-1]) & same[:-1]
+    at = np.flatnonzero(begins)
+    count = np.diff(np.append(at, len(q)))
+    step = np.where(count > 1, gap[np.minimum(at + 1, len(q) - 1)], 0)
+    return order[at], step, count
+
+
 def _item_seeds(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in K.chunks(batches, text="t"):
@@ -95,8 +120,10 @@ def _item_seeds(min_words: int):
                 key, p = _seeds(h, row, mask)
                 whole = fits[row[p]]
                 key, p = key[whole], p[whole]
+                at, step, count = _runs(row[p], key, p)
+                key, p = key[at], p[at]
                 of = pa.array(row[p])
-                yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "i": table["i"].combine_chunks().take(of), "th": table["th"].combine_chunks().take(of), "p": p - first[row[p]]})
+                yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "i": table["i"].combine_chunks().take(of), "th": table["th"].combine_chunks().take(of), "p": p - first[row[p]], "p_step": step, "p_count": count})
 
     return run
 
@@ -144,35 +171,52 @@ def _text_seeds(shared, masks: list[str]):
                     some = np.flatnonzero(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1)
                     key, p = key[some], p[some]
                 if len(p):
-                    yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "d": d.take(pa.array(row[p])), "q": p - first[row[p]]})
+                    at, step, count = _runs(row[p], key, p)
+                    key, p = key[at], p[at]
+                    yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "d": d.take(pa.array(row[p])), "q": p - first[row[p]], "q_step": step, "q_count": count})
 
     return run
 
 
 def _verify(min_words: int, identity: float):
-    """Rows come by text: first the text itself, then its hits, each with its item's words."""
+    """Rows come by text: first the text itself, then the items it meets, with their words and the
+    diagonals. Of an item's overlaps the longest is sent, on the least diagonal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros(0, U)
         for table in K.chunks(batches):
             out: list[tuple] = []
-            texts, ds, items, ths, diagonals = (table[c].to_pylist() for c in ("text", "d", "i", "th", "diagonal"))
+            texts, ds, items, ths = (table[c].to_pylist() for c in ("text", "d", "i", "th"))
+            many = table["diagonals"].combine_chunks()
+            met, ends = many.values.to_numpy(), many.offsets.to_numpy()
             lists = table["words"].combine_chunks()
             flat, offs = lists.values.to_numpy().view(U), lists.offsets.to_numpy()
             for k, text in enumerate(texts):
                 if text is not None:
                     words = _words(pa.array([text]))[0]
                     continue
-                found = longest_overlap(words, flat[offs[k] : offs[k + 1]], diagonals[k], min_words, identity)
-                if found:
-                    out.append((ds[k], items[k], ths[k], diagonals[k], *found))
+                best = None
+                for diagonal in np.sort(met[ends[k] : ends[k + 1]]).tolist():
+                    found = longest_overlap(words, flat[offs[k] : offs[k + 1]], diagonal, min_words, identity)
+                    if found and (best is None or found[2] > best[2]):
+                        best = found
+                if best:
+                    out.append((ds[k], items[k], ths[k], *best))
             if out:
-                kinds = [pa.binary(), *[pa.int64()] * 7]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["d", "i", "th", "diagonal", "a", "b", "n", "equal"])
+                kinds = [pa.binary(), *[pa.int64()] * 6]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["d", "i", "th", "a", "b", "n", "equal"])
 
     return run
 
 
+#: Diagonals of two progressions: a range if they have one step or one is a place alone, else all pairs.
+_DIAGONALS = """CASE
+  WHEN q_count = 1 AND p_count = 1 THEN array(q - p)
+  WHEN q_count = 1 THEN sequence(q - p - (p_count - 1) * p_step, q - p, p_step)
+  WHEN p_count = 1 THEN sequence(q - p, q - p + (q_count - 1) * q_step, q_step)
+  WHEN q_step = p_step THEN sequence(q - p - (p_count - 1) * p_step, q - p + (q_count - 1) * q_step, q_step)
+  ELSE flatten(transform(sequence(0L, q_count - 1), i -> transform(sequence(0L, p_count - 1), j -> q + i * q_step - p - j * p_step))) END"""
+
 OVERLAPS = "array<struct<item_id:bigint,text_start:int,item_start:int,n_words:int,n_equal:int>>"
 
 
@@ -182,28 +226,30 @@ def _digest(text: Column) -> Column:
 
 def _overlaps(texts: DataFrame, benchmark: DataFrame, item_id_col: str, item_text_col: str, min_words: int, identity: float) -> DataFrame:
     """d and overlaps of the texts (d, text; copies of a text share d) that have any."""
+    if min_words < MIN_WORDS or identity < IDENTITY:
+        raise ValueError(f"the masks find all overlaps of at least {MIN_WORDS} words with {IDENTITY} of them equal; not of {min_words} with {identity}")
     spark = texts.sparkSession
     ship(spark)
     items = benchmark.where(F.col(item_id_col).isNotNull()).select(F.col(item_id_col).cast("long").alias("i"), F.coalesce(F.col(item_text_col), F.lit("")).alias("t"))
     items = items.withColumn("th", F.xxhash64("t")).distinct()
-    seeds = materialise(items.mapInArrow(_item_seeds(min_words), "key long, i long, th long, p long"), "benchmark-seeds")
+    seeds = materialise(items.mapInArrow(_item_seeds(min_words), "key long, i long, th long, p long, p_step long, p_count long"), "benchmark-seeds")
     words = materialise(items.mapInArrow(_item_words, "i long, th long, words array<long>"), "benchmark-words")
     short = sorted(r.n for r in words.select(F.size("words").alias("n")).where(f"n > 0 AND n < {min_words}").distinct().collect())  # at most min_words - 1 numbers
     shared = spark.sparkContext.broadcast(_bitmap(seeds, seeds.count()))
     masks = [*MASKS, *("1" * n for n in short)]
-    own = texts.mapInArrow(_text_seeds(shared, masks), "key long, d binary, q long")
-    hits = own.join(seeds, "key").select("d", "i", "th", (F.col("q") - F.col("p")).alias("diagonal")).distinct()
+    own = texts.mapInArrow(_text_seeds(shared, masks), "key long, d binary, q long, q_step long, q_count long")
+    pairs = own.join(seeds, "key").select("d", "i", "th", F.explode(F.expr(_DIAGONALS)).alias("diagonal"))
+    hits = pairs.groupBy("d", "i", "th").agg(F.collect_set("diagonal").alias("diagonals"))
     hits = materialise(hits, "benchmark-hits")
     met = materialise(hits.select("d").distinct(), "benchmark-texts")  # a table of its own: its size is known, so few go to every task
     held = texts.join(met, "d", "left_semi").dropDuplicates(["d"])
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    rows = held.select("d", "text", none("long", "i"), none("long", "th"), none("long", "diagonal"), F.array().cast("array<long>").alias("words"))
-    rows = rows.unionByName(hits.join(words, ["i", "th"]).select("d", none("string", "text"), "i", "th", "diagonal", "words"))
+    rows = held.select("d", "text", none("long", "i"), none("long", "th"), F.array().cast("array<long>").alias("diagonals"), F.array().cast("array<long>").alias("words"))
+    rows = rows.unionByName(hits.join(words, ["i", "th"]).select("d", none("string", "text"), "i", "th", "diagonals", "words"))
     rows = rows.repartition("d").sortWithinPartitions("d", F.col("text").isNull())
-    found = rows.mapInArrow(_verify(min_words, identity), "d binary, i long, th long, diagonal long, a long, b long, n long, equal long")
-    best = found.groupBy("d", "i", "th").agg(F.max(F.struct("n", (-F.col("diagonal")).alias("o"), "a", "b", "equal")).alias("x"))
-    one = F.struct(F.col("i").alias("item_id"), F.col("x.a").cast("int").alias("text_start"), F.col("x.b").cast("int").alias("item_start"), F.col("x.n").cast("int").alias("n_words"), F.col("x.equal").cast("int").alias("n_equal"))
-    return materialise(best.groupBy("d").agg(F.sort_array(F.collect_list(one)).cast(OVERLAPS).alias("o")), "benchmark-overlaps")
+    found = rows.mapInArrow(_verify(min_words, identity), "d binary, i long, th long, a long, b long, n long, equal long")
+    one = F.struct(F.col("i").alias("item_id"), F.col("a").cast("int").alias("text_start"), F.col("b").cast("int").alias("item_start"), F.col("n").cast("int").alias("n_words"), F.col("equal").cast("int").alias("n_equal"))
+    return materialise(found.groupBy("d").agg(F.sort_array(F.collect_list(one)).cast(OVERLAPS).alias("o")), "benchmark-overlaps")
 
 
 def _unused(df: DataFrame, name: str) -> str:
