@@ -25,11 +25,12 @@ def voxel_downsample(points: DataFrame, size: float, dims: list[str], means: lis
 
 def voxel_quat_mean(points: DataFrame, keys: list[str]) -> DataFrame:
     """Mean unit quaternion (qw, qx, qy, qz) of each group after members with a negative dot
-    product with the naive mean are flipped; the naive mean is its own reference even if short."""
+    product with the naive mean are flipped; the naive mean is its own reference even if short, and
+    a product within rounding of 0, as of members that cancel out, flips none."""
     q = ["qw", "qx", "qy", "qz"]
     naive = points.groupBy(*keys).agg(*[F.avg(c).alias(f"_{c}") for c in q])
     dot = sum((F.col(c) * F.col(f"_{c}") for c in q[1:]), F.col("qw") * F.col("_qw"))
-    sign = F.when(dot < 0, -1.0).otherwise(1.0)
+    sign = F.when(F.round(dot, 9) < 0, -1.0).otherwise(1.0)
     mean = points.join(naive, keys).withColumn("_s", sign).groupBy(*keys).agg(*[F.avg(F.col(c) * F.col("_s")).alias(c) for c in q])
     size = F.greatest(F.sqrt(sum((F.col(c) * F.col(c) for c in q[1:]), F.col("qw") * F.col("qw"))), F.lit(1e-12))
     return mean.select(*keys, *[(F.col(c) / size).alias(c) for c in q])

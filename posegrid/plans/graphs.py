@@ -106,7 +106,7 @@ def _places(*names):
 
 @R.query("cells")
 def drawn_tasks(cells):
-    t = G.draw_tasks(cells, _arcs(cells), 2, 5)
+    t = G.draw_tasks(cells, _arcs(cells), 2, 5, trials=2)
     return t.select("scene", "round", "style", "low", "high", *_places("start", "goal"), F.round("dist", 6).alias("dist"))
 
 
@@ -114,7 +114,7 @@ def drawn_tasks(cells):
 def episode_plan(cells, objects):
     things = objects.select("scene", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("obj"), "cls", (F.col("x_cm") / 5).alias("gx"), (F.col("y_cm") / 5).alias("gy"))
     arcs = _arcs(cells)
-    p = G.episode_plan(G.draw_tasks(cells, arcs, 1, 6), cells, arcs, things, 7)
+    p = G.episode_plan(G.draw_tasks(cells, arcs, 1, 6, trials=2), cells, arcs, things, 7)
     nodes = F.array_join(F.transform("path", lambda n: F.concat_ws(":", n.gx, n.gy)), " ").alias("path")
     return p.select("scene", "round", "style", "low", "high", *_places("start", "goal"), F.round("dist", 6).alias("dist"), nodes, "target", "phrase", "episode_id")
 
