@@ -4,12 +4,17 @@ The automaton reads tokens. It starts as one state with a loop for each byte. Me
 in order, each by a gadget: for the merge (u, v) -> w, the state q that arcs labelled u lead to is
 copied without its arc v, arcs u are led to the copy, and every state with an arc u gets an arc w
 to where v led. What is left accepts exactly the token sequences that BPE makes. All arcs with one
-label lead to one state, so a state is a token and how many copies its arcs had gone through; its
-arcs are kept as the few that each copy lost, not written out.
+label lead to one state.
 
-A word is encoded by table: for each prefix the one token that ends it (a transition from the
-state after a shorter prefix, found once and then looked up by prefix); walking these back gives
-the arcs. Decoding emits the arcs' labels, the tokens' bytes.
+States are numbered: those of a token in the order of its copies. A state's arcs are those of the
+state it was copied from (its link) less the one lost, and the arcs of later tokens wherever it has
+an arc to their left part; so (state, token) is looked up in the table of lost arcs and else handed
+on by links, and what was found is kept in a table of transitions.
+
+Words are read byte by byte through a trie of the tokens with failure links, whose node names the
+longest token that ends there, and each token the next shorter one. The longest of these that the
+state before it has an arc for is the prefix's one last token; walking these back gives the arcs.
+Decoding emits the arcs' labels, the tokens' bytes.
 """
 
 from __future__ import annotations
@@ -33,8 +38,8 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Entries of a worker's tables before they are begun anew; they only save time.
 TABLE = 300_000
-#: Longer words are encoded one by one; bits of a slot number in the hash tables of tokens.
-LONG, SLOTS = 48, 19
+#: Longer words walk the tables one by one, as few go side by side.
+LONG = 48
 
 
 def _byte_letters() -> dict[str, int]:
@@ -50,7 +55,6 @@ class Automaton:
 
     def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
         self.label = {i: t for t, i in vocab.items()}
-        self.token = dict(vocab)
         self.rank: dict[int, int] = {}  # merge that made a token, -1 for bytes
         self.left: dict[int, int] = {}
         self.base: dict[int, tuple[int, int] | None] = {}  # a token's first state: another token's, as it was
@@ -62,67 +66,117 @@ class Automaton:
                 self.rank[i], self.base[i], self.when[i], self.lost[i] = -1, None, [], {}
         for m, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
-            if w in self.rank or not self._arc(u, len(self.when[u]), v):
-                continue
+            if w in self.rank or u not in self.rank or v not in self.rank or not self._arc(u, len(self.when[u]), v):
+                continue  # made before, or never met
             self.rank[w], self.left[w] = m, u
             self.base[w], self.when[w], self.lost[w] = (v, len(self.when[v])), [], {}
             self.when[u].append(m)
             self.lost[u][v] = m
-        lengths: dict[bytes, set[int]] = {}
-        for i in self.rank:
-            t = self.label[i]
-            lengths.setdefault(t[-2:], set()).add(len(t))
-        self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items() if len(k) == 2}
-        self.table: dict[bytes, int] = {}
-        self._index()
-
-    def _index(self) -> None:
-        """Tokens by a hash of their bytes counted from the end, and which lengths end in two bytes."""
-        self.longest = min(LONG, max(len(self.label[i]) for i in self.rank))
-        self.by_end = K.mix64(np.arange(self.longest * 256, dtype=np.uint64) + np.uint64(77)).reshape(-1, 256)
-        self.ends = np.zeros(1 << 16, np.uint64)
-        self.slots = [(np.zeros(1 << SLOTS, np.uint64), np.full(1 << SLOTS, -1, np.int32)) for _ in range(4)]
-        for i in self.rank:
-            t = self.label[i]
-            if len(t) > self.longest:
-                continue
-            if len(t) > 1:
-                self.ends[t[-2] << 8 | t[-1]] |= np.uint64(1 << (len(t) - 1))
-            h = int(self.by_end[np.arange(len(t)), list(t[::-1])].sum(dtype=np.uint64))
-            for k, (key, at) in enumerate(self.slots):
-                j = h >> (44 - 14 * k) & ((1 << SLOTS) - 1)
-                if at[j] < 0:
-                    key[j], at[j] = h, i
-                    break
-            else:
-                raise ValueError("no free slot for a token")
-        self.slots = [x for x in self.slots if (x[1] >= 0).any()]
-        self.length = np.zeros(max(self.label) + 1, np.int64)
+        self._number()
+        self._trie()
+
+    def _number(self) -> None:
+        """Arrays of the numbered states: owner (the token whose arcs lead there, or did), created
+        (the merge that copied it, -2 for a token's first), link and, by token, the last state."""
+        ids = sorted(self.rank)
+        n = np.array([len(self.when[i]) + 1 for i in ids])
+        offs = dict(zip(ids, (np.cumsum(n) - n).tolist()))
+        many = max(self.label) + 1
+        self.owner = np.repeat(np.array(ids, np.int64), n)
+        self.created = np.array([m for i in ids for m in (-2, *self.when[i])], np.int64)
+        self.order = self.owner << 32 | (self.created + 2)
+        self.link = np.full(len(self.owner), -1, np.int64)
+        self.state, self.made, self.before = np.full(many, -1, np.int32), np.full(many, -1, np.int64), np.full(many, -1, np.int64)
+        for i in ids:
+            self.state[i], self.made[i], self.before[i] = offs[i] + len(self.when[i]), self.rank[i], self.left.get(i, -1)
+            if self.base[i] is not None:
+                self.link[offs[i]] = offs[self.base[i][0]] + self.base[i][1]
+        lost = sorted((u << 32 | v, m) for u, arcs in self.lost.items() for v, m in arcs.items())
+        self.lost_arc = np.array([x for x, _ in lost] + [1 << 62], np.int64)
+        self.lost_at = np.array([m for _, m in lost] + [1 << 62], np.int64)
+        self.length = np.zeros(many, np.int64)
         self.length[list(self.label)] = [len(t) for t in self.label.values()]
         self.pair = np.full(1 << 21, -1, np.int64)
         self.pair_arc = np.zeros(1 << 21, bool)
 
-    def _tokens(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), -1, np.int32)
-        for k, (key, at) in enumerate(self.slots):
-            j = (h >> np.uint64(44 - 14 * k) & np.uint64((1 << SLOTS) - 1)).astype(np.int64)
-            out = np.where((key[j] == h) & (out < 0), at[j], out)
+    def _trie(self) -> None:
+        """The trie of the tokens' bytes: edges by (node, byte), failure links, and the tokens that end at a node."""
+        edges: dict[int, int] = {}
+        node_of: dict[int, int] = {}
+        above = [0]  # (node, byte) that leads to each node; nodes come after those they hang on
+        for i in sorted(self.rank, key=lambda i: len(self.label[i])):
+            node = 0
+            for byte in self.label[i]:
+                key = node << 8 | byte
+                if key not in edges:
+                    edges[key] = len(above)
+                    above.append(key)
+                node = edges[key]
+            node_of[node] = i
+        if any(b not in edges for b in range(256)):
+            raise ValueError("a token for each byte is needed")
+        depth = [0] * len(above)
+        for k in range(1, len(above)):
+            depth[k] = depth[above[k] >> 8] + 1
+        fail, ends = [0] * len(above), [-1] * len(above)
+        shorter = [-1] * (max(self.label) + 1)
+        for k in sorted(range(1, len(above)), key=depth.__getitem__):
+            if depth[k] > 1:
+                at, byte = fail[above[k] >> 8], above[k] & 255
+                while (at << 8 | byte) not in edges:
+                    at = fail[at]
+                fail[k] = edges[at << 8 | byte]
+            ends[k] = ends[fail[k]]
+            if k in node_of:
+                shorter[node_of[k]], ends[k] = ends[k], node_of[k]
+        self.edges, self.failed, self.ended, self.next = edges, fail, ends, shorter
+        keys = sorted(edges)
+        self.edge, self.to = np.array([*keys, 1 << 62], np.int64), np.array([*(edges[k] for k in keys), 0], np.int64)
+        self.fail, self.ends, self.shorter = np.array(fail, np.int64), np.array(ends, np.int64), np.array(shorter, np.int64)
+
+    def _advance(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The trie's node after each node and byte; the root has an edge for each byte."""
+        out, rest, byte = np.empty(len(node), np.int64), np.arange(len(node)), byte.astype(np.int64)
+        while len(rest):
+            key = node << 8 | byte
+            at = np.searchsorted(self.edge, key)
+            hit = self.edge[at] == key
+            out[rest[hit]] = self.to[at[hit]]
+            rest, node, byte = rest[~hit], self.fail[node[~hit]], byte[~hit]
         return out
 
-    def _arcs(self, u: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """arc() of many pairs, by a table that is filled as pairs are first met."""
-        pair = u.astype(np.int64) << 32 | t
+    def _has(self, s: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Whether each state has an arc of the token beside it, by lost arcs and links."""
+        out, rest = np.zeros(len(s), bool), np.arange(len(s))
+        while len(rest):
+            u, made = self.owner[s], self.made[t]
+            arc = u << 32 | t
+            at = np.searchsorted(self.lost_arc, arc)
+            gone = (self.lost_arc[at] == arc) & (self.lost_at[at] <= self.created[s])
+            # the state as it was when t was made
+            s = np.minimum(s, np.searchsorted(self.order, u << 32 | (made + 2), "right") - 1)
+            link = self.link[s]
+            root = (self.created[s] < 0) & (link < 0) & (made < 0) & ~gone
+            out[rest[root]] = True
+            s, t = np.where(link >= 0, link, s), np.where(link >= 0, t, self.before[t])
+            go = ~(gone | root)
+            rest, s, t = rest[go], s[go], t[go]
+        return out
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The state that each state's arc of the token beside it leads to, or -1, by a table that
+        is filled as pairs are first met."""
+        pair = state.astype(np.int64) << 32 | token
         j = (K.mix64(pair.view(np.uint64)) >> np.uint64(43)).astype(np.int64)
         out, new = self.pair_arc[j], np.flatnonzero(self.pair[j] != pair)
         if len(new):
             fresh, back = np.unique(pair[new], return_inverse=True)
-            found = np.array([self._arc(x >> 32, len(self.when[x >> 32]), x & 0xFFFFFFFF) for x in fresh.tolist()], bool)
-            out[new] = found[back]
+            out[new] = self._has(fresh >> 32, fresh & 0xFFFFFFFF)[back]
             self.pair[j[new]], self.pair_arc[j[new]] = pair[new], out[new]
-        return out
+        return np.where(out, self.state[token], -1)
 
     def encode_many(self, words: list[bytes]) -> list[bytes]:
-        """encode() of many words at once, place by place; ids as int32 bytes."""
+        """Ids (as int32 bytes) of many words at once, place by place."""
         size = np.array([len(w) for w in words], np.int64)
         order = np.argsort(-size, kind="stable")
         far = int((size > LONG).sum())
@@ -136,37 +190,22 @@ class Automaton:
         width = int(size[0])
         flat = np.frombuffer(b"".join(words[k].ljust(width, b"\0") for k in order.tolist()), np.uint8).reshape(-1, width)
         byte = np.ascontiguousarray(flat.T)
-        first = np.array([self.token.get(bytes([b]), -1) for b in range(256)], np.int32)
-        last = np.full((width + 1, len(order)), -1, np.int32)
+        state = np.full((width + 1, len(order)), -1, np.int32)
+        node = np.zeros(len(order), np.int64)
         alive = np.searchsorted(-size, -np.arange(width + 1), "right")  # words that reach a place
         for i in range(1, width + 1):
-            n_words = alive[i]
-            hashes = [self.by_end[0][byte[i - 1, :n_words]]]
-            for n in range(2, min(i, self.longest) + 1):
-                hashes.append(hashes[-1] + self.by_end[n - 1][byte[i - n, :n_words]])
-            own = last[i, :n_words]
-            own[:] = first[byte[i - 1, :n_words]]
-            left = np.arange(n_words)
-            lengths = self.ends[byte[i - 2, :n_words].astype(np.int64) << 8 | byte[i - 1, :n_words]] if i > 1 else np.zeros(n_words, np.uint64)
-            for n in range(len(hashes), 1, -1):
-                if not len(left):
-                    break
-                k = left[lengths[left] >> np.uint64(n - 1) & np.uint64(1) > 0]
-                if not len(k):
-                    continue
-                t = self._tokens(hashes[n - 1][k])
-                k, t = k[t >= 0], t[t >= 0]
-                if n < i and len(k):
-                    good = self._arcs(last[i - n, k], t)
-                    k, t = k[good], t[good]
-                if len(k):
-                    own[k] = t
-                    done = np.ones(n_words, bool)
-                    done[k] = False
-                    left = left[done[left]]
-        at, steps, which = size.copy(), [], np.arange(len(order))
+            node = self._advance(node[: alive[i]], byte[i - 1, : alive[i]])
+            rest, token = np.arange(len(node)), self.ends[node]
+            while len(rest):
+                n = self.length[token]
+                to = self.state[token]
+                ask = (n > 1) & (n < i)  # the start has all arcs, and one token ends each prefix
+                to[ask] = self.step(state[i - n[ask], rest[ask]], token[ask])
+                state[i, rest] = to
+                rest, token = rest[to < 0], self.shorter[token[to < 0]]
+        at, steps, which = size.copy(), [], np.flatnonzero(size)
         while len(which):
-            t = last[at[which], which]
+            t = self.owner[state[at[which], which]]
             steps.append((which, t))
             at[which] -= self.length[t]
             which = which[at[which] > 0]
@@ -181,7 +220,7 @@ class Automaton:
         return out
 
     def _arc(self, u: int, copies: int, t: int) -> bool:
-        """Whether the state of token u after so many copies has an arc labelled t."""
+        """Whether the state of token u after so many copies has an arc labelled t, while merges are compiled."""
         while True:
             at, made = self.lost[u].get(t), self.rank[t]
             if at is not None and at <= (self.when[u][copies - 1] if copies else -1):
@@ -206,36 +245,21 @@ class Automaton:
             found = self.known[key] = self._arc(u, len(self.when[u]), t)
         return found
 
-    def _last(self, word: bytes, end: int, before) -> int:
-        """The one token that ends word[:end], given those that end shorter prefixes."""
-        for n in self.lengths.get(word[max(0, end - 2) : end], ()):
-            if n <= end:
-                t = self.token.get(word[end - n : end])
-                if t is not None and t in self.rank and (n == end or self.arc(before(end - n), t)):
-                    return t
-        return self.token[word[end - 1 : end]]
-
     def encode(self, word: bytes) -> list[int]:
-        n = len(word)
-        if n <= LONG:
-            table = self.table
-            if len(table) > TABLE:
-                table.clear()
-            before = lambda i: table[word[:i]]
-            for i in range(1, n + 1):
-                p = word[:i]
-                if p not in table:
-                    table[p] = self._last(word, i, before)
-        else:
-            own = [0] * (n + 1)
-            before = own.__getitem__
-            for i in range(1, n + 1):
-                own[i] = self._last(word, i, before)
-        out = []
-        while n:
-            t = before(n)
-            out.append(t)
-            n -= len(self.label[t])
+        """Ids of one word, by the same tables."""
+        last, node = [-1], 0
+        for i, byte in enumerate(word, 1):
+            while (key := node << 8 | byte) not in self.edges:
+                node = self.failed[node]
+            node = self.edges[key]
+            t = self.ended[node]
+            while (n := len(self.label[t])) > 1 and n < i and not self.arc(last[i - n], t):
+                t = self.next[t]
+            last.append(t)
+        out, i = [], len(word)
+        while i:
+            out.append(last[i])
+            i -= len(self.label[last[i]])
         return out[::-1]
 
 

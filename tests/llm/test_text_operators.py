@@ -207,6 +207,54 @@ def test_bpe_matches_the_library(spark):
     assert bpe.bpe_digests(spark.createDataFrame([], DOC), content).count() == 0
 
 
+def test_bpe_states_are_those_of_the_gadgets_carried_out():
+    """On random merges over three letters: each state's arcs against an automaton whose arcs are
+    all written out, and encoded words against merging in order."""
+    for seed in range(6):
+        rng = random.Random(seed)
+        vocab, merges = {bytes([b]): b for b in range(256)}, []
+        while len(merges) < 60:
+            made = [b"a", b"b", b"c", *(u + v for u, v in merges)]
+            u, v = rng.choice(made), rng.choice(made)
+            if u + v not in vocab and len(u + v) < 12:
+                vocab[u + v] = len(vocab)
+                merges.append((u, v))
+        arcs, at = [{b: 0 for b in range(256)}], dict.fromkeys(range(256), 0)
+        for u, v in merges:
+            u, v, w = vocab[u], vocab[v], vocab[u + v]
+            if u not in at or v not in arcs[at[u]]:
+                continue
+            to = arcs[at[u]][v]
+            arcs.append({k: x for k, x in arcs[at[u]].items() if k != v})
+            at[u] = len(arcs) - 1
+            for own in arcs:
+                if u in own:
+                    own[u], own[w] = at[u], to
+            at[w] = to
+        automaton = bpe.Automaton(vocab, merges)
+        known = np.array(sorted(at), np.int64)
+        u, t = np.repeat(known, len(known)), np.tile(known, len(known))
+        to = automaton.step(automaton.state[u], t)
+        assert (to >= 0).tolist() == [b in arcs[at[a]] for a, b in zip(u.tolist(), t.tolist())]
+        assert (to[to >= 0] == automaton.state[t[to >= 0]]).all()
+
+        def merged(word: bytes) -> list[int]:
+            parts = [bytes([b]) for b in word]
+            for a, b in merges:
+                i = 0
+                while i < len(parts) - 1:
+                    if parts[i] == a and parts[i + 1] == b:
+                        parts[i : i + 2] = [a + b]
+                    i += 1
+            return [vocab[x] for x in parts]
+
+        words = [bytes(rng.choice(b"abcz") for _ in range(rng.randint(0, 90))) for _ in range(200)] + [b"a" * 500]
+        got = [np.frombuffer(x, np.int32).tolist() for x in automaton.encode_many(words)]
+        assert got == [merged(w) for w in words] == [automaton.encode(w) for w in words]
+    with pytest.raises(ValueError, match="each byte"):
+        bpe.Automaton({b"a": 0, b"b": 1, b"ab": 2}, [(b"a", b"b")])
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
