@@ -14,7 +14,8 @@ from posegrid.session import shared_dir
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a calibrated probability of toxicity under 0.5."""
+    """Documents with a calibrated probability of toxicity under 0.5. Null texts are scored as empty ones;
+    repeated rows have one score; an empty table stays empty."""
     model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score_toxicity(docs, model, out_col="_score").where("_score < 0.5").drop("_score")
 
@@ -30,7 +31,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a verified overlap with a benchmark item."""
+    """Documents without a verified overlap with a benchmark item. Null and empty texts have none and stay;
+    repeated rows go or stay together."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -40,7 +42,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the text decoded from them."""
+    """doc_id, n_tokens and digests of the ids and of the text decoded from them, a row for each row.
+    Null texts are encoded as empty ones, with no tokens."""
     return bpe.bpe_digests(docs, vocabulary())
 
 
