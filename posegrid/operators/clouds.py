@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from posegrid.operators.components import connected_components
 from posegrid.operators.spatial import dbscan
 from posegrid.rand import seeded
+from posegrid.session import materialise
 
 
 def voxel_key(points: DataFrame, size: float, dims: list[str]) -> DataFrame:
@@ -73,8 +74,9 @@ def scene_quality(points: DataFrame, size: float, dims: list[str], eps: float |
 
 def remove_small_clusters(points: DataFrame, eps: float, min_points: int, dims: list[str], least: int) -> DataFrame:
     """Places of clusters with more than `least` places; noise goes."""
-    labelled = dbscan(points, eps, min_points, dims).where("cluster IS NOT NULL")
-    return labelled.withColumn("k", F.count("*").over(Window.partitionBy("scene", "cluster"))).where(F.col("k") > least).drop("k", "n")
+    labelled = materialise(dbscan(points, eps, min_points, dims).where("cluster IS NOT NULL").drop("n"), "labelled")
+    large = labelled.groupBy("scene", "cluster").agg(F.count("*").alias("k")).where(F.col("k") > least)
+    return labelled.join(large.hint("merge"), ["scene", "cluster"], "left_semi").select(*labelled.columns)
 
 
 def _cell_id() -> Column:
@@ -87,20 +89,34 @@ def offsets(cells: DataFrame, shifts: list[tuple[int, int]]) -> DataFrame:
     return cells.select("scene", "gx", "gy", at).select("scene", (F.col("gx") + F.col("s.a")).alias("gx"), (F.col("gy") + F.col("s.b")).alias("gy"))
 
 
-def cell_components(cells: DataFrame) -> DataFrame:
-    """Cells with component: the least cell of their 8-connected part."""
+def _parts(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct cells with _id, numbers that rise with the cells, and for each the least number of its
+    8-connected part (_id, _c)."""
     half = [(0, 1), (1, -1), (1, 0), (1, 1)]
-    own = cells.select("scene", "gx", "gy").distinct().withColumn("id", _cell_id())
+    place = ["scene", "gx", "gy"]
+    own = cells.select(*place).distinct().repartitionByRange(*place).sortWithinPartitions(*place)
+    own = materialise(own.withColumn("_id", F.monotonically_increasing_id()), "part-cells")
     at = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in half])).alias("s")
-    moved = own.select("scene", (F.col("gx")).alias("x0"), (F.col("gy")).alias("y0"), F.col("id").alias("src"), at).select("scene", "src", (F.col("x0") + F.col("s.a")).alias("gx"), (F.col("y0") + F.col("s.b")).alias("gy"))
-    links = moved.join(own, ["scene", "gx", "gy"]).select("src", F.col("id").alias("dst"))
-    part = connected_components(links)
-    return own.join(part, own["id"] == part["node"], "left").select("scene", "gx", "gy", F.coalesce("component", "id").alias("component"))
+    moved = own.select("scene", F.col("gx").alias("x0"), F.col("gy").alias("y0"), F.col("_id").alias("src"), at).select("scene", "src", (F.col("x0") + F.col("s.a")).alias("gx"), (F.col("y0") + F.col("s.b")).alias("gy"))
+    links = moved.join(own.hint("merge"), place).select("scene", "src", F.col("_id").alias("dst"))
+    part = connected_components(links, near=["scene"])
+    return own, own.join(part.hint("merge"), own["_id"] == part["node"], "left").select("_id", F.coalesce("component", "_id").alias("_c"))
+
+
+def cell_components(cells: DataFrame) -> DataFrame:
+    """Cells with component: the least cell of their 8-connected part."""
+    own, part = _parts(cells)
+    heads = own.select(F.col("_id").alias("_c"), _cell_id().alias("component"))
+    return own.join(part.hint("merge"), "_id").join(heads.hint("merge"), "_c").select("scene", "gx", "gy", "component")
 
 
 def despeckle(cells: DataFrame, most: int = 8) -> DataFrame:
-    """Cells of 8-connected parts with more than `most` cells."""
-    return cell_components(cells).withColumn("k", F.count("*").over(Window.partitionBy("scene", "component"))).where(F.col("k") > most).drop("k", "component")
+    """Cells of 8-connected parts with more than `most` cells, each once."""
+    own, part = _parts(cells)
+    part = materialise(part, "parts")
+    large = part.groupBy("_c").agg(F.count("*").alias("k")).where(F.col("k") > most)
+    kept = part.join(large.hint("merge"), "_c", "left_semi")
+    return own.join(kept.hint("merge"), "_id", "left_semi").select("scene", "gx", "gy")
 
 
 def disk(radius: int) -> list[tuple[int, int]]:
