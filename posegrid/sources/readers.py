@@ -31,10 +31,21 @@ def _lines(spark: SparkSession, glob: str) -> DataFrame:
 
 def read_pose_text(spark: SparkSession, glob: str) -> DataFrame:
     """path and tx ty tz qx qy qz qw of one-pose files; files with other than 7 numbers dropped."""
-    n = spark.read.text(glob, wholetext=True).select(file_path().alias("path"), _numbers("value").alias("n")).where("size(n) = 7 AND forall(n, x -> x IS NOT NULL)")
+    return _poses(spark.read.text(glob, wholetext=True).select(file_path().alias("path"), _numbers("value").alias("n")))
+
+
+def _poses(numbers: DataFrame) -> DataFrame:
+    n = numbers.where("size(n) = 7 AND forall(n, x -> x IS NOT NULL)")
     return n.select("path", *[F.col("n")[i].alias(c) for i, c in enumerate(("tx", "ty", "tz", "qx", "qy", "qz", "qw"))])
 
 
+def read_pose_packs(spark: SparkSession, glob: str) -> DataFrame:
+    """The same of packs: a line for each pose file, its path, a tab and its text."""
+    at = F.instr("value", "\t")
+    n = spark.read.text(glob).where(at > 0).select(F.expr("substr(value, 1, instr(value, '\t') - 1)").alias("path"), _numbers(F.expr("substr(value, instr(value, '\t') + 1)")).alias("n"))
+    return _poses(n)
+
+
 def read_matrix_text(spark: SparkSession, glob: str) -> DataFrame:
     """path and m, 16 finite numbers row-major; short and non-finite files dropped."""
     n = spark.read.text(glob, wholetext=True).select(file_path().alias("path"), _numbers("value").alias("m"))
@@ -183,6 +194,7 @@ def explode_depth_frames(files: DataFrame) -> DataFrame:
 
 
 def read_points(spark: SparkSession, path: str, scene: int | None = None) -> DataFrame:
-    """Points stored by scene; one scene's folder is all that is read if it is named."""
+    """Points as sinks.write_points stored them; if a scene is named, only its shelf's folders are read,
+    and of these the row groups that may hold it."""
     d = spark.read.parquet(path)
-    return d if scene is None else d.where(F.col("scene_id") == scene)
+    return (d if scene is None else d.where((F.col("shelf") == scene % SHELVES) & (F.col("scene_id") == scene))).drop("shelf")
