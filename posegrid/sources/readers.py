@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posegrid.functions import geometry as G
+from posegrid.sources.sinks import SHELVES
 
 
 def file_path() -> Column:

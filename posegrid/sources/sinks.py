@@ -50,8 +50,16 @@ def save_results(df: DataFrame, path: str) -> None:
     d.write.mode("overwrite").csv(path, header=True) if path.rstrip("/").endswith(".csv") else d.write.mode("overwrite").json(path)
 
 
+#: Folders of points: a scene lies in the one of its number's remainder.
+SHELVES = 64
+
+
 def write_points(points: DataFrame, path: str) -> None:
-    points.write.mode("append").partitionBy("scene_id", "layer").parquet(path)
+    """Points in folders by shelf (the scene's remainder by SHELVES) and layer, sorted by scene, so
+    that there are as many folders however many scenes there are."""
+    shelf = F.pmod(F.col("scene_id"), F.lit(SHELVES)).cast("int")
+    d = points.withColumn("shelf", shelf).repartition("shelf", F.pmod(F.xxhash64("scene_id"), F.lit(8)))
+    d.sortWithinPartitions("shelf", "layer", "scene_id").write.mode("append").partitionBy("shelf", "layer").parquet(path)
 
 
 def save_aligned(preds: DataFrame, targets: DataFrame, path: str, index: str = "idx") -> None:

@@ -1,8 +1,11 @@
 """Steps whose memory, disk or time grew faster than their tables."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from posegrid.operators import clouds, components, registry, spatial
+from posegrid.operators import clouds, components, registry
+from posegrid.plans import streams
+from posegrid.sources import readers, sinks
 
 CELLS = "scene long, gx long, gy long"
 
@@ -37,3 +40,32 @@ def test_parts_are_linked_in_chunks_first(spark, monkeypatch):
     monkeypatch.setattr(components, "CHUNK", 16)
     node, low = components.least_linked(np.array([5, 9, 2]), np.array([9, 7, 3]))
     assert dict(zip(node.tolist(), low.tolist())) == {2: 2, 3: 2, 5: 5, 7: 5, 9: 5}
+
+
+def test_points_of_many_scenes_in_few_folders(spark, tmp_path):
+    points = spark.createDataFrame([(s, s % 2, i) for s in range(-5, 300) for i in range(3)], "scene_id long, layer int, x_cm long")
+    sinks.write_points(points, f"{tmp_path}/p")
+    assert len([*(tmp_path / "p").glob("shelf=*/layer=*")]) <= 2 * sinks.SHELVES
+    for s in (3, -5, 299):
+        one = readers.read_points(spark, f"{tmp_path}/p", s)
+        assert sorted((r.scene_id, r.layer, r.x_cm) for r in one.collect()) == [(s, s % 2, i) for i in range(3)]
+    assert readers.read_points(spark, f"{tmp_path}/p").count() == 915
+
+
+def test_scanned_points_are_all_points(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    got = streams.QUERIES["scan_points"](spark, sf_dir)
+    assert got.agg(F.sum("n")).first()[0] == lines
+
+
+def test_poses_are_scanned_from_few_files(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "_folder", lambda df, name: f"{tmp_path}/{name}")
+    rows = streams.QUERIES["scan_pose_text"](spark, sf_dir).count()
+    assert rows == spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    assert len([*tmp_path.rglob("part-*")]) < rows / 10
+
+
+def test_pose_packs_drop_what_is_no_pose(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("id=1/pose.txt\t1.5, 2 3 0 0 0 1\nid=2/pose.txt\t1 2\nno path 1 2 3 4 5 6 7\n")
+    (r,) = readers.read_pose_packs(spark, str(tmp_path)).collect()
+    assert (r.path, r.tx, r.qw) == ("id=1/pose.txt", 1.5, 1.0)
