@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from posegrid.operators import tiles
 from posegrid.operators.components import connected_components
 from posegrid.operators.spatial import dbscan
 from posegrid.rand import seeded
@@ -135,9 +137,19 @@ def erode(cells: DataFrame, kernel: list[tuple[int, int]]) -> DataFrame:
 
 def walkable_fill(ground: DataFrame, obstacles: DataFrame, gap: int, grow: int) -> DataFrame:
     """New cells: the ground's closing by a disk of radius `gap`, without ground and without
-    obstacles grown by `grow` cells."""
-    closed = erode(dilate(ground, disk(gap)), disk(gap))
-    return closed.join(ground, ["scene", "gx", "gy"], "left_anti").join(dilate(obstacles, disk(grow)), ["scene", "gx", "gy"], "left_anti")
+    obstacles grown by `grow` cells. By tiles: a cell's part hangs on ground within 2 gap of it."""
+    halo, near, around = max(2 * gap, grow), disk(gap), disk(grow)
+
+    def run(x: np.ndarray, y: np.ndarray, kind: np.ndarray) -> dict[str, np.ndarray]:
+        own, obst = tiles.grid(x[kind == 0], y[kind == 0], halo), tiles.grid(x[kind == 1], y[kind == 1], halo)
+        wide = np.logical_or.reduce([tiles.moved(own, a, b) for a, b in near])
+        new = np.logical_and.reduce([tiles.moved(wide, -a, -b) for a, b in near])
+        for a, b in around:
+            new &= ~tiles.moved(obst, a, b)
+        return dict(zip("xy", np.nonzero(new & ~own)))
+
+    kinds = [d.select("scene", "gx", "gy", F.lit(k).alias("kind")) for k, d in enumerate((ground, obstacles))]
+    return tiles.by_tiles(kinds[0].unionByName(kinds[1]), halo, run)
 
 
 def fit_planes(points: DataFrame, order: list[str], tolerance: float, tries: int = 50, seed: int = 7, steep: float = 0.5) -> DataFrame:
