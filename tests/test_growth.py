@@ -3,8 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from posegrid.operators import clouds, components, registry
-from posegrid.plans import streams
+from posegrid.operators import clouds, components, graphs, registry, spatial
+from posegrid.plans import graphs as plans
+from posegrid.plans import space, streams
 from posegrid.sources import readers, sinks
 
 CELLS = "scene long, gx long, gy long"
@@ -69,3 +70,41 @@ def test_pose_packs_drop_what_is_no_pose(spark, tmp_path):
     (tmp_path / "a.txt").write_text("id=1/pose.txt\t1.5, 2 3 0 0 0 1\nid=2/pose.txt\t1 2\nno path 1 2 3 4 5 6 7\n")
     (r,) = readers.read_pose_packs(spark, str(tmp_path)).collect()
     assert (r.path, r.tx, r.qw) == ("id=1/pose.txt", 1.5, 1.0)
+
+
+def test_tiles_hold_what_lies_across_their_borders(spark):
+    rng = np.random.default_rng(3)
+    at = {(int(x), int(y)) for x, y in rng.integers(-70, 140, (9000, 2))}
+    cells = spark.createDataFrame([(1, x, y) for x, y in at], CELLS)
+    far = {p: min([4.0] + [(a * a + b * b) ** 0.5 for a in range(-4, 5) for b in range(-4, 5) if a * a + b * b <= 16 and (p[0] + a, p[1] + b) not in at]) for p in at}
+    clear = graphs.clearance(cells, 4)
+    assert {(r.gx, r.gy): r.clearance for r in clear.collect()} == far
+    obst = {p for p in at if sum(p) % 9 == 0}
+    kernel = clouds.disk(2)
+    wide = {(x + a, y + b) for x, y in at - obst for a, b in kernel}
+    closed = {p for p in {(x + a, y + b) for x, y in wide for a, b in kernel} if all((p[0] + a, p[1] + b) in wide for a, b in kernel)}
+    grown = {(x + a, y + b) for x, y in obst for a, b in clouds.disk(1)}
+    fill = clouds.walkable_fill(cells.where("pmod(gx + gy, 9) <> 0"), cells.where("pmod(gx + gy, 9) = 0"), 2, 1)
+    assert {(r.gx, r.gy) for r in fill.collect()} == closed - (at - obst) - grown
+    # one shuffle of cells, no join
+    assert "Join" not in _plan(fill) and "Join" not in _plan(clear)
+
+
+def test_bounded_searches_take_cells_within_reach_only(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    cells = spark.createDataFrame([(s, int(x), int(y)) for s in (1, 2) for x, y in {(0, 0)} | {tuple(p) for p in rng.integers(0, 40, (900, 2)).tolist()}], CELLS)
+    sources = plans._sources(cells)
+    assert graphs.within(cells, sources, 4.0).where("gx * gx + gy * gy > 25").isEmpty()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    near = rows(plans._bounded(cells, 6.0)), rows(plans.least_cost_paths(cells))
+    monkeypatch.setattr(graphs, "within", lambda places, *a, **k: places)
+    assert near == (rows(plans._bounded(cells, 6.0)), rows(plans.least_cost_paths(cells)))
+
+
+def test_floor_snap_takes_all_lines_and_copies_the_queries(spark, sf_dir, monkeypatch):
+    sides, keep = [], spatial.radius_pairs
+    monkeypatch.setattr(spatial, "radius_pairs", lambda a, b, r, dims, keys=["scene"], explode="right": sides.append(explode) or keep(a, b, r, dims, keys, explode))  # noqa: B006
+    got = space.QUERIES["floor_aware_snap"](spark, sf_dir)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 50 = 0")
+    at = lines.selectExpr("l_suppkey", "l_orderkey", "l_partkey % 60 * 5 + l_linenumber % 5").distinct()
+    assert got.count() == at.count() and {*sides} == {"left"}
