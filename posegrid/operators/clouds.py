@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posegrid.operators import tiles
-from posegrid.operators.components import connected_components
-from posegrid.operators.spatial import dbscan
+from posegrid.operators.spatial import dbscan, density_parts
 from posegrid.rand import seeded
 from posegrid.session import materialise
 
@@ -67,7 +66,7 @@ def scene_quality(points: DataFrame, size: float, dims: list[str], eps: float |
     at = [F.floor((F.col(d) - F.col(f"_{d}")) / F.lit(size)).alias(f"_v{d}") for d in dims]
     even = points.join(low, "scene").groupBy("scene", *at).agg(*[F.round(F.avg(d), 9).alias(d) for d in dims]).select("scene", *dims)
     cell_area, eps = size * size, 2.5 * size if eps is None else eps
-    clusters = dbscan(even, eps, min_points, dims).where("cluster IS NOT NULL").groupBy("scene", "cluster").agg(F.count("*").alias("k"))
+    clusters = density_parts(even, eps, min_points, dims).where("_head IS NOT NULL").groupBy("scene", "_head").agg(F.count("*").alias("k"))
     big = clusters.groupBy("scene").agg((F.max("k") * cell_area).alias("area"))
     n = points.groupBy("scene").agg(F.count("*").alias("n_points"))
     out = n.join(big, "scene", "left").withColumn("area", F.coalesce("area", F.lit(0.0)))
@@ -81,8 +80,8 @@ def remove_small_clusters(points: DataFrame, eps: float, min_points: int, dims:
     return labelled.join(large.hint("merge"), ["scene", "cluster"], "left_semi").select(*labelled.columns)
 
 
-def _cell_id() -> Column:
-    return F.concat_ws("|", *[F.lpad((F.col(c).cast("long") + 10**9).cast("string"), 11, "0") for c in ("scene", "gx", "gy")])
+def _cell_id(*place: str) -> Column:
+    return F.concat_ws("|", *[F.lpad((F.col(c).cast("long") + 10**9).cast("string"), 11, "0") for c in place])
 
 
 def offsets(cells: DataFrame, shifts: list[tuple[int, int]]) -> DataFrame:
@@ -91,34 +90,23 @@ def offsets(cells: DataFrame, shifts: list[tuple[int, int]]) -> DataFrame:
     return cells.select("scene", "gx", "gy", at).select("scene", (F.col("gx") + F.col("s.a")).alias("gx"), (F.col("gy") + F.col("s.b")).alias("gy"))
 
 
-def _parts(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct cells with _id, numbers that rise with the cells, and for each the least number of its
-    8-connected part (_id, _c)."""
-    half = [(0, 1), (1, -1), (1, 0), (1, 1)]
-    place = ["scene", "gx", "gy"]
-    own = cells.select(*place).distinct().repartitionByRange(*place).sortWithinPartitions(*place)
-    own = materialise(own.withColumn("_id", F.monotonically_increasing_id()), "part-cells")
-    at = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in half])).alias("s")
-    moved = own.select("scene", F.col("gx").alias("x0"), F.col("gy").alias("y0"), F.col("_id").alias("src"), at).select("scene", "src", (F.col("x0") + F.col("s.a")).alias("gx"), (F.col("y0") + F.col("s.b")).alias("gy"))
-    links = moved.join(own.hint("merge"), place).select("scene", "src", F.col("_id").alias("dst"))
-    part = connected_components(links, near=["scene"])
-    return own, own.join(part.hint("merge"), own["_id"] == part["node"], "left").select("_id", F.coalesce("component", "_id").alias("_c"))
+def _parts(cells: DataFrame) -> DataFrame:
+    """Distinct cells with _head, gx and gy of the least cell of their 8-connected part: a density cluster
+    in which each cell is core, and neighbours are at most the square root of 2 away."""
+    return density_parts(cells.select("scene", "gx", "gy"), 1.5, 1, ["gx", "gy"])
 
 
 def cell_components(cells: DataFrame) -> DataFrame:
     """Cells with component: the least cell of their 8-connected part."""
-    own, part = _parts(cells)
-    heads = own.select(F.col("_id").alias("_c"), _cell_id().alias("component"))
-    return own.join(part.hint("merge"), "_id").join(heads.hint("merge"), "_c").select("scene", "gx", "gy", "component")
+    label = F.when(F.col("_head").isNotNull(), _cell_id("scene", "_head.gx", "_head.gy")).otherwise(_cell_id("scene", "gx", "gy"))
+    return _parts(cells).select("scene", "gx", "gy", label.alias("component"))
 
 
 def despeckle(cells: DataFrame, most: int = 8) -> DataFrame:
     """Cells of 8-connected parts with more than `most` cells, each once."""
-    own, part = _parts(cells)
-    part = materialise(part, "parts")
-    large = part.groupBy("_c").agg(F.count("*").alias("k")).where(F.col("k") > most)
-    kept = part.join(large.hint("merge"), "_c", "left_semi")
-    return own.join(kept.hint("merge"), "_id", "left_semi").select("scene", "gx", "gy")
+    part = _parts(cells)
+    large = part.groupBy("scene", "_head").agg(F.count("*").alias("k")).where(F.col("k") > most)
+    return part.join(large.hint("merge"), ["scene", "_head"], "left_semi").select("scene", "gx", "gy")
 
 
 def disk(radius: int) -> list[tuple[int, int]]:
