@@ -12,10 +12,23 @@ from posegrid.rand import seeded
 from posegrid.session import materialise
 
 
+#: Points of a task that goes by scene.
+SHARE = 1 << 18
+
+
+def _over_low(points: DataFrame, dims: list[str]) -> DataFrame:
+    """points with _<dim>, their scene's least coordinates. They are dealt by scene to tasks whose number
+    grows with the points, so that a task's sort and hash tables don't, whatever the number of shuffle
+    partitions. Counting Parquet rows reads no column but those that a filter asks for."""
+    tasks = max(points.sparkSession.sparkContext.defaultParallelism, -(-points.count() // SHARE))
+    low = points.groupBy("scene").agg(*[F.min(d).alias(f"_{d}") for d in dims])
+    # both sides dealt alike, or the join would deal the points again, to fewer tasks
+    return points.repartition(tasks, "scene").join(low.repartition(tasks, "scene"), "scene")
+
+
 def voxel_key(points: DataFrame, size: float, dims: list[str]) -> DataFrame:
     """Points with vx, vy, vz: floor((coordinate - the scene's least) / size)."""
-    low = points.groupBy("scene").agg(*[F.min(d).alias(f"_{d}") for d in dims])
-    return points.join(low, "scene").withColumns({f"v{d[0]}": F.floor((F.col(d) - F.col(f"_{d}")) / F.lit(size)).cast("long") for d in dims}).drop(*[f"_{d}" for d in dims])
+    return _over_low(points, dims).withColumns({f"v{d[0]}": F.floor((F.col(d) - F.col(f"_{d}")) / F.lit(size)).cast("long") for d in dims}).drop(*[f"_{d}" for d in dims])
 
 
 def voxel_downsample(points: DataFrame, size: float, dims: list[str], means: list[str]) -> DataFrame:
@@ -49,8 +62,7 @@ def scene_extent(points: DataFrame, dims: list[str]) -> DataFrame:
 def occupancy(points: DataFrame, size: float, flat: bool = True, pad: int = 4) -> DataFrame:
     """Distinct cells of a scene with the least cell at (pad, pad)."""
     dims = ["x", "y"] if flat else ["x", "y", "z"]
-    low = points.groupBy("scene").agg(*[F.min(d).alias(f"_{d}") for d in dims])
-    return points.join(low, "scene").select("scene", *[(F.floor((F.col(d) - F.col(f"_{d}")) / F.lit(size)) + pad).cast("long").alias(f"g{d}") for d in dims]).distinct()
+    return _over_low(points, dims).select("scene", *[(F.floor((F.col(d) - F.col(f"_{d}")) / F.lit(size)) + pad).cast("long").alias(f"g{d}") for d in dims]).distinct()
 
 
 def scene_budget(cells: DataFrame, size: float, density: float, least: int, most: int, name: str) -> DataFrame:
