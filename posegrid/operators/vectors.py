@@ -77,6 +77,22 @@ def _asked(queries: DataFrame, centres: np.ndarray, size: np.ndarray, radius: np
     return queries.mapInArrow(run, f"q long, embedding {kind}, cells array<int>")
 
 
+def best(products: np.ndarray, ids: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and values, rounded to 9 places, of the `want` greatest products of each row, ties by
+    id. Only what comes within rounding of the want-th greatest is rounded and sorted."""
+    n = products.shape[1]
+    if n > want:
+        least = np.partition(products, n - want, axis=1)[:, n - want]
+        row, col = np.nonzero(products >= least[:, None] - 2e-9)
+    else:
+        row, col = (x.ravel() for x in np.indices(products.shape))
+    sims = np.round(products[row, col], 9)
+    order = np.lexsort((ids[col], -sims, row))
+    row, col, sims = row[order], col[order], sims[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < want
+    return row[kept], col[kept], sims[kept]
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int, skip_first: bool = False, block: int = BLOCK, cells: int | None = None) -> DataFrame:
     """q, vec_id, label, sim, rank: the k corpus vectors of greatest inner product, ties by id.
     skip_first drops the first neighbour (a query that is in the corpus). All vectors have one
@@ -114,12 +130,11 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, skip_first: bool = False,
             e, rows = _matrix(a["embedding"].combine_chunks()), _matrix(b["embedding"].combine_chunks())
             step = max(1, (1 << 22) // len(ids))
             for at in range(0, len(q), step):
-                sims = np.round(rows[at : at + step] @ e.T, 9)
-                order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :want]
-                out["q"].append(np.repeat(q[at : at + step], order.shape[1]))
-                out["vec_id"].append(ids[order].ravel())
-                out["label"].append(lab[order].ravel())
-                out["sim"].append(np.take_along_axis(sims, order, 1).ravel())
+                one, other, sims = best(rows[at : at + step] @ e.T, ids, want)
+                out["q"].append(q[at + one])
+                out["vec_id"].append(ids[other])
+                out["label"].append(lab[other])
+                out["sim"].append(sims)
         return pa.table({c: np.concatenate(v) if v else np.zeros(0, float if c == "sim" else np.int64) for c, v in out.items()}, pa.schema([("q", pa.int64()), ("vec_id", pa.int64()), ("label", pa.int64()), ("sim", pa.float64())]))
 
     key = ["cell", "part", "lot"]
