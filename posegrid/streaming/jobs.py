@@ -105,8 +105,7 @@ def stuck_detector(steps: DataFrame, states: int = 4, reach: float = 0.1, turn:
 def object_registry(objects: DataFrame, radius: float, ttl_ms: int | None = None) -> DataFrame:
     """scene, cls, x, y, z of objects that no earlier one of the class lies within radius of (columns
     seq, x, y, z). With ttl_ms an object is forgotten so long after it was written, by the clock."""
-    # Python rows of keys are made by name, where cls is taken
-    rows = objects.select(F.col("scene").alias("_scene"), F.col("cls").alias("_class"), "seq", "x", "y", "z").groupBy("_scene", "_class")
+    rows = objects.select(F.col("scene").alias("_scene"), F.col("cls").alias("label"), "seq", "x", "y", "z").groupBy("_scene")
     return rows.transformWithStateInPandas(FirstSeen(radius, ttl_ms), "scene long, cls string, x double, y double, z double", "append", "None" if ttl_ms is None else "ProcessingTime")
 
 

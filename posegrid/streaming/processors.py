@@ -16,37 +16,59 @@ def _all_rows(frames: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
     return pd.concat([*frames], ignore_index=True).sort_values(by, kind="stable")
 
 
+#: Cells along a side of a block, the unit in which the registry's places are kept.
+BLOCK = 8
+_AROUND = [*product((-1, 0, 1), repeat=3)]
+
+
 class FirstSeen(StatefulProcessor):
-    """Objects (seq, x, y, z) that none kept before lies within radius of. State: by cell of a grid
-    of the radius the places kept there. A row reads the 27 cells around it, each once a batch."""
+    """Objects (seq, cls, x, y, z) of a scene that none of their class kept before lies within radius of.
+    State: by block of a grid of the radius, BLOCK cells a side, the classes and places kept there. A
+    row reads its block and, at its border, the next ones, each once a batch; blocks that changed are
+    written once a batch. So neither calls nor state entries go by class, of which a scene has many."""
 
     def __init__(self, radius: float, ttl_ms: int | None = None):
         self.radius, self.ttl_ms = radius, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.places = handle.getMapState("places", "a long, b long, c long", "xyz array<double>", self.ttl_ms)
+        self.blocks = handle.getMapState("blocks", "a long, b long, c long", "names array<string>, xyz array<double>", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known, fresh, out, least = self.places.exists(), {}, [], self.radius**2
-        held: dict[tuple, list[float]] = {}
-        for x, y, z in _all_rows(rows, "seq")[["x", "y", "z"]].itertuples(index=False):
-            cell = tuple(math.floor(v / self.radius) for v in (x, y, z))
+        known, radius, least = self.blocks.exists(), self.radius, self.radius**2
+        kept: dict[tuple, tuple[list, list[float]]] = {}
+        near: dict[tuple, list[float]] = {}
+        fresh, out = set(), []
+
+        def cell(*at: float) -> tuple:
+            return tuple(math.floor(v / radius) for v in at)
+
+        def read(block: tuple) -> None:
+            was = self.blocks.getValue(block) if known else None
+            kept[block] = ([], []) if was is None else ([*was[0]], [float(v) for v in was[1]])
+            names, flat = kept[block]
+            for i, name in enumerate(names):
+                near.setdefault((name, *cell(*flat[3 * i : 3 * i + 3])), []).extend(flat[3 * i : 3 * i + 3])
+
+        for name, x, y, z in _all_rows(rows, "seq")[["label", "x", "y", "z"]].itertuples(index=False):
+            name = name if isinstance(name, str) else None
+            a, b, c = cell(x, y, z)
+            for block in {*product(*[((v - 1) // BLOCK, (v + 1) // BLOCK) for v in (a, b, c)])} - kept.keys():
+                read(block)
             free = True
-            for step in product((-1, 0, 1), repeat=3):
-                at = tuple(a + b for a, b in zip(cell, step))
-                if at not in held:
-                    was = self.places.getValue(at) if known else None
-                    held[at] = [] if was is None else [float(v) for v in was[0]]
-                near = held[at]
-                if any((near[i] - x) ** 2 + (near[i + 1] - y) ** 2 + (near[i + 2] - z) ** 2 <= least for i in range(0, len(near), 3)):
+            for i, j, k in _AROUND:
+                flat = near.get((name, a + i, b + j, c + k))
+                if flat and any((flat[i] - x) ** 2 + (flat[i + 1] - y) ** 2 + (flat[i + 2] - z) ** 2 <= least for i in range(0, len(flat), 3)):
                     free = False
                     break
             if free:
-                fresh[cell] = held.setdefault(cell, [])
-                fresh[cell] += [float(x), float(y), float(z)]
-                out.append((int(key[0]), key[1], float(x), float(y), float(z)))
-        for cell, flat in fresh.items():
-            self.places.updateValue(cell, (flat,))
+                block = (a // BLOCK, b // BLOCK, c // BLOCK)
+                kept[block][0].append(name)
+                kept[block][1].extend((float(x), float(y), float(z)))
+                near.setdefault((name, a, b, c), []).extend((float(x), float(y), float(z)))
+                fresh.add(block)
+                out.append((int(key[0]), name, float(x), float(y), float(z)))
+        for block in fresh:
+            self.blocks.updateValue(block, kept[block])
         yield pd.DataFrame(out, columns=["scene", "cls", "x", "y", "z"])
 
     def close(self) -> None:
