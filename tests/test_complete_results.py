@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from posegrid.functions import text as X
 from posegrid.operators import detections, graphs, spatial
+from posegrid.plans import graphs as plans
 from posegrid.streaming import jobs
 
 
@@ -93,3 +94,10 @@ def test_detections_against_a_plain_version(spark):
 def test_class_groups(spark):
     rows = spark.createDataFrame([("mug",), ("sofa",), (None,)], "c string").select(X.class_group(F.col("c")).alias("g")).collect()
     assert [r.g for r in rows] == ["manipulation", "other", None]
+
+
+def test_objects_at_the_end_of_long_detours_are_reachable(spark):
+    """5.83 cells away and 8.47 along the path, of at most 1.5 * 5.83."""
+    cells = spark.createDataFrame([(1, x, y) for x, y in ((0, 0), (0, 2), (1, 4), (3, 4), (5, 3))], "scene long, gx long, gy long")
+    got = {r.obj: r.dist for r in plans.reachable_objects(cells).collect()}
+    assert got == {2: 2.0, 104: 4.236068, 304: 6.236068, 503: 8.472136}
