@@ -108,3 +108,29 @@ def test_floor_snap_takes_all_lines_and_copies_the_queries(spark, sf_dir, monkey
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 50 = 0")
     at = lines.selectExpr("l_suppkey", "l_orderkey", "l_partkey % 60 * 5 + l_linenumber % 5").distinct()
     assert got.count() == at.count() and {*sides} == {"left"}
+
+
+def test_registry_waits_at_borders_only(spark, monkeypatch):
+    """The first seen of 3,000 rows in tiles of 4 x 4 cells, against a plain loop; with cells that
+    remember one open row too. Rows of one tile take one pass; no pass joins."""
+    rng = np.random.default_rng(7)
+    at = [(int(s), float(x), float(y)) for s, x, y in zip(rng.integers(0, 2, 3000), rng.integers(0, 60, 3000) / 2, rng.integers(0, 60, 3000) / 2)]
+    rows = [(s, 1, int(i), x, y) for (s, x, y), i in zip(at, rng.permutation(3000))] + [(0, 1, 5000 + i, i / 2, 30.0) for i in range(80)]
+    rows += [(0, 1, 9000, float("nan"), 0.0), (0, 1, 9000, float("nan"), 0.0), (1, 1, 9001, float("inf"), 0.0), (0, None, 9002, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "scene long, cls long, seq long, x double, y double").repartition(4)
+    want, kept = [], {}
+    for s, _, i, x, y in sorted(rows[:3080], key=lambda r: r[2]):
+        near = kept.setdefault(s, [])
+        if all((x - a) ** 2 + (y - b) ** 2 > 2.25 for a, b in near):
+            near.append((x, y))
+            want.append(i)
+    passes, keep = [], registry.materialise
+    monkeypatch.setattr(registry, "materialise", lambda d, name: passes.append((name, _plan(d))) or keep(d, name))
+    for side, most in ((64, 256), (4, 256), (4, 1)):
+        passes.clear()
+        monkeypatch.setattr(registry.packs, "SIDE", side)
+        monkeypatch.setattr(registry, "MOST", most)
+        got = registry.first_seen(df, 1.5, ["seq"], dims=["x", "y"])
+        assert sorted(r.seq for r in got.collect()) == sorted([*want, 9000, 9001, 9002])
+        assert got.columns == df.columns and not any("Join" in p for _, p in passes)
+        assert (len([n for n, _ in passes if n == "first-seen"]) > 1) == (side == 4)
