@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from posegrid.session import materialise, ship
+from posegrid.session import discard, materialise, ship
 
-BLOCK = 4096
+#: Vectors of a lot, and those that a lot is multiplied with at a time.
+BLOCK, COLUMNS = 4096, 512
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -19,8 +20,9 @@ def dot(a: str | Column, b: str | Column) -> Column:
 
 
 def l2_normalise(v: str | Column, eps: float = 1e-12) -> Column:
-    size = F.greatest(F.sqrt(dot(v, v)), F.lit(eps))
-    return F.transform(v, lambda x: x.cast("double") / size)
+    # the size is repeated, as within a function of the elements it would be computed for each of them
+    size = F.array_repeat(F.greatest(F.sqrt(dot(v, v)), F.lit(eps)), F.size(v))
+    return F.zip_with(v, size, lambda x, s: x.cast("double") / s)
 
 
 def softmax(v: str | Column, temperature: float = 1.0) -> Column:
@@ -50,8 +52,16 @@ def _dealt(corpus: DataFrame, centres: np.ndarray) -> DataFrame:
     return corpus.mapInArrow(run, f"{kinds}, cell int, far double")
 
 
+def _span(e: np.ndarray, centres: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A floor under the products of each of e with all vectors of each cell, and a ceiling over them."""
+    mid, norm = e @ centres.T, np.sqrt((e**2).sum(1))[:, None]
+    slack = norm * radius + 1e-6 * (1 + norm * (radius + np.sqrt((centres**2).sum(1))))
+    return mid - slack, mid + slack
+
+
 def _asked(queries: DataFrame, centres: np.ndarray, size: np.ndarray, radius: np.ndarray, want: int) -> DataFrame:
-    """queries (q, embedding) with cells, those that may hold one of the `want` nearest.
+    """queries (q, embedding) with cells, those that may hold one of the `want` nearest, and bound,
+    which none of the nearest lies under.
 
     For x in a cell of centre c and radius r, |q.x - q.c| <= |q| r. So each cell gives a floor under
     the products of all its vectors and a ceiling over them; the highest floor that `want` vectors
@@ -62,19 +72,17 @@ def _asked(queries: DataFrame, centres: np.ndarray, size: np.ndarray, radius: np
             if not batch.num_rows:
                 continue
             e = _matrix(batch.column("embedding"))
-            mid, norm = e @ centres.T, np.sqrt((e**2).sum(1))[:, None]
-            slack = norm * radius + 1e-6 * (1 + norm * (radius + np.sqrt((centres**2).sum(1))))
-            low, high = mid - slack, mid + slack
+            low, high = _span(e, centres, radius)
             order = np.argsort(-low, axis=1, kind="stable")
             reached = np.cumsum(size[order], axis=1) >= want
             at = np.where(reached.any(1), reached.argmax(1), size.size - 1)
-            bound = np.take_along_axis(low, order, 1)[np.arange(len(e)), at]
+            bound = np.where(reached.any(1), np.take_along_axis(low, order, 1)[np.arange(len(e)), at], -np.inf)
             keep = (high >= bound[:, None]) & (size > 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(keep.sum(1)))), pa.int32()), pa.array(np.nonzero(keep)[1], pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("embedding"), lists], ["q", "embedding", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("embedding"), lists, pa.array(bound)], ["q", "embedding", "cells", "bound"])
 
     kind = queries.schema["embedding"].dataType.simpleString()
-    return queries.mapInArrow(run, f"q long, embedding {kind}, cells array<int>")
+    return queries.mapInArrow(run, f"q long, embedding {kind}, cells array<int>, bound double")
 
 
 def best(products: np.ndarray, ids: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,15 +101,113 @@ def best(products: np.ndarray, ids: np.ndarray, want: int) -> tuple[np.ndarray,
     return row[kept], col[kept], sims[kept]
 
 
+def _packed(rows: DataFrame, block: int) -> DataFrame:
+    """rows in their order, up to `block` of them as one: each column as the bytes of its numbers (vectors
+    as doubles), and lot, which tells them apart once they are written."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def pack(table: pa.Table) -> pa.RecordBatch:
+            columns = [table[c].combine_chunks() for c in names]
+            return pa.RecordBatch.from_arrays([pa.array([(_matrix(c) if pa.types.is_list(c.type) else c.to_numpy()).tobytes()], pa.binary()) for c in columns], names)
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= block:
+                table = pa.Table.from_batches(held)
+                yield from (pack(table.slice(at, block)) for at in range(0, n - block + 1, block))
+                held, n = table.slice(n - n % block).to_batches(), n % block
+        if n:
+            yield pack(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, ", ".join(f"{c} binary" for c in names)).withColumn("lot", F.monotonically_increasing_id())
+
+
+class _Nearest:
+    """The `want` nearest that a lot of queries has met so far, best first."""
+
+    def __init__(self, q: np.ndarray, e: np.ndarray, bound: np.ndarray, want: int):
+        self.q, self.e, self.bound, self.want = q, e, bound, want
+        self.brief, self.norm = e.astype(np.float32), np.sqrt((e**2).sum(1))
+        self.room = np.empty(len(q) * COLUMNS, np.float32)
+        self.sim = np.full((len(q), want), -np.inf)
+        self.other = {"vec_id": np.full((len(q), want), np.iinfo(np.int64).max), "label": np.zeros((len(q), want), np.int64), "known": np.zeros((len(q), want), bool)}
+
+    def least(self) -> np.ndarray:
+        """What is smaller is none of the nearest."""
+        return np.maximum(self.sim[:, -1], self.bound) - 2e-9
+
+    def meet(self, e: np.ndarray, cell: np.ndarray, other: dict[str, np.ndarray], centres: np.ndarray, radius: np.ndarray) -> None:
+        """Vectors sorted by cell. Cells that may hold a neighbour of a query are multiplied with it."""
+        starts = np.flatnonzero(np.diff(cell, prepend=-1))
+        ends = np.append(starts[1:], len(cell))
+        need = _span(self.e, centres[cell[starts]], radius[cell[starts]])[1] >= self.least()[:, None]
+        if need.mean() > 0.25:
+            need, starts, ends = need.any(1)[:, None], starts[:1], ends[-1:]
+        for i, (start, end) in enumerate(zip(starts.tolist(), ends.tolist())):
+            rows = np.flatnonzero(need[:, i])
+            for at in range(start, end, COLUMNS) if len(rows) else ():
+                cut = slice(at, min(at + COLUMNS, end))
+                self._multiply(rows, e[cut], {c: v[cut] for c, v in other.items()})
+
+    def _multiply(self, rows: np.ndarray, e: np.ndarray, other: dict[str, np.ndarray]) -> None:
+        """Single precision tells, but for its error, which rows have something near enough; these are
+        multiplied again."""
+        most = float(np.sqrt((e**2).sum(1).max()))
+        least, brief = self.least()[rows], self.brief[rows] if len(rows) < len(self.q) else self.brief
+        if max(most, self.norm.max()) < 1e15:
+            least = least - (e.shape[1] + 8) * 2.0**-23 * self.norm[rows] * most
+            near = np.matmul(brief, e.astype(np.float32).T, out=self.room[: len(rows) * len(e)].reshape(len(rows), len(e)))
+            rows = rows[near.max(1) >= least]
+        if not len(rows):
+            return
+        products = self.e[rows] @ e.T
+        full = self.sim[rows, -1] > -np.inf
+        if not full.all():
+            one, col, sims = best(products[~full], other["vec_id"], self.want)
+            self._merge(rows[~full][one], col, sims, other)
+            rows, products = rows[full], products[full]
+        one, col = np.nonzero(products >= self.least()[rows, None])
+        self._merge(rows[one], col, np.round(products[one, col], 9), other)
+
+    def _merge(self, row: np.ndarray, col: np.ndarray, sims: np.ndarray, other: dict[str, np.ndarray]) -> None:
+        last = self.sim[row, -1]
+        nearer = (sims > last) | ((sims == last) & (other["vec_id"][col] < self.other["vec_id"][row, -1]))
+        row, col, sims = row[nearer], col[nearer], sims[nearer]
+        own = np.unique(row)
+        every, sim = np.concatenate([np.repeat(own, self.want), row]), np.concatenate([self.sim[own].ravel(), sims])
+        rest = {c: np.concatenate([v[own].ravel(), other[c][col]]) for c, v in self.other.items()}
+        order = np.lexsort((rest["vec_id"], -sim, every))
+        order = order[np.arange(len(order)) - np.searchsorted(every[order], every[order]) < self.want].reshape(len(own), self.want)
+        self.sim[own] = sim[order]
+        for c, v in self.other.items():
+            v[own] = rest[c][order]
+
+    def rows(self) -> pa.RecordBatch:
+        row, col = np.nonzero(self.sim > -np.inf)
+        label = pa.array(self.other["label"][row, col], mask=~self.other["known"][row, col])
+        return pa.RecordBatch.from_arrays([pa.array(self.q[row]), pa.array(self.other["vec_id"][row, col]), label, pa.array(self.sim[row, col])], ["q", "vec_id", "label", "sim"])
+
+
+#: Partitions of either side of the products, and the vectors of one that may make them more.
+SIDES, WIDE = 12, 1 << 17
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int, skip_first: bool = False, block: int = BLOCK, cells: int | None = None) -> DataFrame:
     """q, vec_id, label, sim, rank: the k corpus vectors of greatest inner product, ties by id.
     skip_first drops the first neighbour (a query that is in the corpus). All vectors have one
     length, and ids tell them apart; rows with a null id or vector are left out.
 
     An exact index: corpus vectors are dealt to the cells of `cells` of them (by default the square
-    root of their number, 1,024 at most), a query goes only to cells that may hold a neighbour (see
-    `_asked`), and each (cell, block of at most `block` vectors, block of queries) is one product
-    of matrices. The corpus is written once, dealt; the driver holds centres, sizes and radii."""
+    root of their number, 1,024 at most), and a query is multiplied only with cells that may hold a
+    neighbour (see `_asked`). Both sides are written once, in lots of at most `block` vectors. Every
+    lot of queries meets every lot of the corpus in a product of the partitions, which reads them anew
+    and writes nothing; of each partition a query keeps its nearest alone. So the disk grows with the
+    vectors, the time with their square where cells spare nothing. The driver holds centres, sizes
+    and radii."""
     want = k + int(skip_first)
     ship(queries.sparkSession)
     own = corpus.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
@@ -115,30 +221,33 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, skip_first: bool = False,
     size, radius = np.zeros(len(centres), np.int64), np.zeros(len(centres))
     for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():
         size[r.cell], radius[r.cell] = r.n, r.far
-    asked = _asked(queries.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").alias("q"), "embedding"), centres, size, radius, want)
-    asked = materialise(asked.withColumn("lot", F.pmod(F.xxhash64("q"), F.lit(1 << 20))), "knn-queries")
-    lots = max(1, -(-asked.count() // block))
-    parts = F.element_at(F.array(*[F.lit(int(max(1, -(-n // block)))) for n in size]), F.col("cell") + 1)
-    left = dealt.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts).cast("int")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))).select("cell", "part", "lot", "vec_id", "label", "embedding")
-    right = asked.withColumn("lot", F.pmod("lot", F.lit(lots)).cast("int")).withColumn("cell", F.explode("cells"))
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("cell", "part", "lot", "q", "embedding")
-
-    def top(a: pa.Table, b: pa.Table) -> pa.Table:
-        ids, lab, q = (t[c].combine_chunks().to_numpy() for t, c in ((a, "vec_id"), (a, "label"), (b, "q")))
-        out: dict[str, list[np.ndarray]] = {"q": [], "vec_id": [], "label": [], "sim": []}
-        if len(ids) and len(q):
-            e, rows = _matrix(a["embedding"].combine_chunks()), _matrix(b["embedding"].combine_chunks())
-            step = max(1, (1 << 22) // len(ids))
-            for at in range(0, len(q), step):
-                one, other, sims = best(rows[at : at + step] @ e.T, ids, want)
-                out["q"].append(q[at + one])
-                out["vec_id"].append(ids[other])
-                out["label"].append(lab[other])
-                out["sim"].append(sims)
-        return pa.table({c: np.concatenate(v) if v else np.zeros(0, float if c == "sim" else np.int64) for c, v in out.items()}, pa.schema([("q", pa.int64()), ("vec_id", pa.int64()), ("label", pa.int64()), ("sim", pa.float64())]))
-
-    key = ["cell", "part", "lot"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(top, "q long, vec_id long, label long, sim double")
+    near = dealt.repartition("cell").sortWithinPartitions("cell", "vec_id")
+    near = near.select(F.col("cell").cast("long"), F.col("vec_id").cast("long"), F.coalesce("label", F.lit(0).cast("long")).alias("label"), F.col("label").isNotNull().cast("long").alias("known"), "embedding")
+    right = materialise(_packed(near, block), "knn-corpus")
+    discard(dealt)
+    asked = _asked(queries.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("q"), "embedding"), centres, size, radius, want)
+    left = materialise(_packed(asked.select("q", "bound", F.col("embedding").alias("e")), block), "knn-queries")
+
+    def sides(lots: DataFrame) -> DataFrame:
+        n = lots.count()
+        return lots.repartition(max(1, min(n, max(SIDES, n * block // WIDE))))
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot = nearest = None
+        for batch in batches:
+            for i, at in enumerate(batch.column("lot").to_pylist()):
+                read = lambda c, kind: np.frombuffer(batch.column(c)[i].as_buffer(), kind)  # noqa: B023, E731
+                if at != lot:
+                    if nearest is not None:
+                        yield nearest.rows()
+                    lot, nearest = at, _Nearest(read("q", np.int64), read("e", np.float64).reshape(-1, centres.shape[1]), read("bound", np.float64), want)
+                other = {"vec_id": read("vec_id", np.int64), "label": read("label", np.int64), "known": read("known", np.int64) > 0}
+                nearest.meet(read("embedding", np.float64).reshape(-1, centres.shape[1]), read("cell", np.int64), other, centres, radius)
+        if nearest is not None:
+            yield nearest.rows()
+
+    pairs = sides(left).crossJoin(sides(right.drop("lot")).hint("shuffle_replicate_nl"))
+    found = pairs.mapInArrow(top, "q long, vec_id long, label long, sim double")
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= want)
     return ranked.where("rank > 1").withColumn("rank", F.col("rank") - 1) if skip_first else ranked

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from posegrid.operators import clouds, components, graphs, registry, spatial
+from posegrid.operators import clouds, components, graphs, registry, spatial, vectors
 from posegrid.plans import graphs as plans
 from posegrid.plans import space, streams
 from posegrid.sources import readers, sinks
@@ -134,3 +134,32 @@ def test_registry_waits_at_borders_only(spark, monkeypatch):
         assert sorted(r.seq for r in got.collect()) == sorted([*want, 9000, 9001, 9002])
         assert got.columns == df.columns and not any("Join" in p for _, p in passes)
         assert (len([n for n, _ in passes if n == "first-seen"]) > 1) == (side == 4)
+
+
+def test_nearest_neighbours_copy_no_vectors(spark, monkeypatch):
+    """Of a product of lots, shuffles carry each vector once on either side, and each query's nearest of a partition."""
+    rng = np.random.default_rng(9)
+    e = np.round(rng.normal(size=(900, 6)), 1)
+    e[500:560] = e[3]
+    rows = [(i, [float(x) for x in v], i % 3 if i % 7 else None) for i, v in enumerate(e)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    kept, keep = {}, vectors.materialise
+    monkeypatch.setattr(vectors, "materialise", lambda d, name: kept.setdefault(name, keep(d, name)))
+    monkeypatch.setattr(vectors, "WIDE", 200)
+    got = vectors.knn(df, df, 4, block=100)
+    plan = _plan(got)
+    assert "CartesianProduct" in plan and "explode" not in plan and "CoGroup" not in plan
+    for name, column in (("knn-corpus", "vec_id"), ("knn-queries", "q")):
+        assert kept[name].agg(F.sum(F.octet_length(column))).first()[0] == 8 * 900 and kept[name].count() < 30
+    sims = np.round(e @ e.T, 9)
+    want = {(q, int(j), i + 1) for q in range(900) for i, j in enumerate(np.lexsort((np.arange(900), -sims[q]))[:4])}
+    out = got.collect()
+    assert {(r.q, r.vec_id, r["rank"]) for r in out} == want and len(out) == 3600
+    assert all(r.label == (r.vec_id % 3 if r.vec_id % 7 else None) for r in out)
+
+
+def test_sizes_are_computed_once_a_vector(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([],)], "v array<double>").select(vectors.l2_normalise("v").alias("u"))
+    assert [r.u for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], None, []]
+    # the size lies outside of the function that goes over the elements
+    assert "array_repeat" in _plan(df)
